@@ -13,7 +13,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from storelake.plans.model_sql import with_model
-from storelake.sources.model import Tables, load_model
+from storelake.sources.driver import read_driver
+from storelake.sources.model import Tables, model_from_driver
+
+
+@dataclass
+class Ctx:
+    """What a registered query may read: the session, the driver tables and
+    the shop model derived from them."""
+    spark: SparkSession
+    sf_dir: str
+    raw: dict
+    t: Tables
 
 
 @dataclass(frozen=True)
@@ -27,11 +38,13 @@ REGISTRY: dict[str, Registered] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register ``fn(t: Tables, spark) -> DataFrame`` under ``name``."""
+    """Register ``fn(t: Tables, ctx: Ctx) -> DataFrame`` under ``name``."""
 
-    def deco(fn: Callable[[Tables, SparkSession], DataFrame]):
+    def deco(fn: Callable[[Tables, Ctx], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(load_model(spark, sf_dir), spark)
+            raw = read_driver(spark, sf_dir)
+            t = model_from_driver(raw)
+            return fn(t, Ctx(spark, sf_dir, raw, t))
 
         build.__name__ = f"q_{name}"
         build.__doc__ = fn.__doc__
