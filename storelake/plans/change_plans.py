@@ -1 +1,459 @@
-"""Registered queries."""
+"""Registered change jobs (W1-W18, L10, J7, J8): each returns the changed
+table of the new snapshot; the oracle is one SELECT over the old tables and
+the change batch."""
+
+from pyspark.sql import functions as F
+
+from storelake.operators import cart as K
+from storelake.operators import changes as W
+from storelake.operators import stock as S
+from storelake.operators import wishlist as WL
+from storelake.operators.catalog import featured_items
+from storelake.plans.model_sql import register
+from storelake.plans.quality_plans import _AUDIT_SQL
+from storelake.plans.registry import query
+from storelake.sources import requests as RQ
+
+NOW = "2024-02-01 12:00:00"
+
+register("first_variant_v",
+         "SELECT item_id, min(itemQuant_id) AS itemQuant_id FROM items_quant GROUP BY item_id")
+
+# ------------------------------------------------------------------ W1, W2, W5
+
+_VALID_FRESH = f"""
+    SELECT n.* FROM new_users n
+    WHERE n.request_id IN (SELECT request_id FROM ({_AUDIT_SQL}) a WHERE n_errors = 0)
+      AND n.email NOT IN (SELECT email FROM users)"""
+
+
+@query("register_users", f"""
+    SELECT user_id, name, email, phone, role, notes, created_at FROM users
+    UNION ALL
+    SELECT (SELECT COALESCE(max(user_id), 0) FROM users)
+             + row_number() OVER (ORDER BY request_id) AS user_id,
+           trim(name), trim(email), NULLIF(trim(phone), ''),
+           CASE WHEN lower(trim(role)) IN ('customer', 'staff', 'admin') THEN lower(trim(role))
+                ELSE 'customer' END,
+           CAST(NULL AS VARCHAR), TIMESTAMP '{NOW}'
+    FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY request_id) AS rk
+          FROM ({_VALID_FRESH}) v) f
+    WHERE rk = 1""")
+def register_users(t, ctx):
+    return W.register_users(t, RQ.new_users(ctx), created_at=NOW)["users"]
+
+
+@query("patch_users", """
+    SELECT u.user_id, COALESCE(p.name, u.name) AS name, COALESCE(p.email, u.email) AS email,
+           COALESCE(p.phone, u.phone) AS phone,
+           CASE WHEN lower(p.caller_role) = 'admin' THEN COALESCE(p.role, u.role) ELSE u.role END
+             AS role,
+           CASE WHEN lower(p.caller_role) = 'admin' THEN COALESCE(p.notes, u.notes) ELSE u.notes END
+             AS notes,
+           u.created_at
+    FROM users u LEFT JOIN user_patches p ON u.user_id = p.user_id""")
+def patch_users(t, ctx):
+    return W.patch_users(t, RQ.user_patches(ctx))["users"]
+
+
+@query("delete_users", """
+    SELECT order_id,
+           CASE WHEN user_id IN (SELECT user_id FROM delete_users) THEN NULL ELSE user_id END
+             AS user_id,
+           order_date, order_status, totalPrice, staff_id
+    FROM orders_v""")
+def delete_users(t, ctx):
+    return W.delete_users(t, RQ.delete_users(ctx))["orders"]
+
+
+@query("delete_users_complaints", """
+    SELECT * FROM complaint
+    WHERE user_id IS NULL OR user_id NOT IN (SELECT user_id FROM delete_users)""")
+def delete_users_complaints(t, ctx):
+    return W.delete_users(t, RQ.delete_users(ctx))["complaint"]
+
+
+# ------------------------------------------------------------------ W3, W4, W11
+
+register("parsed_products", r"""
+    SELECT request_id, item_id, trim(name) AS itemName,
+           COALESCE(TRY_CAST(trim(price_text) AS DOUBLE), 0) AS basePrice,
+           CAST(COALESCE(CASE WHEN regexp_matches(trim(stock_text), '^[+-]?\d+$')
+                              THEN TRY_CAST(trim(stock_text) AS INTEGER) ELSE 0 END, 0) AS INTEGER)
+             AS stock,
+           trim(COALESCE(short_desc, '')) AS short_desc, trim(COALESCE(full_desc, '')) AS full_desc,
+           image
+    FROM product_changes
+    WHERE COALESCE(octet_length(image) <= 5242880, true)""")
+register("product_updates",
+         "SELECT * FROM parsed_products WHERE item_id IN (SELECT item_id FROM items)")
+register("product_inserts", """
+    SELECT p.*, (SELECT COALESCE(max(item_id), 0) FROM items)
+                  + row_number() OVER (ORDER BY request_id) AS new_item_id
+    FROM parsed_products p WHERE item_id IS NULL""")
+
+
+@query("upsert_products", """
+    SELECT i.item_id,
+           CASE WHEN u.item_id IS NOT NULL THEN u.itemName ELSE i.itemName END AS itemName,
+           CASE WHEN u.item_id IS NOT NULL THEN u.basePrice ELSE i.basePrice END AS basePrice,
+           CASE WHEN u.item_id IS NOT NULL THEN u.short_desc ELSE i.short_desc END AS short_desc,
+           CASE WHEN u.item_id IS NOT NULL THEN u.full_desc ELSE i.full_desc END AS full_desc,
+           CASE WHEN COALESCE(u.image, i.image) IS NOT NULL THEN 1 ELSE 0 END AS has_image,
+           octet_length(COALESCE(u.image, i.image)) AS image_bytes
+    FROM items i LEFT JOIN product_updates u ON i.item_id = u.item_id
+    UNION ALL
+    SELECT new_item_id, itemName, basePrice, short_desc, full_desc,
+           CASE WHEN image IS NOT NULL THEN 1 ELSE 0 END, octet_length(image)
+    FROM product_inserts""")
+def upsert_products(t, ctx):
+    items = W.upsert_products(t, RQ.product_changes(ctx))["items"]
+    return items.select("item_id", "itemName", "basePrice", "short_desc", "full_desc",
+                        F.when(F.col("image").isNotNull(), 1).otherwise(0).alias("has_image"),
+                        F.length("image").alias("image_bytes"))
+
+
+@query("upsert_products_variants", """
+    SELECT q.itemQuant_id, q.item_id,
+           CASE WHEN u.item_id IS NOT NULL THEN 'default' ELSE q.color END AS color,
+           CASE WHEN u.item_id IS NOT NULL THEN u.stock ELSE q.stock END AS stock,
+           CASE WHEN u.item_id IS NOT NULL
+                THEN concat_ws(' - ', NULLIF(u.short_desc, ''), NULLIF(u.full_desc, ''))
+                ELSE q.description END AS description
+    FROM items_quant q
+    LEFT JOIN first_variant_v f ON q.itemQuant_id = f.itemQuant_id
+    LEFT JOIN product_updates u ON u.item_id = f.item_id
+    UNION ALL
+    SELECT (SELECT max(itemQuant_id) FROM items_quant) + row_number() OVER (ORDER BY request_id),
+           item_id, 'default', stock,
+           concat_ws(' - ', NULLIF(short_desc, ''), NULLIF(full_desc, ''))
+    FROM (SELECT request_id, item_id, stock, short_desc, full_desc FROM product_updates
+          WHERE item_id NOT IN (SELECT item_id FROM items_quant)
+          UNION ALL
+          SELECT request_id, new_item_id, stock, short_desc, full_desc FROM product_inserts) n""")
+def upsert_products_variants(t, ctx):
+    return W.upsert_products(t, RQ.product_changes(ctx))["items_quant"]
+
+
+@query("delete_products", """
+    SELECT * FROM order_items WHERE itemQuant_id NOT IN (
+      SELECT itemQuant_id FROM items_quant WHERE item_id IN (SELECT item_id FROM delete_items))""")
+def delete_products(t, ctx):
+    return W.delete_products(t, RQ.delete_items(ctx))["order_items"]
+
+
+@query("delete_products_bridge", """
+    SELECT * FROM sub_category WHERE item_id NOT IN (SELECT item_id FROM delete_items)""")
+def delete_products_bridge(t, ctx):
+    return W.delete_products(t, RQ.delete_items(ctx))["sub_category"]
+
+
+register("category_next", """
+    SELECT cat_id, categoryName FROM category
+    UNION ALL
+    SELECT (SELECT COALESCE(max(cat_id), 0) FROM category) + row_number() OVER (ORDER BY first_req),
+           categoryName
+    FROM (SELECT trim(category_name) AS categoryName, min(request_id) AS first_req
+          FROM category_assignments
+          WHERE trim(category_name) NOT IN (SELECT categoryName FROM category)
+          GROUP BY 1) n""")
+register("assign_resolved", """
+    SELECT a.request_id, a.item_id, c.cat_id,
+           COALESCE(NULLIF(trim(a.subcategory_name), ''), trim(a.category_name)) AS label
+    FROM category_assignments a JOIN category_next c ON trim(a.category_name) = c.categoryName""")
+
+
+@query("assign_categories", "SELECT cat_id, categoryName FROM category_next")
+def assign_categories(t, ctx):
+    return W.assign_categories(t, RQ.category_assignments(ctx))["category"]
+
+
+@query("assign_categories_bridge", """
+    SELECT s.subcat_id, s.cat_id, s.item_id, COALESCE(a.label, s.subCatName) AS subCatName
+    FROM sub_category s LEFT JOIN assign_resolved a ON s.cat_id = a.cat_id AND s.item_id = a.item_id
+    UNION ALL
+    SELECT (SELECT max(subcat_id) FROM sub_category) + row_number() OVER (ORDER BY a.request_id),
+           a.cat_id, a.item_id, a.label
+    FROM assign_resolved a
+    WHERE NOT EXISTS (SELECT 1 FROM sub_category s WHERE s.cat_id = a.cat_id
+                                                     AND s.item_id = a.item_id)""")
+def assign_categories_bridge(t, ctx):
+    return W.assign_categories(t, RQ.category_assignments(ctx))["sub_category"]
+
+
+# ------------------------------------------------------------------ W6-W8
+
+register("restock", """
+    SELECT oi.itemQuant_id, sum(oi.quantity) AS back
+    FROM order_items oi JOIN status_changes s ON oi.order_id = s.order_id
+    JOIN orders_v o ON o.order_id = s.order_id
+    WHERE s.new_status = 'Cancelled' AND o.order_status IS DISTINCT FROM 'Cancelled'
+    GROUP BY oi.itemQuant_id""")
+
+
+@query("apply_order_status", """
+    SELECT q.itemQuant_id, q.item_id, q.color, CAST(q.stock + COALESCE(r.back, 0) AS INTEGER) AS stock,
+           q.description
+    FROM items_quant q LEFT JOIN restock r ON q.itemQuant_id = r.itemQuant_id""")
+def apply_order_status(t, ctx):
+    return S.apply_order_status(t, RQ.status_changes(ctx))["items_quant"]
+
+
+@query("apply_order_status_orders", """
+    SELECT o.order_id, o.user_id, o.order_date, COALESCE(s.new_status, o.order_status) AS order_status,
+           o.totalPrice, COALESCE(s.staff_id, o.staff_id) AS staff_id
+    FROM orders_v o LEFT JOIN status_changes s ON o.order_id = s.order_id""")
+def apply_order_status_orders(t, ctx):
+    return S.apply_order_status(t, RQ.status_changes(ctx))["orders"]
+
+
+register("order_discounts_ok", """
+    SELECT DISTINCT request_id,
+           CASE WHEN request_id % 3 = 0 THEN ' discount10 ' ELSE NULL END AS coupon_code
+    FROM order_requests_ok""")
+register("new_orders_ok", f"""
+    SELECT r.request_id,
+           (SELECT max(order_id) FROM orders_v) + row_number() OVER (ORDER BY r.request_id) AS order_id,
+           r.user_id, TIMESTAMP '{NOW}' AS order_date, 'Processing' AS order_status,
+           r.subtotal - COALESCE(CASE WHEN upper(trim(d.coupon_code)) = 'DISCOUNT10' THEN 10.0
+                                      ELSE 0.0 END, 0.0) AS totalPrice,
+           CAST(0 AS BIGINT) AS staff_id
+    FROM (SELECT q.request_id, q.user_id,
+                 CAST(sum(CAST(i.basePrice AS DECIMAL(12,2)) * q.quantity) AS DOUBLE) AS subtotal
+          FROM order_requests_ok q JOIN items i ON q.item_id = i.item_id
+          GROUP BY q.request_id, q.user_id) r
+    LEFT JOIN order_discounts_ok d ON r.request_id = d.request_id""")
+
+
+def _ok_discounts(ctx):
+    return (RQ.order_requests_ok(ctx).select("request_id").distinct()
+            .select("request_id", F.when(F.col("request_id") % 3 == 0, F.lit(" discount10 "))
+                    .otherwise(F.lit(None).cast("string")).alias("coupon_code")))
+
+
+def _place_ok(t, ctx):
+    return S.place_orders(t, RQ.order_requests_ok(ctx), _ok_discounts(ctx), order_date=NOW)
+
+
+@query("place_orders", """
+    SELECT order_id, user_id, order_date, order_status, totalPrice, staff_id FROM new_orders_ok""")
+def place_orders(t, ctx):
+    return _place_ok(t, ctx)["new_orders"]
+
+
+@query("place_orders_lines", """
+    SELECT (SELECT max(orderItem_id) FROM order_items)
+             + row_number() OVER (ORDER BY o.order_id, q.item_id) AS orderItem_id,
+           o.order_id, f.itemQuant_id, q.quantity, i.basePrice * q.quantity AS price
+    FROM order_requests_ok q JOIN items i ON q.item_id = i.item_id
+    JOIN new_orders_ok o ON q.request_id = o.request_id
+    JOIN first_variant_v f ON q.item_id = f.item_id""")
+def place_orders_lines(t, ctx):
+    return _place_ok(t, ctx)["new_order_items"]
+
+
+@query("place_orders_stock", """
+    SELECT q.itemQuant_id, q.item_id, q.color, CAST(q.stock - COALESCE(s.sold, 0) AS INTEGER) AS stock,
+           q.description, (q.stock - COALESCE(s.sold, 0)) < 0 AS negative_stock
+    FROM items_quant q LEFT JOIN (
+      SELECT f.itemQuant_id, sum(r.quantity) AS sold
+      FROM order_requests_ok r JOIN items i ON r.item_id = i.item_id
+      JOIN first_variant_v f ON r.item_id = f.item_id GROUP BY f.itemQuant_id) s
+    ON q.itemQuant_id = s.itemQuant_id""")
+def place_orders_stock(t, ctx):
+    return _place_ok(t, ctx)["items_quant"]
+
+
+@query("check_stock", """
+    SELECT r.request_id, COALESCE(a.admitted, false) AS admitted
+    FROM (SELECT DISTINCT request_id FROM order_requests) r
+    LEFT JOIN (
+      SELECT request_id, NOT bool_or(over_stock) AS admitted FROM (
+        SELECT q.request_id,
+               sum(q.quantity) OVER (PARTITION BY q.item_id ORDER BY q.request_id
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                 > COALESCE(s.total, 0) AS over_stock
+        FROM order_requests q JOIN items i ON q.item_id = i.item_id
+        LEFT JOIN (SELECT item_id, sum(stock) AS total FROM items_quant GROUP BY item_id) s
+          ON q.item_id = s.item_id) x
+      GROUP BY request_id) a ON r.request_id = a.request_id""")
+def check_stock(t, ctx):
+    return S.check_stock(t, RQ.order_requests(ctx), method="one_pass")
+
+
+@query("place_orders_exact")
+def place_orders_exact(t, ctx):
+    """Exact sequential admission on a batch with stock conflicts (rows-only;
+    checked against a sequential replay in tests)."""
+    return S.check_stock(t, RQ.order_requests(ctx), method="exact")
+
+
+# ------------------------------------------------------------------ W9, W10
+
+@query("file_complaints", """
+    SELECT * FROM complaint
+    UNION ALL
+    SELECT (SELECT max(complaint_id) FROM complaint) + row_number() OVER (ORDER BY request_id),
+           user_id, concat('[Star Rating: ', COALESCE(rating, '5'), '/5] ', trim(description)),
+           'Pending', ts
+    FROM complaint_requests WHERE trim(description) <> ''""")
+def file_complaints(t, ctx):
+    return W.file_complaints(t, RQ.complaint_requests(ctx))["complaint"]
+
+
+@query("set_complaint_status", """
+    SELECT c.complaint_id, c.user_id, c.message, COALESCE(x.new_status, c.status) AS status,
+           c.created_at
+    FROM complaint c LEFT JOIN complaint_changes x ON c.complaint_id = x.complaint_id""")
+def set_complaint_status(t, ctx):
+    return W.set_complaint_status(t, RQ.complaint_changes(ctx))["complaint"]
+
+
+# ------------------------------------------------------------------ W12, W13
+
+register("address_ok", """
+    SELECT *, (SELECT max(addr_id) FROM address) + row_number() OVER (ORDER BY request_id) AS addr_id,
+           (SELECT max(id) FROM user_address) + row_number() OVER (ORDER BY request_id) AS link_id
+    FROM address_requests
+    WHERE trim(COALESCE(province, '')) <> '' AND trim(COALESCE(city, '')) <> ''
+      AND trim(COALESCE(area, '')) <> '' AND trim(COALESCE(houseNumber, '')) <> ''""")
+
+
+@query("add_addresses", """
+    SELECT * FROM address
+    UNION ALL
+    SELECT addr_id, trim(province), trim(city), trim(area), trim(houseNumber) FROM address_ok""")
+def add_addresses(t, ctx):
+    return W.add_addresses(t, RQ.address_requests(ctx))["address"]
+
+
+@query("add_addresses_links", """
+    SELECT * FROM user_address UNION ALL SELECT link_id, user_id, addr_id FROM address_ok""")
+def add_addresses_links(t, ctx):
+    return W.add_addresses(t, RQ.address_requests(ctx))["user_address"]
+
+
+@query("drop_addresses", """
+    SELECT * FROM user_address WHERE addr_id NOT IN (SELECT addr_id FROM address_drops)""")
+def drop_addresses(t, ctx):
+    return W.drop_addresses(t, RQ.address_drops(ctx))["user_address"]
+
+
+# ------------------------------------------------------------------ wishlist
+
+register("wish_pairs", """
+    SELECT w.event_id, w.user_id, w.item_id, f.itemQuant_id
+    FROM wishlist_events w JOIN first_variant_v f ON w.item_id = f.item_id""")
+
+
+@query("in_wishlist", """
+    SELECT p.user_id, p.itemQuant_id,
+           EXISTS (SELECT 1 FROM wishlist w WHERE w.user_id = p.user_id
+                                              AND w.itemQuant_id = p.itemQuant_id) AS in_wishlist
+    FROM (SELECT user_id, item_id * 4 + event_id % 3 AS itemQuant_id FROM wishlist_events) p""")
+def in_wishlist(t, ctx):
+    pairs = RQ.wishlist_events(ctx).select(
+        "user_id", (F.col("item_id") * 4 + F.col("event_id") % 3).alias("itemQuant_id"))
+    return WL.in_wishlist(t, pairs)
+
+
+@query("wishlist_items", """
+    SELECT w.user_id, w.wishlist_id, w.itemQuant_id, i.item_id, i.itemName, i.basePrice
+    FROM (SELECT user_id, itemQuant_id, max(wishlist_id) AS wishlist_id FROM wishlist
+          GROUP BY user_id, itemQuant_id) w
+    JOIN items_quant q ON w.itemQuant_id = q.itemQuant_id JOIN items i ON q.item_id = i.item_id
+    ORDER BY w.user_id, w.wishlist_id DESC""")
+def wishlist_items(t, ctx):
+    return WL.wishlist_items(t)
+
+
+@query("flag_wishlisted", """
+    SELECT u.user_id, f.item_id,
+           EXISTS (SELECT 1 FROM wishlist w JOIN items_quant q ON w.itemQuant_id = q.itemQuant_id
+                   WHERE w.user_id = u.user_id AND q.item_id = f.item_id) AS in_wishlist
+    FROM (SELECT DISTINCT user_id FROM wishlist_events) u,
+         (SELECT item_id FROM items ORDER BY item_id LIMIT 6) f""")
+def flag_wishlisted(t, ctx):
+    return WL.flag_wishlisted(t, featured_items(t), RQ.wishlist_events(ctx))
+
+
+@query("add_wishlist", """
+    SELECT * FROM wishlist
+    UNION ALL
+    SELECT (SELECT max(wishlist_id) FROM wishlist) + row_number() OVER (ORDER BY event_id),
+           user_id, itemQuant_id
+    FROM (SELECT user_id, itemQuant_id, min(event_id) AS event_id FROM wish_pairs
+          GROUP BY user_id, itemQuant_id) p
+    WHERE NOT EXISTS (SELECT 1 FROM wishlist w WHERE w.user_id = p.user_id
+                                               AND w.itemQuant_id = p.itemQuant_id)""")
+def add_wishlist(t, ctx):
+    return WL.add_wishlist(t, RQ.wishlist_events(ctx))["wishlist"]
+
+
+@query("toggle_wishlist", """
+    SELECT w.wishlist_id, w.user_id, w.itemQuant_id FROM wishlist w
+    WHERE NOT EXISTS (SELECT 1 FROM wish_pairs p WHERE p.user_id = w.user_id
+                        AND p.itemQuant_id = w.itemQuant_id
+                      GROUP BY p.user_id, p.itemQuant_id HAVING count(*) % 2 = 1)
+    UNION ALL
+    SELECT (SELECT max(wishlist_id) FROM wishlist) + row_number() OVER (ORDER BY last_event),
+           user_id, itemQuant_id
+    FROM (SELECT user_id, itemQuant_id, max(event_id) AS last_event FROM wish_pairs
+          GROUP BY user_id, itemQuant_id HAVING count(*) % 2 = 1) t
+    WHERE NOT EXISTS (SELECT 1 FROM wishlist w WHERE w.user_id = t.user_id
+                                               AND w.itemQuant_id = t.itemQuant_id)""")
+def toggle_wishlist(t, ctx):
+    return WL.toggle_wishlist(t, RQ.wishlist_events(ctx))["wishlist"]
+
+
+@query("clear_wishlist", """
+    SELECT c.user_id, CAST(count(w.wishlist_id) AS BIGINT) AS deleted_items
+    FROM wishlist_clears c LEFT JOIN wishlist w ON c.user_id = w.user_id GROUP BY c.user_id""")
+def clear_wishlist(t, ctx):
+    return WL.clear_wishlist(t, RQ.wishlist_clears(ctx))["deleted"]
+
+
+# ------------------------------------------------------------------ cart
+
+register("cart_state", """
+    SELECT user_id, item_id, state AS quantity FROM (
+      WITH RECURSIVE ev AS (
+        SELECT o.user_id, o.item_id, o.op, o.quantity, COALESCE(s.total, 0) AS stock,
+               row_number() OVER (PARTITION BY o.user_id, o.item_id ORDER BY o.event_id) AS rn
+        FROM cart_ops o
+        LEFT JOIN (SELECT item_id, sum(stock) AS total FROM items_quant GROUP BY item_id) s
+          ON o.item_id = s.item_id
+        WHERE o.item_id IS NOT NULL AND o.user_id IS NOT NULL),
+      fold AS (
+        SELECT user_id, item_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS state
+        FROM ev GROUP BY user_id, item_id
+        UNION ALL
+        SELECT e.user_id, e.item_id, e.rn,
+               CASE WHEN e.op = 'add' THEN
+                      CASE WHEN f.state + greatest(COALESCE(e.quantity, 1), 1) > e.stock THEN f.state
+                           ELSE f.state + greatest(COALESCE(e.quantity, 1), 1) END
+                    WHEN e.op = 'set' THEN greatest(least(e.quantity, e.stock), 0)
+                    ELSE 0 END
+        FROM fold f JOIN ev e ON e.user_id = f.user_id AND e.item_id = f.item_id AND e.rn = f.rn + 1)
+      SELECT user_id, item_id, arg_max(state, rn) AS state FROM fold GROUP BY user_id, item_id
+    ) x WHERE state > 0""")
+
+
+@query("fold_cart", "SELECT user_id, item_id, CAST(quantity AS INTEGER) AS quantity FROM cart_state")
+def fold_cart(t, ctx):
+    return K.fold_cart(t, RQ.cart_ops(ctx))
+
+
+@query("price_cart", """
+    SELECT c.user_id, count(*) AS n_lines, CAST(sum(c.quantity) AS BIGINT) AS n_units,
+           CAST(sum(CAST(COALESCE(i.basePrice, 0) * c.quantity AS DECIMAL(20,2))) AS DOUBLE) AS subtotal,
+           COALESCE(max(d.discount), 0) AS discount,
+           CAST(sum(CAST(COALESCE(i.basePrice, 0) * c.quantity AS DECIMAL(20,2))) AS DOUBLE) AS grand_total,
+           CAST(sum(CAST(COALESCE(i.basePrice, 0) * c.quantity AS DECIMAL(20,2))) AS DOUBLE)
+             - COALESCE(max(d.discount), 0) AS checkout_total
+    FROM cart_state c JOIN items i ON c.item_id = i.item_id
+    LEFT JOIN (SELECT user_id, CASE WHEN upper(trim(coupon_code)) = 'DISCOUNT10' THEN 10.0 ELSE 0.0 END
+                 AS discount FROM cart_coupons) d ON c.user_id = d.user_id
+    GROUP BY c.user_id""")
+def price_cart(t, ctx):
+    return K.price_cart(t, K.fold_cart(t, RQ.cart_ops(ctx)), RQ.cart_coupons(ctx))

@@ -306,3 +306,39 @@ def wishlist_clears(ctx) -> DataFrame:
 
 
 register("wishlist_clears", "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 10 = 3")
+
+
+# ---------------------------------------------------------------- cart ops
+
+def cart_ops(ctx) -> DataFrame:
+    """Cart page posts derived from the click events: mostly 'add' (quantity
+    0-3, raised to 1), some 'set' (-1..3; <= 0 removes), some 'remove'."""
+    e = cart_events(ctx)
+    k = F.col("event_id")
+    op = F.when(k % 10 < 7, "add").when(k % 10 < 9, "set").otherwise("remove")
+    qty = (F.when(k % 10 < 7, k % 4).when(k % 10 < 9, k % 5 - 1)
+            .otherwise(F.lit(None))).cast("int")
+    return e.select("event_id", "ts", "user_id", "item_id", op.alias("op"), qty.alias("quantity"))
+
+
+register("cart_ops", """
+    SELECT event_id, ts, user_id, item_id,
+           CASE WHEN event_id % 10 < 7 THEN 'add' WHEN event_id % 10 < 9 THEN 'set' ELSE 'remove' END
+             AS op,
+           CAST(CASE WHEN event_id % 10 < 7 THEN event_id % 4 WHEN event_id % 10 < 9
+                     THEN event_id % 5 - 1 END AS INTEGER) AS quantity
+    FROM cart_events""")
+
+
+def cart_coupons(ctx) -> DataFrame:
+    """Coupon codes typed on the cart page (one per user, some invalid)."""
+    c = ctx.raw["customer"].where(F.col("c_custkey") % 4 == 1)
+    k = F.col("c_custkey")
+    code = F.when(k % 8 == 1, F.lit(" discount10")).otherwise(F.lit("SAVE5"))
+    return c.select(k.alias("user_id"), code.alias("coupon_code"))
+
+
+register("cart_coupons", """
+    SELECT c_custkey AS user_id, CASE WHEN c_custkey % 8 = 1 THEN ' discount10' ELSE 'SAVE5' END
+           AS coupon_code
+    FROM customer WHERE c_custkey % 4 = 1""")
