@@ -59,5 +59,6 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, Registered]:
     # importing the plan modules fills REGISTRY
     from storelake.plans import (catalog_plans, customer_plans, order_plans,  # noqa: F401
-                                 quality_plans, report_plans, change_plans, stream_plans)
+                                 quality_plans, report_plans, change_plans, source_plans,
+                                 stream_plans)
     return REGISTRY

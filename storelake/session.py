@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -59,10 +60,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    path = os.path.join(base, name)
-    if "://" not in base:
-        os.makedirs(base, exist_ok=True)
-        path = tempfile.mkdtemp(prefix=name + "-", dir=base)
-    return path
+    """A fresh, not yet existing path under the shared checkpoint folder for a
+    written table (writers create it)."""
+    base = checkpoint_dir(spark).rstrip("/")
+    local = base.startswith("file:") or "://" not in base
+    if local:
+        root = base[len("file:"):] if base.startswith("file:") else base
+        os.makedirs(root, exist_ok=True)
+        return os.path.join(tempfile.mkdtemp(prefix=name + "-", dir=root), "data")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
