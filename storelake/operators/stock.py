@@ -72,14 +72,18 @@ def check_stock(t: Tables, requests: DataFrame, method: str = "one_pass") -> Dat
 
 
 def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = None,
-                 order_date: str | None = None, method: str = "exact") -> dict[str, DataFrame]:
+                 order_date: str | None = None, method: str = "exact",
+                 order_id_base=None, line_id_base=None) -> dict[str, DataFrame]:
     """Admit the checkout batch, then insert orders and lines and take the
     sold quantity off each item's first variant.
 
     ``requests``: (request_id, user_id, item_id, quantity), one cart per
     request_id.  ``discounts``: optional (request_id, coupon_code); a code
     equal to DISCOUNT10 after trim/upper takes 10 off the total (no floor).
-    Returns new ``orders``, ``order_items``, ``items_quant`` and ``rejects``.
+    Returns new ``orders``, ``order_items``, ``items_quant`` and ``rejects``
+    (plus ``new_orders`` / ``new_order_items``, the inserted rows alone).
+    New ids continue after ``order_id_base`` / ``line_id_base`` when given
+    (a stream carries them from batch to batch), else after the tables' max.
     """
     lines = priced_lines(t, requests)
     admitted = admit_orders(t, lines, method)
@@ -96,7 +100,11 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
         per_order = per_order.withColumn("discount", F.lit(None).cast("double"))
     when = (F.current_timestamp().cast("timestamp_ntz") if order_date is None
             else F.lit(order_date).cast("timestamp_ntz"))
-    new_orders = new_ids(per_order, "request_id", max_id(t.orders, "order_id"), "order_id")
+    if order_id_base is None:
+        order_id_base = max_id(t.orders, "order_id")
+    if line_id_base is None:
+        line_id_base = max_id(t.order_items, "orderItem_id")
+    new_orders = new_ids(per_order, "request_id", order_id_base, "order_id")
     orders_out = new_orders.select(
         "order_id", "user_id", when.alias("order_date"), F.lit("Processing").alias("order_status"),
         (F.col("subtotal") - F.coalesce("discount", F.lit(0.0))).alias("totalPrice"),
@@ -106,8 +114,7 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
     new_lines = (ok_lines.join(new_orders.select("request_id", "order_id"), "request_id")
                  .join(variants, "item_id"))
     # line ids continue the table's sequence, in (order, item) order
-    lines_out = new_ids_nested(new_lines, "order_id", "item_id",
-                               max_id(t.order_items, "orderItem_id"), "orderItem_id")
+    lines_out = new_ids_nested(new_lines, "order_id", "item_id", line_id_base, "orderItem_id")
     lines_out = lines_out.select("orderItem_id", "order_id", "itemQuant_id",
                                  F.col("quantity").cast("int").alias("quantity"),
                                  F.col("line_total").alias("price"))
