@@ -36,6 +36,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_driver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+class DriverTables(dict):
+    """Driver tables by name, each read (with its fixed schema) on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in DRIVER_SCHEMAS:
+            raise KeyError(name)
+        df = read_table(self.spark, self.sf_dir, name)
+        self[name] = df
+        return df
+
+
+def read_driver(spark: SparkSession, sf_dir: str) -> DriverTables:
     """Lazy DataFrames for every driver table the shop model is derived from."""
-    return {name: read_table(spark, sf_dir, name) for name in DRIVER_SCHEMAS}
+    return DriverTables(spark, sf_dir)

@@ -8,36 +8,41 @@ nothing, and Catalyst prunes every column and window a query does not use.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storelake.schema import SCHEMAS
+from storelake.schema import SCHEMAS, TABLE_NAMES
 from storelake.sources.driver import read_driver
 
 
-@dataclass(frozen=True)
 class Tables:
-    users: DataFrame
-    category: DataFrame
-    items: DataFrame
-    sub_category: DataFrame
-    items_quant: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    cart: DataFrame
-    wishlist: DataFrame
-    complaint: DataFrame
-    address: DataFrame
-    user_address: DataFrame
-
-    def with_(self, **changed: DataFrame) -> "Tables":
+    """The twelve shop tables.  Values may be DataFrames or zero-argument
+    builders; a builder runs on first access, so a query only analyses the
+    tables it touches."""
+
+    def __init__(self, **tables):
+        unknown = set(tables) - set(TABLE_NAMES)
+        if unknown or len(tables) != len(TABLE_NAMES):
+            raise ValueError(f"need exactly the tables {TABLE_NAMES}, got {sorted(tables)}")
+        self._src = dict(tables)
+        self._cache: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._src:
+            raise AttributeError(name)
+        if name not in self._cache:
+            value = self._src[name]
+            self._cache[name] = value if isinstance(value, DataFrame) else value()
+        return self._cache[name]
+
+    def with_(self, **changed) -> "Tables":
         """A new snapshot with some tables replaced."""
-        return replace(self, **changed)
+        merged = {n: (self._cache[n] if n in self._cache else self._src[n]) for n in TABLE_NAMES}
+        merged.update(changed)
+        return Tables(**merged)
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in TABLE_NAMES}
 
     def register_views(self) -> None:
         """Expose every table to ``spark.sql`` under its model name."""
@@ -51,7 +56,7 @@ class Tables:
 
     @staticmethod
     def read_snapshot(spark: SparkSession, path: str) -> "Tables":
-        return Tables(**{name: spark.read.schema(st).parquet(f"{path}/{name}")
+        return Tables(**{name: (lambda n=name, st=st: spark.read.schema(st).parquet(f"{path}/{n}"))
                          for name, st in SCHEMAS.items()})
 
 
@@ -227,22 +232,30 @@ def wishlist_events_view(events: DataFrame) -> DataFrame:
     return e.select("event_id", "ts", "user_id", json_key(F.col("props")).alias("item_id"))
 
 
-def model_from_driver(t: dict[str, DataFrame]) -> Tables:
-    category = category_view(t["part"])
-    return Tables(
-        users=users_view(t["customer"]),
+def model_from_driver(t) -> Tables:
+    """The shop model over the driver tables (``t`` maps driver table names to
+    DataFrames, or is a lazy mapping); every view is built on first use."""
+    category = lambda: category_view(t["part"])
+    model: Tables | None = None
+
+    def cat():
+        return model.category
+
+    model = Tables(
+        users=lambda: users_view(t["customer"]),
         category=category,
-        items=items_view(t["part"]),
-        sub_category=sub_category_view(t["part"], category),
-        items_quant=items_quant_view(t["part"]),
-        orders=orders_view(t["orders"]),
-        order_items=order_items_view(t["lineitem"]),
-        cart=cart_view(t["events"]),
-        wishlist=wishlist_view(t["events"]),
-        complaint=complaint_view(t["events"]),
-        address=address_view(t["nation"], t["region"]),
-        user_address=user_address_view(t["customer"]),
+        items=lambda: items_view(t["part"]),
+        sub_category=lambda: sub_category_view(t["part"], cat()),
+        items_quant=lambda: items_quant_view(t["part"]),
+        orders=lambda: orders_view(t["orders"]),
+        order_items=lambda: order_items_view(t["lineitem"]),
+        cart=lambda: cart_view(t["events"]),
+        wishlist=lambda: wishlist_view(t["events"]),
+        complaint=lambda: complaint_view(t["events"]),
+        address=lambda: address_view(t["nation"], t["region"]),
+        user_address=lambda: user_address_view(t["customer"]),
     )
+    return model
 
 
 def load_model(spark: SparkSession, sf_dir: str) -> Tables:
