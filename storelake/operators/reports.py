@@ -23,12 +23,16 @@ from storelake.functions.dates import period_label
 from storelake.functions.money import cents, line_revenue_partial, money_sum
 from storelake.sources.model import Tables
 
-NOT_CANCELLED = F.col("order_status") != "Cancelled"
+
+
+def not_cancelled() -> Column:
+    """``order_status <> 'Cancelled'`` (NULL status is dropped, K5)."""
+    return F.col("order_status") != "Cancelled"
 
 
 def live_lines(t: Tables) -> DataFrame:
     """Order lines of orders whose status is known and not 'Cancelled'."""
-    live = t.orders.where(NOT_CANCELLED).select("order_id")
+    live = t.orders.where(not_cancelled()).select("order_id")
     return t.order_items.join(live, "order_id", "left_semi")
 
 
@@ -78,7 +82,7 @@ def revenue_by_period(t: Tables, period: str = "daily", limit: int = 30) -> Data
     """Order count and revenue per day / Monday-week / month, newest
     ``limit`` non-empty periods (K3, K4)."""
     label = period_label(F.col("order_date"), period)
-    agg = (t.orders.where(NOT_CANCELLED)
+    agg = (t.orders.where(not_cancelled())
            .groupBy(label.alias("period_label"))
            .agg(F.count(F.lit(1)).alias("order_count"),
                 F.coalesce(money_sum(F.col("totalPrice")), F.lit(0.0)).alias("total_revenue")))
@@ -138,7 +142,7 @@ def sales_on_day(t: Tables, as_of: str | Column | None = None) -> DataFrame:
     """
     day = F.current_date() if as_of is None else (
         F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of)
-    todays = t.orders.where((F.to_date("order_date") == day) & NOT_CANCELLED)
+    todays = t.orders.where((F.to_date("order_date") == day) & not_cancelled())
     return todays.agg(F.coalesce(money_sum(F.col("totalPrice")), F.lit(0.0)).alias("day_sales"))
 
 
@@ -167,7 +171,7 @@ def user_order_stats(t: Tables, user_ids: DataFrame | None = None) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("n"),
                      F.sum(F.when(F.col("order_status") == "Processing", 1).otherwise(0))
                       .alias("pending_orders"),
-                     money_sum(F.when(NOT_CANCELLED, F.col("totalPrice")).otherwise(F.lit(0.0)))
+                     money_sum(F.when(not_cancelled(), F.col("totalPrice")).otherwise(F.lit(0.0)))
                       .alias("rev")))
     keys = (t.users.select("user_id") if user_ids is None
             else user_ids.select("user_id").distinct())
