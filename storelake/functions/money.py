@@ -12,23 +12,34 @@ def cents(col: Column) -> Column:
     return col.cast(CENTS)
 
 
+def cents_long(col: Column) -> Column:
+    """Amount rounded to cents (half up) as a whole number of cents."""
+    return (cents(col) * F.lit(100)).cast("bigint")
+
+
+def from_cents(total_cents: Column) -> Column:
+    """Whole cents back to currency as DOUBLE (the double nearest the exact sum)."""
+    return total_cents / F.lit(100.0)
+
+
 def money_sum(col: Column) -> Column:
     """Sum of a money column in exact cents, returned as DOUBLE.
 
-    Summing decimals makes the result independent of the order rows are
-    added in, so every partitioning of the data gives the same figure.
+    Sums are kept as BIGINT cents: exact, independent of the order rows are
+    added in (every partitioning gives the same figure), and on the fast
+    codegen path -- wide decimal sums would fall back to BigDecimal buffers.
     """
-    return F.sum(cents(col)).cast("double")
+    return from_cents(F.sum(cents_long(col)))
 
 
 def line_revenue_sum(price: Column, quantity: Column) -> Column:
     """SUM(price * quantity) in exact cents (see K1 on what price means)."""
-    return F.sum(cents(price) * quantity).cast("double")
+    return from_cents(F.sum(cents_long(price) * quantity))
 
 
 def line_revenue_partial(price: Column, quantity: Column) -> Column:
-    """Partial revenue kept as decimal so a later re-aggregation stays exact."""
-    return F.sum(cents(price) * quantity)
+    """Partial revenue in whole cents so a later re-aggregation stays exact."""
+    return F.sum(cents_long(price) * quantity)
 
 
 def format_price(value: Column) -> Column:

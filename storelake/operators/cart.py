@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelake.functions.money import cents_long, from_cents
 from storelake.operators.reports import variant_stock_per_item
 from storelake.operators.sequence import greedy_admission
 from storelake.operators.stock import DISCOUNT_AMOUNT, DISCOUNT_CODE
@@ -81,7 +82,7 @@ def price_cart(t: Tables, cart: DataFrame, coupons: DataFrame | None = None) ->
     per_user = priced.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum("quantity").cast("bigint").alias("n_units"),
-        F.sum(F.col("line_total").cast("decimal(20,2)")).cast("double").alias("subtotal"))
+        from_cents(F.sum(cents_long(F.col("line_total")))).alias("subtotal"))
     if coupons is not None:
         code = F.upper(F.trim("coupon_code"))
         disc = coupons.select("user_id", F.when(code == DISCOUNT_CODE, F.lit(DISCOUNT_AMOUNT))

@@ -2,11 +2,15 @@
 
 ``left_join_dim`` is the shop's "LEFT JOIN a dimension" with one change for
 scale: rows whose join key is NULL (orders of deleted users, complaints of
-deleted users, dangling lines) can never match, yet a sort-merge join would
-hash all of them to the same reducer.  They bypass the join and are unioned
-back with NULL dimension columns, so a NULL key holding a third of the rows
-costs nothing.  Hot non-NULL keys are left to AQE's skew-join splitting (the
-big side is the left, streamed side, which AQE may split).
+deleted users, dangling lines) can never match, yet a sort-merge join hashes
+all of them to the same reducer.  Their key is replaced by one of ``salts``
+negative values spread by a hash of the row, so a NULL key holding a third
+of the rows is split over many tasks; the dimension side is untouched (shop
+ids are positive, so a salted key can never match) and the original NULL is
+restored after the join.  Hot non-NULL keys are left to AQE's skew-join
+splitting (the big side is the streamed left side, which AQE may split).
+When the planner's size check finds the dimension small enough it
+broadcasts it and no shuffle happens at all.
 """
 
 from __future__ import annotations
@@ -14,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+NULL_SALTS = 1024
 
-def left_join_dim(left: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """``left LEFT JOIN dim USING (key)`` with NULL keys routed around the shuffle."""
-    dim_cols = [c for c in dim.columns if c != key]
-    matched = left.where(F.col(key).isNotNull()).join(dim, key, "left")
-    nulls = left.where(F.col(key).isNull()).select(
-        "*", *[F.lit(None).cast(dim.schema[c].dataType).alias(c) for c in dim_cols])
-    return matched.unionByName(nulls)
+
+def left_join_dim(left: DataFrame, dim: DataFrame, key: str, salts: int = NULL_SALTS) -> DataFrame:
+    """``left LEFT JOIN dim USING (key)`` with NULL keys spread over ``salts`` values."""
+    salt = -1 - F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))
+    keyed = left.withColumn("_jk", F.coalesce(F.col(key), salt))
+    joined = keyed.join(dim.withColumnRenamed(key, "_jk"), "_jk", "left")
+    return joined.drop("_jk")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelake.functions.dates import period_label
-from storelake.functions.money import cents, line_revenue_partial, money_sum
+from storelake.functions.money import cents_long, from_cents, line_revenue_partial, money_sum
 from storelake.sources.model import Tables
 
 
@@ -43,7 +43,7 @@ def sales_per_variant(t: Tables, price_is_line_total: bool = False) -> DataFrame
     ``price_is_line_total=True`` sums the stored line totals instead.
     """
     lines = live_lines(t)
-    revenue = (F.sum(cents(F.col("price"))) if price_is_line_total
+    revenue = (F.sum(cents_long(F.col("price"))) if price_is_line_total
                else line_revenue_partial(F.col("price"), F.col("quantity")))
     return lines.groupBy("itemQuant_id").agg(F.sum("quantity").alias("sold"),
                                              revenue.alias("revenue"))
@@ -57,23 +57,24 @@ def sales_summary(t: Tables, limit: int = 10, price_is_line_total: bool = False)
                 .join(t.items.select("item_id", "itemName"), "item_id")
                 .groupBy("item_id", "itemName")
                 .agg(F.sum("sold").cast("bigint").alias("total_sold"),
-                     F.sum("revenue").cast("double").alias("total_revenue")))
+                     from_cents(F.sum("revenue")).alias("total_revenue")))
     return per_item.orderBy(F.desc("total_sold"), F.asc("item_id")).limit(limit)
 
 
 def category_sales(t: Tables, price_is_line_total: bool = False) -> DataFrame:
     """Units and revenue per category.  An item in two categories counts
     in both (K2)."""
-    per_item = (sales_per_variant(t, price_is_line_total)
-                .join(t.items_quant.select("itemQuant_id", "item_id"), "itemQuant_id")
-                .join(t.items.select("item_id"), "item_id", "left_semi")
-                .groupBy("item_id").agg(F.sum("sold").alias("sold"), F.sum("revenue").alias("revenue")))
-    per_cat = (per_item
+    # variant rows are already aggregated (one per variant), so they go
+    # straight through the catalog joins without another per-item shuffle
+    per_variant = (sales_per_variant(t, price_is_line_total)
+                   .join(t.items_quant.select("itemQuant_id", "item_id"), "itemQuant_id")
+                   .join(t.items.select("item_id"), "item_id", "left_semi"))
+    per_cat = (per_variant
                .join(t.sub_category.select("item_id", "cat_id"), "item_id")
                .join(t.category, "cat_id")
                .groupBy("cat_id", "categoryName")
                .agg(F.sum("sold").cast("bigint").alias("total_sold"),
-                    F.sum("revenue").cast("double").alias("total_revenue")))
+                    from_cents(F.sum("revenue")).alias("total_revenue")))
     return per_cat.orderBy(F.desc("total_revenue"), F.asc("cat_id")).select(
         "categoryName", "total_sold", "total_revenue")
 
@@ -107,7 +108,7 @@ def inventory_value(t: Tables) -> DataFrame:
     """A1: SUM(basePrice x stock) over all variants, 0 when there are none."""
     joined = t.items.select("item_id", "basePrice").join(
         t.items_quant.select("item_id", "stock"), "item_id")
-    return joined.agg(F.coalesce(F.sum(cents(F.col("basePrice")) * F.col("stock")).cast("double"),
+    return joined.agg(F.coalesce(from_cents(F.sum(cents_long(F.col("basePrice")) * F.col("stock"))),
                                  F.lit(0.0)).alias("inventory_value"))
 
 

@@ -91,11 +91,17 @@ def greedy_admission(lines: DataFrame, req: str, group: list[str], qty: str, cap
         return current
     checkpoint_dir(lines.sparkSession)
     current = current.checkpoint()
+    # step(all) admitting every request is already the fixed point
+    requests = lines.select(req).distinct()
+    if requests.join(current, req, "left_anti").limit(1).count() == 0:
+        return current
     while True:
         nxt = _admission_step(lines, req, group, qty, cap, current, width).checkpoint()
-        grew = nxt.join(current, req, "left_anti").limit(1).count()
-        shrank = current.join(nxt, req, "left_anti").limit(1).count()
-        if grew == 0 and shrank == 0:
+        # one job: does any request sit in exactly one of the two sets?
+        moved = (nxt.withColumn("_a", F.lit(True))
+                 .join(current.withColumn("_b", F.lit(True)), req, "full_outer")
+                 .where(F.col("_a").isNull() | F.col("_b").isNull()).limit(1).count())
+        if moved == 0:
             return nxt
         current = nxt
 

@@ -7,6 +7,7 @@ on the same parquet files (model views are added as CTEs by ``with_model``).
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -36,15 +37,27 @@ class Registered:
 
 REGISTRY: dict[str, Registered] = {}
 
+# Model plans per (session, folder).  DataFrames are immutable plans, so the
+# views are analysed once per session instead of once per query; the
+# parquet file listing is taken when a table is first used.
+_CONTEXTS: "weakref.WeakKeyDictionary[SparkSession, dict[str, Ctx]]" = weakref.WeakKeyDictionary()
+
+
+def context(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Ctx:
+    per_session = _CONTEXTS.setdefault(spark, {})
+    if refresh or sf_dir not in per_session:
+        raw = read_driver(spark, sf_dir)
+        per_session[sf_dir] = Ctx(spark, sf_dir, raw, model_from_driver(raw))
+    return per_session[sf_dir]
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(t: Tables, ctx: Ctx) -> DataFrame`` under ``name``."""
 
     def deco(fn: Callable[[Tables, Ctx], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            raw = read_driver(spark, sf_dir)
-            t = model_from_driver(raw)
-            return fn(t, Ctx(spark, sf_dir, raw, t))
+            ctx = context(spark, sf_dir)
+            return fn(ctx.t, ctx)
 
         build.__name__ = f"q_{name}"
         build.__doc__ = fn.__doc__

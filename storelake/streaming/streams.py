@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storelake.functions.money import cents
+from storelake.functions.money import cents_long, from_cents
 from storelake.operators.stock import place_orders
 from storelake.schema import SCHEMAS
 from storelake.sources.model import Tables
@@ -148,11 +148,11 @@ def revenue_stream(spark: SparkSession, source_dir: str, schema: T.StructType, o
     live = F.col("order_status") != "Cancelled"
     per_day = orders.groupBy(F.to_date("order_date").alias("day")).agg(
         F.sum(F.when(live, 1).otherwise(0)).cast("bigint").alias("order_count"),
-        F.sum(F.when(live, cents(F.col("totalPrice")))).alias("_rev"),
+        F.sum(F.when(live, cents_long(F.col("totalPrice")))).alias("_rev"),
         F.sum(F.when(F.col("order_status") == "Processing", 1).otherwise(0)).cast("bigint")
          .alias("open_orders"))
     per_day = per_day.select("day", "order_count",
-                             F.coalesce(F.col("_rev").cast("double"), F.lit(0.0)).alias("total_revenue"),
+                             F.coalesce(from_cents(F.col("_rev")), F.lit(0.0)).alias("total_revenue"),
                              "open_orders")
     return _drain_complete(per_day, out_dir, checkpoint)
 
