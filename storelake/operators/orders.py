@@ -14,10 +14,11 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelake.operators.joins import left_join_dim
+from storelake.operators.sequence import running_sum
 from storelake.sources.model import Tables
 
 ORDER_COLS = ["order_id", "user_id", "order_date", "order_status", "totalPrice", "staff_id"]
@@ -138,6 +139,12 @@ def recent_orders(t: Tables, n: int = 5) -> DataFrame:
 
 
 def line_numbers(t: Tables) -> DataFrame:
-    """Running line number per order as printed on the invoice."""
-    w = Window.partitionBy("order_id").orderBy("orderItem_id")
-    return t.order_items.select("order_id", "orderItem_id", F.row_number().over(w).alias("line_no"))
+    """Running line number per order as printed on the invoice.
+
+    A blocked running count (``sequence.running_sum``) instead of one window
+    partition per order: an order with a huge number of lines is numbered by
+    many tasks.
+    """
+    lines = t.order_items.select("order_id", "orderItem_id")
+    numbered = running_sum(lines, ["order_id"], "orderItem_id", F.lit(1), "line_no")
+    return numbered.select("order_id", "orderItem_id", F.col("line_no").cast("int").alias("line_no"))

@@ -100,11 +100,11 @@ register("product_inserts", """
            CASE WHEN u.item_id IS NOT NULL THEN u.short_desc ELSE i.short_desc END AS short_desc,
            CASE WHEN u.item_id IS NOT NULL THEN u.full_desc ELSE i.full_desc END AS full_desc,
            CASE WHEN COALESCE(u.image, i.image) IS NOT NULL THEN 1 ELSE 0 END AS has_image,
-           octet_length(COALESCE(u.image, i.image)) AS image_bytes
+           CAST(octet_length(COALESCE(u.image, i.image)) AS INTEGER) AS image_bytes
     FROM items i LEFT JOIN product_updates u ON i.item_id = u.item_id
     UNION ALL
     SELECT new_item_id, itemName, basePrice, short_desc, full_desc,
-           CASE WHEN image IS NOT NULL THEN 1 ELSE 0 END, octet_length(image)
+           CASE WHEN image IS NOT NULL THEN 1 ELSE 0 END, CAST(octet_length(image) AS INTEGER)
     FROM product_inserts""")
 def upsert_products(t, ctx):
     items = W.upsert_products(t, RQ.product_changes(ctx))["items"]
@@ -452,8 +452,9 @@ def fold_cart(t, ctx):
            CAST(sum(CAST(COALESCE(i.basePrice, 0) * c.quantity AS DECIMAL(20,2))) AS DOUBLE)
              - COALESCE(max(d.discount), 0) AS checkout_total
     FROM cart_state c JOIN items i ON c.item_id = i.item_id
-    LEFT JOIN (SELECT user_id, CASE WHEN upper(trim(coupon_code)) = 'DISCOUNT10' THEN 10.0 ELSE 0.0 END
-                 AS discount FROM cart_coupons) d ON c.user_id = d.user_id
+    LEFT JOIN (SELECT user_id, CAST(CASE WHEN upper(trim(coupon_code)) = 'DISCOUNT10' THEN 10.0
+                                    ELSE 0.0 END AS DOUBLE) AS discount FROM cart_coupons) d
+      ON c.user_id = d.user_id
     GROUP BY c.user_id""")
 def price_cart(t, ctx):
     return K.price_cart(t, K.fold_cart(t, RQ.cart_ops(ctx)), RQ.cart_coupons(ctx))

@@ -50,7 +50,7 @@ def export_sales_csv(t, ctx):
 
 
 @query("load_images", """
-    SELECT item_id, octet_length(image) AS image_bytes, hex(image) AS image_hex FROM (
+    SELECT item_id, CAST(octet_length(image) AS INTEGER) AS image_bytes, hex(image) AS image_hex FROM (
       SELECT p_partkey AS item_id,
              CASE WHEN p_partkey % 3 = 0 THEN from_base64(to_base64(CAST(p_name AS BLOB))) END AS image
       FROM part) x""")
