@@ -10,13 +10,18 @@ Per (user, item) the cart quantity is a sequence of events:
 * ``remove``: removes the line.
 
 Only events after the last set/remove matter, and that reset point is a
-plain aggregate (``max_by``).  The adds after it are the same problem as
-checkout admission with one line per request: each add is accepted iff it
-fits in what earlier *accepted* adds left of ``stock - reset value``.  That
-is solved by ``sequence.greedy_admission`` (blocked running sums, no
-per-group event list), so a (user, item) pair with millions of clicks is
-still spread over many tasks.  Events without a parsable item id are
-dropped, as the shop drops bad cart keys.
+plain aggregate (``max_by``).  Each add after it is accepted iff it fits in
+what earlier *accepted* adds left of ``stock - reset value``.  Two exact
+ways compute that:
+
+* pairs with at most ``fold_limit`` adds (every real cart) fold their adds
+  in one row: ``aggregate`` over the sorted list of (event_id, q);
+* larger pairs -- a bot clicking "add" millions of times -- go to
+  ``sequence.greedy_admission`` (one line per request, blocked running sums),
+  so no such pair is ever gathered into one list or one task.
+
+Events without a parsable item id are dropped, as the shop drops bad cart
+keys.
 """
 
 from __future__ import annotations
@@ -33,7 +38,11 @@ from storelake.sources.model import Tables
 KEY = ["user_id", "item_id"]
 
 
-def fold_cart(t: Tables, ops: DataFrame, method: str = "exact") -> DataFrame:
+FOLD_LIMIT = 1000
+
+
+def fold_cart(t: Tables, ops: DataFrame, method: str = "exact",
+              fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """(user_id, item_id, quantity) of every non-empty cart line."""
     stock = variant_stock_per_item(t).select("item_id", F.col("stock_sum").alias("_stock"))
     ev = (ops.where(F.col("item_id").isNotNull() & F.col("user_id").isNotNull())
@@ -57,9 +66,23 @@ def fold_cart(t: Tables, ops: DataFrame, method: str = "exact") -> DataFrame:
                      .alias("q"),
                     F.coalesce("reset_value", F.lit(0)).alias("base")))
     lines = adds.withColumn("cap", F.col("stock") - F.col("base"))
-    accepted = greedy_admission(lines, "event_id", KEY, "q", "cap", method)
-    added = (lines.join(accepted, "event_id", "left_semi")
-             .groupBy(*KEY).agg(F.sum("q").alias("added")))
+    sizes = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
+    small = lines.join(sizes.where(F.col("_n") <= fold_limit).select(*KEY), KEY, "left_semi")
+    large = lines.join(sizes.where(F.col("_n") > fold_limit).select(*KEY), KEY, "left_semi")
+
+    folded = (small.groupBy(*KEY)
+              .agg(F.sort_array(F.collect_list(F.struct("event_id", "q"))).alias("_adds"),
+                   F.first("cap").alias("_cap"))
+              .select(*KEY, F.aggregate(
+                  "_adds", F.lit(0).cast("bigint"),
+                  lambda acc, x: F.when(acc + x["q"] <= F.col("_cap"), acc + x["q"]).otherwise(acc))
+                  .alias("added")))
+    added = folded
+    if sizes.where(F.col("_n") > fold_limit).limit(1).count() > 0:
+        accepted = greedy_admission(large, "event_id", KEY, "q", "cap", method)
+        admitted = (large.join(accepted, "event_id", "left_semi")
+                    .groupBy(*KEY).agg(F.sum("q").alias("added")))
+        added = folded.unionByName(admitted)
 
     groups = ev.select(*KEY).distinct()
     state = (groups.join(resets, KEY, "left").join(added, KEY, "left")

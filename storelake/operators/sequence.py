@@ -13,6 +13,7 @@ the whole batch -- so inserts get deterministic, dense, SQL-equal ids.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,14 +87,30 @@ def greedy_admission(lines: DataFrame, req: str, group: list[str], qty: str, cap
     """
     from storelake.session import checkpoint_dir
 
-    current = _admission_step(lines, req, group, qty, cap, None, width)
+    # when no group's total demand exceeds its capacity, every request fits
+    # at its turn: one aggregate decides it, no running sums are needed
+    over = (lines.groupBy(*group).agg(F.sum(qty).alias("_d"), F.min(cap).alias("_c"))
+            .where(F.col("_d") > F.col("_c")))
+    if over.limit(1).count() == 0:
+        return lines.select(req).distinct()
     if method == "one_pass":
-        return current
+        return _admission_step(lines, req, group, qty, cap, None, width)
     checkpoint_dir(lines.sparkSession)
-    current = current.checkpoint()
+    # the request lines are read by every round: keep them (memory, then
+    # disk; a lost block is recomputed from the input); each round's
+    # admitted set is checkpointed, so lineage never grows with the rounds
+    lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fixed_point(lines, req, group, qty, cap, width)
+    finally:
+        lines.unpersist()
+
+
+def _fixed_point(lines: DataFrame, req: str, group: list[str], qty: str, cap: str,
+                 width: int) -> DataFrame:
+    current = _admission_step(lines, req, group, qty, cap, None, width).checkpoint()
     # step(all) admitting every request is already the fixed point
-    requests = lines.select(req).distinct()
-    if requests.join(current, req, "left_anti").limit(1).count() == 0:
+    if current.count() == lines.select(req).distinct().count():
         return current
     while True:
         nxt = _admission_step(lines, req, group, qty, cap, current, width).checkpoint()
