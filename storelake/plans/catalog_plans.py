@@ -1,5 +1,7 @@
 """Registered catalog queries."""
 
+from pyspark.sql import functions as F
+
 from storelake.functions.text import sql_contains_term
 from storelake.operators import catalog as C
 from storelake.plans.registry import query
@@ -135,9 +137,12 @@ def item_by_id(t, ctx):
                                             "basePrice")
 
 
-@query("product_images")
+@query("product_images", f"""
+    SELECT item_id, hex(image) AS image_hex FROM items
+    WHERE octet_length(image) > 0 AND item_id IN {_CART_IDS}""")
 def product_images(t, ctx):
-    return C.product_images(t, cart_item_ids(ctx))
+    imgs = C.product_images(t, cart_item_ids(ctx))
+    return imgs.select("item_id", F.hex("image").alias("image_hex"))
 
 
 @query("product_card", f"""

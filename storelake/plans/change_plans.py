@@ -281,10 +281,42 @@ def check_stock(t, ctx):
     return S.check_stock(t, RQ.order_requests(ctx), method="one_pass")
 
 
-@query("place_orders_exact")
+# The oracle replays the checkouts one by one (a recursive CTE carrying the
+# remaining stock per item as a MAP), i.e. the shop's own sequence.
+_SEQUENTIAL_ADMISSION = """
+SELECT request_id, admitted FROM (
+  WITH RECURSIVE lines AS (
+    SELECT q.request_id, q.item_id, q.quantity, COALESCE(s.total, 0) AS avail
+    FROM order_requests q JOIN items i ON q.item_id = i.item_id
+    LEFT JOIN (SELECT item_id, sum(stock) AS total FROM items_quant GROUP BY item_id) s
+      ON q.item_id = s.item_id),
+  reqs AS (
+    SELECT request_id, row_number() OVER (ORDER BY request_id) AS rn,
+           list(struct_pack(item := item_id, q := quantity)) AS ls
+    FROM lines GROUP BY request_id),
+  walk AS (
+    SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BOOLEAN) AS admitted,
+           (SELECT map_from_entries(list(struct_pack(k := item_id, v := CAST(avail AS BIGINT))))
+            FROM (SELECT DISTINCT item_id, avail FROM lines) d) AS m
+    UNION ALL
+    SELECT r.rn, r.request_id, f.fits,
+           CASE WHEN f.fits THEN map_from_entries(list_transform(map_entries(w.m), lambda e:
+                     struct_pack(k := e.key, v := e.value - COALESCE(list_sum(list_transform(
+                       list_filter(r.ls, lambda x: x.item = e.key), lambda x: x.q)), 0))))
+                ELSE w.m END
+    FROM walk w JOIN reqs r ON r.rn = w.rn + 1,
+         LATERAL (SELECT list_bool_and(list_transform(r.ls, lambda x: x.q <= w.m[x.item])) AS fits) f)
+  SELECT request_id, admitted FROM walk WHERE rn > 0
+) x
+UNION ALL
+SELECT DISTINCT request_id, false FROM order_requests
+WHERE request_id NOT IN (SELECT q.request_id FROM order_requests q JOIN items i ON q.item_id = i.item_id)
+"""
+
+
+@query("place_orders_exact", _SEQUENTIAL_ADMISSION)
 def place_orders_exact(t, ctx):
-    """Exact sequential admission on a batch with stock conflicts (rows-only;
-    checked against a sequential replay in tests)."""
+    """Exact sequential admission on a batch with stock conflicts."""
     return S.check_stock(t, RQ.order_requests(ctx), method="exact")
 
 
