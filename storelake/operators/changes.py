@@ -17,6 +17,7 @@ from storelake.functions.text import variant_description
 from storelake.operators.catalog import first_variant
 from storelake.operators.quality import normalize_roles, registration_audit
 from storelake.operators.sequence import max_id, new_ids
+from storelake.session import materialize
 from storelake.sources.model import Tables, _conform
 
 # ------------------------------------------------------------------- users
@@ -171,8 +172,10 @@ def assign_categories(t: Tables, assignments: DataFrame) -> dict[str, DataFrame]
                .groupBy("categoryName").agg(F.min("request_id").alias("_first")))
     new_cats = new_ids(missing, "_first", max_id(t.category, "cat_id"), "cat_id").select(
         "cat_id", "categoryName")
-    category_out = t.category.unionByName(new_cats)
-    resolved = a.join(category_out, "categoryName")
+    # the new category table and the resolved batch are small and each is
+    # read several times below: write them once to the shared checkpoint folder
+    category_out = materialize(t.category.unionByName(new_cats), "categories")
+    resolved = materialize(a.join(category_out, "categoryName"), "assignments")
     existing = resolved.join(t.sub_category.select("cat_id", "item_id"), ["cat_id", "item_id"],
                              "left_semi")
     relabel = existing.select("cat_id", "item_id", F.col("label").alias("_label"))

@@ -108,12 +108,14 @@ def greedy_admission(lines: DataFrame, req: str, group: list[str], qty: str, cap
 
 def _fixed_point(lines: DataFrame, req: str, group: list[str], qty: str, cap: str,
                  width: int) -> DataFrame:
-    current = _admission_step(lines, req, group, qty, cap, None, width).checkpoint()
+    from storelake.session import materialize
+
+    current = materialize(_admission_step(lines, req, group, qty, cap, None, width), "admitted")
     # step(all) admitting every request is already the fixed point
     if current.count() == lines.select(req).distinct().count():
         return current
     while True:
-        nxt = _admission_step(lines, req, group, qty, cap, current, width).checkpoint()
+        nxt = materialize(_admission_step(lines, req, group, qty, cap, current, width), "admitted")
         # one job: does any request sit in exactly one of the two sets?
         moved = (nxt.withColumn("_a", F.lit(True))
                  .join(current.withColumn("_b", F.lit(True)), req, "full_outer")

@@ -33,7 +33,7 @@ from storelake.functions.money import line_revenue_sum
 from storelake.operators.catalog import first_variant
 from storelake.operators.reports import variant_stock_per_item
 from storelake.operators.sequence import greedy_admission, max_id, new_ids, new_ids_nested
-from storelake.session import checkpoint_dir
+from storelake.session import materialize
 from storelake.sources.model import Tables
 
 DISCOUNT_CODE = "DISCOUNT10"
@@ -88,8 +88,7 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
     """
     # the priced batch feeds admission, totals, lines and stock: write it
     # once to the shared checkpoint folder instead of re-deriving it per use
-    checkpoint_dir(requests.sparkSession)
-    lines = priced_lines(t, requests).checkpoint()
+    lines = materialize(priced_lines(t, requests), "checkout-lines")
     admitted = admit_orders(t, lines, method)
     ok_lines = lines.join(admitted, "request_id", "left_semi")
 

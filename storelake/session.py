@@ -69,3 +69,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         os.makedirs(root, exist_ok=True)
         return os.path.join(tempfile.mkdtemp(prefix=name + "-", dir=root), "data")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    return a DataFrame reading it back.
+
+    This cuts the lineage like ``checkpoint()`` but computes the plan once
+    (an RDD checkpoint of an unpersisted plan runs it twice: once for the
+    count, once for the write), survives lost executors (the files are on the
+    shared folder) and gives the planner exact sizes for the next joins.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
