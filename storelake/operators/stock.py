@@ -107,7 +107,10 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
         order_id_base = max_id(t.orders, "order_id")
     if line_id_base is None:
         line_id_base = max_id(t.order_items, "orderItem_id")
-    new_orders = new_ids(per_order, "request_id", order_id_base, "order_id")
+    # the numbered orders feed the order rows, the lines and the stock: write
+    # them once (batch-sized) so the id ranking is not re-run per output
+    new_orders = materialize(new_ids(per_order, "request_id", order_id_base, "order_id"),
+                             "new-orders")
     orders_out = new_orders.select(
         "order_id", "user_id", when.alias("order_date"), F.lit("Processing").alias("order_status"),
         (F.col("subtotal") - F.coalesce("discount", F.lit(0.0))).alias("totalPrice"),
