@@ -60,7 +60,7 @@ def stream_cart(t, ctx):
     ev = RQ.cart_events(ctx)
     X.feed_in_chunks(ev, src, "event_id", 3)
     X.cart_totals_stream(ctx.spark, src, ev.schema, out, ckpt)
-    return ctx.spark.read.parquet(out)
+    return X.read_cart_totals(ctx.spark, out)
 
 
 @query("stream_revenue", """
