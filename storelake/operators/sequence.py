@@ -82,7 +82,9 @@ def greedy_admission(lines: DataFrame, req: str, group: list[str], qty: str, cap
     answer is the fixed point of ``step(A)`` (requests that fit counting only
     earlier requests in A).  Iterating from "all admitted" alternates between
     lower and upper bounds of the answer and reaches it; each round is one
-    blocked running sum and one aggregate, checkpointed to cut the lineage.
+    blocked running sum and one aggregate, written to the shared checkpoint
+    folder to cut the lineage.  When no group's total demand exceeds its
+    capacity one aggregate proves that everything fits.
     ``method="one_pass"`` returns the first round: a subset of the answer.
     """
     from storelake.session import checkpoint_dir
@@ -98,7 +100,7 @@ def greedy_admission(lines: DataFrame, req: str, group: list[str], qty: str, cap
     checkpoint_dir(lines.sparkSession)
     # the request lines are read by every round: keep them (memory, then
     # disk; a lost block is recomputed from the input); each round's
-    # admitted set is checkpointed, so lineage never grows with the rounds
+    # admitted set is written out, so lineage never grows with the rounds
     lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _fixed_point(lines, req, group, qty, cap, width)

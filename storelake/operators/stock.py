@@ -19,7 +19,7 @@ superset of the greedy answer and close in on it; the first ``A`` with
 ``step(A) == A`` is it.  One step is a blocked running sum per item (see
 ``sequence.running_sum``) plus one aggregate per order -- no per-order
 driver loop and no single task per hot item.  Each step's admitted set is
-checkpointed to the shared checkpoint folder to cut the lineage.
+written to the shared checkpoint folder to cut the lineage.
 ``method="one_pass"`` stops after the first step: conservative (it may
 reject an order the sequence would admit, never the reverse).
 """
