@@ -15,6 +15,10 @@ from storelake.schema import SCHEMAS, TABLE_NAMES
 from storelake.sources.driver import read_driver
 
 
+# SQL view names that differ from the model names.
+SQL_VIEW_NAMES = {"orders": "orders_v"}
+
+
 class Tables:
     """The twelve shop tables.  Values may be DataFrames or zero-argument
     builders; a builder runs on first access, so a query only analyses the
@@ -45,9 +49,10 @@ class Tables:
         return {name: getattr(self, name) for name in TABLE_NAMES}
 
     def register_views(self) -> None:
-        """Expose every table to ``spark.sql`` under its model name."""
+        """Expose every table to ``spark.sql`` under its SQL view name
+        (``orders_v`` for the orders, the model name otherwise)."""
         for name, df in self.as_dict().items():
-            df.createOrReplaceTempView(name)
+            df.createOrReplaceTempView(SQL_VIEW_NAMES.get(name, name))
 
     def write_snapshot(self, path: str, mode: str = "errorifexists") -> None:
         """One parquet directory per table; readers switch when all are written."""

@@ -20,9 +20,6 @@ from storelake.operators.orders import all_orders
 from storelake.operators.reports import user_order_stats
 from storelake.sources.model import Tables
 
-# The view names shop SQL uses for the model tables.
-SQL_VIEW_NAMES = {"orders": "orders_v"}
-
 # Header of the order export.
 EXPORT_HEADER = ("Order ID", "Date", "Customer ID", "Total Price", "Status", "Payment Method")
 EXPORT_SCHEMA = T.StructType([
@@ -32,14 +29,9 @@ EXPORT_SCHEMA = T.StructType([
 ])
 
 
-def register_views(t: Tables) -> None:
-    for name, df in t.as_dict().items():
-        df.createOrReplaceTempView(SQL_VIEW_NAMES.get(name, name))
-
-
 def param_sql(spark: SparkSession, t: Tables, query: str, params: list | None = None) -> DataFrame:
     """Run a SELECT with ``?`` markers bound to ``params`` over the model views."""
-    register_views(t)
+    t.register_views()
     return spark.sql(query, args=list(params or []))
 
 
@@ -68,9 +60,9 @@ def load_images(spark: SparkSession, refs: DataFrame, file_root: str | None = No
 
     ``data:image/...;base64,<data>`` URIs are decoded in the JVM
     (``try_to_binary``: bad data gives NULL); ``file://`` and bare paths are
-    read with the ``binaryFile`` source and joined back by path (only the
-    referenced files are listed when ``file_root`` is given); anything else,
-    or a missing file, gives NULL.  Remote URLs are not fetched.
+    matched against the files under ``file_root``, read with the
+    ``binaryFile`` source and joined back by path; anything else, or a
+    missing file, gives NULL.  Remote URLs are not fetched.
     """
     url = F.trim("image_url")
     is_data = url.startswith("data:image")
