@@ -44,8 +44,10 @@ def priced_lines(t: Tables, requests: DataFrame) -> DataFrame:
     """Checkout lines of known items with unit price (NULL -> 0) and line total;
     requests for unknown items are dropped, as the cart page drops them."""
     items = t.items.select("item_id", F.coalesce("basePrice", F.lit(0.0)).alias("unit_price"))
-    return (requests.select("request_id", "user_id", "item_id", "quantity")
-            .join(items, "item_id")
+    # a cart holds each item once: repeated (request, item) rows are one line
+    carts = (requests.groupBy("request_id", "user_id", "item_id")
+             .agg(F.sum("quantity").cast("int").alias("quantity")))
+    return (carts.join(items, "item_id")
             .withColumn("line_total", F.col("unit_price") * F.col("quantity")))
 
 

@@ -197,3 +197,25 @@ def test_deleting_user_keeps_orders(spark):
     assert out["orders"].collect()[0].user_id is None
     assert out["complaint"].count() == 0 and out["wishlist"].count() == 0
     assert out["users"].count() == 1
+
+
+def test_null_keys_are_salted_not_dropped(spark):
+    from storelake.operators.joins import left_join_dim
+    left = spark.range(0, 3000).select(
+        F.col("id").alias("order_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(None).cast("long")).otherwise(F.col("id") % 7).alias("user_id"))
+    dim = spark.range(0, 7).select(F.col("id").alias("user_id"), (F.col("id") * 10).alias("v"))
+    out = left_join_dim(left, dim, "user_id")
+    assert out.count() == 3000
+    nulls = out.where(F.col("user_id").isNull())
+    assert nulls.count() == 1000 and nulls.where(F.col("v").isNotNull()).count() == 0
+    assert out.where("user_id = 3").select("v").distinct().collect()[0].v == 30
+
+
+def test_hot_item_sales_summary(spark):
+    """One variant holds a third of all lines; results stay exact."""
+    from storelake.operators.reports import sales_summary
+    lines = [(i, i, 40 if i % 3 == 0 else 41, 1, 2.5) for i in range(3000)]
+    t = _catalog(spark, orders=[(i, 1, TS, "Shipped", 1.0, 0) for i in range(3000)], order_items=lines)
+    rows = {r.item_id: r for r in sales_summary(t).collect()}
+    assert rows[10].total_sold == 3000 and rows[10].total_revenue == 7500.0
