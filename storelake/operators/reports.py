@@ -184,7 +184,11 @@ def user_order_stats(t: Tables, user_ids: DataFrame | None = None) -> DataFrame:
 
 
 def dashboard_kpis(t: Tables, as_of: str | None = None, threshold: int = 10) -> DataFrame:
-    """One row of dashboard counters, each a scalar subquery over its table."""
+    """One row of dashboard counters, each a scalar subquery over its table.
+
+    ``as_of`` is the day for the sales counter ('YYYY-MM-DD'); None takes the
+    last day that has orders (use ``sales_on_day(t)`` for today's figure).
+    """
     day_sales = sales_on_latest_day(t) if as_of is None else sales_on_day(t, as_of)
     base = pending_orders_count(t)
     return base.select(
