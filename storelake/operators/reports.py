@@ -198,3 +198,23 @@ def dashboard_kpis(t: Tables, as_of: str | None = None, threshold: int = 10) ->
         day_sales.scalar().alias("day_sales"),
         inventory_value(t).scalar().alias("inventory_value"),
     )
+
+
+def dashboard(t: Tables, threshold: int = 10) -> dict[str, DataFrame]:
+    """The back-office dashboard as DataFrames: the KPI row (A13) and the
+    list sections it shows.  Each is an independent lazy plan; a caller
+    rendering all of them in one session may ``persist()`` ``t.orders`` first,
+    since four of them read the orders."""
+    from storelake.operators.catalog import inventory_snapshot, list_categories, list_products
+    from storelake.operators.customers import complaints, list_users
+    from storelake.operators.orders import all_orders
+    return {
+        "kpis": dashboard_kpis(t, threshold=threshold),
+        "sales_summary": sales_summary(t),
+        "products": list_products(t),
+        "orders": all_orders(t),
+        "inventory": inventory_snapshot(t),
+        "users": list_users(t),
+        "categories": list_categories(t),
+        "complaints": complaints(t),
+    }

@@ -38,7 +38,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
+        pass
     return spark
 
 
@@ -51,14 +54,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        _set_rdd_checkpoint_dir(spark, configured)
         return configured
     local = tempfile.mkdtemp(prefix="storelake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    _set_rdd_checkpoint_dir(spark, local)
     return local
 
 
+def _set_rdd_checkpoint_dir(spark: SparkSession, path: str) -> None:
+    """Point ``DataFrame.checkpoint()`` at ``path`` where a SparkContext is
+    reachable (classic sessions); remote sessions use the server's setting."""
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # noqa: BLE001 - no SparkContext in remote sessions
+        pass
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, not yet existing path under the shared checkpoint folder for a
     written table (writers create it)."""
