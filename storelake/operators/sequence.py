@@ -1,7 +1,8 @@
 """Order-dependent building blocks that stay distributed under key skew.
 
 ``running_sum`` is a blocked prefix sum: rows are cut into blocks of
-``width`` consecutive sequence values inside each group, each block is
+``width`` consecutive sequence values inside each group (by default a width
+that holds about 65,536 rows, derived from the data), each block is
 summed locally (a window over one block only), the block totals are
 prefix-summed (one row per block), and the two are added.  A group holding a
 third of all rows is therefore spread over many tasks instead of one.
@@ -17,16 +18,29 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_WIDTH = 1 << 16
+ROWS_PER_BLOCK = 1 << 16
+DEFAULT_WIDTH = None  # derive the block width from the data
+
+
+def block_width(df: DataFrame, seq: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
+    """Scalar subquery: a block width (in units of ``seq``) that gives about
+    ``rows_per_block`` rows per block when the sequence values are spread
+    evenly -- so a sparse sequence (ids far apart) still makes few blocks."""
+    span = F.max(seq) - F.min(seq) + F.lit(1)
+    width = F.ceil(span * F.lit(rows_per_block) / F.greatest(F.count(F.lit(1)), F.lit(1)))
+    return df.agg(F.greatest(F.lit(1), F.coalesce(width, F.lit(1))).cast("bigint")).scalar()
 
 
 def running_sum(df: DataFrame, group: list[str], seq: str, value: Column, out: str,
-                width: int = DEFAULT_WIDTH) -> DataFrame:
+                width: int | None = DEFAULT_WIDTH) -> DataFrame:
     """Add ``out`` = SUM(value) over rows of the same ``group`` with seq <= own seq.
 
     ``seq`` must be a non-negative integer column, unique inside a group.
+    ``width`` is the block width in units of ``seq``; None derives it from
+    the data (``block_width``).
     """
-    blk = F.floor(F.col(seq) / F.lit(width)).cast("bigint")
+    w = block_width(df, seq) if width is None else F.lit(width)
+    blk = F.floor(F.col(seq) / w).cast("bigint")
     local_w = (Window.partitionBy(*group, "_blk").orderBy(seq)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = (df.withColumn("_v", value).withColumn("_blk", blk)
@@ -42,7 +56,7 @@ def running_sum(df: DataFrame, group: list[str], seq: str, value: Column, out: s
 
 
 def new_ids(df: DataFrame, seq: str, base: Column, out: str,
-            group: list[str] | None = None, width: int = DEFAULT_WIDTH) -> DataFrame:
+            group: list[str] | None = None, width: int | None = DEFAULT_WIDTH) -> DataFrame:
     """Add ``out`` = base + rank of the row by ``seq`` (within ``group``).
 
     ``base`` is usually a scalar subquery such as ``max(id)`` of the table
@@ -58,7 +72,7 @@ def max_id(df: DataFrame, col: str) -> Column:
 
 
 def _admission_step(lines: DataFrame, req: str, group: list[str], qty: str, cap: str,
-                    admitted: DataFrame | None, width: int) -> DataFrame:
+                    admitted: DataFrame | None, width: int | None) -> DataFrame:
     """Requests all of whose lines fit, counting earlier requests in ``admitted``."""
     if admitted is None:
         flagged = lines.withColumn("_in", F.lit(True))
@@ -73,7 +87,7 @@ def _admission_step(lines: DataFrame, req: str, group: list[str], qty: str, cap:
 
 
 def greedy_admission(lines: DataFrame, req: str, group: list[str], qty: str, cap: str,
-                     method: str = "exact", width: int = DEFAULT_WIDTH) -> DataFrame:
+                     method: str = "exact", width: int | None = DEFAULT_WIDTH) -> DataFrame:
     """Requests admitted when they are served one after another in ``req`` order.
 
     ``lines`` has one row per (request, group) with the quantity it takes
@@ -109,7 +123,7 @@ def greedy_admission(lines: DataFrame, req: str, group: list[str], qty: str, cap
 
 
 def _fixed_point(lines: DataFrame, req: str, group: list[str], qty: str, cap: str,
-                 width: int) -> DataFrame:
+                 width: int | None) -> DataFrame:
     from storelake.session import materialize
 
     current = materialize(_admission_step(lines, req, group, qty, cap, None, width), "admitted")
@@ -128,7 +142,7 @@ def _fixed_point(lines: DataFrame, req: str, group: list[str], qty: str, cap: st
 
 
 def new_ids_nested(df: DataFrame, outer: str, inner: str, base: Column, out: str,
-                   width: int = DEFAULT_WIDTH) -> DataFrame:
+                   width: int | None = DEFAULT_WIDTH) -> DataFrame:
     """Like ``new_ids`` but in (outer, inner) order, e.g. lines of new orders:
     id = base + (rows of all earlier outer keys) + rank of ``inner`` inside
     its outer key.  Both parts are blocked running sums."""
