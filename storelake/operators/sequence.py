@@ -36,10 +36,15 @@ def running_sum(df: DataFrame, group: list[str], seq: str, value: Column, out: s
     """Add ``out`` = SUM(value) over rows of the same ``group`` with seq <= own seq.
 
     ``seq`` must be a non-negative integer column, unique inside a group.
-    ``width`` is the block width in units of ``seq``; None derives it from
-    the data (``block_width``).
+    ``width`` is the block width in units of ``seq``.  None derives it from
+    the data (``block_width``) for a whole-table numbering (no ``group``),
+    where too many blocks would meet in the one prefix window; inside groups
+    a width of 65,536 sequence values is used.
     """
-    w = block_width(df, seq) if width is None else F.lit(width)
+    if width is not None:
+        w = F.lit(width)
+    else:
+        w = F.lit(ROWS_PER_BLOCK) if group else block_width(df, seq)
     blk = F.floor(F.col(seq) / w).cast("bigint")
     local_w = (Window.partitionBy(*group, "_blk").orderBy(seq)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
