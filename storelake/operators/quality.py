@@ -115,11 +115,17 @@ def fk_audit(t: Tables) -> DataFrame:
     parts = [declared.join(counts, "_fk", "left").select(
         F.lit("foreign_key").alias("check"), "table_name", "column_name", "reference",
         F.coalesce("_n", F.lit(0)).cast("bigint").alias("violations"))]
+    # NOT NULL: one pass per table counts the NULLs of all its checked columns
+    by_table: dict[str, list[str]] = {}
     for table, col in NOT_NULL:
-        nulls = tables[table].where(F.col(col).isNull())
-        parts.append(nulls.agg(F.count(F.lit(1)).alias("violations")).select(
-            F.lit("not_null").alias("check"), F.lit(table).alias("table_name"),
-            F.lit(col).alias("column_name"), F.lit("").alias("reference"), "violations"))
+        by_table.setdefault(table, []).append(col)
+    for table, cols in by_table.items():
+        counts_row = tables[table].agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c)
+                                         for c in cols])
+        per_col = counts_row.unpivot([], cols, "column_name", "violations")
+        parts.append(per_col.select(
+            F.lit("not_null").alias("check"), F.lit(table).alias("table_name"), "column_name",
+            F.lit("").alias("reference"), F.col("violations").cast("bigint").alias("violations")))
     dup = (t.users.groupBy("email").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
            .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")))
     parts.append(dup.select(F.lit("unique").alias("check"), F.lit("users").alias("table_name"),
