@@ -3,7 +3,6 @@ tables into a file source in several chunks, drains the stream with
 ``availableNow`` and returns the final state, which must equal the batch
 operator on the same input."""
 
-from pyspark.sql import functions as F
 
 from storelake.plans.change_plans import NOW
 from storelake.plans.registry import query
