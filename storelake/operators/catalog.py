@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from storelake.functions.text import contains_term
 from storelake.operators.reports import variant_stock_per_item
+from storelake.operators.sequence import new_ids
 from storelake.sources.model import Tables
 
 PAGE_SIZE = 12
 FEATURED = 6
+DEEP_PAGE_ROWS = 10_000
 
 
 def has_image(image: Column | None = None) -> Column:
@@ -134,8 +136,17 @@ def shop_page(t: Tables, page: int = 1, category: str | None = None,
     n = items.count()
     total_pages = max(1, -(-n // page_size))
     current = max(1, min(page, total_pages))
-    return (items.orderBy("item_id").offset((current - 1) * page_size).limit(page_size)
-            .withColumn("current_page", F.lit(current).cast("bigint"))
+    first = (current - 1) * page_size
+    if first + page_size <= DEEP_PAGE_ROWS:
+        # shallow page: a per-task top-(offset + page) and one merge
+        rows = items.orderBy("item_id").offset(first).limit(page_size)
+    else:
+        # deep page: number the listing with the blocked running count and
+        # keep the page's range -- no task holds the first `offset` rows
+        ranked = new_ids(items, "item_id", F.lit(0), "_pos")
+        rows = (ranked.where((F.col("_pos") > first) & (F.col("_pos") <= first + page_size))
+                .drop("_pos").orderBy("item_id"))
+    return (rows.withColumn("current_page", F.lit(current).cast("bigint"))
             .withColumn("total_pages", F.lit(total_pages).cast("bigint")))
 
 

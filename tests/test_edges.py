@@ -219,3 +219,17 @@ def test_hot_item_sales_summary(spark):
     t = _catalog(spark, orders=[(i, 1, TS, "Shipped", 1.0, 0) for i in range(3000)], order_items=lines)
     rows = {r.item_id: r for r in sales_summary(t).collect()}
     assert rows[10].total_sold == 3000 and rows[10].total_revenue == 7500.0
+
+
+def test_deep_page_equals_shallow_path(spark):
+    import storelake.operators.catalog as C
+    items = [(i, f"gear {i}", 1.0, None, None, None) for i in range(0, 200, 3)]
+    t = make_tables(spark, items=items)
+    shallow = [r.item_id for r in C.shop_page(t, page=4, page_size=5).collect()]
+    old = C.DEEP_PAGE_ROWS
+    C.DEEP_PAGE_ROWS = 0
+    try:
+        deep = [r.item_id for r in C.shop_page(t, page=4, page_size=5).collect()]
+    finally:
+        C.DEEP_PAGE_ROWS = old
+    assert deep == shallow == [45, 48, 51, 54, 57]
