@@ -135,7 +135,12 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
                          "negative_stock"))
     rejects = (requests.select("request_id").distinct()
                .join(admitted, "request_id", "left_anti")
+               .withColumn("item_id", F.lit(None).cast("bigint"))
                .withColumn("reason", F.lit("out_of_stock")))
+    # An admitted line whose item has no variant cannot be stored
+    no_variant = (ok_lines.join(variants, "item_id", "left_anti")
+                  .select("request_id", "item_id", F.lit("no_variant").alias("reason")))
+    rejects = rejects.unionByName(no_variant)
     return {
         "orders": t.orders.unionByName(orders_out),
         "new_orders": orders_out,
