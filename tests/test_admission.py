@@ -91,3 +91,15 @@ def test_stream_replay_is_idempotent(spark, tmp_path):
     first = run_order_stream(*args, order_date="2024-02-01 00:00:00").orders.count()
     second = run_order_stream(*args, order_date="2024-02-01 00:00:00").orders.count()
     assert first == second
+
+
+def test_cart_fold_large_group_path_matches_row_fold(spark):
+    """Pairs above ``fold_limit`` go through the distributed rounds; forcing
+    every pair there must give the same carts as the in-row fold."""
+    from storelake.operators.cart import fold_cart
+    from storelake.sources.requests import cart_ops
+    ctx = _ctx(spark, SF_MID)
+    ops = cart_ops(ctx)
+    row_fold = {tuple(r) for r in fold_cart(ctx.t, ops).collect()}
+    rounds = {tuple(r) for r in fold_cart(ctx.t, ops, fold_limit=0).collect()}
+    assert rounds == row_fold and len(row_fold) > 100
