@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from storelake.operators.joins import left_join_dim
 from storelake.operators.sequence import running_sum
-from storelake.sources.model import Tables
+from storelake.sources.model import ORDER_MONTH, Tables
 
 ORDER_COLS = ["order_id", "user_id", "order_date", "order_status", "totalPrice", "staff_id"]
 
@@ -49,6 +49,9 @@ def orders_by_date_range(t: Tables, start: str, end: str) -> DataFrame:
     """Orders whose calendar day is within [start, end] (inclusive)."""
     day = F.to_date("order_date")
     rng = t.orders.where(day.between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    if ORDER_MONTH in t.orders.columns:
+        # snapshot partitioned by month: prune the folders outside the range
+        rng = rng.where(F.col(ORDER_MONTH).between(start[:7], end[:7]))
     return (with_customer(t, rng.select(*ORDER_COLS))
             .orderBy(F.desc("order_date"), F.desc("order_id")))
 

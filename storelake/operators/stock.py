@@ -142,7 +142,7 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
                   .select("request_id", "item_id", F.lit("no_variant").alias("reason")))
     rejects = rejects.unionByName(no_variant)
     return {
-        "orders": t.orders.unionByName(orders_out),
+        "orders": t.orders.select(*orders_out.columns).unionByName(orders_out),
         "new_orders": orders_out,
         "order_items": t.order_items.unionByName(lines_out),
         "new_order_items": lines_out,

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storelake.schema import SCHEMAS, TABLE_NAMES
 from storelake.sources.driver import read_driver
 
 
+ORDER_MONTH = "order_month"
+
 # SQL view names that differ from the model names.
 SQL_VIEW_NAMES = {"orders": "orders_v"}
 
@@ -54,15 +57,31 @@ class Tables:
         for name, df in self.as_dict().items():
             df.createOrReplaceTempView(SQL_VIEW_NAMES.get(name, name))
 
-    def write_snapshot(self, path: str, mode: str = "errorifexists") -> None:
-        """One parquet directory per table; readers switch when all are written."""
+    def write_snapshot(self, path: str, mode: str = "errorifexists",
+                       orders_by_month: bool = False) -> None:
+        """One parquet directory per table; readers switch when all are written.
+
+        ``orders_by_month`` partitions the orders by ``order_month``
+        ('YYYY-MM'), so date-bounded reads prune whole folders.
+        """
         for name, df in self.as_dict().items():
-            df.select(*SCHEMAS[name].fieldNames()).write.mode(mode).parquet(f"{path}/{name}")
+            out = df.select(*SCHEMAS[name].fieldNames())
+            if name == "orders" and orders_by_month:
+                out.withColumn(ORDER_MONTH, F.date_format("order_date", "yyyy-MM")).write.mode(
+                    mode).partitionBy(ORDER_MONTH).parquet(f"{path}/{name}")
+            else:
+                out.write.mode(mode).parquet(f"{path}/{name}")
 
     @staticmethod
-    def read_snapshot(spark: SparkSession, path: str) -> "Tables":
-        return Tables(**{name: (lambda n=name, st=st: spark.read.schema(st).parquet(f"{path}/{n}"))
-                         for name, st in SCHEMAS.items()})
+    def read_snapshot(spark: SparkSession, path: str, orders_by_month: bool = False) -> "Tables":
+        """Read a snapshot with the fixed schemas.  With ``orders_by_month``
+        the orders keep their ``order_month`` partition column, which
+        date-range operators use for partition pruning."""
+        def reader(n, st):
+            if n == "orders" and orders_by_month:
+                st = T.StructType(st.fields + [T.StructField(ORDER_MONTH, T.StringType())])
+            return lambda: spark.read.schema(st).parquet(f"{path}/{n}")
+        return Tables(**{name: reader(name, st) for name, st in SCHEMAS.items()})
 
 
 def _conform(df: DataFrame, name: str) -> DataFrame:

@@ -65,7 +65,7 @@ def snapshot_after(base: Tables, spark: SparkSession, state_dir: str) -> Tables:
               .parquet(f"{state_dir}/{n}").where(done).drop("batch")
               for n in ("orders", "order_items")}
     return base.with_(
-        orders=base.orders.unionByName(deltas["orders"]),
+        orders=base.orders.select(*SCHEMAS["orders"].fieldNames()).unionByName(deltas["orders"]),
         order_items=base.order_items.unionByName(deltas["order_items"]),
         items_quant=spark.read.schema(SCHEMAS["items_quant"]).parquet(
             f"{state_dir}/stock/batch={last['batch_id']}"))

@@ -233,3 +233,24 @@ def test_deep_page_equals_shallow_path(spark):
     finally:
         C.DEEP_PAGE_ROWS = old
     assert deep == shallow == [45, 48, 51, 54, 57]
+
+
+def test_month_partitioned_snapshot_prunes(spark, tmp_path):
+    import io
+    from contextlib import redirect_stdout
+
+    from storelake.operators.orders import orders_by_date_range
+    from storelake.plans.registry import context
+    from storelake.sources.model import Tables
+    from conftest import SF_SMALL
+    t = context(spark, SF_SMALL).t
+    path = str(tmp_path / "snap")
+    t.write_snapshot(path, orders_by_month=True)
+    back = Tables.read_snapshot(spark, path, orders_by_month=True)
+    got = orders_by_date_range(back, "1996-01-01", "1996-03-31")
+    want = orders_by_date_range(t, "1996-01-01", "1996-03-31")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        got.explain("formatted")
+    assert "PartitionFilters: [isnotnull(order_month" in buf.getvalue()
