@@ -48,6 +48,12 @@ class Tables:
         merged.update(changed)
         return Tables(**merged)
 
+    def apply(self, result: dict[str, DataFrame]) -> "Tables":
+        """The snapshot after a change job: takes the job's table outputs
+        (``orders``, ``items_quant``, ...) and ignores its reports
+        (``rejects``, ``new_orders``, ...)."""
+        return self.with_(**{k: v for k, v in result.items() if k in TABLE_NAMES})
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLE_NAMES}
 
