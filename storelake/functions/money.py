@@ -44,7 +44,9 @@ def line_revenue_partial(price: Column, quantity: Column) -> Column:
 
 def format_price(value: Column) -> Column:
     """'Rs.45/-' for whole amounts, otherwise two decimals 'Rs.45.50/-'."""
-    whole = F.format_string("%d", value.cast("bigint"))
+    # '%.0f' prints any whole double exactly (no bigint overflow); adding 0.0
+    # turns -0.0 into 0.0, which a browser also prints as '0'
+    whole = F.format_string("%.0f", value + F.lit(0.0))
     frac = F.format_string("%.2f", value)
     body = F.when(value == F.floor(value), whole).otherwise(frac)
     return F.concat(F.lit("Rs."), body, F.lit("/-"))
