@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -49,14 +50,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system every executor can reach).  Only when it is unset -- local
-    tests -- do we pick a fresh scratch folder ourselves.
+    file system every executor can reach); leaving it unset there is an error.
+    Only a local master, where driver and executors are one process, gets a
+    scratch folder of our own, removed when the process ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         _set_rdd_checkpoint_dir(spark, configured)
         return configured
-    local = tempfile.mkdtemp(prefix="storelake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share "
+                         f"(master is {master!r})")
+    local = tempfile.mkdtemp(prefix="storelake-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", local)
     _set_rdd_checkpoint_dir(spark, local)
     return local
@@ -73,14 +80,8 @@ def _set_rdd_checkpoint_dir(spark: SparkSession, path: str) -> None:
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, not yet existing path under the shared checkpoint folder for a
-    written table (writers create it)."""
-    base = checkpoint_dir(spark).rstrip("/")
-    local = base.startswith("file:") or "://" not in base
-    if local:
-        root = base[len("file:"):] if base.startswith("file:") else base
-        os.makedirs(root, exist_ok=True)
-        return os.path.join(tempfile.mkdtemp(prefix=name + "-", dir=root), "data")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    written table (the writer creates it)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str = "stage"):
