@@ -1,0 +1,45 @@
+"""Connected components of a link table by contraction.
+
+Every round each label adopts the least neighbouring label, chains of
+adoptions are followed by pointer doubling, and the links are rewritten to the new
+labels; links inside one component fall away.  A label that keeps itself has a
+neighbour that adopted a smaller one, so at least half of the linked labels vanish
+in a round.  Each round's tables are written to the shared folder: nothing is
+collected but counts, and a lost executor costs the current step only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from storelake.session import materialize
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, comp): every node of the links (columns a, b) with the least node reachable."""
+    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                        .where("a < b").distinct(), "edges")
+    label = None
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parent = materialize(both.groupBy(F.col("a").alias("node"))
+                             .agg(F.least(F.min("b"), F.first("a")).alias("comp")), "parents")
+        while True:
+            up = parent.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
+            doubled = materialize(parent.join(up, "comp").select("node", F.col("_up").alias("comp"),
+                                                                 (F.col("_up") != F.col("comp")).alias("_moved")), "parents")
+            done = doubled.where("_moved").isEmpty()
+            parent = doubled.drop("_moved")
+            if done:
+                break
+        step = parent.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))
+        label = parent if label is None else materialize(
+            label.join(step, "comp", "left").select("node", F.coalesce("_next", "comp").alias("comp")), "labels")
+        of_a = parent.select(F.col("node").alias("a"), F.col("comp").alias("_a"))
+        of_b = parent.select(F.col("node").alias("b"), F.col("comp").alias("_b"))
+        edges = materialize(edges.join(of_a, "a").join(of_b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+                            .where("a < b").distinct(), "edges")
+    if label is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    return label

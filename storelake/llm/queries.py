@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from storelake.llm import decontaminate, packing, quality
+from storelake.llm import (decontaminate, jaccard, linededup, lm, neighbours, packing, quality, secrets,
+                           sharding, toxicity)
 
 QUERIES = {
+    "op1_toxicity": toxicity.toxicity_query,
+    "op2_line_dedup": linededup.linededup_query,
+    "op3_jaccard_join": jaccard.jaccard_query,
+    "op4_lm_scoring": lm.lm_query,
+    "op5_sharding": sharding.sharding_query,
     "op6_benchmark_decontamination": decontaminate.decontaminate_query,
     "op7_quality_classifier": quality.quality_query,
     "op8_packing": packing.packing_query,
+    "op9_secret_scan": secrets.secrets_query,
+    "op10_nearest_neighbours": neighbours.neighbours_query,
 }
 
 SQL = {
+    "op3_jaccard_join": jaccard.SQL,
     "op6_benchmark_decontamination": decontaminate.SQL,
 }
