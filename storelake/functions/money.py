@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CENTS = "decimal(12,2)"
+CENTS = "decimal(18,2)"
 
 
 def cents(col: Column) -> Column:

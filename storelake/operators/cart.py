@@ -6,19 +6,18 @@ Per (user, item) the cart quantity is a sequence of events:
 
 * ``add q``: q is raised to 1; refused when cart + q exceeds the item's
   total stock, otherwise added;
-* ``set q``: q is capped to the total stock; q <= 0 removes the line;
+* ``set q``: q is capped to the total stock; q <= 0 or no number removes the line;
+* ``update``: the posted cart (one row per item, all with the event's id) replaces
+  the user's whole cart: each row acts as ``set``, every other item of the
+  user is removed;
 * ``remove``: removes the line.
 
-Only events after the last set/remove matter, and that reset point is a
-plain aggregate (``max_by``).  Each add after it is accepted iff it fits in
-what earlier *accepted* adds left of ``stock - reset value``.  Two exact
-ways compute that:
-
-* pairs with at most ``fold_limit`` adds (every real cart) fold their adds
-  in one row: ``aggregate`` over the sorted list of (event_id, q);
-* larger pairs -- a bot clicking "add" millions of times -- go to
-  ``sequence.greedy_admission`` (one line per request, blocked running sums),
-  so no such pair is ever gathered into one list or one task.
+Only events after the last reset of the line matter, and that reset is a plain
+aggregate: the last own set/update/remove, or the user's last update.  Each add
+after it is accepted iff it fits in what earlier *accepted* adds left of
+``stock - reset value``: ``sequence.greedy_admission`` with one line per add,
+for pairs of any size (a bot clicking "add" millions of times is never
+gathered into one list or one task).
 
 Events without a parsable item id are dropped, as the shop drops bad cart
 keys.
@@ -33,61 +32,41 @@ from storelake.functions.money import cents_long, from_cents
 from storelake.operators.reports import variant_stock_per_item
 from storelake.operators.sequence import greedy_admission
 from storelake.operators.stock import DISCOUNT_AMOUNT, DISCOUNT_CODE
+from storelake.session import materialize
 from storelake.sources.model import Tables
 
 KEY = ["user_id", "item_id"]
 
 
-FOLD_LIMIT = 1000
-
-
-def fold_cart(t: Tables, ops: DataFrame, method: str = "exact",
-              fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def fold_cart(t: Tables, ops: DataFrame) -> DataFrame:
     """(user_id, item_id, quantity) of every non-empty cart line."""
     stock = variant_stock_per_item(t).select("item_id", F.col("stock_sum").alias("_stock"))
-    ev = (ops.where(F.col("item_id").isNotNull() & F.col("user_id").isNotNull())
-          .join(stock, "item_id", "left")
-          .withColumn("stock", F.coalesce("_stock", F.lit(0)).cast("bigint")).drop("_stock"))
-
-    set_value = F.least(F.col("quantity").cast("bigint"), F.col("stock"))
-    reset_value = (F.when(F.col("op") == "set",
-                          F.when(set_value > 0, set_value).otherwise(F.lit(0)))
-                    .otherwise(F.lit(0)).cast("bigint"))
-    resets = (ev.where(F.col("op").isin("set", "remove"))
-              .groupBy(*KEY)
-              .agg(F.max("event_id").alias("reset_id"),
-                   F.max_by(reset_value, F.col("event_id")).alias("reset_value")))
-
-    adds = (ev.where(F.col("op") == "add")
-            .join(resets, KEY, "left")
+    ev = materialize(ops.where(F.col("item_id").isNotNull() & F.col("user_id").isNotNull())
+                     .join(stock, "item_id", "left")
+                     .select("event_id", *KEY, "op", "quantity",
+                             F.coalesce("_stock", F.lit(0)).cast("bigint").alias("stock")), "cart-events")
+
+    # a missing quantity is no number: the entry is skipped and the line goes
+    amount = F.coalesce(F.greatest(F.least(F.col("quantity").cast("bigint"), F.col("stock")), F.lit(0)), F.lit(0))
+    value = F.when(F.col("quantity").isNull() | (F.col("op") == "remove"), F.lit(0)).otherwise(amount).cast("bigint")
+    resets = (ev.where(F.col("op").isin("set", "update", "remove"))
+              .groupBy(*KEY).agg(F.max("event_id").alias("own_id"),
+                                 F.max_by(value, F.col("event_id")).alias("own_value")))
+    updates = ev.where(F.col("op") == "update").groupBy("user_id").agg(F.max("event_id").alias("update_id"))
+    pairs = ev.groupBy(*KEY).agg(F.first("stock").alias("stock")).join(resets, KEY, "left").join(updates, "user_id", "left")
+    emptied = F.col("update_id") > F.coalesce("own_id", F.lit(-1))
+    base = materialize(pairs.select(
+        *KEY, "stock", F.greatest("own_id", "update_id").alias("reset_id"),
+        F.when(emptied, F.lit(0)).otherwise(F.coalesce("own_value", F.lit(0))).cast("bigint").alias("base")), "cart-base")
+
+    adds = (ev.where(F.col("op") == "add").drop("stock").join(base, KEY)
             .where(F.col("reset_id").isNull() | (F.col("event_id") > F.col("reset_id")))
-            .select(*KEY, "event_id", "stock",
-                    F.greatest(F.coalesce(F.col("quantity"), F.lit(1)), F.lit(1)).cast("bigint")
-                     .alias("q"),
-                    F.coalesce("reset_value", F.lit(0)).alias("base")))
-    lines = adds.withColumn("cap", F.col("stock") - F.col("base"))
-    sizes = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
-    small = lines.join(sizes.where(F.col("_n") <= fold_limit).select(*KEY), KEY, "left_semi")
-    large = lines.join(sizes.where(F.col("_n") > fold_limit).select(*KEY), KEY, "left_semi")
-
-    folded = (small.groupBy(*KEY)
-              .agg(F.sort_array(F.collect_list(F.struct("event_id", "q"))).alias("_adds"),
-                   F.first("cap").alias("_cap"))
-              .select(*KEY, F.aggregate(
-                  "_adds", F.lit(0).cast("bigint"),
-                  lambda acc, x: F.when(acc + x["q"] <= F.col("_cap"), acc + x["q"]).otherwise(acc))
-                  .alias("added")))
-    added = folded
-    if sizes.where(F.col("_n") > fold_limit).limit(1).count() > 0:
-        accepted = greedy_admission(large, "event_id", KEY, "q", "cap", method)
-        admitted = (large.join(accepted, "event_id", "left_semi")
-                    .groupBy(*KEY).agg(F.sum("q").alias("added")))
-        added = folded.unionByName(admitted)
-
-    groups = ev.select(*KEY).distinct()
-    state = (groups.join(resets, KEY, "left").join(added, KEY, "left")
-             .select(*KEY, (F.coalesce("reset_value", F.lit(0)) + F.coalesce("added", F.lit(0)))
-                     .alias("quantity")))
+            .select(*KEY, "event_id", (F.col("stock") - F.col("base")).alias("cap"),
+                    F.greatest(F.coalesce(F.col("quantity"), F.lit(1)), F.lit(1)).cast("bigint").alias("q")))
+    accepted = greedy_admission(adds, "event_id", KEY, "q", "cap")
+    added = adds.join(accepted, "event_id", "left_semi").groupBy(*KEY).agg(F.sum("q").alias("added"))
+    state = (base.join(added, KEY, "left")
+             .select(*KEY, (F.col("base") + F.coalesce("added", F.lit(0))).alias("quantity")))
     return state.where(F.col("quantity") > 0).select(
         *KEY, F.col("quantity").cast("int").alias("quantity"))
 
@@ -97,7 +76,8 @@ def price_cart(t: Tables, cart: DataFrame, coupons: DataFrame | None = None) ->
 
     Unit price is basePrice (NULL -> 0); lines of unknown items are dropped.
     ``grand_total`` is the cart page figure (no discount), ``checkout_total``
-    subtracts the coupon (DISCOUNT10 after trim/upper = 10, no floor at 0).
+    subtracts the coupon (DISCOUNT10 after trim/upper = 10, no floor at 0; once,
+    however many coupon rows a user has).
     """
     priced = (cart.join(t.items.select("item_id", F.coalesce("basePrice", F.lit(0.0))
                                        .alias("unit_price")), "item_id")
@@ -108,8 +88,8 @@ def price_cart(t: Tables, cart: DataFrame, coupons: DataFrame | None = None) ->
         from_cents(F.sum(cents_long(F.col("line_total")))).alias("subtotal"))
     if coupons is not None:
         code = F.upper(F.trim("coupon_code"))
-        disc = coupons.select("user_id", F.when(code == DISCOUNT_CODE, F.lit(DISCOUNT_AMOUNT))
-                              .otherwise(F.lit(0.0)).alias("discount"))
+        amount = F.when(code == DISCOUNT_CODE, F.lit(DISCOUNT_AMOUNT)).otherwise(F.lit(0.0))
+        disc = coupons.groupBy("user_id").agg(F.max(amount).alias("discount"))
         per_user = per_user.join(disc, "user_id", "left")
     else:
         per_user = per_user.withColumn("discount", F.lit(None).cast("double"))

@@ -27,7 +27,6 @@ from storelake.sources.model import Tables
 
 PAGE_SIZE = 12
 FEATURED = 6
-DEEP_PAGE_ROWS = 10_000
 
 
 def has_image(image: Column | None = None) -> Column:
@@ -77,9 +76,18 @@ def list_products(t: Tables) -> DataFrame:
     return _product_rows(t, t.items).orderBy(F.desc("item_id"))
 
 
+def _around(t: Tables, items: DataFrame) -> Tables:
+    """The snapshot with variants and category rows of these items only, so
+    that stock and labels are computed for them and not for the whole catalog."""
+    ids = items.select("item_id")
+    return t.with_(items_quant=t.items_quant.join(ids, "item_id", "left_semi"),
+                   sub_category=t.sub_category.join(ids, "item_id", "left_semi"))
+
+
 def search_products(t: Tables, q: str) -> DataFrame:
     """list_products restricted to names containing ``q`` (K7 search)."""
-    return _product_rows(t, t.items.where(contains_term("itemName", q))).orderBy(F.desc("item_id"))
+    items = t.items.where(contains_term("itemName", q))
+    return _product_rows(_around(t, items), items).orderBy(F.desc("item_id"))
 
 
 def inventory_snapshot(t: Tables) -> DataFrame:
@@ -126,28 +134,19 @@ def shop_page(t: Tables, page: int = 1, category: str | None = None,
     """One page of the shop listing, page clamped to [1, total_pages].
 
     Returns the page's items (without the image bytes) with ``current_page``
-    and ``total_pages``.  One aggregate job counts the matches (a single
-    number comes back); the page itself is an ordered offset/limit, which
-    Spark runs as a per-task top-k, never as a global row numbering.
+    and ``total_pages``.  The listing is numbered with the blocked running
+    count, so a page of any depth is a range filter and no task holds the rows
+    before it; the number of pages is a scalar subquery.
     """
     items = fetch_items(t, category, subcategory, q).select(
         "item_id", "itemName", "basePrice", "short_desc", "full_desc",
         has_image().alias("has_image"))
-    n = items.count()
-    total_pages = max(1, -(-n // page_size))
-    current = max(1, min(page, total_pages))
-    first = (current - 1) * page_size
-    if first + page_size <= DEEP_PAGE_ROWS:
-        # shallow page: a per-task top-(offset + page) and one merge
-        rows = items.orderBy("item_id").offset(first).limit(page_size)
-    else:
-        # deep page: number the listing with the blocked running count and
-        # keep the page's range -- no task holds the first `offset` rows
-        ranked = new_ids(items, "item_id", F.lit(0), "_pos")
-        rows = (ranked.where((F.col("_pos") > first) & (F.col("_pos") <= first + page_size))
-                .drop("_pos").orderBy("item_id"))
-    return (rows.withColumn("current_page", F.lit(current).cast("bigint"))
-            .withColumn("total_pages", F.lit(total_pages).cast("bigint")))
+    total = F.greatest(F.lit(1), F.ceil(items.agg(F.count(F.lit(1))).scalar() / F.lit(page_size))).cast("bigint")
+    ranked = (new_ids(items, "item_id", F.lit(0), "_pos").withColumn("total_pages", total)
+              .withColumn("current_page", F.greatest(F.lit(1), F.least(F.lit(page), "total_pages")).cast("bigint")))
+    first = (F.col("current_page") - 1) * page_size
+    return (ranked.where((F.col("_pos") > first) & (F.col("_pos") <= first + page_size))
+            .select(*items.columns, "current_page", "total_pages").orderBy("item_id"))
 
 
 def featured_items(t: Tables, n: int = FEATURED) -> DataFrame:
@@ -179,6 +178,7 @@ def product_images(t: Tables, ids: DataFrame) -> DataFrame:
 def product_card(t: Tables, ids: DataFrame) -> DataFrame:
     """Item with its first variant (K10) and first category (K9), per id."""
     items = t.items.join(ids.select("item_id"), "item_id", "left_semi")
+    t = _around(t, ids)
     return (items.select("item_id", "itemName", "basePrice",
                          F.coalesce("short_desc", F.lit("")).alias("short_desc"),
                          F.coalesce("full_desc", F.lit("")).alias("full_desc"),

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from storelake.functions.parse import form_price, form_stock, image_within_limit
 from storelake.functions.text import variant_description
 from storelake.operators.catalog import first_variant
-from storelake.operators.quality import normalize_roles, registration_audit
+from storelake.operators.joins import left_join_dim
+from storelake.operators.quality import broken_rules, normalized_role
 from storelake.operators.sequence import max_id, new_ids
 from storelake.session import materialize
 from storelake.sources.model import Tables, _conform
@@ -28,46 +29,58 @@ def register_users(t: Tables, batch: DataFrame, created_at: str | None = None
     """Insert registrations that pass the form rules (Q1) and whose e-mail
     is new; inside the batch the first request for an e-mail wins.  Roles are
     normalised (Q5); the default is 'customer'."""
-    audit = registration_audit(batch)
-    valid = batch.join(audit.where(F.col("n_errors") == 0).select("request_id"), "request_id",
-                       "left_semi")
-    fresh = valid.join(t.users.select("email"), "email", "left_anti")
-    firsts = fresh.groupBy("email").agg(F.min("request_id").alias("request_id"))
-    accepted = fresh.join(firsts, ["email", "request_id"], "left_semi")
-    roles = normalize_roles(accepted).select("request_id", "normalized_role")
+    broken = broken_rules()
+    marked = batch.withColumns({"email": F.trim("email"), "_errors": F.array_join(broken, "; ")})
+    taken = t.users.select(F.trim("email").alias("email"), F.lit(True).alias("_taken")).distinct()
+    marked = marked.join(taken, "email", "left")
+    usable = (F.col("_errors") == "") & F.col("_taken").isNull()
+    firsts = marked.where(usable).groupBy("email").agg(F.min("request_id").alias("_first"))
+    # both outputs read the annotated batch: write it once
+    marked = materialize(marked.join(firsts, "email", "left").withColumn(
+        "_in", F.coalesce(usable & (F.col("request_id") == F.col("_first")), F.lit(False))), "registrations")
     when = (F.current_timestamp().cast("timestamp_ntz") if created_at is None
             else F.lit(created_at).cast("timestamp_ntz"))
-    rows = new_ids(accepted.join(roles, "request_id"), "request_id",
-                   max_id(t.users, "user_id"), "user_id")
+    rows = new_ids(marked.where("_in"), "request_id", max_id(t.users, "user_id"), "user_id")
     inserted = _conform(rows.select(
-        "user_id", F.trim("name").alias("name"), F.trim("email").alias("email"),
+        "user_id", F.trim("name").alias("name"), "email",
         F.nullif(F.trim("phone"), F.lit("")).alias("phone"),
-        F.col("normalized_role").alias("role"), F.lit(None).cast("string").alias("notes"),
+        normalized_role().alias("role"), F.lit(None).cast("string").alias("notes"),
         when.alias("created_at")), "users")
-    rejects = (batch.select("request_id").join(accepted, "request_id", "left_anti")
-               .join(audit, "request_id", "left")
-               .select("request_id",
-                       F.when(F.col("n_errors") > 0, F.col("errors"))
-                        .otherwise(F.lit("duplicate_email")).alias("reason")))
+    rejects = marked.where("NOT _in").select(
+        "request_id", F.when(F.col("_errors") != "", F.col("_errors")).otherwise("duplicate_email").alias("reason"))
     return {"users": t.users.unionByName(inserted), "new_users": inserted, "rejects": rejects}
 
 
+def _last(column: str, when=None) -> "F.Column":
+    """The last value of ``column`` by ``seq`` that is not NULL (and meets ``when``)."""
+    counts = F.col(column).isNotNull() if when is None else F.col(column).isNotNull() & when
+    return F.max_by(column, F.when(counts, F.col("seq")))
+
+
 def patch_users(t: Tables, patches: DataFrame) -> dict[str, DataFrame]:
-    """Profile edits.  NULL fields leave the value as it is; role and notes
-    change only when the caller is an admin."""
-    p = patches.select("user_id", *[F.col(c).alias(f"_{c}") for c in
-                                    ("name", "email", "phone", "notes", "role", "caller_role")])
-    admin = F.lower(F.col("_caller_role")) == "admin"
-    j = t.users.join(p, "user_id", "left")
-    out = j.select(
-        "user_id",
-        F.coalesce("_name", "name").alias("name"),
-        F.coalesce("_email", "email").alias("email"),
-        F.coalesce("_phone", "phone").alias("phone"),
-        F.when(admin, F.coalesce("_role", "role")).otherwise(F.col("role")).alias("role"),
-        F.when(admin, F.coalesce("_notes", "notes")).otherwise(F.col("notes")).alias("notes"),
-        "created_at")
-    return {"users": out}
+    """Profile edits, one after another by ``seq``.  NULL fields leave the
+    value as it is; role and notes change only when the caller is an admin.
+
+    An edit is refused when its (trimmed) e-mail belongs to another user of the
+    snapshot or was asked for by another user earlier in the batch; an e-mail that a
+    user gives up becomes free with the next batch.
+    """
+    p = patches.withColumn("email", F.nullif(F.trim("email"), F.lit("")))
+    owner = t.users.select(F.trim("email").alias("email"), F.col("user_id").alias("_owner"))
+    asked = p.where(F.col("email").isNotNull()).select("seq", "user_id", "email").join(owner, "email", "left")
+    free = asked.where(F.col("_owner").isNull())
+    first = free.groupBy("email").agg(F.min_by("user_id", "seq").alias("_first"))
+    refused = (asked.where(F.col("_owner") != F.col("user_id")).select("seq")
+               .unionByName(free.join(first, "email").where(F.col("_first") != F.col("user_id")).select("seq")))
+    refused = materialize(refused, "refused-edits")
+    admin = F.lower(F.col("caller_role")) == "admin"
+    folded = p.join(refused, "seq", "left_anti").groupBy("user_id").agg(
+        *[_last(c).alias(f"_{c}") for c in ("name", "email", "phone")],
+        *[_last(c, admin).alias(f"_{c}") for c in ("role", "notes")])
+    fields = ("name", "email", "phone", "role", "notes")
+    out = t.users.join(folded, "user_id", "left").select(
+        "user_id", *[F.coalesce(f"_{c}", c).alias(c) for c in fields], "created_at")
+    return {"users": out, "rejects": refused.select("seq", F.lit("duplicate_email").alias("reason"))}
 
 
 def delete_users(t: Tables, user_ids: DataFrame) -> dict[str, DataFrame]:
@@ -75,11 +88,14 @@ def delete_users(t: Tables, user_ids: DataFrame) -> dict[str, DataFrame]:
     links; their orders stay with a NULL user (K19)."""
     ids = user_ids.select("user_id").distinct()
     gone = ids.withColumn("_gone", F.lit(True))
-    orders = (t.orders.join(gone, "user_id", "left")
+    orders = (left_join_dim(t.orders, gone, "user_id")
               .withColumn("user_id", F.when(F.col("_gone"), F.lit(None).cast("bigint"))
                           .otherwise(F.col("user_id")))
               .select(*t.orders.columns))
-    drop = lambda df: df.join(ids, "user_id", "left_anti")
+
+    def drop(df):
+        return left_join_dim(df, gone, "user_id").where(F.col("_gone").isNull()).drop("_gone")
+
     return {"users": drop(t.users), "cart": drop(t.cart), "wishlist": drop(t.wishlist),
             "complaint": drop(t.complaint), "user_address": drop(t.user_address),
             "orders": orders}
@@ -88,8 +104,9 @@ def delete_users(t: Tables, user_ids: DataFrame) -> dict[str, DataFrame]:
 # ----------------------------------------------------------------- catalog
 
 def upsert_products(t: Tables, changes: DataFrame) -> dict[str, DataFrame]:
-    """Product form posts.  Rows with an existing item_id update the item
-    and its first variant (created when missing); rows without item_id insert
+    """Product form posts, one after another by request_id.  Rows with an
+    existing item_id update the item and its first variant (created when missing; the last
+    post of an item counts, its image is the last one given); rows without item_id insert
     an item and one 'default' variant.  Image NULL keeps the stored one, empty
     bytes clear it; images over 5 MB are rejected.  Prices and stocks are
     parsed as the form does (F9); descriptions are trimmed and the variant
@@ -105,7 +122,10 @@ def upsert_products(t: Tables, changes: DataFrame) -> dict[str, DataFrame]:
     ok = parsed.where(F.col("_ok")).drop("_ok")
 
     known = t.items.select("item_id")
-    upd = ok.where(F.col("item_id").isNotNull()).join(known, "item_id", "left_semi")
+    upd = (ok.where(F.col("item_id").isNotNull()).join(known, "item_id", "left_semi").groupBy("item_id")
+           .agg(F.min("request_id").alias("request_id"),
+                *[F.max_by(c, "request_id").alias(c) for c in ("itemName", "basePrice", "stock", "short_desc", "full_desc")],
+                F.max_by("image", F.when(F.col("image").isNotNull(), F.col("request_id"))).alias("image")))
     unknown = (ok.where(F.col("item_id").isNotNull()).join(known, "item_id", "left_anti")
                .select("request_id", F.lit("unknown_item").alias("reason")))
     ins = new_ids(ok.where(F.col("item_id").isNull()).drop("item_id"), "request_id",
@@ -163,7 +183,8 @@ def delete_products(t: Tables, item_ids: DataFrame) -> dict[str, DataFrame]:
 def assign_categories(t: Tables, assignments: DataFrame) -> dict[str, DataFrame]:
     """Put items into categories by name, creating missing categories
     (ids in order of first request).  An existing (category, item) row gets
-    the new label; otherwise a bridge row is added.  The label defaults to the
+    the new label; otherwise a bridge row is added.  Of several requests for
+    one row the last gives the label, the first the place among new rows.  The label defaults to the
     category name."""
     a = assignments.select("request_id", "item_id", F.trim("category_name").alias("categoryName"),
                            F.coalesce(F.nullif(F.trim("subcategory_name"), F.lit("")),
@@ -175,7 +196,8 @@ def assign_categories(t: Tables, assignments: DataFrame) -> dict[str, DataFrame]
     # the new category table and the resolved batch are small and each is
     # read several times below: write them once to the shared checkpoint folder
     category_out = materialize(t.category.unionByName(new_cats), "categories")
-    resolved = materialize(a.join(category_out, "categoryName"), "assignments")
+    resolved = materialize(a.join(category_out, "categoryName").groupBy("cat_id", "item_id").agg(
+        F.max_by("label", "request_id").alias("label"), F.min("request_id").alias("request_id")), "assignments")
     existing = resolved.join(t.sub_category.select("cat_id", "item_id"), ["cat_id", "item_id"],
                              "left_semi")
     relabel = existing.select("cat_id", "item_id", F.col("label").alias("_label"))
@@ -210,8 +232,9 @@ def file_complaints(t: Tables, requests: DataFrame) -> dict[str, DataFrame]:
 
 
 def set_complaint_status(t: Tables, changes: DataFrame) -> dict[str, DataFrame]:
-    """New status for the listed complaints."""
-    ch = changes.select("complaint_id", F.col("new_status"))
+    """New status for the listed complaints; the last change by ``seq`` counts."""
+    ch = (changes.where(F.col("new_status").isNotNull()).groupBy("complaint_id")
+          .agg(F.max_by("new_status", "seq").alias("new_status")))
     out = (t.complaint.join(ch, "complaint_id", "left")
            .withColumn("status", F.coalesce("new_status", "status")).drop("new_status"))
     return {"complaint": out.select(*t.complaint.columns)}

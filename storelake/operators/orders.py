@@ -14,11 +14,10 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelake.operators.joins import left_join_dim
-from storelake.operators.sequence import running_sum
 from storelake.sources.model import ORDER_MONTH, Tables
 
 ORDER_COLS = ["order_id", "user_id", "order_date", "order_status", "totalPrice", "staff_id"]
@@ -97,16 +96,13 @@ def receipts(t: Tables, requests: DataFrame) -> DataFrame:
     return order_details(t, owned)
 
 
-def user_order_history(t: Tables, user_ids: DataFrame, tie_break: bool = False) -> DataFrame:
-    """Orders of the requested users, newest first per user.
-
-    P10 (``tie_break``) adds order_id desc as the last sort key.
-    """
+def user_order_history(t: Tables, user_ids: DataFrame) -> DataFrame:
+    """Orders of the requested users, newest first per user (order_id
+    breaks ties)."""
     keys = user_ids.select("user_id").where(F.col("user_id").isNotNull()).distinct()
     hist = (t.orders.join(keys, "user_id", "left_semi")
             .select("user_id", "order_id", "order_date", "order_status", "totalPrice"))
-    sort = [F.asc("user_id"), F.desc("order_date")] + ([F.desc("order_id")] if tie_break else [])
-    return hist.orderBy(*sort)
+    return hist.orderBy(F.asc("user_id"), F.desc("order_date"), F.desc("order_id"))
 
 
 def orders_with_items(t: Tables, user_ids: DataFrame | None = None) -> DataFrame:
@@ -144,10 +140,7 @@ def recent_orders(t: Tables, n: int = 5) -> DataFrame:
 def line_numbers(t: Tables) -> DataFrame:
     """Running line number per order as printed on the invoice.
 
-    A blocked running count (``sequence.running_sum``) instead of one window
-    partition per order: an order with a huge number of lines is numbered by
-    many tasks.
+    One window over the order, which is what a person ordered: one shuffle.
     """
-    lines = t.order_items.select("order_id", "orderItem_id")
-    numbered = running_sum(lines, ["order_id"], "orderItem_id", F.lit(1), "line_no")
-    return numbered.select("order_id", "orderItem_id", F.col("line_no").cast("int").alias("line_no"))
+    by_order = Window.partitionBy("order_id").orderBy("orderItem_id")
+    return t.order_items.select("order_id", "orderItem_id", F.row_number().over(by_order).alias("line_no"))

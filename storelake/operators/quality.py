@@ -26,8 +26,8 @@ PHONE_DIGITS = r"^\d{7,15}$"
 RULES = ("name_required", "email_required", "email_invalid", "phone_required", "phone_invalid")
 
 
-def registration_audit(batch: DataFrame) -> DataFrame:
-    """Q1: for each registration row the broken rules, '; '-joined, and their count."""
+def broken_rules() -> "F.Column":
+    """Array of the registration rules that a row (name, email, phone) breaks."""
     name = F.trim(F.coalesce("name", F.lit("")))
     email = F.trim(F.coalesce("email", F.lit("")))
     phone = F.trim(F.coalesce("phone", F.lit("")))
@@ -39,7 +39,12 @@ def registration_audit(batch: DataFrame) -> DataFrame:
         F.when(phone == "", F.lit("phone_required")),
         F.when((phone != "") & ~digits.rlike(PHONE_DIGITS), F.lit("phone_invalid")),
     )
-    broken = F.filter(checks, lambda c: c.isNotNull())
+    return F.filter(checks, lambda c: c.isNotNull())
+
+
+def registration_audit(batch: DataFrame) -> DataFrame:
+    """Q1: for each registration row the broken rules, '; '-joined, and their count."""
+    broken = broken_rules()
     return batch.select("request_id", F.array_join(broken, "; ").alias("errors"),
                         F.size(broken).alias("n_errors"))
 
@@ -52,10 +57,11 @@ def registration_audit_summary(batch: DataFrame) -> DataFrame:
 
 
 def duplicate_emails(t: Tables, batch: DataFrame) -> DataFrame:
-    """Q2: per registration row whether its e-mail is taken already and how
-    often it occurs in the batch."""
+    """Q2: per registration row whether its (trimmed) e-mail is taken already and
+    how often it occurs in the batch."""
+    batch = batch.withColumn("email", F.trim("email"))
     per_email = batch.groupBy("email").agg(F.count(F.lit(1)).alias("batch_count"))
-    taken = t.users.select("email").distinct().withColumn("already_taken", F.lit(True))
+    taken = t.users.select(F.trim("email").alias("email")).distinct().withColumn("already_taken", F.lit(True))
     flagged = (batch.select("request_id", "email")
                .join(per_email, "email", "left")
                .join(taken, "email", "left"))
@@ -100,15 +106,16 @@ def fk_audit(t: Tables) -> DataFrame:
     by_parent: dict[tuple[str, str], list[DataFrame]] = {}
     for child, col, parent, pcol in FOREIGN_KEYS:
         tag = f"{child}.{col}"
-        refs = (tables[child].where(F.col(col).isNotNull())
-                .select(F.col(col).alias("_k"), F.lit(tag).alias("_fk")))
+        # counted per key first: a hot variant is one row per task from here on
+        refs = (tables[child].where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_k"))
+                .agg(F.count(F.lit(1)).alias("_n")).withColumn("_fk", F.lit(tag)))
         by_parent.setdefault((parent, pcol), []).append(refs)
     orphans = []
     for (parent, pcol), refs in by_parent.items():
         keys = tables[parent].select(F.col(pcol).alias("_k"))
         orphans.append(reduce(DataFrame.unionByName, refs).join(keys, "_k", "left_anti"))
     counts = reduce(DataFrame.unionByName, orphans).groupBy("_fk").agg(
-        F.count(F.lit(1)).alias("_n"))
+        F.sum("_n").alias("_n"))
     declared = t.users.sparkSession.createDataFrame(
         [(f"{c}.{col}", c, col, f"{p}.{pc}") for c, col, p, pc in FOREIGN_KEYS],
         "_fk string, table_name string, column_name string, reference string")
@@ -134,11 +141,14 @@ def fk_audit(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def normalized_role() -> "F.Column":
+    r = F.lower(F.trim("role"))
+    return F.when(r.isin(*ROLES), r).otherwise(F.lit("customer"))
+
+
 def normalize_roles(batch: DataFrame) -> DataFrame:
     """Q5: role lower-cased and trimmed; anything unknown becomes 'customer'."""
-    r = F.lower(F.trim("role"))
-    return batch.select("request_id", "role",
-                        F.when(r.isin(*ROLES), r).otherwise(F.lit("customer")).alias("normalized_role"))
+    return batch.select("request_id", "role", normalized_role().alias("normalized_role"))
 
 
 def complaint_ratings(t: Tables) -> DataFrame:

@@ -8,7 +8,7 @@ Scale notes
   catalog.  The map-side partial aggregate collapses a hot variant (even one
   holding a third of all lines) to one row per task, so the catalog joins
   see at most one row per variant instead of every line.
-* Money is summed as exact cents (``decimal(12,2)``); the result does not
+* Money is summed as exact cents (``decimal(18,2)``); the result does not
   depend on how rows are split across tasks.
 * Top-k lists end with the primary key as last sort key, so ties are
   deterministic (``TakeOrderedAndProject``, no global sort).

@@ -1,11 +1,11 @@
 """Order-dependent building blocks that stay distributed under key skew.
 
-``running_sum`` is a blocked prefix sum: rows are cut into blocks of
-``width`` consecutive sequence values inside each group (by default a width
-that holds about 65,536 rows, derived from the data), each block is
-summed locally (a window over one block only), the block totals are
-prefix-summed (one row per block), and the two are added.  A group holding a
-third of all rows is therefore spread over many tasks instead of one.
+``running_sum`` is a blocked prefix sum: the rows of each group are cut into
+blocks at quantiles of the sequence column (so a block holds a share of the
+rows whatever the id values look like), each block is summed locally (a window
+over one block only), the block totals are prefix-summed (one row per block),
+and the two are added.  A group holding a third of all rows is therefore
+spread over many tasks instead of one.
 
 ``new_ids`` numbers new rows ``base + 1, base + 2, ...`` in sequence order
 with the same blocked scheme -- no single-partition ``row_number()`` over
@@ -14,41 +14,40 @@ the whole batch -- so inserts get deterministic, dense, SQL-equal ids.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 1 << 16
-DEFAULT_WIDTH = None  # derive the block width from the data
+GROUP_BLOCKS, TABLE_BLOCKS = 64, 256   # most blocks inside a group, and of a whole table
 
 
-def block_width(df: DataFrame, seq: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
-    """Scalar subquery: a block width (in units of ``seq``) that gives about
-    ``rows_per_block`` rows per block when the sequence values are spread
-    evenly -- so a sparse sequence (ids far apart) still makes few blocks."""
-    span = F.max(seq) - F.min(seq) + F.lit(1)
-    width = F.ceil(span * F.lit(rows_per_block) / F.greatest(F.count(F.lit(1)), F.lit(1)))
-    return df.agg(F.greatest(F.lit(1), F.coalesce(width, F.lit(1))).cast("bigint")).scalar()
+def _cuts(seq: str, blocks: int) -> Column:
+    return F.percentile_approx(seq, [k / blocks for k in range(1, blocks)], 4 * blocks)
 
 
 def running_sum(df: DataFrame, group: list[str], seq: str, value: Column, out: str,
-                width: int | None = DEFAULT_WIDTH) -> DataFrame:
+                rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Add ``out`` = SUM(value) over rows of the same ``group`` with seq <= own seq.
 
-    ``seq`` must be a non-negative integer column, unique inside a group.
-    ``width`` is the block width in units of ``seq``.  None derives it from
-    the data (``block_width``) for a whole-table numbering (no ``group``),
-    where too many blocks would meet in the one prefix window; inside groups
-    a width of 65,536 sequence values is used.
+    ``seq`` must be an integer column, unique inside a group.  A group of n
+    rows gets about n / ``rows_per_block`` blocks, up to GROUP_BLOCKS (the
+    whole table, without group: TABLE_BLOCKS); the cuts are approximate quantiles, which only
+    decides how evenly the rows are spread.
     """
-    if width is not None:
-        w = F.lit(width)
+    blocks = GROUP_BLOCKS if group else TABLE_BLOCKS
+    spread = F.struct(_cuts(seq, blocks).alias("cuts"), F.count(F.lit(1)).alias("n"))
+    if group:
+        keyed = df.join(df.groupBy(*group).agg(spread.alias("_spread")), group)
     else:
-        w = F.lit(ROWS_PER_BLOCK) if group else block_width(df, seq)
-    blk = F.floor(F.col(seq) / w).cast("bigint")
+        keyed = df.withColumn("_spread", df.agg(spread).scalar())
+    wanted = F.least(F.lit(blocks), F.ceil(F.col("_spread.n") / F.lit(rows_per_block)))
+    place = F.size(F.filter("_spread.cuts", lambda c: c < F.col(seq)))
     local_w = (Window.partitionBy(*group, "_blk").orderBy(seq)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = (df.withColumn("_v", value).withColumn("_blk", blk)
+    local = (keyed.withColumn("_v", value)
+             .withColumn("_blk", F.floor(place * wanted / F.lit(blocks)).cast("int")).drop("_spread")
              .withColumn("_local", F.sum("_v").over(local_w)))
     totals = local.groupBy(*group, "_blk").agg(F.sum("_v").alias("_bt"))
     prefix_w = (Window.partitionBy(*group).orderBy("_blk")
@@ -61,13 +60,13 @@ def running_sum(df: DataFrame, group: list[str], seq: str, value: Column, out: s
 
 
 def new_ids(df: DataFrame, seq: str, base: Column, out: str,
-            group: list[str] | None = None, width: int | None = DEFAULT_WIDTH) -> DataFrame:
+            group: list[str] | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Add ``out`` = base + rank of the row by ``seq`` (within ``group``).
 
     ``base`` is usually a scalar subquery such as ``max(id)`` of the table
     the rows go into (0 when it is empty).
     """
-    ranked = running_sum(df, group or [], seq, F.lit(1).cast("bigint"), "_rank", width)
+    ranked = running_sum(df, group or [], seq, F.lit(1).cast("bigint"), "_rank", rows_per_block)
     return ranked.withColumn(out, (base + F.col("_rank")).cast("bigint")).drop("_rank")
 
 
@@ -76,85 +75,53 @@ def max_id(df: DataFrame, col: str) -> Column:
     return df.agg(F.coalesce(F.max(col), F.lit(0)).cast("bigint")).scalar()
 
 
-def _admission_step(lines: DataFrame, req: str, group: list[str], qty: str, cap: str,
-                    admitted: DataFrame | None, width: int | None) -> DataFrame:
-    """Requests all of whose lines fit, counting earlier requests in ``admitted``."""
-    if admitted is None:
-        flagged = lines.withColumn("_in", F.lit(True))
-    else:
-        flagged = (lines.join(admitted.withColumn("_in", F.lit(True)), req, "left")
-                   .withColumn("_in", F.coalesce("_in", F.lit(False))))
-    counted = F.when(F.col("_in"), F.col(qty)).otherwise(F.lit(0)).cast("bigint")
-    cum = running_sum(flagged, group, req, counted, "_cum", width)
-    fits = (F.col("_cum") - counted + F.col(qty)) <= F.col(cap)
-    return (cum.groupBy(req).agg(F.min(fits.cast("int")).alias("_ok"))
-            .where(F.col("_ok") == 1).select(req))
-
-
 def greedy_admission(lines: DataFrame, req: str, group: list[str], qty: str, cap: str,
-                     method: str = "exact", width: int | None = DEFAULT_WIDTH) -> DataFrame:
+                     rows_per_block: int = ROWS_PER_BLOCK, rounds: list[int] | None = None) -> DataFrame:
     """Requests admitted when they are served one after another in ``req`` order.
 
     ``lines`` has one row per (request, group) with the quantity it takes
     and the group's capacity; a request is admitted iff each of its lines
-    fits in what the earlier *admitted* requests left of the capacity.  The
-    answer is the fixed point of ``step(A)`` (requests that fit counting only
-    earlier requests in A).  Iterating from "all admitted" alternates between
-    lower and upper bounds of the answer and reaches it; each round is one
-    blocked running sum and one aggregate, written to the shared checkpoint
-    folder to cut the lineage.  When no group's total demand exceeds its
-    capacity one aggregate proves that everything fits.
-    ``method="one_pass"`` returns the first round: a subset of the answer.
+    fits in what the earlier *admitted* requests left of the capacity.
+
+    Each round decides requests for good.  A request whose lines fit even if all
+    earlier undecided requests are served is admitted; one with a line that does not fit after
+    the earlier of these admitted ones alone is refused.  The rest goes on with the room that the
+    admitted ones left before it.  The first undecided request is always decided,
+    so every round is smaller than the last.  A round is two blocked running sums
+    and two aggregates, written to the shared checkpoint folder to cut the lineage.
+    ``rounds`` receives the number of undecided lines before each round.
     """
-    from storelake.session import checkpoint_dir
-
-    # when no group's total demand exceeds its capacity, every request fits
-    # at its turn: one aggregate decides it, no running sums are needed
-    over = (lines.groupBy(*group).agg(F.sum(qty).alias("_d"), F.min(cap).alias("_c"))
-            .where(F.col("_d") > F.col("_c")))
-    if over.limit(1).count() == 0:
-        return lines.select(req).distinct()
-    if method == "one_pass":
-        return _admission_step(lines, req, group, qty, cap, None, width)
-    checkpoint_dir(lines.sparkSession)
-    # the request lines are read by every round: keep them (memory, then
-    # disk; a lost block is recomputed from the input); each round's
-    # admitted set is written out, so lineage never grows with the rounds
-    lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _fixed_point(lines, req, group, qty, cap, width)
-    finally:
-        lines.unpersist()
-
-
-def _fixed_point(lines: DataFrame, req: str, group: list[str], qty: str, cap: str,
-                 width: int | None) -> DataFrame:
     from storelake.session import materialize
 
-    current = materialize(_admission_step(lines, req, group, qty, cap, None, width), "admitted")
-    # step(all) admitting every request is already the fixed point
-    if current.count() == lines.select(req).distinct().count():
-        return current
-    while True:
-        nxt = materialize(_admission_step(lines, req, group, qty, cap, current, width), "admitted")
-        # one job: does any request sit in exactly one of the two sets?
-        moved = (nxt.withColumn("_a", F.lit(True))
-                 .join(current.withColumn("_b", F.lit(True)), req, "full_outer")
-                 .where(F.col("_a").isNull() | F.col("_b").isNull()).limit(1).count())
-        if moved == 0:
-            return nxt
-        current = nxt
-
-
-def new_ids_nested(df: DataFrame, outer: str, inner: str, base: Column, out: str,
-                   width: int | None = DEFAULT_WIDTH) -> DataFrame:
+    undecided = materialize(lines.select(req, *group, F.coalesce(F.col(qty), F.lit(0)).cast("bigint").alias("_q"),
+                                         F.col(cap).cast("bigint").alias("_room")), "undecided")
+    admitted = []
+    while (left := undecided.count()) > 0:
+        if rounds is not None:
+            rounds.append(left)
+        most = running_sum(undecided, group, req, F.col("_q"), "_used", rows_per_block)
+        sure = materialize(most.groupBy(req).agg(F.min((F.col("_used") <= F.col("_room")).cast("int")).alias("_ok"))
+                           .where("_ok = 1").select(req), "admitted")
+        admitted.append(sure)
+        counted = (undecided.join(sure.withColumn("_in", F.lit(True)), req, "left")
+                   .withColumn("_taken", F.when(F.col("_in"), F.col("_q")).otherwise(F.lit(0)).cast("bigint")))
+        rest = (running_sum(counted, group, req, F.col("_taken"), "_used", rows_per_block)
+                .where(F.col("_in").isNull())
+                .select(req, *group, "_q", (F.col("_room") - F.col("_used")).alias("_room")))
+        open_ = (rest.groupBy(req).agg(F.min((F.col("_q") <= F.col("_room")).cast("int")).alias("_ok"))
+                 .where("_ok = 1").select(req))
+        undecided = materialize(rest.join(open_, req, "left_semi"), "undecided")
+    return reduce(DataFrame.unionByName, admitted) if admitted else undecided.select(req)
+
+
+def new_ids_nested(df: DataFrame, outer: str, inner: str, base: Column, out: str) -> DataFrame:
     """Like ``new_ids`` but in (outer, inner) order, e.g. lines of new orders:
     id = base + (rows of all earlier outer keys) + rank of ``inner`` inside
-    its outer key.  Both parts are blocked running sums."""
+    its outer key (an order, small by nature)."""
     counts = df.groupBy(outer).agg(F.count(F.lit(1)).alias("_n"))
-    before = (running_sum(counts, [], outer, F.col("_n"), "_upto", width)
+    before = (running_sum(counts, [], outer, F.col("_n"), "_upto")
               .select(outer, (F.col("_upto") - F.col("_n")).alias("_before")))
-    ranked = running_sum(df, [outer], inner, F.lit(1).cast("bigint"), "_rank", width)
-    return (ranked.join(before, outer)
+    inside = Window.partitionBy(outer).orderBy(inner)
+    return (df.withColumn("_rank", F.row_number().over(inside)).join(before, outer)
             .withColumn(out, (base + F.col("_before") + F.col("_rank")).cast("bigint"))
             .drop("_before", "_rank"))

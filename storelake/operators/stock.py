@@ -7,26 +7,14 @@ a dict of new table DataFrames (and rejects).  Nothing is updated in place;
 Admission (W8)
 --------------
 The shop checks each checkout against the item's current total stock and
-then decrements it, one checkout after another.  A batch must give the same
+then decrements it, one checkout after another.  A batch gives the same
 result as that sequence, where rejecting an order leaves its stock for later
-orders.  ``admit_orders`` computes exactly that set (the greedy admission in
-request order) as the fixed point of a monotone step:
-
-    step(A) = { o : every line of o fits, counting only the earlier orders in A }
-
-Starting from all orders, successive steps alternate between a subset and a
-superset of the greedy answer and close in on it; the first ``A`` with
-``step(A) == A`` is it.  One step is a blocked running sum per item (see
-``sequence.running_sum``) plus one aggregate per order -- no per-order
-driver loop and no single task per hot item.  Each step's admitted set is
-written to the shared checkpoint folder to cut the lineage.
-``method="one_pass"`` stops after the first step: conservative (it may
-reject an order the sequence would admit, never the reverse).
+orders: see ``sequence.greedy_admission``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelake.functions.money import line_revenue_sum
@@ -42,10 +30,11 @@ DISCOUNT_AMOUNT = 10.0
 
 def priced_lines(t: Tables, requests: DataFrame) -> DataFrame:
     """Checkout lines of known items with unit price (NULL -> 0) and line total;
-    requests for unknown items are dropped, as the cart page drops them."""
+    lines of unknown items or with a quantity below 1 are dropped, as the cart
+    page drops them."""
     items = t.items.select("item_id", F.coalesce("basePrice", F.lit(0.0)).alias("unit_price"))
     # a cart holds each item once: repeated (request, item) rows are one line
-    carts = (requests.groupBy("request_id", "user_id", "item_id")
+    carts = (requests.where(F.col("quantity") >= 1).groupBy("request_id", "user_id", "item_id")
              .agg(F.sum("quantity").cast("int").alias("quantity")))
     return (carts.join(items, "item_id")
             .withColumn("line_total", F.col("unit_price") * F.col("quantity")))
@@ -59,30 +48,30 @@ def _lines_with_stock(t: Tables, lines: DataFrame) -> DataFrame:
             .drop("stock_sum"))
 
 
-def admit_orders(t: Tables, lines: DataFrame, method: str = "exact") -> DataFrame:
+def admit_orders(t: Tables, lines: DataFrame) -> DataFrame:
     """Request ids admitted under sequential checkout (see module doc)."""
-    return greedy_admission(_lines_with_stock(t, lines), "request_id", ["item_id"], "quantity",
-                            "avail", method)
+    return greedy_admission(_lines_with_stock(t, lines), "request_id", ["item_id"], "quantity", "avail")
 
 
-def check_stock(t: Tables, requests: DataFrame, method: str = "one_pass") -> DataFrame:
+def check_stock(t: Tables, requests: DataFrame) -> DataFrame:
     """W8 report: every checkout request id with ``admitted`` true/false."""
     lines = priced_lines(t, requests)
-    ok = admit_orders(t, lines, method).withColumn("admitted", F.lit(True))
+    ok = admit_orders(t, lines).withColumn("admitted", F.lit(True))
     ids = requests.select("request_id").distinct()
     return (ids.join(ok, "request_id", "left")
             .select("request_id", F.coalesce("admitted", F.lit(False)).alias("admitted")))
 
 
 def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = None,
-                 order_date: str | None = None, method: str = "exact",
-                 order_id_base=None, line_id_base=None) -> dict[str, DataFrame]:
+                 order_date: str | None = None, order_id_base=None,
+                 line_id_base=None) -> dict[str, DataFrame]:
     """Admit the checkout batch, then insert orders and lines and take the
     sold quantity off each item's first variant.
 
     ``requests``: (request_id, user_id, item_id, quantity), one cart per
     request_id.  ``discounts``: optional (request_id, coupon_code); a code
-    equal to DISCOUNT10 after trim/upper takes 10 off the total (no floor).
+    equal to DISCOUNT10 after trim/upper takes 10 off the total (no floor),
+    once however many coupon rows a request has.
     Returns new ``orders``, ``order_items``, ``items_quant`` and ``rejects``
     (plus ``new_orders`` / ``new_order_items``, the inserted rows alone).
     New ids continue after ``order_id_base`` / ``line_id_base`` when given
@@ -91,15 +80,15 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
     # the priced batch feeds admission, totals, lines and stock: write it
     # once to the shared checkpoint folder instead of re-deriving it per use
     lines = materialize(priced_lines(t, requests), "checkout-lines")
-    admitted = admit_orders(t, lines, method)
+    admitted = admit_orders(t, lines)
     ok_lines = lines.join(admitted, "request_id", "left_semi")
 
     per_order = ok_lines.groupBy("request_id", "user_id").agg(
         line_revenue_sum(F.col("unit_price"), F.col("quantity")).alias("subtotal"))
     if discounts is not None:
         code = F.upper(F.trim("coupon_code"))
-        disc = discounts.select("request_id", F.when(code == DISCOUNT_CODE, F.lit(DISCOUNT_AMOUNT))
-                                .otherwise(F.lit(0.0)).alias("discount"))
+        amount = F.when(code == DISCOUNT_CODE, F.lit(DISCOUNT_AMOUNT)).otherwise(F.lit(0.0))
+        disc = discounts.groupBy("request_id").agg(F.max(amount).alias("discount"))
         per_order = per_order.join(disc, "request_id", "left")
     else:
         per_order = per_order.withColumn("discount", F.lit(None).cast("double"))
@@ -127,7 +116,9 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
                                  F.col("quantity").cast("int").alias("quantity"),
                                  F.col("line_total").alias("price"))
 
-    sold = lines_out.groupBy("itemQuant_id").agg(F.sum("quantity").alias("_sold"))
+    # what is sold needs no line ids: straight from the admitted lines
+    sold = (ok_lines.groupBy("item_id").agg(F.sum("quantity").alias("_sold"))
+            .join(variants, "item_id").select("itemQuant_id", "_sold"))
     stock_out = (t.items_quant.join(sold, "itemQuant_id", "left")
                  .withColumn("stock", (F.col("stock") - F.coalesce("_sold", F.lit(0))).cast("int"))
                  .withColumn("negative_stock", F.col("stock") < 0)
@@ -135,8 +126,10 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
                          "negative_stock"))
     rejects = (requests.select("request_id").distinct()
                .join(admitted, "request_id", "left_anti")
-               .withColumn("item_id", F.lit(None).cast("bigint"))
-               .withColumn("reason", F.lit("out_of_stock")))
+               .join(lines.select("request_id").distinct().withColumn("_known", F.lit(True)),
+                     "request_id", "left")
+               .select("request_id", F.lit(None).cast("bigint").alias("item_id"),
+                       F.when(F.col("_known"), "out_of_stock").otherwise("no_valid_line").alias("reason")))
     # An admitted line whose item has no variant cannot be stored
     no_variant = (ok_lines.join(variants, "item_id", "left_anti")
                   .select("request_id", "item_id", F.lit("no_variant").alias("reason")))
@@ -152,21 +145,30 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
 
 
 def apply_order_status(t: Tables, changes: DataFrame) -> dict[str, DataFrame]:
-    """Set order statuses; an order moving *into* 'Cancelled' gives its
-    line quantities back to their variants once (K12).  The change's staff_id
-    is recorded.  Unknown order ids change nothing."""
-    ch = changes.select("order_id", F.col("new_status"), F.col("staff_id").alias("_staff"))
-    joined = t.orders.join(ch, "order_id", "left")
-    newly_cancelled = (joined.where((F.col("new_status") == "Cancelled")
-                                    & ~F.col("order_status").eqNullSafe("Cancelled"))
-                       .select("order_id"))
-    back = (t.order_items.join(newly_cancelled, "order_id", "left_semi")
-            .groupBy("itemQuant_id").agg(F.sum("quantity").alias("_back")))
+    """Set order statuses, one change after another by ``seq``.
+
+    Every step of an order *into* 'Cancelled' gives its line quantities back to
+    their variants (K12); the status before a step is the one of the order's
+    previous change, for its first change the stored one.  The last change
+    decides the status, the last named staff member the staff_id.  Unknown order ids
+    and changes without a status change nothing.
+    """
+    known = t.orders.select("order_id", "order_status")
+    steps = changes.where(F.col("new_status").isNotNull()).join(known, "order_id")
+    by_order = Window.partitionBy("order_id").orderBy("seq")
+    before = F.coalesce(F.lag("new_status").over(by_order), "order_status")
+    steps = steps.withColumn("_into", (F.col("new_status") == "Cancelled") & ~before.eqNullSafe(F.lit("Cancelled")))
+    named = F.when(F.col("staff_id").isNotNull(), F.col("seq"))
+    folded = steps.groupBy("order_id").agg(
+        F.max_by("new_status", "seq").alias("_status"), F.max_by("staff_id", named).alias("_staff"),
+        F.sum(F.col("_into").cast("int")).alias("_times"))
+    back = (t.order_items.join(folded.where("_times > 0").select("order_id", "_times"), "order_id")
+            .groupBy("itemQuant_id").agg(F.sum(F.col("quantity") * F.col("_times")).alias("_back")))
     stock_out = (t.items_quant.join(back, "itemQuant_id", "left")
                  .withColumn("stock", (F.col("stock") + F.coalesce("_back", F.lit(0))).cast("int"))
                  .drop("_back"))
-    orders_out = joined.select(
+    orders_out = t.orders.join(folded, "order_id", "left").select(
         "order_id", "user_id", "order_date",
-        F.coalesce("new_status", "order_status").alias("order_status"), "totalPrice",
+        F.coalesce("_status", "order_status").alias("order_status"), "totalPrice",
         F.coalesce("_staff", "staff_id").alias("staff_id"))
     return {"orders": orders_out, "items_quant": stock_out}

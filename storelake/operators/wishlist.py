@@ -37,21 +37,13 @@ def wishlist_items(t: Tables, user_ids: DataFrame | None = None) -> DataFrame:
             .orderBy(F.asc("user_id"), F.desc("wishlist_id")))
 
 
-def flag_wishlisted(t: Tables, page: DataFrame, user_ids: DataFrame) -> DataFrame:
-    """For each requesting user, every item of a catalog *page* (T1/T2
-    output, at most a page of rows) flagged when the user wishlisted it.
-
-    The page travels as one array column (a scalar subquery over the page),
-    so each user row expands to exactly the page's items -- no join of users
-    with the catalog and no cross product.
-    """
-    page_ids = page.agg(F.sort_array(F.collect_list("item_id")).alias("ids")).scalar()
-    shown = (user_ids.select("user_id").distinct()
-             .select("user_id", F.explode(page_ids).alias("item_id")))
-    liked = (t.wishlist.join(user_ids.select("user_id"), "user_id", "left_semi")
+def flag_wishlisted(t: Tables, shown: DataFrame) -> DataFrame:
+    """Every (user_id, item_id) shown to a user on a catalog page (T1/T2),
+    flagged when the user wishlisted the item."""
+    liked = (t.wishlist.select("user_id", "itemQuant_id")
              .join(t.items_quant.select("itemQuant_id", "item_id"), "itemQuant_id")
              .select("user_id", "item_id").distinct().withColumn("_p", F.lit(True)))
-    return (shown.join(liked, ["user_id", "item_id"], "left")
+    return (shown.select("user_id", "item_id").distinct().join(liked, ["user_id", "item_id"], "left")
             .select("user_id", "item_id", F.coalesce("_p", F.lit(False)).alias("in_wishlist")))
 
 

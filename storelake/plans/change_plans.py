@@ -8,7 +8,6 @@ from storelake.operators import cart as K
 from storelake.operators import changes as W
 from storelake.operators import stock as S
 from storelake.operators import wishlist as WL
-from storelake.operators.catalog import featured_items
 from storelake.plans.model_sql import register
 from storelake.plans.quality_plans import _AUDIT_SQL
 from storelake.plans.registry import query
@@ -21,10 +20,14 @@ register("first_variant_v",
 
 # ------------------------------------------------------------------ W1, W2, W5
 
-_VALID_FRESH = f"""
-    SELECT n.* FROM new_users n
-    WHERE n.request_id IN (SELECT request_id FROM ({_AUDIT_SQL}) a WHERE n_errors = 0)
-      AND n.email NOT IN (SELECT email FROM users)"""
+register("registrations", f"""
+    SELECT n.request_id, n.name, trim(n.email) AS email, n.phone, n.role, a.errors, a.n_errors,
+           trim(n.email) IN (SELECT trim(email) FROM users) AS taken
+    FROM new_users n JOIN ({_AUDIT_SQL}) a ON n.request_id = a.request_id""")
+register("accepted_users", """
+    SELECT * FROM registrations r
+    WHERE n_errors = 0 AND NOT taken AND request_id = (
+      SELECT min(request_id) FROM registrations o WHERE o.email = r.email AND o.n_errors = 0)""")
 
 
 @query("register_users", f"""
@@ -32,30 +35,56 @@ _VALID_FRESH = f"""
     UNION ALL
     SELECT (SELECT COALESCE(max(user_id), 0) FROM users)
              + row_number() OVER (ORDER BY request_id) AS user_id,
-           trim(name), trim(email), NULLIF(trim(phone), ''),
+           trim(name), email, NULLIF(trim(phone), ''),
            CASE WHEN lower(trim(role)) IN ('customer', 'staff', 'admin') THEN lower(trim(role))
                 ELSE 'customer' END,
            CAST(NULL AS VARCHAR), TIMESTAMP '{NOW}'
-    FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY request_id) AS rk
-          FROM ({_VALID_FRESH}) v) f
-    WHERE rk = 1""")
+    FROM accepted_users""")
 def register_users(t, ctx):
     return W.register_users(t, RQ.new_users(ctx), created_at=NOW)["users"]
 
 
+@query("register_users_rejects", """
+    SELECT request_id, CASE WHEN n_errors > 0 THEN errors ELSE 'duplicate_email' END AS reason
+    FROM registrations WHERE request_id NOT IN (SELECT request_id FROM accepted_users)""")
+def register_users_rejects(t, ctx):
+    return W.register_users(t, RQ.new_users(ctx), created_at=NOW)["rejects"]
+
+
+register("refused_patches", """
+    SELECT p.seq FROM user_patches p JOIN users o ON trim(p.email) = trim(o.email) AND o.user_id <> p.user_id
+    UNION ALL
+    SELECT p.seq FROM user_patches p
+    WHERE trim(p.email) <> '' AND trim(p.email) NOT IN (SELECT trim(email) FROM users)
+      AND p.user_id <> (SELECT arg_min(q.user_id, q.seq) FROM user_patches q WHERE trim(q.email) = trim(p.email))""")
+register("patch_walk", """
+    SELECT * FROM (
+      WITH RECURSIVE edits AS (
+        SELECT p.*, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM user_patches p
+        WHERE seq NOT IN (SELECT seq FROM refused_patches)),
+      walk AS (
+        SELECT user_id, CAST(0 AS BIGINT) AS rn, name, email, phone, role, notes FROM users
+        UNION ALL
+        SELECT w.user_id, e.rn, COALESCE(e.name, w.name), COALESCE(NULLIF(trim(e.email), ''), w.email),
+               COALESCE(e.phone, w.phone),
+               CASE WHEN lower(e.caller_role) = 'admin' THEN COALESCE(e.role, w.role) ELSE w.role END,
+               CASE WHEN lower(e.caller_role) = 'admin' THEN COALESCE(e.notes, w.notes) ELSE w.notes END
+        FROM walk w JOIN edits e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS back FROM walk) x WHERE back = 1""")
+
+
 @query("patch_users", """
-    SELECT u.user_id, COALESCE(p.name, u.name) AS name, COALESCE(p.email, u.email) AS email,
-           COALESCE(p.phone, u.phone) AS phone,
-           CASE WHEN lower(p.caller_role) = 'admin' THEN COALESCE(p.role, u.role) ELSE u.role END
-             AS role,
-           CASE WHEN lower(p.caller_role) = 'admin' THEN COALESCE(p.notes, u.notes) ELSE u.notes END
-             AS notes,
-           u.created_at
-    FROM users u LEFT JOIN user_patches p ON u.user_id = p.user_id""")
+    SELECT w.user_id, w.name, w.email, w.phone, w.role, w.notes, u.created_at
+    FROM patch_walk w JOIN users u ON w.user_id = u.user_id""")
 def patch_users(t, ctx):
     return W.patch_users(t, RQ.user_patches(ctx))["users"]
 
 
+@query("patch_users_rejects", "SELECT seq, 'duplicate_email' AS reason FROM refused_patches")
+def patch_users_rejects(t, ctx):
+    return W.patch_users(t, RQ.user_patches(ctx))["rejects"]
+
+
 @query("delete_users", """
     SELECT order_id,
            CASE WHEN user_id IN (SELECT user_id FROM delete_users) THEN NULL ELSE user_id END
@@ -66,6 +95,22 @@ def delete_users(t, ctx):
     return W.delete_users(t, RQ.delete_users(ctx))["orders"]
 
 
+def _kept(table: str, key: str, gone: str) -> str:
+    return f"SELECT * FROM {table} WHERE {key} IS NULL OR {key} NOT IN (SELECT {key} FROM {gone})"
+
+
+def _register_deletes(job, prefix, batch, tables):
+    """One registered query per table that a delete job leaves behind."""
+    for table, sql in tables.items():
+        def build(t, ctx, table=table):
+            return job(t, batch(ctx))[table]
+        query(f"{prefix}_{table}", sql)(build)
+
+
+_register_deletes(W.delete_users, "delete_users", RQ.delete_users,
+                  {n: _kept(n, "user_id", "delete_users") for n in ("users", "cart", "wishlist", "user_address")})
+
+
 @query("delete_users_complaints", """
     SELECT * FROM complaint
     WHERE user_id IS NULL OR user_id NOT IN (SELECT user_id FROM delete_users)""")
@@ -85,8 +130,12 @@ register("parsed_products", r"""
            image
     FROM product_changes
     WHERE COALESCE(octet_length(image) <= 5242880, true)""")
-register("product_updates",
-         "SELECT * FROM parsed_products WHERE item_id IN (SELECT item_id FROM items)")
+register("product_updates", """
+    SELECT item_id, min(request_id) AS request_id, arg_max(itemName, request_id) AS itemName,
+           arg_max(basePrice, request_id) AS basePrice, arg_max(stock, request_id) AS stock,
+           arg_max(short_desc, request_id) AS short_desc, arg_max(full_desc, request_id) AS full_desc,
+           arg_max(image, request_id) FILTER (WHERE image IS NOT NULL) AS image
+    FROM parsed_products WHERE item_id IN (SELECT item_id FROM items) GROUP BY item_id""")
 register("product_inserts", """
     SELECT p.*, (SELECT COALESCE(max(item_id), 0) FROM items)
                   + row_number() OVER (ORDER BY request_id) AS new_item_id
@@ -142,6 +191,28 @@ def delete_products(t, ctx):
     return W.delete_products(t, RQ.delete_items(ctx))["order_items"]
 
 
+_DELETED_VARIANTS = "(SELECT itemQuant_id FROM items_quant WHERE item_id IN (SELECT item_id FROM delete_items))"
+_register_deletes(W.delete_products, "delete_products", RQ.delete_items, {
+    "items_quant": _kept("items_quant", "item_id", "delete_items"),
+    "cart": f"SELECT * FROM cart WHERE itemQuant_id IS NULL OR itemQuant_id NOT IN {_DELETED_VARIANTS}",
+    "wishlist": f"SELECT * FROM wishlist WHERE itemQuant_id IS NULL OR itemQuant_id NOT IN {_DELETED_VARIANTS}"})
+
+
+@query("delete_products_items", """
+    SELECT item_id, itemName, basePrice FROM items WHERE item_id NOT IN (SELECT item_id FROM delete_items)""")
+def delete_products_items(t, ctx):
+    return W.delete_products(t, RQ.delete_items(ctx))["items"].select("item_id", "itemName", "basePrice")
+
+
+@query("upsert_products_rejects", """
+    SELECT request_id, 'image_too_large' AS reason FROM product_changes WHERE octet_length(image) > 5242880
+    UNION ALL
+    SELECT request_id, 'unknown_item' FROM parsed_products
+    WHERE item_id IS NOT NULL AND item_id NOT IN (SELECT item_id FROM items)""")
+def upsert_products_rejects(t, ctx):
+    return W.upsert_products(t, RQ.product_changes(ctx))["rejects"]
+
+
 @query("delete_products_bridge", """
     SELECT * FROM sub_category WHERE item_id NOT IN (SELECT item_id FROM delete_items)""")
 def delete_products_bridge(t, ctx):
@@ -158,9 +229,10 @@ register("category_next", """
           WHERE trim(category_name) NOT IN (SELECT categoryName FROM category)
           GROUP BY 1) n""")
 register("assign_resolved", """
-    SELECT a.request_id, a.item_id, c.cat_id,
-           COALESCE(NULLIF(trim(a.subcategory_name), ''), trim(a.category_name)) AS label
-    FROM category_assignments a JOIN category_next c ON trim(a.category_name) = c.categoryName""")
+    SELECT min(a.request_id) AS request_id, a.item_id, c.cat_id,
+           arg_max(COALESCE(NULLIF(trim(a.subcategory_name), ''), trim(a.category_name)), a.request_id) AS label
+    FROM category_assignments a JOIN category_next c ON trim(a.category_name) = c.categoryName
+    GROUP BY a.item_id, c.cat_id""")
 
 
 @query("assign_categories", "SELECT cat_id, categoryName FROM category_next")
@@ -183,18 +255,20 @@ def assign_categories_bridge(t, ctx):
 
 # ------------------------------------------------------------------ W6-W8
 
-register("restock", """
-    SELECT oi.itemQuant_id, sum(oi.quantity) AS back
-    FROM order_items oi JOIN status_changes s ON oi.order_id = s.order_id
-    JOIN orders_v o ON o.order_id = s.order_id
-    WHERE s.new_status = 'Cancelled' AND o.order_status IS DISTINCT FROM 'Cancelled'
-    GROUP BY oi.itemQuant_id""")
+register("status_steps", """
+    SELECT s.order_id, s.seq, s.new_status, s.staff_id,
+           COALESCE(lag(s.new_status) OVER (PARTITION BY s.order_id ORDER BY s.seq), o.order_status) AS before
+    FROM status_changes s JOIN orders_v o ON o.order_id = s.order_id WHERE s.new_status IS NOT NULL""")
 
 
 @query("apply_order_status", """
     SELECT q.itemQuant_id, q.item_id, q.color, CAST(q.stock + COALESCE(r.back, 0) AS INTEGER) AS stock,
            q.description
-    FROM items_quant q LEFT JOIN restock r ON q.itemQuant_id = r.itemQuant_id""")
+    FROM items_quant q LEFT JOIN (
+      SELECT oi.itemQuant_id, sum(oi.quantity) AS back
+      FROM status_steps s JOIN order_items oi ON oi.order_id = s.order_id
+      WHERE s.new_status = 'Cancelled' AND s.before IS DISTINCT FROM 'Cancelled' GROUP BY oi.itemQuant_id) r
+    ON q.itemQuant_id = r.itemQuant_id""")
 def apply_order_status(t, ctx):
     return S.apply_order_status(t, RQ.status_changes(ctx))["items_quant"]
 
@@ -202,122 +276,108 @@ def apply_order_status(t, ctx):
 @query("apply_order_status_orders", """
     SELECT o.order_id, o.user_id, o.order_date, COALESCE(s.new_status, o.order_status) AS order_status,
            o.totalPrice, COALESCE(s.staff_id, o.staff_id) AS staff_id
-    FROM orders_v o LEFT JOIN status_changes s ON o.order_id = s.order_id""")
+    FROM orders_v o LEFT JOIN (
+      SELECT order_id, arg_max(new_status, seq) AS new_status,
+             arg_max(staff_id, seq) FILTER (WHERE staff_id IS NOT NULL) AS staff_id
+      FROM status_steps GROUP BY order_id) s ON o.order_id = s.order_id""")
 def apply_order_status_orders(t, ctx):
     return S.apply_order_status(t, RQ.status_changes(ctx))["orders"]
 
 
-register("order_discounts_ok", """
-    SELECT DISTINCT request_id,
-           CASE WHEN request_id % 3 = 0 THEN ' discount10 ' ELSE NULL END AS coupon_code
-    FROM order_requests_ok""")
-register("new_orders_ok", f"""
+# The oracle replays the checkouts one by one (a recursive CTE carrying the
+# remaining stock per item as a MAP), i.e. the shop's own sequence.
+register("replayed_checkouts", """
+    SELECT request_id, admitted FROM (
+      WITH RECURSIVE reqs AS (
+        SELECT request_id, row_number() OVER (ORDER BY request_id) AS rn,
+               map_from_entries(list(struct_pack(k := item_id, v := CAST(quantity AS BIGINT)))) AS ls
+        FROM checkout_lines GROUP BY request_id),
+      walk AS (
+        SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BOOLEAN) AS admitted,
+               (SELECT map_from_entries(list(struct_pack(k := item_id, v := CAST(avail AS BIGINT))))
+                FROM (SELECT DISTINCT item_id, avail FROM checkout_lines) d) AS m
+        UNION ALL
+        SELECT r.rn, r.request_id, f.fits,
+               CASE WHEN f.fits THEN map_from_entries(list_transform(map_entries(w.m), lambda e:
+                         struct_pack(k := e.key, v := e.value - COALESCE(r.ls[e.key], 0))))
+                    ELSE w.m END
+        FROM walk w JOIN reqs r ON r.rn = w.rn + 1,
+             LATERAL (SELECT list_bool_and(list_transform(map_entries(r.ls), lambda x: x.value <= w.m[x.key])) AS fits) f)
+      SELECT request_id, admitted FROM walk WHERE rn > 0) x""")
+register("admitted_lines", """
+    SELECT l.* FROM checkout_lines l JOIN replayed_checkouts a ON l.request_id = a.request_id WHERE a.admitted""")
+register("new_orders_v", f"""
     SELECT r.request_id,
            (SELECT max(order_id) FROM orders_v) + row_number() OVER (ORDER BY r.request_id) AS order_id,
            r.user_id, TIMESTAMP '{NOW}' AS order_date, 'Processing' AS order_status,
-           r.subtotal - COALESCE(CASE WHEN upper(trim(d.coupon_code)) = 'DISCOUNT10' THEN 10.0
-                                      ELSE 0.0 END, 0.0) AS totalPrice,
-           CAST(0 AS BIGINT) AS staff_id
-    FROM (SELECT q.request_id, q.user_id,
-                 CAST(sum(CAST(i.basePrice AS DECIMAL(12,2)) * q.quantity) AS DOUBLE) AS subtotal
-          FROM order_requests_ok q JOIN items i ON q.item_id = i.item_id
-          GROUP BY q.request_id, q.user_id) r
-    LEFT JOIN order_discounts_ok d ON r.request_id = d.request_id""")
-
-
-def _ok_discounts(ctx):
-    return (RQ.order_requests_ok(ctx).select("request_id").distinct()
-            .select("request_id", F.when(F.col("request_id") % 3 == 0, F.lit(" discount10 "))
-                    .otherwise(F.lit(None).cast("string")).alias("coupon_code")))
+           r.subtotal - COALESCE(d.discount, 0.0) AS totalPrice, r.subtotal, CAST(0 AS BIGINT) AS staff_id
+    FROM (SELECT request_id, user_id,
+                 CAST(sum(CAST(unit_price AS DECIMAL(18,2)) * quantity) AS DOUBLE) AS subtotal
+          FROM admitted_lines GROUP BY request_id, user_id) r
+    LEFT JOIN (SELECT request_id, max(CAST(CASE WHEN upper(trim(coupon_code)) = 'DISCOUNT10' THEN 10.0 ELSE 0.0 END AS DOUBLE))
+                        AS discount FROM order_discounts GROUP BY request_id) d ON r.request_id = d.request_id""")
+register("stock_after_checkout", """
+    SELECT q.itemQuant_id, q.item_id, q.color, CAST(q.stock - COALESCE(s.sold, 0) AS INTEGER) AS stock, q.description
+    FROM items_quant q LEFT JOIN (
+      SELECT f.itemQuant_id, sum(r.quantity) AS sold
+      FROM admitted_lines r JOIN first_variant_v f ON r.item_id = f.item_id GROUP BY f.itemQuant_id) s
+    ON q.itemQuant_id = s.itemQuant_id""")
 
 
-def _place_ok(t, ctx):
-    return S.place_orders(t, RQ.order_requests_ok(ctx), _ok_discounts(ctx), order_date=NOW)
+def _placed(t, ctx):
+    return S.place_orders(t, RQ.order_requests(ctx), RQ.order_discounts(ctx), order_date=NOW)
 
 
 @query("place_orders", """
-    SELECT order_id, user_id, order_date, order_status, totalPrice, staff_id FROM new_orders_ok""")
+    SELECT order_id, user_id, order_date, order_status, totalPrice, staff_id FROM new_orders_v""")
 def place_orders(t, ctx):
-    return _place_ok(t, ctx)["new_orders"]
+    return _placed(t, ctx)["new_orders"]
 
 
 @query("place_orders_lines", """
     SELECT (SELECT max(orderItem_id) FROM order_items)
              + row_number() OVER (ORDER BY o.order_id, q.item_id) AS orderItem_id,
-           o.order_id, f.itemQuant_id, q.quantity, i.basePrice * q.quantity AS price
-    FROM order_requests_ok q JOIN items i ON q.item_id = i.item_id
-    JOIN new_orders_ok o ON q.request_id = o.request_id
+           o.order_id, f.itemQuant_id, q.quantity, q.unit_price * q.quantity AS price
+    FROM admitted_lines q JOIN new_orders_v o ON q.request_id = o.request_id
     JOIN first_variant_v f ON q.item_id = f.item_id""")
 def place_orders_lines(t, ctx):
-    return _place_ok(t, ctx)["new_order_items"]
+    return _placed(t, ctx)["new_order_items"]
 
 
-@query("place_orders_stock", """
-    SELECT q.itemQuant_id, q.item_id, q.color, CAST(q.stock - COALESCE(s.sold, 0) AS INTEGER) AS stock,
-           q.description, (q.stock - COALESCE(s.sold, 0)) < 0 AS negative_stock
-    FROM items_quant q LEFT JOIN (
-      SELECT f.itemQuant_id, sum(r.quantity) AS sold
-      FROM order_requests_ok r JOIN items i ON r.item_id = i.item_id
-      JOIN first_variant_v f ON r.item_id = f.item_id GROUP BY f.itemQuant_id) s
-    ON q.itemQuant_id = s.itemQuant_id""")
+@query("place_orders_stock", "SELECT *, stock < 0 AS negative_stock FROM stock_after_checkout")
 def place_orders_stock(t, ctx):
-    return _place_ok(t, ctx)["items_quant"]
+    return _placed(t, ctx)["items_quant"]
+
+
+@query("place_orders_rejects", """
+    SELECT DISTINCT q.request_id, CAST(NULL AS BIGINT) AS item_id,
+           CASE WHEN q.request_id IN (SELECT request_id FROM checkout_lines) THEN 'out_of_stock'
+                ELSE 'no_valid_line' END AS reason
+    FROM order_requests q WHERE q.request_id NOT IN (SELECT request_id FROM admitted_lines)
+    UNION ALL
+    SELECT request_id, item_id, 'no_variant' FROM admitted_lines
+    WHERE item_id NOT IN (SELECT item_id FROM first_variant_v)""")
+def place_orders_rejects(t, ctx):
+    return _placed(t, ctx)["rejects"]
 
 
-@query("check_stock", """
+_CHECKED = """
     SELECT r.request_id, COALESCE(a.admitted, false) AS admitted
     FROM (SELECT DISTINCT request_id FROM order_requests) r
-    LEFT JOIN (
-      SELECT request_id, NOT bool_or(over_stock) AS admitted FROM (
-        SELECT q.request_id,
-               sum(q.quantity) OVER (PARTITION BY q.item_id ORDER BY q.request_id
-                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-                 > COALESCE(s.total, 0) AS over_stock
-        FROM order_requests q JOIN items i ON q.item_id = i.item_id
-        LEFT JOIN (SELECT item_id, sum(stock) AS total FROM items_quant GROUP BY item_id) s
-          ON q.item_id = s.item_id) x
-      GROUP BY request_id) a ON r.request_id = a.request_id""")
+    LEFT JOIN replayed_checkouts a ON r.request_id = a.request_id"""
+
+
+@query("check_stock", _CHECKED)
 def check_stock(t, ctx):
-    return S.check_stock(t, RQ.order_requests(ctx), method="one_pass")
+    return S.check_stock(t, RQ.order_requests(ctx))
 
 
-# The oracle replays the checkouts one by one (a recursive CTE carrying the
-# remaining stock per item as a MAP), i.e. the shop's own sequence.
-_SEQUENTIAL_ADMISSION = """
-SELECT request_id, admitted FROM (
-  WITH RECURSIVE lines AS (
-    SELECT q.request_id, q.item_id, q.quantity, COALESCE(s.total, 0) AS avail
-    FROM order_requests q JOIN items i ON q.item_id = i.item_id
-    LEFT JOIN (SELECT item_id, sum(stock) AS total FROM items_quant GROUP BY item_id) s
-      ON q.item_id = s.item_id),
-  reqs AS (
-    SELECT request_id, row_number() OVER (ORDER BY request_id) AS rn,
-           list(struct_pack(item := item_id, q := quantity)) AS ls
-    FROM lines GROUP BY request_id),
-  walk AS (
-    SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BOOLEAN) AS admitted,
-           (SELECT map_from_entries(list(struct_pack(k := item_id, v := CAST(avail AS BIGINT))))
-            FROM (SELECT DISTINCT item_id, avail FROM lines) d) AS m
-    UNION ALL
-    SELECT r.rn, r.request_id, f.fits,
-           CASE WHEN f.fits THEN map_from_entries(list_transform(map_entries(w.m), lambda e:
-                     struct_pack(k := e.key, v := e.value - COALESCE(list_sum(list_transform(
-                       list_filter(r.ls, lambda x: x.item = e.key), lambda x: x.q)), 0))))
-                ELSE w.m END
-    FROM walk w JOIN reqs r ON r.rn = w.rn + 1,
-         LATERAL (SELECT list_bool_and(list_transform(r.ls, lambda x: x.q <= w.m[x.item])) AS fits) f)
-  SELECT request_id, admitted FROM walk WHERE rn > 0
-) x
-UNION ALL
-SELECT DISTINCT request_id, false FROM order_requests
-WHERE request_id NOT IN (SELECT q.request_id FROM order_requests q JOIN items i ON q.item_id = i.item_id)
-"""
-
-
-@query("place_orders_exact", _SEQUENTIAL_ADMISSION)
+@query("place_orders_exact", _CHECKED)
 def place_orders_exact(t, ctx):
-    """Exact sequential admission on a batch with stock conflicts."""
-    return S.check_stock(t, RQ.order_requests(ctx), method="exact")
+    """The placed checkouts, seen from the batch: exact sequential admission."""
+    rejects = _placed(t, ctx)["rejects"].where(F.col("item_id").isNull()).select("request_id", F.lit(False).alias("admitted"))
+    return (RQ.order_requests(ctx).select("request_id").distinct().join(rejects, "request_id", "left")
+            .select("request_id", F.coalesce("admitted", F.lit(True)).alias("admitted")))
 
 
 # ------------------------------------------------------------------ W9, W10
@@ -336,7 +396,9 @@ def file_complaints(t, ctx):
 @query("set_complaint_status", """
     SELECT c.complaint_id, c.user_id, c.message, COALESCE(x.new_status, c.status) AS status,
            c.created_at
-    FROM complaint c LEFT JOIN complaint_changes x ON c.complaint_id = x.complaint_id""")
+    FROM complaint c LEFT JOIN (
+      SELECT complaint_id, arg_max(new_status, seq) AS new_status FROM complaint_changes
+      WHERE new_status IS NOT NULL GROUP BY complaint_id) x ON c.complaint_id = x.complaint_id""")
 def set_complaint_status(t, ctx):
     return W.set_complaint_status(t, RQ.complaint_changes(ctx))["complaint"]
 
@@ -365,6 +427,18 @@ def add_addresses_links(t, ctx):
     return W.add_addresses(t, RQ.address_requests(ctx))["user_address"]
 
 
+@query("add_addresses_rejects", """
+    SELECT request_id, 'incomplete' AS reason FROM address_requests
+    WHERE request_id NOT IN (SELECT request_id FROM address_ok)""")
+def add_addresses_rejects(t, ctx):
+    return W.add_addresses(t, RQ.address_requests(ctx))["rejects"]
+
+
+@query("drop_addresses_rows", "SELECT * FROM address WHERE addr_id NOT IN (SELECT addr_id FROM address_drops)")
+def drop_addresses_rows(t, ctx):
+    return W.drop_addresses(t, RQ.address_drops(ctx))["address"]
+
+
 @query("drop_addresses", """
     SELECT * FROM user_address WHERE addr_id NOT IN (SELECT addr_id FROM address_drops)""")
 def drop_addresses(t, ctx):
@@ -400,13 +474,12 @@ def wishlist_items(t, ctx):
 
 
 @query("flag_wishlisted", """
-    SELECT u.user_id, f.item_id,
+    SELECT DISTINCT v.user_id, v.item_id,
            EXISTS (SELECT 1 FROM wishlist w JOIN items_quant q ON w.itemQuant_id = q.itemQuant_id
-                   WHERE w.user_id = u.user_id AND q.item_id = f.item_id) AS in_wishlist
-    FROM (SELECT DISTINCT user_id FROM wishlist_events) u,
-         (SELECT item_id FROM items ORDER BY item_id LIMIT 6) f""")
+                   WHERE w.user_id = v.user_id AND q.item_id = v.item_id) AS in_wishlist
+    FROM wishlist_events v""")
 def flag_wishlisted(t, ctx):
-    return WL.flag_wishlisted(t, featured_items(t), RQ.wishlist_events(ctx))
+    return WL.flag_wishlisted(t, RQ.wishlist_events(ctx))
 
 
 @query("add_wishlist", """
@@ -445,17 +518,30 @@ def clear_wishlist(t, ctx):
     return WL.clear_wishlist(t, RQ.wishlist_clears(ctx))["deleted"]
 
 
+_register_deletes(WL.clear_wishlist, "clear_wishlist", RQ.wishlist_clears,
+                  {"wishlist": _kept("wishlist", "user_id", "wishlist_clears")})
+
+
 # ------------------------------------------------------------------ cart
 
+# an update also removes every other item the user ever named
+register("cart_steps", """
+    SELECT event_id, user_id, item_id, op, quantity FROM cart_ops
+    WHERE item_id IS NOT NULL AND user_id IS NOT NULL
+    UNION ALL
+    SELECT DISTINCT u.event_id, u.user_id, p.item_id, 'remove', CAST(NULL AS INTEGER)
+    FROM cart_ops u JOIN (SELECT DISTINCT user_id, item_id FROM cart_ops WHERE item_id IS NOT NULL) p
+      ON p.user_id = u.user_id
+    WHERE u.op = 'update' AND u.item_id IS NOT NULL
+      AND p.item_id NOT IN (SELECT q.item_id FROM cart_ops q WHERE q.event_id = u.event_id)""")
 register("cart_state", """
     SELECT user_id, item_id, state AS quantity FROM (
       WITH RECURSIVE ev AS (
         SELECT o.user_id, o.item_id, o.op, o.quantity, COALESCE(s.total, 0) AS stock,
                row_number() OVER (PARTITION BY o.user_id, o.item_id ORDER BY o.event_id) AS rn
-        FROM cart_ops o
+        FROM cart_steps o
         LEFT JOIN (SELECT item_id, sum(stock) AS total FROM items_quant GROUP BY item_id) s
-          ON o.item_id = s.item_id
-        WHERE o.item_id IS NOT NULL AND o.user_id IS NOT NULL),
+          ON o.item_id = s.item_id),
       fold AS (
         SELECT user_id, item_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS state
         FROM ev GROUP BY user_id, item_id
@@ -464,7 +550,7 @@ register("cart_state", """
                CASE WHEN e.op = 'add' THEN
                       CASE WHEN f.state + greatest(COALESCE(e.quantity, 1), 1) > e.stock THEN f.state
                            ELSE f.state + greatest(COALESCE(e.quantity, 1), 1) END
-                    WHEN e.op = 'set' THEN greatest(least(e.quantity, e.stock), 0)
+                    WHEN e.op IN ('set', 'update') AND e.quantity IS NOT NULL THEN greatest(least(e.quantity, e.stock), 0)
                     ELSE 0 END
         FROM fold f JOIN ev e ON e.user_id = f.user_id AND e.item_id = f.item_id AND e.rn = f.rn + 1)
       SELECT user_id, item_id, arg_max(state, rn) AS state FROM fold GROUP BY user_id, item_id
@@ -484,8 +570,8 @@ def fold_cart(t, ctx):
            CAST(sum(CAST(COALESCE(i.basePrice, 0) * c.quantity AS DECIMAL(20,2))) AS DOUBLE)
              - COALESCE(max(d.discount), 0) AS checkout_total
     FROM cart_state c JOIN items i ON c.item_id = i.item_id
-    LEFT JOIN (SELECT user_id, CAST(CASE WHEN upper(trim(coupon_code)) = 'DISCOUNT10' THEN 10.0
-                                    ELSE 0.0 END AS DOUBLE) AS discount FROM cart_coupons) d
+    LEFT JOIN (SELECT user_id, max(CAST(CASE WHEN upper(trim(coupon_code)) = 'DISCOUNT10' THEN 10.0
+                                        ELSE 0.0 END AS DOUBLE)) AS discount FROM cart_coupons GROUP BY user_id) d
       ON c.user_id = d.user_id
     GROUP BY c.user_id""")
 def price_cart(t, ctx):

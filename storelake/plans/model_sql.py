@@ -54,8 +54,9 @@ MODEL_SQL: dict[str, str] = {
         FROM part p JOIN category c ON c.categoryName = p.p_type, (VALUES (0), (1)) AS v(j)
         WHERE p.p_partkey % 11 <> 0 AND (j = 0 OR p.p_partkey % 5 = 0)""",
     "order_items": """
-        SELECT CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
-                    l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS orderItem_id,
+        SELECT l_orderkey * 100000
+                 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
+                    l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS orderItem_id,
                l_orderkey AS order_id, l_partkey * 4 + l_suppkey % 3 AS itemQuant_id,
                CAST(trunc(l_quantity) AS INTEGER) AS quantity, l_extendedprice AS price
         FROM lineitem""",

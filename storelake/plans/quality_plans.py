@@ -41,11 +41,9 @@ def registration_audit_summary(t, ctx):
 
 
 @query("duplicate_emails", """
-    SELECT b.request_id, b.email, (u.email IS NOT NULL) AS already_taken,
-           c.batch_count, ((u.email IS NOT NULL) OR c.batch_count > 1) AS duplicate
-    FROM new_users b
-    JOIN (SELECT email, count(*) AS batch_count FROM new_users GROUP BY email) c ON b.email = c.email
-    LEFT JOIN (SELECT DISTINCT email FROM users) u ON b.email = u.email""")
+    SELECT request_id, email, taken AS already_taken, batch_count, taken OR batch_count > 1 AS duplicate
+    FROM (SELECT request_id, trim(email) AS email, count(*) OVER (PARTITION BY trim(email)) AS batch_count,
+                 trim(email) IN (SELECT trim(email) FROM users) AS taken FROM new_users) b""")
 def duplicate_emails(t, ctx):
     return Q.duplicate_emails(t, new_users(ctx))
 

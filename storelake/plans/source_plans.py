@@ -4,9 +4,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storelake.plans.registry import query
-from storelake.schema import SCHEMAS
+from storelake.schema import PRIMARY_KEYS, SCHEMAS
 from storelake.session import scratch_dir
 from storelake.sources import sinks
 from storelake.sources.model import Tables
@@ -14,17 +15,30 @@ from storelake.sources.model import Tables
 _SQL_NAMES = {"orders": "orders_v"}
 
 
-@query("scan_tables", " UNION ALL ".join(
-    f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {_SQL_NAMES.get(n, n)}" for n in SCHEMAS))
+def _contents_sql(name: str) -> str:
+    """Rows, values that are not NULL, summed keys and text length of one table."""
+    cells = " + ".join(f"count({f.name})" for f in SCHEMAS[name])
+    texts = [f"COALESCE(sum(length({f.name})), 0)" for f in SCHEMAS[name] if f.dataType == T.StringType()] or ["0"]
+    return (f"SELECT '{name}' AS table_name, count(*) AS n_rows, {cells} AS n_values, "
+            f"CAST(COALESCE(sum({PRIMARY_KEYS[name]}), 0) AS BIGINT) AS key_sum, "
+            f"CAST({' + '.join(texts)} AS BIGINT) AS n_chars FROM {_SQL_NAMES.get(name, name)}")
+
+
+@query("scan_tables", " UNION ALL ".join(map(_contents_sql, SCHEMAS)))
 def scan_tables(t, ctx):
     """Write the model as a snapshot, read every table back with its fixed
-    schema and count its rows."""
+    schema and summarise what is there."""
     path = scratch_dir(ctx.spark, "snapshot")
     t.write_snapshot(path)
-    back = Tables.read_snapshot(ctx.spark, path)
-    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
-              for n, df in back.as_dict().items()]
-    return reduce(DataFrame.unionByName, counts)
+    parts = []
+    for n, df in Tables.read_snapshot(ctx.spark, path).as_dict().items():
+        cells = reduce(lambda a, b: a + b, [F.count(f.name) for f in SCHEMAS[n]])
+        texts = [F.coalesce(F.sum(F.length(f.name)), F.lit(0)) for f in SCHEMAS[n] if f.dataType == T.StringType()]
+        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows"), cells.alias("n_values"),
+                            F.coalesce(F.sum(PRIMARY_KEYS[n]), F.lit(0)).alias("key_sum"),
+                            reduce(lambda a, b: a + b, texts, F.lit(0)).cast("bigint").alias("n_chars"))
+                     .select(F.lit(n).alias("table_name"), "n_rows", "n_values", "key_sum", "n_chars"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 PARAM_QUERY = ("SELECT complaint_id, user_id, status FROM complaint "
@@ -38,6 +52,18 @@ def param_sql(t, ctx):
     return sinks.param_sql(ctx.spark, t, PARAM_QUERY, ["Pending", 100])
 
 
+@query("param_sql_shop_names", """
+    SELECT o.order_id, count(*) AS n_lines, sum(l.quantity) AS units
+    FROM orders_v o JOIN order_items l ON l.order_id = o.order_id JOIN items_quant q ON q.itemQuant_id = l.itemQuant_id
+    WHERE o.order_status = 'Shipped' GROUP BY o.order_id""")
+def param_sql_shop_names(t, ctx):
+    """S2 over the shop's own table names."""
+    return sinks.param_sql(ctx.spark, t, """
+        SELECT o.order_id, count(*) AS n_lines, sum(l.quantity) AS units
+        FROM Orders o JOIN OrderItems l ON l.order_id = o.order_id JOIN ItemsQuant q ON q.itemQuant_id = l.itemQuant_id
+        WHERE o.order_status = ? GROUP BY o.order_id""", ["Shipped"])
+
+
 @query("export_sales_csv", """
     SELECT order_id AS "Order ID", strftime(order_date, '%Y-%m-%d %H:%M:%S') AS "Date",
            user_id AS "Customer ID", totalPrice AS "Total Price", order_status AS "Status",
@@ -77,7 +103,7 @@ def load_images(t, ctx):
         SELECT user_id, COUNT(*) AS n,
                SUM(CASE WHEN order_status = 'Processing' THEN 1 ELSE 0 END) AS pending_orders,
                CAST(SUM(CAST(CASE WHEN order_status <> 'Cancelled' THEN totalPrice ELSE 0 END
-                             AS DECIMAL(12,2))) AS DOUBLE) AS rev
+                             AS DECIMAL(18,2))) AS DOUBLE) AS rev
         FROM orders_v WHERE user_id IS NOT NULL GROUP BY user_id) s
       ON u.user_id = s.user_id""")
 def user_profile_json(t, ctx):
@@ -87,3 +113,14 @@ def user_profile_json(t, ctx):
     return back.select("user_id", "name", "email", "phone", "role", "notes", "created_at",
                        "order_stats.total_orders", "order_stats.pending_orders",
                        "order_stats.total_revenue")
+
+
+@query("user_profile_orders", """
+    SELECT user_id, order_id, strftime(order_date, '%Y-%m-%d %H:%M:%S') AS order_date, order_status, totalPrice
+    FROM orders_v WHERE user_id IN (SELECT user_id FROM users)""")
+def user_profile_orders(t, ctx):
+    """The order history inside the user documents, one row per order."""
+    path = scratch_dir(ctx.spark, "profiles")
+    sinks.write_user_profiles(t, path)
+    back = sinks.read_user_profiles(ctx.spark, path)
+    return back.select("user_id", F.inline("orders"))

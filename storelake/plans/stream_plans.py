@@ -16,37 +16,26 @@ def _dirs(spark, name):
     return f"{root}/source", f"{root}/state", f"{root}/checkpoint", f"{root}/out"
 
 
-@query("stream_orders", """
-    SELECT q.itemQuant_id, q.item_id, q.color, CAST(q.stock - COALESCE(s.sold, 0) AS INTEGER) AS stock,
-           q.description
-    FROM items_quant q LEFT JOIN (
-      SELECT f.itemQuant_id, sum(r.quantity) AS sold
-      FROM order_requests_ok r JOIN items i ON r.item_id = i.item_id
-      JOIN first_variant_v f ON r.item_id = f.item_id GROUP BY f.itemQuant_id) s
-    ON q.itemQuant_id = s.itemQuant_id""")
+def _streamed(t, ctx, name):
+    """The snapshot after streaming the checkout batch in 3 micro-batches."""
+    src, state, ckpt, _ = _dirs(ctx.spark, name)
+    after = []
+    X.feed_in_chunks(RQ.order_requests(ctx).select(*X.REQUEST_SCHEMA.fieldNames()), src, "request_id", 3,
+                     lambda: after.append(X.run_order_stream(ctx.spark, t, src, state, ckpt, order_date=NOW)))
+    return after[-1] if after else t
+
+
+@query("stream_orders", "SELECT * FROM stock_after_checkout")
 def stream_orders(t, ctx):
-    """Stock after streaming the conflict-free checkout batch in 3 micro-batches."""
-    src, state, ckpt, _ = _dirs(ctx.spark, "stream-orders")
-    X.feed_in_chunks(RQ.order_requests_ok(ctx).select(*X.REQUEST_SCHEMA.fieldNames()), src,
-                     "request_id", 3)
-    final = X.run_order_stream(ctx.spark, t, src, state, ckpt, order_date=NOW)
-    return final.items_quant
+    """Stock after the stream; checkouts that don't fit are refused as in the batch."""
+    return _streamed(t, ctx, "stream-orders").items_quant
 
 
-@query("stream_orders_new", f"""
-    SELECT (SELECT max(order_id) FROM orders_v) + row_number() OVER (ORDER BY r.request_id) AS order_id,
-           r.user_id, TIMESTAMP '{NOW}' AS order_date, 'Processing' AS order_status,
-           r.subtotal AS totalPrice, CAST(0 AS BIGINT) AS staff_id
-    FROM (SELECT q.request_id, q.user_id,
-                 CAST(sum(CAST(i.basePrice AS DECIMAL(12,2)) * q.quantity) AS DOUBLE) AS subtotal
-          FROM order_requests_ok q JOIN items i ON q.item_id = i.item_id
-          GROUP BY q.request_id, q.user_id) r""")
+@query("stream_orders_new", """
+    SELECT order_id, user_id, order_date, order_status, subtotal AS totalPrice, staff_id FROM new_orders_v""")
 def stream_orders_new(t, ctx):
     """Orders the stream inserted (ids continue across micro-batches)."""
-    src, state, ckpt, _ = _dirs(ctx.spark, "stream-orders-new")
-    X.feed_in_chunks(RQ.order_requests_ok(ctx).select(*X.REQUEST_SCHEMA.fieldNames()), src,
-                     "request_id", 3)
-    final = X.run_order_stream(ctx.spark, t, src, state, ckpt, order_date=NOW)
+    final = _streamed(t, ctx, "stream-orders-new")
     return final.orders.join(t.orders.select("order_id"), "order_id", "left_anti")
 
 
@@ -57,8 +46,7 @@ def stream_cart(t, ctx):
     """Running added quantity per (user, item) over the click stream."""
     src, _, ckpt, out = _dirs(ctx.spark, "stream-cart")
     ev = RQ.cart_events(ctx)
-    X.feed_in_chunks(ev, src, "event_id", 3)
-    X.cart_totals_stream(ctx.spark, src, ev.schema, out, ckpt)
+    X.feed_in_chunks(ev, src, "event_id", 3, lambda: X.cart_totals_stream(ctx.spark, src, ev.schema, out, ckpt))
     return X.read_cart_totals(ctx.spark, out)
 
 
@@ -66,13 +54,13 @@ def stream_cart(t, ctx):
     SELECT CAST(order_date AS DATE) AS day,
            CAST(sum(CASE WHEN order_status <> 'Cancelled' THEN 1 ELSE 0 END) AS BIGINT) AS order_count,
            COALESCE(CAST(sum(CASE WHEN order_status <> 'Cancelled'
-                                  THEN CAST(totalPrice AS DECIMAL(12,2)) END) AS DOUBLE), 0)
+                                  THEN CAST(totalPrice AS DECIMAL(18,2)) END) AS DOUBLE), 0)
              AS total_revenue,
            CAST(sum(CASE WHEN order_status = 'Processing' THEN 1 ELSE 0 END) AS BIGINT) AS open_orders
     FROM orders_v GROUP BY 1""")
 def stream_revenue(t, ctx):
     """Running revenue / open orders per day over the order stream."""
     src, _, ckpt, out = _dirs(ctx.spark, "stream-revenue")
-    X.feed_in_chunks(t.orders, src, "order_id", 3)
-    X.revenue_stream(ctx.spark, src, t.orders.schema, out, ckpt)
-    return ctx.spark.read.parquet(out).select("day", "order_count", "total_revenue", "open_orders")
+    X.feed_in_chunks(t.orders, src, "order_id", 3,
+                     lambda: X.revenue_stream(ctx.spark, src, t.orders.schema, out, ckpt))
+    return X.read_revenue(ctx.spark, out).select("day", "order_count", "total_revenue", "open_orders")

@@ -20,6 +20,9 @@ ORDER_MONTH = "order_month"
 
 # SQL view names that differ from the model names.
 SQL_VIEW_NAMES = {"orders": "orders_v"}
+# The shop's own names of tables that differ from the model's.
+SHOP_NAMES = {"orders": "Orders", "items_quant": "ItemsQuant", "order_items": "OrderItems",
+              "sub_category": "SubCategory", "user_address": "UserAddress"}
 
 
 class Tables:
@@ -62,6 +65,8 @@ class Tables:
         (``orders_v`` for the orders, the model name otherwise)."""
         for name, df in self.as_dict().items():
             df.createOrReplaceTempView(SQL_VIEW_NAMES.get(name, name))
+            if name in SHOP_NAMES:
+                df.createOrReplaceTempView(SHOP_NAMES[name])
 
     def write_snapshot(self, path: str, mode: str = "errorifexists",
                        orders_by_month: bool = False) -> None:
@@ -183,11 +188,14 @@ def sub_category_view(part: DataFrame, category: DataFrame) -> DataFrame:
     ), "sub_category")
 
 
+LINE_IDS = 100_000   # line ids set aside for each order, so ids are unique across the table
+
+
 def order_items_view(lineitem: DataFrame) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     return _conform(lineitem.select(
-        F.row_number().over(w).alias("orderItem_id"),
+        (F.col("l_orderkey") * LINE_IDS + F.row_number().over(w)).alias("orderItem_id"),
         F.col("l_orderkey").alias("order_id"),
         (F.col("l_partkey") * 4 + F.col("l_suppkey") % 3).alias("itemQuant_id"),
         F.col("l_quantity").cast("int").alias("quantity"),

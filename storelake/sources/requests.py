@@ -41,15 +41,18 @@ def _email(name_col):
 
 
 def new_users(ctx) -> DataFrame:
-    """Registration batch: one third reuse a taken e-mail, some share a new
-    one inside the batch, some are malformed (blank name, bad e-mail/phone)."""
-    c = ctx.raw["customer"].where(F.col("c_custkey") % 10 < 3)
+    """Registration batch, one form per customer: taken e-mails (plain and padded),
+    e-mails shared inside the batch (plain and padded), malformed and new ones."""
+    c = ctx.raw["customer"]
     k = F.col("c_custkey")
+    text = k.cast("string")
     email = (F.when(k % 10 == 0, _email(F.col("c_name")))
-              .when((k % 10 == 1) & (k % 40 == 21), F.concat(F.lit("new "), k.cast("string"),
-                                                              F.lit("@example")))
-              .when(k % 10 == 1, F.concat(F.lit("new."), k.cast("string"), F.lit("@example.com")))
-              .otherwise(F.concat(F.lit("dup."), (k % 7).cast("string"), F.lit("@example.org"))))
+              .when((k % 10 == 1) & (k % 40 == 21), F.concat(F.lit("new "), text, F.lit("@example")))
+              .when(k % 10 == 1, F.concat(F.lit("new."), text, F.lit("@example.com")))
+              .when(k % 10 == 2, F.concat(F.lit("dup."), (k % 7).cast("string"), F.lit("@example.org")))
+              .when(k % 10 == 3, F.concat(F.lit("  new."), (k - 2).cast("string"), F.lit("@example.com ")))
+              .when(k % 10 == 4, F.concat(F.lit(" "), _email(F.col("c_name")), F.lit(" ")))
+              .otherwise(F.concat(F.lit("own."), text, F.lit("@example.net"))))
     phone = (F.when(k % 7 == 0, None)
               .when(k % 20 == 12, F.lit("12-34"))
               .otherwise(F.concat(F.lit("+92 (3"), F.lpad((k % 1000).cast("string"), 3, "0"),
@@ -68,41 +71,52 @@ register("new_users", """
                 WHEN c_custkey % 10 = 1 AND c_custkey % 40 = 21
                      THEN concat('new ', CAST(c_custkey AS VARCHAR), '@example')
                 WHEN c_custkey % 10 = 1 THEN concat('new.', CAST(c_custkey AS VARCHAR), '@example.com')
-                ELSE concat('dup.', CAST(c_custkey % 7 AS VARCHAR), '@example.org') END AS email,
+                WHEN c_custkey % 10 = 2 THEN concat('dup.', CAST(c_custkey % 7 AS VARCHAR), '@example.org')
+                WHEN c_custkey % 10 = 3 THEN concat('  new.', CAST(c_custkey - 2 AS VARCHAR), '@example.com ')
+                WHEN c_custkey % 10 = 4 THEN concat(' ', lower(replace(c_name, '#', '.')), '@example.com ')
+                ELSE concat('own.', CAST(c_custkey AS VARCHAR), '@example.net') END AS email,
            CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 20 = 12 THEN '12-34'
                 ELSE concat('+92 (3', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0'), ') 555-1234')
            END AS phone,
            CASE WHEN c_custkey % 30 = 0 THEN ' Staff ' WHEN c_custkey % 30 = 10 THEN 'manager'
                 ELSE 'customer' END AS role
-    FROM customer WHERE c_custkey % 10 < 3""")
+    FROM customer""")
 
 
 def user_patches(ctx) -> DataFrame:
-    """Profile edits: NULL means 'leave as is'; caller role decides whether
-    role/notes may change."""
-    c = ctx.raw["customer"].where(F.col("c_custkey") % 5 == 0)
-    k = F.col("c_custkey")
+    """Profile edits, two per customer in sequence ``seq``: NULL means 'leave as
+    is'; caller role decides whether role/notes may change; some ask for an
+    e-mail that is taken, or that several users ask for."""
+    k, j = F.col("c_custkey"), F.col("j")
+    c = ctx.raw["customer"].withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
+    text = k.cast("string")
+    other = F.concat(F.lit("customer."), F.lpad((k + 1).cast("string"), 9, "0"), F.lit("@example.com"))
     return c.select(
-        k.alias("user_id"),
-        F.when(k % 3 == 0, None).otherwise(F.concat(F.col("c_name"), F.lit(" Jr"))).alias("name"),
-        F.lit(None).cast("string").alias("email"),
-        F.when(k % 4 == 0, None).otherwise(F.concat(F.lit("0300"), F.lpad(k.cast("string"), 7, "0")))
-         .alias("phone"),
-        F.when(k % 6 == 0, None).otherwise(F.lit("called back")).alias("notes"),
+        (k * 2 + j).alias("seq"), k.alias("user_id"),
+        F.when((k + j) % 3 == 0, None).otherwise(F.concat(F.col("c_name"), F.lit(" Jr"), j.cast("string"))).alias("name"),
+        F.when((j == 0) & (k % 11 == 0), other)
+         .when((j == 1) & (k % 13 == 0), F.concat(F.lit("vip."), (k % 5).cast("string"), F.lit("@example.org")))
+         .when((j == 1) & (k % 17 == 0), F.concat(F.lit(" moved."), text, F.lit("@example.org "))).alias("email"),
+        F.when((k + j) % 4 == 0, None).otherwise(F.concat(F.lit("0300"), F.lpad((k + j).cast("string"), 7, "0"))).alias("phone"),
+        F.when((k + j) % 6 == 0, None).otherwise(F.concat(F.lit("called back "), j.cast("string"))).alias("notes"),
         F.when(k % 25 == 0, F.lit("staff")).otherwise(F.lit(None).cast("string")).alias("role"),
-        F.when(k % 2 == 0, F.lit("admin")).otherwise(F.lit("staff")).alias("caller_role"))
+        F.when((k + j) % 2 == 0, F.lit("admin")).otherwise(F.lit("staff")).alias("caller_role"))
 
 
 register("user_patches", """
-    SELECT c_custkey AS user_id,
-           CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat(c_name, ' Jr') END AS name,
-           CAST(NULL AS VARCHAR) AS email,
-           CASE WHEN c_custkey % 4 = 0 THEN NULL
-                ELSE concat('0300', lpad(CAST(c_custkey AS VARCHAR), 7, '0')) END AS phone,
-           CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'called back' END AS notes,
+    SELECT c_custkey * 2 + j AS seq, c_custkey AS user_id,
+           CASE WHEN (c_custkey + j) % 3 = 0 THEN NULL ELSE concat(c_name, ' Jr', CAST(j AS VARCHAR)) END AS name,
+           CASE WHEN j = 0 AND c_custkey % 11 = 0
+                     THEN concat('customer.', lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0'), '@example.com')
+                WHEN j = 1 AND c_custkey % 13 = 0 THEN concat('vip.', CAST(c_custkey % 5 AS VARCHAR), '@example.org')
+                WHEN j = 1 AND c_custkey % 17 = 0 THEN concat(' moved.', CAST(c_custkey AS VARCHAR), '@example.org ')
+           END AS email,
+           CASE WHEN (c_custkey + j) % 4 = 0 THEN NULL
+                ELSE concat('0300', lpad(CAST(c_custkey + j AS VARCHAR), 7, '0')) END AS phone,
+           CASE WHEN (c_custkey + j) % 6 = 0 THEN NULL ELSE concat('called back ', CAST(j AS VARCHAR)) END AS notes,
            CASE WHEN c_custkey % 25 = 0 THEN 'staff' ELSE NULL END AS role,
-           CASE WHEN c_custkey % 2 = 0 THEN 'admin' ELSE 'staff' END AS caller_role
-    FROM customer WHERE c_custkey % 5 = 0""")
+           CASE WHEN (c_custkey + j) % 2 = 0 THEN 'admin' ELSE 'staff' END AS caller_role
+    FROM customer, (VALUES (0), (1)) AS v(j)""")
 
 
 def delete_users(ctx) -> DataFrame:
@@ -116,11 +130,12 @@ register("delete_users", "SELECT c_custkey AS user_id FROM customer WHERE c_cust
 # ----------------------------------------------------------- catalog changes
 
 def product_changes(ctx) -> DataFrame:
-    """Product form posts: updates of every 8th part (image kept / cleared /
-    replaced by modulus) and inserts (item_id NULL) for parts shifted by 3."""
+    """Product form posts: an update of every part (image kept / cleared /
+    replaced by modulus), a second, conflicting one of some, and an insert
+    (item_id NULL) for every part."""
     p = ctx.raw["part"]
     k = F.col("p_partkey")
-    upd = p.where(k % 8 == 0).select(
+    upd = p.select(
         k.alias("request_id"), k.alias("item_id"),
         F.concat(F.col("p_name"), F.lit(" v2")).alias("name"),
         F.when(k % 24 == 0, F.lit("abc"))
@@ -131,14 +146,20 @@ def product_changes(ctx) -> DataFrame:
         F.when(k % 5 == 0, F.lit(None).cast("binary"))
          .when(k % 5 == 1, F.lit(b"")).otherwise(F.concat(F.lit("img-"), F.col("p_name"))
                                                   .cast("binary")).alias("image"))
-    ins = p.where(k % 8 == 3).select(
+    again = p.where(k % 4 == 0).select(
+        (k + F.lit(500_000_000)).alias("request_id"), k.alias("item_id"),
+        F.concat(F.col("p_name"), F.lit(" v3")).alias("name"),
+        F.format_string("%.2f", F.col("p_retailprice") + 2).alias("price_text"),
+        (k % 5).cast("string").alias("stock_text"), F.lit("again").alias("short_desc"),
+        F.lit(None).cast("string").alias("full_desc"), F.lit(None).cast("binary").alias("image"))
+    ins = p.select(
         (k + F.lit(1_000_000_000)).alias("request_id"), F.lit(None).cast("bigint").alias("item_id"),
         F.concat(F.lit("new "), F.col("p_name")).alias("name"),
         F.concat(F.lit("Rs."), F.col("p_size").cast("string"), F.lit("/-")).alias("price_text"),
         (F.col("p_size") % 7).cast("string").alias("stock_text"),
         F.col("p_brand").alias("short_desc"), F.col("p_type").alias("full_desc"),
         F.lit(None).cast("binary").alias("image"))
-    return upd.unionByName(ins)
+    return upd.unionByName(again).unionByName(ins)
 
 
 register("product_changes", """
@@ -149,12 +170,16 @@ register("product_changes", """
            CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS full_desc,
            CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN ''::BLOB
                 ELSE CAST(concat('img-', p_name) AS BLOB) END AS image
-    FROM part WHERE p_partkey % 8 = 0
+    FROM part
+    UNION ALL
+    SELECT p_partkey + 500000000, p_partkey, concat(p_name, ' v3'), printf('%.2f', p_retailprice + 2),
+           CAST(p_partkey % 5 AS VARCHAR), 'again', CAST(NULL AS VARCHAR), CAST(NULL AS BLOB)
+    FROM part WHERE p_partkey % 4 = 0
     UNION ALL
     SELECT p_partkey + 1000000000, CAST(NULL AS BIGINT), concat('new ', p_name),
            concat('Rs.', CAST(p_size AS VARCHAR), '/-'), CAST(p_size % 7 AS VARCHAR),
            p_brand, p_type, CAST(NULL AS BLOB)
-    FROM part WHERE p_partkey % 8 = 3""")
+    FROM part""")
 
 
 def delete_items(ctx) -> DataFrame:
@@ -166,15 +191,19 @@ register("delete_items", "SELECT p_partkey AS item_id FROM part WHERE p_partkey
 
 
 def category_assignments(ctx) -> DataFrame:
-    """Every 9th part assigned to an existing category (another part's type)
-    or to a new category; the label defaults to the category name."""
-    p = ctx.raw["part"].where(F.col("p_partkey") % 9 == 0)
+    """Every part assigned to an existing category (its type) or to a new one; the
+    label defaults to the category name; every third part a second time with another label."""
+    p = ctx.raw["part"]
     k = F.col("p_partkey")
     cat = (F.when(k % 2 == 0, F.col("p_type"))
             .otherwise(F.concat(F.lit("CUSTOM "), (k % 4).cast("string"))))
     label = F.when(k % 4 == 0, F.col("p_brand")).otherwise(F.lit(None).cast("string"))
-    return p.select(k.alias("request_id"), k.alias("item_id"), cat.alias("category_name"),
-                    label.alias("subcategory_name"))
+    first = p.select(k.alias("request_id"), k.alias("item_id"), cat.alias("category_name"),
+                     label.alias("subcategory_name"))
+    second = p.where(k % 3 == 0).select(
+        (k + F.lit(500_000_000)).alias("request_id"), k.alias("item_id"), cat.alias("category_name"),
+        F.lit(" relabelled ").alias("subcategory_name"))
+    return first.unionByName(second)
 
 
 register("category_assignments", """
@@ -182,62 +211,77 @@ register("category_assignments", """
            CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE concat('CUSTOM ', CAST(p_partkey % 4 AS VARCHAR))
            END AS category_name,
            CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE NULL END AS subcategory_name
-    FROM part WHERE p_partkey % 9 = 0""")
+    FROM part
+    UNION ALL
+    SELECT p_partkey + 500000000, p_partkey,
+           CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE concat('CUSTOM ', CAST(p_partkey % 4 AS VARCHAR)) END,
+           ' relabelled '
+    FROM part WHERE p_partkey % 3 = 0""")
 
 
 # ------------------------------------------------------------ order changes
 
 def status_changes(ctx) -> DataFrame:
-    """Back-office status edits: every 20th order (offset 3) cancelled by staff
-    member 7; some of them were already cancelled."""
-    o = ctx.raw["orders"].where(F.col("o_orderkey") % 20 == 3)
-    return o.select(F.col("o_orderkey").alias("order_id"), F.lit("Cancelled").alias("new_status"),
-                    F.lit(7).cast("bigint").alias("staff_id"))
+    """Back-office status edits in sequence ``seq``: every order gets one, half a
+    second (cancelled), some are reopened and cancelled again."""
+    o, k, j = ctx.raw["orders"], F.col("o_orderkey"), F.col("j")
+    steps = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)),
+                     lambda x: (x == 0) | ((x == 1) & (k % 2 == 0)) | ((x == 2) & (k % 6 == 0)) | ((x == 3) & (k % 12 == 0)))
+    status = (F.when((j == 1) | (j == 3) | (k % 5 == 0), "Cancelled").when(j == 2, "Processing")
+               .when(k % 5 == 1, "Shipped").when(k % 5 == 2, "Delivered").when(k % 5 == 3, "Processing"))
+    return o.withColumn("j", F.explode(steps)).select(
+        (k * 4 + j).alias("seq"), k.alias("order_id"), status.alias("new_status"),
+        F.when(k % 7 != 3, 7 + j).cast("bigint").alias("staff_id"))
 
 
 register("status_changes", """
-    SELECT o_orderkey AS order_id, 'Cancelled' AS new_status, CAST(7 AS BIGINT) AS staff_id
-    FROM orders WHERE o_orderkey % 20 = 3""")
-
-
-def _order_requests(ctx, size_cond, qty):
-    o, li, p = ctx.raw["orders"], ctx.raw["lineitem"], ctx.raw["part"]
-    joined = (o.where(F.col("o_orderkey") % 40 == 0)
-              .join(li, o.o_orderkey == li.l_orderkey)
-              .join(p.where(size_cond), li.l_partkey == p.p_partkey))
-    return (joined.groupBy(F.col("o_orderkey").alias("request_id"),
-                           F.col("o_custkey").alias("user_id"),
-                           F.col("p_partkey").alias("item_id"))
-            .agg(qty.alias("quantity")))
+    SELECT o_orderkey * 4 + j AS seq, o_orderkey AS order_id,
+           CASE WHEN j = 1 OR j = 3 OR o_orderkey % 5 = 0 THEN 'Cancelled' WHEN j = 2 THEN 'Processing'
+                WHEN o_orderkey % 5 = 1 THEN 'Shipped' WHEN o_orderkey % 5 = 2 THEN 'Delivered'
+                WHEN o_orderkey % 5 = 3 THEN 'Processing' END AS new_status,
+           CASE WHEN o_orderkey % 7 <> 3 THEN CAST(7 + j AS BIGINT) END AS staff_id
+    FROM orders, (VALUES (0), (1), (2), (3)) AS v(j)
+    WHERE j = 0 OR (j = 1 AND o_orderkey % 2 = 0) OR (j = 2 AND o_orderkey % 6 = 0)
+       OR (j = 3 AND o_orderkey % 12 = 0)""")
 
 
 def order_requests(ctx) -> DataFrame:
-    """Checkout batch: (request_id, user_id, item_id, quantity=1)."""
-    return _order_requests(ctx, F.col("p_size") % 4 > 0, F.lit(1))
-
-
-def order_requests_ok(ctx) -> DataFrame:
-    """Checkout batch in which no order runs out of stock."""
-    return _order_requests(ctx, F.col("p_size") % 4 == 3,
-                           F.max(F.col("l_quantity").cast("int") % 3 + 1))
+    """Checkout batch (request_id, user_id, item_id, quantity): every order with the
+    quantities of its lines; items run out of stock.  Some lines hold no or a negative
+    quantity, and some items are unknown to the shop."""
+    o, li = ctx.raw["orders"], ctx.raw["lineitem"]
+    units = (F.col("l_quantity").cast("int") % 4) - F.when(F.col("l_suppkey") % 9 == 0, 2).otherwise(0)
+    item = F.when(F.col("l_partkey") % 61 == 0, -1 - F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    return (o.join(li, o.o_orderkey == li.l_orderkey)
+            .select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("user_id"),
+                    item.alias("item_id"), units.cast("int").alias("quantity")))
+
+
+register("order_requests", """
+    SELECT o_orderkey AS request_id, o_custkey AS user_id,
+           CASE WHEN l_partkey % 61 = 0 THEN -1 - l_partkey ELSE l_partkey END AS item_id,
+           CAST(trunc(l_quantity) AS INTEGER) % 4 - CASE WHEN l_suppkey % 9 = 0 THEN 2 ELSE 0 END AS quantity
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
+# the cart page's reading: one line per item, quantities below 1 dropped
+register("checkout_lines", """
+    SELECT q.request_id, q.user_id, q.item_id, CAST(sum(q.quantity) AS INTEGER) AS quantity,
+           any_value(COALESCE(i.basePrice, 0)) AS unit_price, any_value(COALESCE(s.total, 0)) AS avail
+    FROM order_requests q JOIN items i ON q.item_id = i.item_id
+    LEFT JOIN (SELECT item_id, sum(stock) AS total FROM items_quant GROUP BY item_id) s ON q.item_id = s.item_id
+    WHERE q.quantity >= 1 GROUP BY q.request_id, q.user_id, q.item_id""")
 
 
-_REQ_SQL = """
-    SELECT o_orderkey AS request_id, o_custkey AS user_id, p_partkey AS item_id, {qty} AS quantity
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
-    WHERE o_orderkey % 40 = 0 AND {cond}
-    GROUP BY o_orderkey, o_custkey, p_partkey"""
-register("order_requests", _REQ_SQL.format(qty="1", cond="p_size % 4 > 0"))
-register("order_requests_ok", _REQ_SQL.format(
-    qty="max(CAST(trunc(l_quantity) AS INTEGER) % 3 + 1)", cond="p_size % 4 = 3"))
+def order_discounts(ctx) -> DataFrame:
+    """Coupon rows per checkout: every 3rd request carries ' discount10 ', every 6th twice."""
+    ids = ctx.raw["orders"].select(F.col("o_orderkey").alias("request_id"))
+    code = F.when(F.col("request_id") % 3 == 0, F.lit(" discount10 ")).otherwise(F.lit(None).cast("string"))
+    first = ids.select("request_id", code.alias("coupon_code"))
+    return first.unionByName(first.where(F.col("request_id") % 6 == 0))
 
 
-def order_discounts(ctx) -> DataFrame:
-    """Coupon per checkout: every 3rd request carries ' discount10 '."""
-    return (order_requests(ctx).select("request_id").distinct()
-            .select("request_id",
-                    F.when(F.col("request_id") % 3 == 0, F.lit(" discount10 "))
-                     .otherwise(F.lit(None).cast("string")).alias("coupon_code")))
+register("order_discounts", """
+    SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 3 = 0 THEN ' discount10 ' END AS coupon_code FROM orders
+    UNION ALL SELECT o_orderkey, ' discount10 ' FROM orders WHERE o_orderkey % 6 = 0""")
 
 
 # -------------------------------------------------------- complaints, addresses
@@ -261,18 +305,24 @@ register("complaint_requests", """
 
 
 def complaint_changes(ctx) -> DataFrame:
-    e = ctx.raw["events"].where((F.col("event_type") == "error") & (F.col("event_id") % 6 == 1))
-    return e.select(F.col("event_id").alias("complaint_id"), F.lit("resolved").alias("new_status"))
+    """Status edits of all complaints in sequence ``seq``, every 4th twice."""
+    e, k, j = ctx.raw["events"].where(F.col("event_type") == "error"), F.col("event_id"), F.col("j")
+    twice = F.filter(F.array(F.lit(0), F.lit(1)), lambda x: (x == 0) | (k % 4 == 0))
+    return e.withColumn("j", F.explode(twice)).select(
+        (k * 2 + j).alias("seq"), k.alias("complaint_id"),
+        F.when(j == 1, "in_progress").when(k % 6 != 1, "resolved").alias("new_status"))
 
 
 register("complaint_changes", """
-    SELECT event_id AS complaint_id, 'resolved' AS new_status
-    FROM events WHERE event_type = 'error' AND event_id % 6 = 1""")
+    SELECT event_id * 2 + j AS seq, event_id AS complaint_id,
+           CASE WHEN j = 1 THEN 'in_progress' WHEN event_id % 6 <> 1 THEN 'resolved' END AS new_status
+    FROM events, (VALUES (0), (1)) AS v(j)
+    WHERE event_type = 'error' AND (j = 0 OR event_id % 4 = 0)""")
 
 
 def address_requests(ctx) -> DataFrame:
-    """New address forms from every 6th customer; every 4th of them is incomplete."""
-    c = ctx.raw["customer"].where(F.col("c_custkey") % 6 == 0)
+    """A new address form from every customer; every 24th is incomplete."""
+    c = ctx.raw["customer"]
     k = F.col("c_custkey")
     return c.select(k.alias("request_id"), k.alias("user_id"),
                     F.lit("Punjab").alias("province"),
@@ -286,7 +336,7 @@ register("address_requests", """
            concat('City ', CAST(c_custkey % 13 AS VARCHAR)) AS city,
            CASE WHEN c_custkey % 24 = 0 THEN '' ELSE 'Model Town' END AS area,
            CAST(c_custkey % 300 AS VARCHAR) AS houseNumber
-    FROM customer WHERE c_custkey % 6 = 0""")
+    FROM customer""")
 
 
 def address_drops(ctx) -> DataFrame:
@@ -312,33 +362,37 @@ register("wishlist_clears", "SELECT c_custkey AS user_id FROM customer WHERE c_c
 
 def cart_ops(ctx) -> DataFrame:
     """Cart page posts derived from the click events: mostly 'add' (quantity
-    0-3, raised to 1), some 'set' (-1..3; <= 0 removes), some 'remove'."""
+    0-3, raised to 1), some 'set' (-1..3 or no number; <= 0 removes), some 'remove',
+    some 'update' (the posted cart replaces the user's whole cart)."""
     e = cart_events(ctx)
     k = F.col("event_id")
-    op = F.when(k % 10 < 7, "add").when(k % 10 < 9, "set").otherwise("remove")
-    qty = (F.when(k % 10 < 7, k % 4).when(k % 10 < 9, k % 5 - 1)
+    op = F.when(k % 40 == 17, "update").when(k % 10 < 7, "add").when(k % 10 < 9, "set").otherwise("remove")
+    qty = (F.when(k % 10 < 7, k % 4).when((k % 10 < 9) & (k % 15 != 8), k % 5 - 1)
             .otherwise(F.lit(None))).cast("int")
     return e.select("event_id", "ts", "user_id", "item_id", op.alias("op"), qty.alias("quantity"))
 
 
 register("cart_ops", """
     SELECT event_id, ts, user_id, item_id,
-           CASE WHEN event_id % 10 < 7 THEN 'add' WHEN event_id % 10 < 9 THEN 'set' ELSE 'remove' END
-             AS op,
-           CAST(CASE WHEN event_id % 10 < 7 THEN event_id % 4 WHEN event_id % 10 < 9
-                     THEN event_id % 5 - 1 END AS INTEGER) AS quantity
+           CASE WHEN event_id % 40 = 17 THEN 'update' WHEN event_id % 10 < 7 THEN 'add'
+                WHEN event_id % 10 < 9 THEN 'set' ELSE 'remove' END AS op,
+           CAST(CASE WHEN event_id % 10 < 7 THEN event_id % 4
+                     WHEN event_id % 10 < 9 AND event_id % 15 <> 8 THEN event_id % 5 - 1 END AS INTEGER) AS quantity
     FROM cart_events""")
 
 
 def cart_coupons(ctx) -> DataFrame:
-    """Coupon codes typed on the cart page (one per user, some invalid)."""
-    c = ctx.raw["customer"].where(F.col("c_custkey") % 4 == 1)
+    """Coupon codes typed on the cart page (some invalid, some users twice)."""
+    c = ctx.raw["customer"]
     k = F.col("c_custkey")
     code = F.when(k % 8 == 1, F.lit(" discount10")).otherwise(F.lit("SAVE5"))
-    return c.select(k.alias("user_id"), code.alias("coupon_code"))
+    first = c.select(k.alias("user_id"), code.alias("coupon_code"))
+    return first.unionByName(first.where(F.col("user_id") % 5 == 0)
+                             .withColumn("coupon_code", F.lit("Discount10 ")))
 
 
 register("cart_coupons", """
     SELECT c_custkey AS user_id, CASE WHEN c_custkey % 8 = 1 THEN ' discount10' ELSE 'SAVE5' END
            AS coupon_code
-    FROM customer WHERE c_custkey % 4 = 1""")
+    FROM customer
+    UNION ALL SELECT c_custkey, 'Discount10 ' FROM customer WHERE c_custkey % 5 = 0""")

@@ -3,8 +3,8 @@
 * ``param_sql``: ad-hoc parameterised SELECT over the shop tables.
 * ``export_sales_csv``: the back-office order export as CSV with a header.
 * ``load_images``: image bytes from ``data:image`` URIs and from files.
-* ``write_user_profiles``: one JSON document per user (profile and order
-  statistics) plus the order history as JSON lines keyed by user.
+* ``write_user_profiles``: one JSON document per user (profile, order
+  statistics and order history).
 
 Writers always target a folder under the shared checkpoint folder (or a
 path the caller passes) and never a machine-local temporary folder.
@@ -90,24 +90,29 @@ PROFILE_SCHEMA = T.StructType([
     T.StructField("order_stats", T.StructType([
         T.StructField("total_orders", T.LongType()), T.StructField("pending_orders", T.LongType()),
         T.StructField("total_revenue", T.DoubleType())])),
+    T.StructField("orders", T.ArrayType(T.StructType([
+        T.StructField("order_id", T.LongType()), T.StructField("order_date", T.StringType()),
+        T.StructField("order_status", T.StringType()), T.StructField("totalPrice", T.DoubleType())]))),
 ])
 
 
 def write_user_profiles(t: Tables, path: str) -> None:
     """``{path}/profiles``: one JSON document per user (no password is
-    stored) with the order statistics of A12; ``{path}/history``: the order
-    history as JSON lines with user_id, written as its own dataset so a user
-    with a huge history is never gathered into one record or one task."""
+    stored) with the order statistics of A12 and the user's orders, newest first:
+    the document is the feature, so its list is as long as the user's history
+    (orders of deleted users belong to no document)."""
     stats = user_order_stats(t)
-    profiles = t.users.join(stats, "user_id", "left").select(
+    history = (t.orders.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(
+        F.date_format("order_date", "yyyy-MM-dd HH:mm:ss").alias("order_date"), "order_id", "order_status", "totalPrice")),
+        asc=False).alias("_orders")))
+    profiles = t.users.join(stats, "user_id", "left").join(history, "user_id", "left").select(
         "user_id", "name", "email", "phone", "role", "notes",
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
-        F.struct("total_orders", "pending_orders", "total_revenue").alias("order_stats"))
+        F.struct("total_orders", "pending_orders", "total_revenue").alias("order_stats"),
+        F.transform(F.coalesce("_orders", F.array()), lambda o: F.struct(
+            o["order_id"].alias("order_id"), o["order_date"].alias("order_date"),
+            o["order_status"].alias("order_status"), o["totalPrice"].alias("totalPrice"))).alias("orders"))
     profiles.write.mode("errorifexists").json(f"{path}/profiles")
-    history = t.orders.where(F.col("user_id").isNotNull()).select(
-        "user_id", "order_id", F.date_format("order_date", "yyyy-MM-dd HH:mm:ss").alias("order_date"),
-        "order_status", "totalPrice")
-    history.write.mode("errorifexists").json(f"{path}/history")
 
 
 def read_user_profiles(spark: SparkSession, path: str) -> DataFrame:
