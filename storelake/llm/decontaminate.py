@@ -14,7 +14,8 @@ blocks mean more passes over the documents, and hits of all blocks are united.
 
 Defined cases: null texts have no words; repeated benchmark rows count once;
 an item without id counts as the item named ``null``; repeated documents get a row
-each; an empty benchmark hits nothing; other columns are ignored.
+each; an empty benchmark hits nothing; extra columns are kept (but for those
+named like the added ones).
 """
 
 from __future__ import annotations
@@ -210,6 +211,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """All rows and columns of ``docs`` with n_words, n_hit, n_items,
     items_sha256 and items (the matched item ids, sorted as strings)."""
     spark = docs.sparkSession
+    docs = docs.drop(*[k for k, _ in _FOUND + _STATE])
     patterns = materialize(pattern_rows(benchmark, window), "patterns")
     blocks = max(1, -(-patterns.count() // pattern_block))
     patterns = patterns.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks)))

@@ -22,7 +22,8 @@ line hashes move.
 Defined cases: null and empty texts stay as they are; rows equal in doc_id and
 text are one document and get one result; rows without doc_id come last in order;
 texts of one doc_id are ordered by their hash; of equal lines the first one
-always stays; an empty table gives no rows; extra columns are kept.
+always stays; an empty table gives no rows; extra columns are kept
+(but for those named like the added ones).
 """
 
 from __future__ import annotations
@@ -221,16 +222,17 @@ def cut_lines(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """All rows and columns of ``docs``, ``text`` without repeated runs, and
     ``lines_removed`` and ``lines_left`` (lines with words)."""
-    spans = repeated_spans(docs.select("doc_id", "text"), run_words, gram_words)
+    docs = docs.drop("lines_removed", "lines_left")
+    spans = repeated_spans(docs.select("doc_id", "text"), run_words, gram_words).withColumnRenamed("spans", "_spans")
     joined = docs.withColumns({"_o": _order(), "_t": _text()}).join(spans, ["_o", "_t"], "left")
-    joined = joined.select(*docs.columns, "spans")
+    joined = joined.select(*docs.columns, "_spans")
     columns = list(docs.columns)
     schema = with_fields(docs, ("lines_removed", T.LongType()), ("lines_left", T.LongType()))
 
     def run(batches):
         for batch in batches:
             for part, texts in text_chunks(batch):
-                spans_of = part.column(part.schema.get_field_index("spans")).to_pylist()
+                spans_of = part.column(part.schema.get_field_index("_spans")).to_pylist()
                 out, gone, left = [], [], []
                 for text, s in zip(texts, spans_of):
                     n = 0

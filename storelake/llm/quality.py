@@ -156,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, kind: str = "quality", bits: int =
 
 def score(docs: DataFrame, model: Model, out: str = "score", raw: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` and the score of the whole text (raw: the margin)."""
+    docs = docs.drop(out)
     schema = with_fields(docs, (out, T.DoubleType()))
     of = model.margin if raw else model.score
 

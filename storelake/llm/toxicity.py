@@ -214,6 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, kind: str = "toxic", per_class: in
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """All rows and columns of ``docs`` with score and evidence (nearest examples: id, label, cosine)."""
+    docs = docs.drop("score", "evidence")
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()),
                                          T.StructField("cosine", T.DoubleType())]))
     schema = with_fields(docs, ("score", T.DoubleType()), ("evidence", evidence))
