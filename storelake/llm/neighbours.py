@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from storelake.llm.common import read_table
 from storelake.session import materialize
 
-PROJECTIONS = 48
+PROJECTIONS = 80
 COLLISIONS = 0.6
-GROW = 1.35
-BETA = 0.12
+GROW = 1.25
+BETA = 0.18
+FIRST_HALF = 0.4          # half width of the first windows, in projections of unit vectors
 BLOCK = 8192
 QUERIES = 1024
 SEED = 20240
@@ -56,7 +57,7 @@ class Lines:
         lines = len(centre)
         lo = hi = np.array([np.searchsorted(self.value[j], centre[j]) for j in range(lines)])
         count = np.zeros(n, np.int32)
-        half = 0.15
+        half = FIRST_HALF
         while True:
             new_lo = np.array([np.searchsorted(self.value[j], centre[j] - half) for j in range(lines)])
             new_hi = np.array([np.searchsorted(self.value[j], centre[j] + half, "right") for j in range(lines)])
