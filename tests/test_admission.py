@@ -3,7 +3,7 @@ stream (X1) against the batch job."""
 
 import random
 
-from conftest import SF_MID
+from conftest import SF_MID, SF_SMALL
 
 
 def _replay(requests, stock):
@@ -40,11 +40,20 @@ def test_exact_admission_matches_replay_on_fixture(spark):
     reqs = [(r.request_id, r.item_id, r.quantity) for r in lines.collect()]
     stock = {r.item_id: r.stock_sum for r in variant_stock_per_item(ctx.t).collect()}
     want = _replay(reqs, stock)
-    exact = {r.request_id for r in admit_orders(ctx.t, lines, "exact").collect()}
-    one_pass = {r.request_id for r in admit_orders(ctx.t, lines, "one_pass").collect()}
-    assert exact == want
-    assert one_pass <= want                   # one pass is conservative
-    assert len(want) - len(one_pass) >= 0
+    exact = {r.request_id for r in admit_orders(ctx.t, lines).collect()}
+    assert exact == want and 0 < len(want) < len({r[0] for r in reqs})
+
+
+def test_rounds_shrink(spark):
+    """Every admission round decides part of the batch for good."""
+    from storelake.operators.sequence import greedy_admission
+    from storelake.operators.stock import _lines_with_stock, priced_lines
+    from storelake.sources.requests import order_requests
+    ctx = _ctx(spark, SF_SMALL)
+    rounds = []
+    lines = _lines_with_stock(ctx.t, priced_lines(ctx.t, order_requests(ctx)))
+    greedy_admission(lines, "request_id", ["item_id"], "quantity", "avail", rounds=rounds)
+    assert len(rounds) > 1 and all(a > b for a, b in zip(rounds, rounds[1:]))
 
 
 def test_exact_admission_random_hot_item(spark):
@@ -57,7 +66,7 @@ def test_exact_admission_random_hot_item(spark):
             rows.append((rid, it, rng.randint(1, 4), caps[it]))
     lines = spark.createDataFrame(rows, "request_id long, item_id long, quantity long, cap long")
     got = {r.request_id for r in greedy_admission(lines, "request_id", ["item_id"], "quantity", "cap",
-                                                  width=16).collect()}
+                                                  rows_per_block=16).collect()}
     assert got == _replay([(r, i, q) for r, i, q, _ in rows], caps)
 
 
@@ -68,9 +77,12 @@ def test_order_stream_equals_batch_with_rejections(spark, tmp_path):
     ctx = _ctx(spark, SF_MID)
     req = order_requests(ctx).select(*REQUEST_SCHEMA.fieldNames())
     batch = place_orders(ctx.t, req, order_date="2024-02-01 00:00:00")
-    feed_in_chunks(req, str(tmp_path / "src"), "request_id", 3)
-    final = run_order_stream(spark, ctx.t, str(tmp_path / "src"), str(tmp_path / "state"),
-                             str(tmp_path / "ckpt"), order_date="2024-02-01 00:00:00")
+    after = []
+    feed_in_chunks(req, str(tmp_path / "src"), "request_id", 3, lambda: after.append(run_order_stream(
+        spark, ctx.t, str(tmp_path / "src"), str(tmp_path / "state"), str(tmp_path / "ckpt"),
+        order_date="2024-02-01 00:00:00")))
+    final = after[-1]
+    assert len(after) == 3
     stock_b = {r.itemQuant_id: r.stock for r in batch["items_quant"].collect()}
     stock_s = {r.itemQuant_id: r.stock for r in final.items_quant.collect()}
     assert stock_b == stock_s
@@ -82,24 +94,56 @@ def test_order_stream_equals_batch_with_rejections(spark, tmp_path):
 
 def test_stream_replay_is_idempotent(spark, tmp_path):
     """Running the same stream again over its checkpoint changes nothing."""
-    from storelake.sources.requests import order_requests_ok
+    from storelake.sources.requests import order_requests
     from storelake.streaming.streams import REQUEST_SCHEMA, feed_in_chunks, run_order_stream
-    ctx = _ctx(spark, SF_MID)
-    req = order_requests_ok(ctx).select(*REQUEST_SCHEMA.fieldNames())
-    feed_in_chunks(req, str(tmp_path / "src"), "request_id", 2)
+    ctx = _ctx(spark, SF_SMALL)
+    req = order_requests(ctx).select(*REQUEST_SCHEMA.fieldNames())
     args = (spark, ctx.t, str(tmp_path / "src"), str(tmp_path / "state"), str(tmp_path / "ckpt"))
+    feed_in_chunks(req, str(tmp_path / "src"), "request_id", 2,
+                   lambda: run_order_stream(*args, order_date="2024-02-01 00:00:00"))
     first = run_order_stream(*args, order_date="2024-02-01 00:00:00").orders.count()
     second = run_order_stream(*args, order_date="2024-02-01 00:00:00").orders.count()
-    assert first == second
+    assert first == second > ctx.t.orders.count()
+
+
+def test_log_faults_are_not_taken_for_an_empty_log(spark, tmp_path):
+    import pytest
+    from storelake.streaming.streams import _last_done
+    assert _last_done(spark, str(tmp_path / "none")) is None
+    (tmp_path / "_log").mkdir()
+    (tmp_path / "_log" / "part-0.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception):
+        _last_done(spark, str(tmp_path))
 
 
-def test_cart_fold_large_group_path_matches_row_fold(spark):
-    """Pairs above ``fold_limit`` go through the distributed rounds; forcing
-    every pair there must give the same carts as the in-row fold."""
+def test_cart_fold_equals_sequential_replay(spark):
+    """One path for pairs of any size: many adds on one pair, updates that replace the cart."""
     from storelake.operators.cart import fold_cart
-    from storelake.sources.requests import cart_ops
-    ctx = _ctx(spark, SF_MID)
-    ops = cart_ops(ctx)
-    row_fold = {tuple(r) for r in fold_cart(ctx.t, ops).collect()}
-    rounds = {tuple(r) for r in fold_cart(ctx.t, ops, fold_limit=0).collect()}
-    assert rounds == row_fold and len(row_fold) > 100
+    from storelake.operators.reports import variant_stock_per_item
+    ctx = _ctx(spark, SF_SMALL)
+    stock = {r.item_id: r.stock_sum for r in variant_stock_per_item(ctx.t).collect()}
+    items = sorted(stock)[:6]
+    rng = random.Random(5)
+    ops, carts = [], {}
+    for e in range(3000):
+        user, item = rng.choice([1, 1, 2, 3]), rng.choice(items)
+        op = rng.choices(["add", "set", "remove", "update"], [90, 4, 3, 1])[0]
+        q = rng.choice([None, 0, 1, 2, 3])
+        posted = [(item, q)] + ([(i, 1) for i in items if i != item][:1] if op == "update" else [])
+        for i, n in posted:
+            ops.append((e, user, i, op, n))
+        cart = carts.setdefault(user, {})
+        if op == "add":
+            n = max(1 if q is None else q, 1)
+            if cart.get(item, 0) + n <= stock[item]:
+                cart[item] = cart.get(item, 0) + n
+        elif op == "remove":
+            cart.pop(item, None)
+        else:
+            if op == "update":
+                cart.clear()
+            for i, n in posted:
+                cart[i] = max(0, min(n, stock[i])) if n is not None else 0
+    df = spark.createDataFrame(ops, "event_id long, user_id long, item_id long, op string, quantity int")
+    got = {(r.user_id, r.item_id): r.quantity for r in fold_cart(ctx.t, df).collect()}
+    assert got == {(u, i): n for u, c in carts.items() for i, n in c.items() if n > 0}

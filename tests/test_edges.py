@@ -101,8 +101,8 @@ def test_double_cancel_restocks_once(spark):
     from storelake.operators.stock import apply_order_status
     t = _catalog(spark, orders=[(100, 1, TS, "Shipped", 5.0, 0), (101, 1, TS, "Cancelled", 5.0, 0)],
                  order_items=[(1, 100, 40, 2, 10.0), (2, 101, 40, 5, 10.0)])
-    changes = spark.createDataFrame([(100, "Cancelled", 7), (101, "Cancelled", 7)],
-                                    "order_id long, new_status string, staff_id long")
+    changes = spark.createDataFrame([(1, 100, "Cancelled", 7), (2, 101, "Cancelled", 7)],
+                                    "seq long, order_id long, new_status string, staff_id long")
     out = apply_order_status(t, changes)
     stock = {r.itemQuant_id: r.stock for r in out["items_quant"].collect()}
     assert stock[40] == 3 + 2                 # only the newly cancelled order gives stock back
@@ -171,9 +171,9 @@ def test_registration_rules(spark):
 def test_ids_are_dense_across_blocks(spark):
     from storelake.operators.sequence import new_ids, running_sum
     df = spark.range(0, 1000).withColumn("g", F.col("id") % 3)
-    ids = new_ids(df, "id", F.lit(100), "new_id", width=7)
+    ids = new_ids(df, "id", F.lit(100), "new_id", rows_per_block=7)
     assert sorted(r.new_id for r in ids.collect()) == list(range(101, 1101))
-    rs = running_sum(df, ["g"], "id", F.col("id"), "cum", width=5).where("g = 1 AND id = 10").first()
+    rs = running_sum(df, ["g"], "id", F.col("id"), "cum", rows_per_block=5).where("g = 1 AND id = 10").first()
     assert rs.cum == 1 + 4 + 7 + 10
 
 
@@ -221,18 +221,117 @@ def test_hot_item_sales_summary(spark):
     assert rows[10].total_sold == 3000 and rows[10].total_revenue == 7500.0
 
 
-def test_deep_page_equals_shallow_path(spark):
+def test_pages_of_any_depth(spark):
     import storelake.operators.catalog as C
     items = [(i, f"gear {i}", 1.0, None, None, None) for i in range(0, 200, 3)]
     t = make_tables(spark, items=items)
-    shallow = [r.item_id for r in C.shop_page(t, page=4, page_size=5).collect()]
-    old = C.DEEP_PAGE_ROWS
-    C.DEEP_PAGE_ROWS = 0
-    try:
-        deep = [r.item_id for r in C.shop_page(t, page=4, page_size=5).collect()]
-    finally:
-        C.DEEP_PAGE_ROWS = old
-    assert deep == shallow == [45, 48, 51, 54, 57]
+    for page in (1, 4, 14):
+        rows = C.shop_page(t, page=page, page_size=5).collect()
+        assert [r.item_id for r in rows] == list(range(0, 200, 3))[(page - 1) * 5:page * 5]
+
+
+def test_numbering_of_sparse_and_huge_ids(spark):
+    """Ids far apart, one outlier, ids near the top of the range, and a hot group: right sums, bounded blocks."""
+    import random
+
+    from storelake.operators.sequence import GROUP_BLOCKS, new_ids, running_sum
+    rng = random.Random(1)
+    ids = sorted(rng.sample(range(10 ** 6), 3000)) + [9 * 10 ** 18]
+    rows = [(i, 0 if k % 3 else k) for k, i in enumerate(ids)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, g long").repartition(3)
+    got = {r.id: r.n for r in new_ids(df, "id", F.lit(5), "n", rows_per_block=50).collect()}
+    assert [got[i] for i in ids] == list(range(6, 6 + len(ids)))
+    cum = {r.id: r.cum for r in running_sum(df.where("g = 0"), ["g"], "id", F.lit(1), "cum", rows_per_block=50).collect()}
+    assert [cum[i] for i in sorted(cum)] == list(range(1, len(cum) + 1))
+    cuts = df.where("g = 0").agg(F.percentile_approx("id", [k / GROUP_BLOCKS for k in range(1, GROUP_BLOCKS)], 4 * GROUP_BLOCKS)).first()[0]
+    sizes = [0] * GROUP_BLOCKS
+    for i in cum:
+        sizes[sum(c < i for c in cuts)] += 1
+    assert max(sizes) < 4 * len(cum) / GROUP_BLOCKS
+
+
+def test_changes_apply_in_sequence_and_keys_stay_unique(spark):
+    """Several changes of one key in a batch: the snapshot keeps one row per key."""
+    from storelake.operators import changes as W
+    from storelake.operators.stock import apply_order_status, place_orders
+    from storelake.schema import PRIMARY_KEYS
+    t = _catalog(spark, orders=[(100, 1, TS, "Processing", 5.0, 3)], order_items=[(1, 100, 40, 2, 10.0)],
+                 complaint=[(1, 1, "m", "open", TS)])
+
+    def unique(out):
+        for name, key in PRIMARY_KEYS.items():
+            if name in out:
+                assert out[name].groupBy(key).count().where("count > 1").count() == 0, name
+
+    steps = [(1, 100, "Cancelled", None), (2, 100, "Shipped", 8), (3, 100, "Cancelled", None), (4, 100, "Cancelled", None)]
+    out = apply_order_status(t, spark.createDataFrame(steps, "seq long, order_id long, new_status string, staff_id long"))
+    unique(out)
+    assert {r.itemQuant_id: r.stock for r in out["items_quant"].collect()}[40] == 3 + 2 + 2
+    row = out["orders"].first()
+    assert (row.order_status, row.staff_id) == ("Cancelled", 8)
+
+    out = W.patch_users(t, spark.createDataFrame(
+        [(1, 1, "A1", " bob@x.com ", None, "n1", "staff", "admin"), (2, 1, "A2", None, "1", None, None, "staff"),
+         (3, 1, None, "new@x.com", "2", "n2", "admin", "staff"), (4, 2, "B1", "new@x.com", None, None, None, "admin"),
+         (5, 2, "B2", " bob@x.com", None, "n3", None, "admin")],
+        "seq long, user_id long, name string, email string, phone string, notes string, role string, caller_role string"))
+    unique(out)
+    rows = {r.user_id: r for r in out["users"].collect()}
+    assert (rows[1].name, rows[1].email, rows[1].phone, rows[1].notes, rows[1].role) == ("A2", "new@x.com", "2", None, "customer")
+    assert (rows[2].name, rows[2].email, rows[2].notes) == ("B2", "bob@x.com", "n3")
+    assert sorted(r.seq for r in out["rejects"].collect()) == [1, 4]
+
+    posts = [(5, 10, "first", "1", "1", "a", "b", bytearray(b"img")), (6, 10, "second", "2", "2", "c", "d", None)]
+    out = W.upsert_products(t, spark.createDataFrame(posts, "request_id long, item_id long, name string, price_text string, "
+                                                     "stock_text string, short_desc string, full_desc string, image binary"))
+    unique(out)
+    row = out["items"].where("item_id = 10").first()
+    assert (row.itemName, row.basePrice, bytes(row.image)) == ("second", 2.0, b"img")
+
+    out = W.set_complaint_status(t, spark.createDataFrame([(1, 1, "resolved"), (2, 1, "in_progress")], "seq long, complaint_id long, new_status string"))
+    unique(out)
+    assert out["complaint"].first().status == "in_progress"
+
+    out = W.assign_categories(t, spark.createDataFrame(
+        [(1, 12, "NEW", "x"), (2, 12, "NEW", "y"), (3, 10, "LARGE", "z1"), (4, 10, "LARGE", "z2")],
+        "request_id long, item_id long, category_name string, subcategory_name string"))
+    unique(out)
+    assert sorted((r.item_id, r.subCatName) for r in out["sub_category"].collect()) == [(10, "b"), (10, "z2"), (11, "a"), (12, "y")]
+
+    reg = W.register_users(t, spark.createDataFrame(
+        [(1, "N", " new@x.com", "03001234567", "x"), (2, "N", "new@x.com ", "03001234567", "x"), (3, "N", " ann@x.com ", "03001234567", "x")],
+        "request_id long, name string, email string, phone string, role string"), created_at="2024-01-01 00:00:00")
+    unique(reg)
+    assert [r.email for r in reg["new_users"].collect()] == ["new@x.com"]
+    assert sorted(r.request_id for r in reg["rejects"].collect()) == [2, 3]
+
+    req = spark.createDataFrame([(1, 1, 10, 1), (1, 1, 10, -4), (2, 1, 10, -4), (3, 1, 77, 1)], "request_id long, user_id long, item_id long, quantity int")
+    twice = spark.createDataFrame([(1, "discount10"), (1, " DISCOUNT10 ")], "request_id long, coupon_code string")
+    out = place_orders(t, req, twice, order_date="2024-01-01 00:00:00")
+    unique(out)
+    assert [r.totalPrice for r in out["new_orders"].collect()] == [-5.0]
+    assert {r.request_id: r.reason for r in out["rejects"].collect()} == {2: "no_valid_line", 3: "no_valid_line"}
+
+
+def test_money_beyond_ten_billion(spark):
+    from storelake.operators.reports import revenue_by_period
+    t = _catalog(spark, orders=[(1, 1, TS, "Shipped", 2e10, 0), (2, 1, TS, "Shipped", 0.25, 0)])
+    assert revenue_by_period(t, "daily").first().total_revenue == 20000000000.25
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    import pytest
+    from storelake.session import checkpoint_dir
+
+    class Remote:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Remote())
 
 
 def test_month_partitioned_snapshot_prunes(spark, tmp_path):

@@ -29,5 +29,8 @@ def test_profiles_and_history(spark, tmp_path):
     prof = read_user_profiles(spark, path)
     assert prof.count() == t.users.count()
     assert "password" not in prof.columns
-    history = spark.read.json(f"{path}/history")
-    assert history.count() == t.orders.where("user_id IS NOT NULL").count()
+    sizes = {r.user_id: r.n for r in prof.selectExpr("user_id", "size(orders) AS n").collect()}
+    want = {r.user_id: r["count"] for r in t.orders.where("user_id IS NOT NULL").groupBy("user_id").count().collect()}
+    assert {u: n for u, n in sizes.items() if n} == {u: n for u, n in want.items() if u in sizes}
+    one = prof.where("size(orders) > 1").first().orders
+    assert [o.order_date for o in one] == sorted((o.order_date for o in one), reverse=True)

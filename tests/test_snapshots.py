@@ -11,7 +11,7 @@ def test_chain_of_change_jobs_round_trips(spark, tmp_path):
     from storelake.operators.stock import apply_order_status, place_orders
     from storelake.plans.registry import context
     from storelake.sources.model import Tables
-    from storelake.sources.requests import new_users, order_requests_ok
+    from storelake.sources.requests import new_users, order_requests
 
     ctx = context(spark, SF_SMALL)
     t0 = ctx.t
@@ -22,7 +22,7 @@ def test_chain_of_change_jobs_round_trips(spark, tmp_path):
     added = reg["new_users"].count()
     assert t1.users.count() == n_users + added
 
-    placed = place_orders(t1, order_requests_ok(ctx), order_date="2024-02-02 00:00:00")
+    placed = place_orders(t1, order_requests(ctx), order_date="2024-02-02 00:00:00")
     t2 = t1.apply(placed)
     new_ids = [r.order_id for r in placed["new_orders"].collect()]
     assert new_ids and min(new_ids) > t1.orders.agg(F.max("order_id")).first()[0]
@@ -33,8 +33,8 @@ def test_chain_of_change_jobs_round_trips(spark, tmp_path):
     assert t3.orders.count() == t2.orders.count()
     assert t3.order_items.count() == t2.order_items.count()
 
-    cancel = spark.createDataFrame([(i, "Cancelled", 1) for i in new_ids],
-                                   "order_id long, new_status string, staff_id long")
+    cancel = spark.createDataFrame([(i, i, "Cancelled", 1) for i in new_ids],
+                                   "seq long, order_id long, new_status string, staff_id long")
     t4 = t3.apply(apply_order_status(t3, cancel))
     # cancelling the new orders gives back exactly what placing them took
     stock0 = {r.itemQuant_id: r.stock for r in t1.items_quant.collect()}
