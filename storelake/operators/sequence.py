@@ -27,12 +27,11 @@ def _cuts(seq: str, blocks: int) -> Column:
     return F.percentile_approx(seq, [k / blocks for k in range(1, blocks)], 4 * blocks)
 
 
-def running_sum(df: DataFrame, group: list[str], seq: str, value: Column, out: str,
+def with_blocks(df: DataFrame, group: list[str], seq: str,
                 rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Add ``out`` = SUM(value) over rows of the same ``group`` with seq <= own seq.
+    """Add ``_blk``: the block of each row, ascending in ``seq`` inside its group.
 
-    ``seq`` must be an integer column, unique inside a group.  A group of n
-    rows gets about n / ``rows_per_block`` blocks, up to GROUP_BLOCKS (the
+    A group of n rows gets about n / ``rows_per_block`` blocks, up to GROUP_BLOCKS (the
     whole table, without group: TABLE_BLOCKS); the cuts are approximate quantiles, which only
     decides how evenly the rows are spread.
     """
@@ -44,11 +43,15 @@ def running_sum(df: DataFrame, group: list[str], seq: str, value: Column, out: s
         keyed = df.withColumn("_spread", df.agg(spread).scalar())
     wanted = F.least(F.lit(blocks), F.ceil(F.col("_spread.n") / F.lit(rows_per_block)))
     place = F.size(F.filter("_spread.cuts", lambda c: c < F.col(seq)))
+    return keyed.withColumn("_blk", F.floor(place * wanted / F.lit(blocks)).cast("int")).drop("_spread")
+
+
+def blocked_sum(df: DataFrame, group: list[str], seq: str, value: Column, out: str) -> DataFrame:
+    """Add ``out`` = SUM(value) over rows of the same ``group`` with seq <= own
+    seq, for rows that have their block (``with_blocks``)."""
     local_w = (Window.partitionBy(*group, "_blk").orderBy(seq)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = (keyed.withColumn("_v", value)
-             .withColumn("_blk", F.floor(place * wanted / F.lit(blocks)).cast("int")).drop("_spread")
-             .withColumn("_local", F.sum("_v").over(local_w)))
+    local = df.withColumn("_v", value).withColumn("_local", F.sum("_v").over(local_w))
     totals = local.groupBy(*group, "_blk").agg(F.sum("_v").alias("_bt"))
     prefix_w = (Window.partitionBy(*group).orderBy("_blk")
                 .rowsBetween(Window.unboundedPreceding, -1))
@@ -56,7 +59,16 @@ def running_sum(df: DataFrame, group: list[str], seq: str, value: Column, out: s
                             F.coalesce(F.sum("_bt").over(prefix_w), F.lit(0)).alias("_off"))
     return (local.join(offsets, [*group, "_blk"])
             .withColumn(out, F.col("_off") + F.col("_local"))
-            .drop("_v", "_blk", "_local", "_off"))
+            .drop("_v", "_local", "_off"))
+
+
+def running_sum(df: DataFrame, group: list[str], seq: str, value: Column, out: str,
+                rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Add ``out`` = SUM(value) over rows of the same ``group`` with seq <= own seq.
+
+    ``seq`` must be an integer column, unique inside a group.
+    """
+    return blocked_sum(with_blocks(df, group, seq, rows_per_block), group, seq, value, out).drop("_blk")
 
 
 def new_ids(df: DataFrame, seq: str, base: Column, out: str,
@@ -93,21 +105,23 @@ def greedy_admission(lines: DataFrame, req: str, group: list[str], qty: str, cap
     """
     from storelake.session import materialize
 
-    undecided = materialize(lines.select(req, *group, F.coalesce(F.col(qty), F.lit(0)).cast("bigint").alias("_q"),
-                                         F.col(cap).cast("bigint").alias("_room")), "undecided")
+    asked = lines.select(req, *group, F.coalesce(F.col(qty), F.lit(0)).cast("bigint").alias("_q"),
+                         F.col(cap).cast("bigint").alias("_room"))
+    # blocks are cut once: rounds only take rows away
+    undecided = materialize(with_blocks(asked, group, req, rows_per_block), "undecided")
     admitted = []
     while (left := undecided.count()) > 0:
         if rounds is not None:
             rounds.append(left)
-        most = running_sum(undecided, group, req, F.col("_q"), "_used", rows_per_block)
+        most = blocked_sum(undecided, group, req, F.col("_q"), "_used")
         sure = materialize(most.groupBy(req).agg(F.min((F.col("_used") <= F.col("_room")).cast("int")).alias("_ok"))
                            .where("_ok = 1").select(req), "admitted")
         admitted.append(sure)
         counted = (undecided.join(sure.withColumn("_in", F.lit(True)), req, "left")
                    .withColumn("_taken", F.when(F.col("_in"), F.col("_q")).otherwise(F.lit(0)).cast("bigint")))
-        rest = (running_sum(counted, group, req, F.col("_taken"), "_used", rows_per_block)
+        rest = (blocked_sum(counted, group, req, F.col("_taken"), "_used")
                 .where(F.col("_in").isNull())
-                .select(req, *group, "_q", (F.col("_room") - F.col("_used")).alias("_room")))
+                .select(req, *group, "_q", (F.col("_room") - F.col("_used")).alias("_room"), "_blk"))
         open_ = (rest.groupBy(req).agg(F.min((F.col("_q") <= F.col("_room")).cast("int")).alias("_ok"))
                  .where("_ok = 1").select(req))
         undecided = materialize(rest.join(open_, req, "left_semi"), "undecided")

@@ -4,8 +4,10 @@ usage: python tools/plan_report.py [sf_dir] > PLANS.md
 
 Counts shuffles (``Exchange``), broadcasts, sort-merge / broadcast-hash
 joins, windows and scans, and lists the filters pushed into parquet scans.
-Queries that run jobs while being built (writers, streams, admission
-rounds) are reported with the plan of their final DataFrame.
+Tables that a query writes while it is built (``session.materialize``:
+admission rounds, batches that several outputs read) are counted too, in the
+``tables`` column and in all sums; writers and streams are reported with the plan of
+their final DataFrame.
 """
 
 from __future__ import annotations
@@ -37,24 +39,37 @@ def summarise(plan: str) -> dict:
 
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
+    from storelake import session
     from storelake.session import checkpoint_dir, get_session
+    written: list[str] = []
+    plain = session.materialize
+
+    def text(df) -> str:
+        buf = io.StringIO()
+        with redirect_stdout(buf):
+            df.explain("formatted")
+        return buf.getvalue()
+
+    def counted(df, name="stage"):
+        written.append(text(df))
+        return plain(df, name)
+
+    session.materialize = counted        # before the operators import it
     from storelake.plans.registry import load_all
     spark = get_session("local[8]", 8)
     checkpoint_dir(spark)
     print(f"# Physical plans at {sf_dir}\n")
     print("Shuffle = `Exchange` (hash/range), broadcasts are chosen by the planner's size "
           "check.\n")
-    print("| query | shuffles | broadcasts | SMJ | BHJ | windows | scans | pushed filters |")
-    print("| --- | --- | --- | --- | --- | --- | --- | --- |")
+    print("| query | tables | shuffles | broadcasts | SMJ | BHJ | windows | scans | pushed filters |")
+    print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
     for name, reg in sorted(load_all().items()):
-        df = reg.build(spark, sf_dir)
-        buf = io.StringIO()
-        with redirect_stdout(buf):
-            df.explain("formatted")
-        s = summarise(buf.getvalue())
-        pushed = "; ".join(s["pushed"])[:160]
-        print(f"| {name} | {s['shuffles']} | {s['broadcasts']} | {s['smj']} | {s['bhj']} | "
-              f"{s['windows']} | {s['scans']} | {pushed} |")
+        written.clear()
+        final = text(reg.build(spark, sf_dir))
+        parts = [summarise(p) for p in [final, *written]]
+        pushed = "; ".join(sorted({p for x in parts for p in x["pushed"]}))[:160]
+        sums = [str(sum(x[k] for x in parts)) for k in ("shuffles", "broadcasts", "smj", "bhj", "windows", "scans")]
+        print(f"| {name} | {len(written)} | {' | '.join(sums)} | {pushed} |")
 
 
 if __name__ == "__main__":

@@ -17,7 +17,7 @@ lines = (spark.range(N).select(F.col("id").alias("request_id"),
          (F.col("id") % 3 + 1).alias("quantity"))
          .withColumn("cap", F.when(F.col("item_id") == 1, F.lit(N // 3)).otherwise(F.lit(1000))))
 t0 = time.time()
-adm = greedy_admission(lines, "request_id", ["item_id"], "quantity", "cap", "exact")
+adm = greedy_admission(lines, "request_id", ["item_id"], "quantity", "cap")
 n = adm.count()
 print("admitted", n, "sec", round(time.time() - t0, 1))
 t0 = time.time()
