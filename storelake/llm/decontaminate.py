@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storelake.llm.common import DOC_COLUMNS, read_table
+from storelake.llm.common import DOC_COLUMNS, read_table, ship_package
 from storelake.llm.words import ALNUM, Words, mix64, shingle_hashes, text_chunks, words_of
 from storelake.session import materialize
 
@@ -237,6 +237,7 @@ def decontaminate_query(spark, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any word inside a benchmark window."""
+    ship_package(spark)
     found = find_contamination(docs.select(*DOC_COLUMNS), read_table(spark, sf_dir, "benchmark"))
     return found.where(F.col("n_hit") == 0).select(*DOC_COLUMNS)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storelake.llm.common import DOC_COLUMNS, read_table, with_fields
+from storelake.llm.common import DOC_COLUMNS, read_table, ship_package, with_fields
 from storelake.llm.words import _BASE, _POWERS, SPACED, mix64, signed, text_chunks, words_of
 from storelake.session import materialize
 
@@ -254,6 +254,7 @@ def linededup_query(spark, sf_dir: str) -> DataFrame:
 
 def linededup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated runs; a document of which nothing is left goes."""
+    ship_package(spark)
     out = dedup_lines(docs.select(*DOC_COLUMNS)).where("lines_removed = 0 OR lines_left > 0")
     cut = F.col("lines_removed") > 0
     return out.select("doc_id", "text", "lang", "source",

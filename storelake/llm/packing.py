@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelake.llm.common import read_table
+from storelake.llm.common import read_table, ship_package
 from storelake.llm.words import mix64, text_chunks, words_of
 from storelake.session import materialize
 
@@ -221,4 +221,5 @@ def packing_query(spark, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequence and offset."""
+    ship_package(spark)
     return pack(piece_rows(docs))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storelake.llm.common import DOC_COLUMNS, fold, label_sample, labels_of, read_table, with_fields
+from storelake.llm.common import DOC_COLUMNS, fold, label_sample, labels_of, read_table, ship_package, with_fields
 from storelake.llm.words import KINDS, shingle_hashes, text_chunks, words_of
 
 BITS = 18
@@ -179,6 +179,7 @@ def quality_query(spark, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, learnt from the stage's own input."""
+    ship_package(spark)
     docs = docs.select(*DOC_COLUMNS)
     model = train(docs, read_table(spark, sf_dir, "labels"))
     return score(docs, model, "quality_score").where(F.col("quality_score") >= THRESHOLD).drop("quality_score")

@@ -48,3 +48,9 @@ def no_docs(spark):
 def pairs():
     """(doc_id, text) of the documents."""
     return [(r[0], r[1]) for r in doc_rows()]
+
+
+@pytest.fixture(scope="session", autouse=True)
+def shipped(spark):
+    from storelake.llm.common import ship_package
+    ship_package(spark)

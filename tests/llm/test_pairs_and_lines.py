@@ -52,9 +52,10 @@ def test_index_entries_meet(monkeypatch):
         entries = []
         for s in (x, y):
             s = s[np.lexsort([pool[s], classes[s]])]
-            keys, _, is_open = jaccard.index_entries(pool[s], classes[s])
-            entries.append(dict(zip(keys, is_open)))
-        assert any(not (entries[0][k] and entries[1][k]) for k in entries[0].keys() & entries[1].keys())
+            keys, _, is_open, rest = jaccard.index_entries(pool[s], classes[s])
+            entries.append({k: (o, r) for k, o, r in zip(keys, is_open, rest)})
+        e, f = entries
+        assert any(not (e[k][0] and f[k][0]) and 175 * min(e[k][1], f[k][1]) >= 75 * (len(x) + len(y)) for k in e.keys() & f.keys())
 
 
 def test_components_of_a_long_chain(spark):

@@ -191,7 +191,10 @@ def _secret_texts():
              "AKIA" + key(15, "ABCDEF0123"), "AKIAAKIA" + key(16, "ABCDEF0123") + "z", "é中 token=éabcdef token=abcdef é AKIA" + key(16, "ABCD"),
              key(23, "abcdef01"), key(24, "abcdef01") + "g" + key(30, "abcdef01"), None, "", "secret", "password=short secret = " + key(30),
              "x" * 5000 + " token=" + key(40) + "\n" + "y" * 3000]
-    texts += [f"{prose(rng, 20)} password={key(24)} {prose(rng, 5)} {key(32)} internationalization_of_identifiers {key(16, 'abcdef0123456789') * 2}"
+    plain = ("configuration directory compute_average internationalization_of_identifiers response_handler session "
+             "maximum_number_of_connections translation operation authenticate_user_session window_aggregate_function "
+             "documentation international_organization_names transaction_isolation_level_setting partition")
+    texts += [f"{prose(rng, 20)} {plain} password={key(24)} {prose(rng, 5)} {key(32)} internationalization_of_identifiers {key(16, 'abcdef0123456789') * 2}"
               for _ in range(40)]
     return texts
 
