@@ -37,7 +37,7 @@ ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "markov")
 
 MARKOV_LENGTH = 20
-MARKOV_LEAST = 15.0
+MARKOV_LEAST = 10.0
 SAMPLE = 4000
 LONG_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MARKOV_LENGTH
 IDENTIFIER = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z_]{6,}(?![A-Za-z0-9+/_=.-])"
@@ -86,7 +86,7 @@ def _pairs(values: DataFrame, weight: Column) -> DataFrame:
 
 def train(docs: DataFrame, scanned: DataFrame) -> list[float] | None:
     """Log-likelihood ratio by (p * _CODES + c): at most _CODES ** 2 numbers."""
-    random = scanned.select(F.inline(F.expr("concat(assign, access)"))).select("value")
+    random = scanned.select(F.inline(F.expr("concat(assign, access, hex)"))).select("value")
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     plain = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     for pattern in (ASSIGN, ACCESS, HEX):
