@@ -284,26 +284,27 @@ def apply_order_status_orders(t, ctx):
     return S.apply_order_status(t, RQ.status_changes(ctx))["orders"]
 
 
-# The oracle replays the checkouts one by one (a recursive CTE carrying the
-# remaining stock per item as a MAP), i.e. the shop's own sequence.
+# The oracle replays the checkouts one by one, i.e. the shop's own sequence: a keyed
+# recursive CTE holds the room left of every item, at key -1 the number of the last checkout,
+# and at keys below it the outcome of each.
+register("numbered_checkouts", """
+    SELECT dense_rank() OVER (ORDER BY request_id) AS rn, request_id, item_id,
+           CAST(quantity AS BIGINT) AS q, CAST(avail AS BIGINT) AS avail FROM checkout_lines""")
 register("replayed_checkouts", """
-    SELECT request_id, admitted FROM (
-      WITH RECURSIVE reqs AS (
-        SELECT request_id, row_number() OVER (ORDER BY request_id) AS rn,
-               map_from_entries(list(struct_pack(k := item_id, v := CAST(quantity AS BIGINT)))) AS ls
-        FROM checkout_lines GROUP BY request_id),
-      walk AS (
-        SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BOOLEAN) AS admitted,
-               (SELECT map_from_entries(list(struct_pack(k := item_id, v := CAST(avail AS BIGINT))))
-                FROM (SELECT DISTINCT item_id, avail FROM checkout_lines) d) AS m
-        UNION ALL
-        SELECT r.rn, r.request_id, f.fits,
-               CASE WHEN f.fits THEN map_from_entries(list_transform(map_entries(w.m), lambda e:
-                         struct_pack(k := e.key, v := e.value - COALESCE(r.ls[e.key], 0))))
-                    ELSE w.m END
-        FROM walk w JOIN reqs r ON r.rn = w.rn + 1,
-             LATERAL (SELECT list_bool_and(list_transform(map_entries(r.ls), lambda x: x.value <= w.m[x.key])) AS fits) f)
-      SELECT request_id, admitted FROM walk WHERE rn > 0) x""")
+    SELECT r.request_id, w.v = 1 AS admitted FROM (
+      WITH RECURSIVE todo AS MATERIALIZED (SELECT * FROM numbered_checkouts),
+      walk(k, v) USING KEY (k) AS (
+        (SELECT DISTINCT item_id, avail FROM todo UNION ALL SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT))
+        UNION
+        (WITH mine AS (
+           SELECT l.rn, l.item_id, r.v - l.q AS room, min(r.v - l.q) OVER () AS least
+           FROM todo l JOIN recurring.walk r ON r.k = l.item_id
+           WHERE l.rn = (SELECT max(v) + 1 FROM walk WHERE k = -1))
+         SELECT item_id, room FROM mine WHERE least >= 0
+         UNION ALL SELECT DISTINCT CAST(-1 AS BIGINT), rn FROM mine
+         UNION ALL SELECT DISTINCT -1 - rn, CAST(least >= 0 AS BIGINT) FROM mine))
+      SELECT -1 - k AS rn, v FROM walk WHERE k < -1) w
+    JOIN (SELECT DISTINCT rn, request_id FROM numbered_checkouts) r ON r.rn = w.rn""")
 register("admitted_lines", """
     SELECT l.* FROM checkout_lines l JOIN replayed_checkouts a ON l.request_id = a.request_id WHERE a.admitted""")
 register("new_orders_v", f"""
