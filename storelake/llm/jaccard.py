@@ -18,11 +18,13 @@ Two nodes link when 100 * intersection >= 75 * union.
   shingles of its plain prefix.  All others add their plain prefix's frequent
   shingles too, but only to be met by such nodes ("open" rows).
 
-Entries met by no other node are dropped.  Instead of all pairs of an entry, every
-member is first compared with one leader (the node whose prefix others share
-most); members found linked are one component and are not compared again.
-Entries that still hold several components get ever more leaders (a hash choice,
-eight times as many each round) until all remaining pairs are compared, so no
+Two nodes are compared if at an entry that they share what follows is enough for a
+link (at the first shingle they share it is, if they link).  Entries met by no other node are dropped.  Instead of all pairs of an entry, every
+member is first compared with a few leaders (the node whose prefix others share
+most, and some chosen by a hash of the node, the same ones in all entries they share);
+members found linked are one component and are not compared again.
+Entries that still hold several components get ever more leaders
+(``MORE_LEADERS`` times as many each round) until all remaining pairs are compared, so no
 link between different texts is missed and a group of m copies costs m comparisons.
 Pairs are compared by an exact upper bound from 256 bucket counts first, then on whole sets.
 
@@ -40,10 +42,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelake.llm.common import DOC_COLUMNS, read_table
+from storelake.llm.common import DOC_COLUMNS, read_table, ship_package
 from storelake.llm.components import components
 from storelake.llm.lm import most_frequent
 from storelake.llm.words import mix64, shingle_hashes, signed, text_chunks, words_of
@@ -57,6 +59,8 @@ FLUSH = 1 << 22           # shingles between two rounds of counting in a task
 BINS = 256
 FILTER_BITS = 23          # bits of the bitmap that says whose sets are wanted
 SALTS = 64
+LEADERS = 4               # leaders of an entry in the first round, besides the best one
+MORE_LEADERS = 8          # times as many in the next
 
 
 def shingle_sets(texts: list[bytes | None], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -132,9 +136,10 @@ def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def index_entries(tokens: np.ndarray, classes: np.ndarray) -> tuple[list, list, list]:
-    """Keys of one node's prefix, whether each is frequent, and whether it is open
-    (to be met by wide nodes only).  ``tokens`` are in order (class, hash)."""
+def index_entries(tokens: np.ndarray, classes: np.ndarray) -> tuple[list, list, list, list]:
+    """Keys of one node's prefix, whether each is frequent, whether it is open (to be
+    met by wide nodes only), and how many shingles two nodes can share at most that
+    first meet there.  ``tokens`` are in order (class, hash)."""
     misses = len(tokens) // 4
     plain = misses + 1
     sizes = [int((classes == k).sum()) for k in (1, 2, 3)]
@@ -149,28 +154,32 @@ def index_entries(tokens: np.ndarray, classes: np.ndarray) -> tuple[list, list,
     wide = need > 0 or taken[1][2] + taken[2][2] > WIDE
     head = tokens[:plain]
     keys, frequent, is_open = head.tolist(), (classes[:plain] > 1).tolist(), (classes[:plain] > 1).tolist()
+    rest = list(range(len(tokens), len(tokens) - plain, -1))
     if wide:
-        return keys, frequent, [False] * plain
+        return keys, frequent, [False] * plain, rest
     for k, start, take in taken[1:]:
-        for combo in combinations(tokens[start:start + take].tolist(), k):
+        for combo in combinations(range(start, start + take), k):
             h = np.zeros(1, np.uint64)
-            for t in combo:
-                h = mix64(h + np.uint64(t))
+            for i in combo:
+                h = mix64(h + tokens[i:i + 1])
+            # class 3 begins after at most one shared shingle of class 2
+            rest.append(len(tokens) - combo[0] + (k - 2))
             keys.append(int(h[0]) | (1 << 63))
             frequent.append(True)
             is_open.append(False)
-    return keys, frequent, is_open
+    return keys, frequent, is_open, rest
 
 
 def index_rows(docs: DataFrame, frequent: np.ndarray, seen: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
-    """(key, node, n, often, open) of every document's prefix."""
+    """(key, node, info, salt) of every document's prefix; info is 2 * n, plus 1 for
+    open rows, plus 2**32 times the most that can be shared from there on, and salt is 0 for rare shingles, else one of SALTS numbers by node."""
     shipped = docs.sparkSession.sparkContext.broadcast((frequent, np.where(seen >= SEEN_OFTEN[1], 3, 2)))
 
     def run(batches):
         listed, its_class = shipped.value
         for batch in batches:
             for part, texts in text_chunks(batch):
-                keys, nodes, ns, often, opened, met = [], [], [], [], [], set()
+                keys, nodes, info, salts, met = [], [], [], [], set()
                 sets = shingle_sets(texts, shingle)
                 if len(listed):
                     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -185,34 +194,32 @@ def index_rows(docs: DataFrame, frequent: np.ndarray, seen: np.ndarray, shingle:
                     classes = classes_of[i] if len(listed) else None
                     if classes is None or not (classes > 1).any():
                         own = tokens[:len(tokens) // 4 + 1]
-                        rare = [False] * len(own)
-                        keys.append(own)
-                        often += rare
-                        opened += rare
+                        f = o = np.zeros(len(own), np.int64)
+                        left = np.arange(len(tokens), len(tokens) - len(own), -1)
                     else:
                         order = np.argsort(classes, kind="stable")
-                        own, f, o = index_entries(tokens[order], classes[order])
-                        keys.append(np.array(own, np.uint64))
-                        often += f
-                        opened += o
+                        own, f, o, left = index_entries(tokens[order], classes[order])
+                        own = np.array(own, np.uint64)
+                    keys.append(own)
                     nodes.append(np.full(len(own), node, np.int64))
-                    ns.append(np.full(len(own), len(tokens), np.int32))
+                    info.append((np.asarray(left, np.int64) << 32) + 2 * len(tokens) + np.asarray(o, np.int64))
+                    salts.append(np.asarray(f, np.int64) * (1 + node % SALTS))
                 if keys:
                     yield _emit(key=signed(np.concatenate(keys)), node=np.concatenate(nodes),
-                                n=np.concatenate(ns), often=pa.array(often, pa.bool_()), open=pa.array(opened, pa.bool_()))
+                                info=np.concatenate(info), salt=np.concatenate(salts).astype(np.int32))
 
-    return docs.select("text").mapInArrow(run, "key long, node long, n int, often boolean, open boolean")
+    return docs.select("text").mapInArrow(run, "key long, node long, info long, salt int")
 
 
 def shared_entries(index: DataFrame, partitions: int) -> DataFrame:
     """Index rows whose key more than one node has (frequent keys are kept as they are)."""
-    from pyspark.sql import Window
-    salt = F.when(F.col("often"), 1 + F.pmod("node", F.lit(SALTS))).otherwise(0).cast("int")
-    dealt = index.withColumn("salt", salt).repartition(partitions, "key", "salt")
     own = Window.partitionBy("key", "salt")
-    kept = (dealt.withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)})
-            .where("often OR lo != hi").drop("lo", "hi", "salt"))
-    return kept.dropDuplicates(["key", "node"])
+    kept = (index.repartition(partitions, "key", "salt")
+            .withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)})
+            .where("salt > 0 OR lo != hi"))
+    rows = kept.select("key", "node", F.expr("info % 4294967296 div 2").cast("int").alias("n"),
+                       F.expr("info div 4294967296").cast("int").alias("rest"), (F.col("info") % 2 == 1).alias("open"))
+    return rows.dropDuplicates(["key", "node"])
 
 
 def wanted_bitmap(ids: DataFrame) -> np.ndarray:
@@ -292,27 +299,32 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: in
                shingle: int = SHINGLE) -> DataFrame:
     """(node, comp) for all nodes with links; ``nodes``: (node, doc_id, n, bins)."""
     spark = docs.sparkSession
+    shared = materialize(shared, "shared")
     reach = shared.groupBy("node").agg((F.count("*") / F.first("n")).alias("reach"))
     entry = materialize(shared.join(reach, "node"), "entries")
+    chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)      # the same nodes lead everywhere
     tested = links = label = None
-    leaders, first = 1, True
+    leaders = LEADERS
     while True:
         comp = F.col("node").alias("comp") if label is None else F.coalesce("comp", "node").alias("comp")
         now = (entry if label is None else entry.join(label, "node", "left")).select(*entry.columns, comp)
         group = now.groupBy("key").agg(
             F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
             F.max(F.when(~F.col("open"), F.struct("reach", "node"))).alias("best"))
-        group = group.where("c0 != c1 AND best IS NOT NULL").select("key", "size", F.col("best.node").alias("best"))
-        now = materialize(now.join(group, "key"), "rounds")
+        group = group.where("c0 != c1 AND best IS NOT NULL")
+        if tested is not None:               # in smaller entries every pair has been compared
+            group = group.where(F.col("size") > leaders // MORE_LEADERS)
+        now = materialize(now.join(group.select("key", "size", F.col("best.node").alias("best")), "key"), "rounds")
         largest = now.agg(F.max("size")).first()[0]
         if largest is None:
             break
-        chosen = (F.col("node") == F.col("best")) if first else \
-            (F.pmod(F.xxhash64("node", "key"), F.col("size")) < leaders)
+        chosen = (F.col("node") == F.col("best")) | (chance * F.col("size") < leaders)
         lead = now.where(chosen & ~F.col("open")).select("key", F.col("node").alias("l"), F.col("n").alias("ln"),
-                                                         F.col("comp").alias("lc"))
+                                                         F.col("rest").alias("lr"), F.col("comp").alias("lc"))
+        # what both can still share is enough: (100 + p) * shared >= p * (n + ln)
         met = (now.join(lead, "key").where((F.col("comp") != F.col("lc"))
-                                           & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")))
+                                           & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
+                                           & ((100 + percent) * F.least("rest", "lr") >= percent * (F.col("n") + F.col("ln"))))
                .select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct())
         if tested is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
@@ -322,20 +334,18 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: in
         rough = (met.join(side.toDF("a", "na", "xa"), "a").join(side.toDF("b", "nb", "xb"), "b")
                  .select("a", "b", "xa", "xb", "na", "nb").mapInArrow(_bound_filter(percent), "a long, b long"))
         rough = materialize(rough, "rough")
-        wanted = (rough.select(F.col("a").alias("node")).unionByName(rough.select(F.col("b").alias("node"))).distinct()
-                  .join(nodes, "node").select("doc_id", "node"))
         if not rough.isEmpty():
-            sets = materialize(whole_sets(docs, materialize(wanted, "wanted"), shingle), "sets")
+            wanted = rough.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+            sets = materialize(whole_sets(docs, materialize(wanted.select("doc_id", "node"), "wanted"), shingle), "sets")
             sure = (rough.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
                     .select("a", "b", "ta", "tb").mapInArrow(_compare(percent), "a long, b long"))
             sure = materialize(sure, "links")
             links = sure if links is None else links.unionByName(sure)
             label = components(links)
-        done = not first and leaders >= largest
-        leaders, first = leaders * 8, False
         entry = now.select(*entry.columns)
-        if done:
+        if leaders >= largest:
             break
+        leaders *= MORE_LEADERS
     if label is None:
         return spark.createDataFrame([], "node long, comp long")
     return label
@@ -370,6 +380,7 @@ def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without doc_id stay; of rows that share the least doc_id one stays.
     """
+    ship_package(spark)
     docs = docs.select(*DOC_COLUMNS)
     found = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
