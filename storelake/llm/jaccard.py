@@ -330,7 +330,9 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: in
             met = met.join(tested, ["a", "b"], "left_anti")
         met = materialize(met, "candidates")
         tested = met if tested is None else tested.unionByName(met)
-        side = nodes.select("node", "n", "bins")
+        # only the nodes met in this round take their bucket counts through the joins
+        side = materialize(nodes.select("node", "n", "bins").join(
+            met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "sides")
         rough = (met.join(side.toDF("a", "na", "xa"), "a").join(side.toDF("b", "nb", "xb"), "b")
                  .select("a", "b", "xa", "xb", "na", "nb").mapInArrow(_bound_filter(percent), "a long, b long"))
         rough = materialize(rough, "rough")
