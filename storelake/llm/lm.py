@@ -4,22 +4,25 @@ Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z and one end
 token a text.  Counts come from all training texts (id crc32 modulo 7 not 2).
 
 * Unigrams: add-one probabilities over all counted tokens, (c + 1) / (N + V + 1).
-* Bigrams and trigrams over the ``LM_WORDS`` most frequent tokens, counted over
-  all training texts, kept from ``MIN_COUNT`` on and at most ``NGRAMS`` of the
-  most frequent; absolute discounting.  What a context leaves over goes to its
+* Bigrams and trigrams of all tokens, counted over all training texts, kept from
+  ``MIN_COUNT`` on; absolute discounting.  What a context leaves over goes to its
   shorter context (backoff weights that make every state's probabilities sum to 1).
 
-A kept n-gram becomes an arc; a context with arcs is a state; a failure arc
-leads to the state of the next shorter context and carries the log of the
-backoff weight.  A text is read once from left to right: the state is
-carried along, failure arcs are taken until the token has an arc, and
-log-probabilities add up.  Texts are read in stretches of ``STRETCH`` tokens
-that advance together; a stretch first reads the two tokens before it, which
-settles its state, as no state is longer than two tokens.
-
-What is shipped to tasks is bounded: the counts of at most ``HEAD`` tokens and
-the automaton.  Rarer tokens keep their place as unigrams at the root and get
-their counts through a join with the full table.
+A kept n-gram is an arc; a context with arcs is a state; a failure arc leads to the
+state of the next shorter context and carries the log of the backoff weight.  The
+automaton is a table keyed by n-gram hash, built by joins.  Its weights are pushed: an arc
+carries what it adds to the failure path that it saves, and a state its failure weight.
+Both of a kept n-gram's shorter n-grams are kept, so a text's score is the sum of the weights
+of its words, bigrams and trigrams, whichever order they are met in.
+
+* Counts: tasks send sorted, packed key blocks by key range (a key once in ``FLUSH``
+  tokens); a range holds about ``RANGE`` keys.
+* A trigram of enough count holds two bigrams of enough count, so trigrams with another bigram
+  are not sent.  The kept keys are tested in a bit table of at most 2^``SIEVE_BITS`` bits:
+  a full one lets more through and never drops a kept n-gram.
+* What is shipped to tasks is bounded: the counts of at most ``HEAD`` tokens and
+  ``BLOCK`` weights a pass; more weights mean more passes over the texts.  Rarer tokens
+  get their counts through a join with the full table.
 
 Defined cases: null and empty texts are the end token alone; without training
 texts every token has probability 1 / (0 + 0 + 1); repeated rows are scored
@@ -28,25 +31,26 @@ each; other columns are ignored; a null id belongs to the training side.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storelake.llm.common import fold, read_table
-from storelake.llm.words import signed, text_chunks, words_of
+from storelake.llm.words import shingle_hashes, signed, text_chunks, words_of
 from storelake.session import materialize
 
 HEAD = 1 << 19
-LM_WORDS = 2048
-NGRAMS = 1 << 18
 MIN_COUNT = 4
 DISCOUNT = 0.75
-STRETCH = 64
+BLOCK = 1 << 22          # weights shipped for one pass over the texts
+RANGE = 1 << 20          # n-grams that one task merges at a time
+SIEVE_BITS = 28
 FLUSH = 1 << 22          # tokens that a task gathers before it emits their counts
 END = np.uint64(1)       # stands for the end token among word hashes
 
@@ -109,113 +113,206 @@ def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray
     return key[order], n[order]
 
 
+@dataclass
+class Sieve:
+    """Bit table of keys by their upper ``size`` bits."""
+    size: int
+    bits: np.ndarray
+
+    @staticmethod
+    def width(rows: int, most: int = SIEVE_BITS) -> int:
+        return int(min(most, max(15, np.ceil(np.log2(16 * max(1, rows))))))
+
+    @staticmethod
+    def of_table(kept: DataFrame) -> "Sieve":
+        size = Sieve.width(kept.count())
+        slot = F.shiftrightunsigned("key", 64 - size)
+        rows = (kept.groupBy(F.shiftright(slot, 15).alias("at"))
+                .agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits")).collect())
+        bits = np.zeros((1 << size) // 32768, "V4096")
+        for r in rows:
+            bits[r["at"]] = bytes(r["bits"])
+        return Sieve(size, bits.view(np.uint8))
+
+    @staticmethod
+    def of_keys(keys: np.ndarray) -> "Sieve":
+        size = Sieve.width(len(keys))
+        flags = np.zeros(1 << size, bool)
+        flags[keys >> np.uint64(64 - size)] = True
+        return Sieve(size, np.packbits(flags, bitorder="little"))
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys >> np.uint64(64 - self.size)
+        return (self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def grams(hashes: np.ndarray, vocab: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the bigram and the trigram that begin at each token, and which of them count:
+    the end token only ends an n-gram, and words are of the vocabulary (None: all)."""
+    inner = hashes != END
+    known = np.ones(len(hashes), bool) if vocab is None else np.isin(hashes, vocab) | ~inner
+    two = inner[:-1] & known[:-1] & known[1:]
+    return shingle_hashes(hashes, 2), two, shingle_hashes(hashes, 3), two[:-1] & two[1:]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The values' first bytes, then their second bytes and so on: high bytes that are 0 compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _values(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+_PACKED = "part int, keys binary, n binary, shorter binary"
+
+
+def _packed(keys_of, bits: int):
+    """mapInArrow function: the keys of FLUSH tokens, each once, with their counts and shorter n-grams, by key range."""
+
+    def emit(held):
+        key, at, n = np.unique(np.concatenate([k for k, _ in held]), return_index=True, return_counts=True)
+        shorter = np.concatenate([s for _, s in held])
+        cut = np.searchsorted(key, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        for part, (a, b) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(key)])):
+            if b > a:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([_planes(np.diff(key[a:b], prepend=np.uint64(0)))], pa.binary()),
+                     pa.array([_planes(n[a:b].astype(np.uint32))], pa.binary()),
+                     pa.array([_planes(shorter[at[a:b]].ravel()) if len(shorter) else b""], pa.binary())],
+                    names=["part", "keys", "n", "shorter"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, texts in text_chunks(batch):
+                held.append(keys_of(tokens_of(texts)[0]))
+                size += len(held[-1][0])
+                if size >= FLUSH:
+                    yield from emit(held)
+                    held, size = [], 0
+        if size:
+            yield from emit(held)
+
+    return run
+
+
+_NONE = np.zeros((0, 2), np.uint64)
+
+
+def gather_grams(texts: DataFrame, keys_of, tokens: int, min_count: int = 1) -> DataFrame:
+    """(key, n, left, right) of the n-grams that ``keys_of`` gives for a chunk's tokens as (keys,
+    rows of their shorter n-grams or none); ``tokens``: how many there are about."""
+    bits = int(min(14, max(5, np.ceil(np.log2(max(1, tokens / RANGE))))))
+
+    def merge(table):
+        key = np.concatenate([np.cumsum(_values(x.as_py(), np.uint64), dtype=np.uint64) for x in table["keys"]])
+        n = np.concatenate([_values(x.as_py(), np.uint32) for x in table["n"]]).astype(np.int64)
+        shorter = np.concatenate([_values(x.as_py(), np.uint64) for x in table["shorter"]]).reshape(-1, 2)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.add.reduceat(n[order], first)
+        keep = n >= min_count
+        own = order[first[keep]]
+        sides = [pa.array(signed(shorter[own, i])) if len(shorter) else pa.nulls(len(own), pa.int64()) for i in (0, 1)]
+        return pa.table({"key": signed(key[first[keep]]), "n": n[keep], "left": sides[0], "right": sides[1]})
+
+    return (texts.select("text").mapInArrow(_packed(keys_of, bits), _PACKED)
+            .groupBy("part").applyInArrow(merge, "key long, n long, left long, right long"))
+
+
 @dataclass
 class Automaton:
-    """States: 0 is the root, 1..V-1 the words, from V on pairs of words."""
-    vocab: np.ndarray        # sorted hashes of the words, beside their numbers
-    number: np.ndarray
-    size: int                # V: number 0 is the end token
-    arc: np.ndarray          # sorted state * V + word
-    arc_logp: np.ndarray
-    arc_next: np.ndarray
-    fail: np.ndarray
-    fail_logw: np.ndarray
+    vocab: np.ndarray | None     # sorted hashes of the words that n-grams are made of (None: all)
+    weights: DataFrame           # (key, w): pushed weights of states and arcs by n-gram hash
+    size: int                    # rows of ``weights``
+
+
+def build(texts: DataFrame, unigrams: DataFrame, total: int, types: int, vocab: np.ndarray | None,
+          min_count: int) -> Automaton:
+    sc = texts.sparkSession.sparkContext
+
+    def bigrams(hashes):
+        key, counts, _, _ = grams(hashes, vocab)
+        return key[counts], _NONE
+
+    kept2 = materialize(gather_grams(texts, bigrams, total, min_count).select("key", "n"), "bigrams")
+    sieve2 = sc.broadcast(Sieve.of_table(kept2))
+
+    def trigrams(hashes):
+        two, _, key, counts = grams(hashes, vocab)
+        may = sieve2.value.may_hold(two)
+        return key[counts & may[:-1] & may[1:]], _NONE
+
+    kept3 = materialize(gather_grams(texts, trigrams, total, min_count).select("key", "n"), "trigrams")
+    sieve3 = sc.broadcast(Sieve.of_table(kept3))
+
+    def shorter(hashes):                  # the shorter n-grams of what is kept, and of some that are not
+        two, counts2, three, counts3 = grams(hashes, vocab)
+        at2 = np.flatnonzero(counts2 & sieve2.value.may_hold(two))
+        at3 = np.flatnonzero(counts3 & sieve3.value.may_hold(three))
+        return (np.concatenate([two[at2], three[at3]]),
+                np.concatenate([np.stack([hashes[at2], hashes[at2 + 1]], 1), np.stack([two[at3], two[at3 + 1]], 1)]))
+
+    sides = materialize(gather_grams(texts, shorter, total).select("key", "left", "right"), "shorter")
+    two, three = kept2.join(sides, "key"), kept3.join(sides, "key")
+
+    gain = F.col("n") - F.lit(DISCOUNT)
+
+    def failure(seen, below):
+        least = F.lit(1e-9)
+        return F.log10(F.greatest(1 - seen, least) / F.greatest(1 - below, least))
+
+    def solve(arcs, contexts):
+        """States (left, of, back) and arcs with them; ``arcs`` has p_below, ``contexts`` (left, of): their counts."""
+        sums = materialize(arcs.groupBy("left").agg(F.sum(gain).alias("gain"), F.sum("p_below").alias("below")), "contexts")
+        states = materialize(sums.join(contexts, "left")
+                             .select("left", "of", failure(F.col("gain") / F.col("of"), F.col("below")).alias("back")), "states")
+        p = gain / F.col("of")
+        return states, materialize(arcs.join(states, "left").select(
+            "key", "n", p.alias("p"), (F.log10(p) - F.col("back") - F.log10("p_below")).alias("w")), "arcs")
+
+    p1 = (F.col("n") + 1) / F.lit(float(total + types + 1))
+    states2, arcs2 = solve(materialize(two.join(unigrams.select(F.col("key").alias("right"), p1.alias("p_below")), "right"), "two"),
+                           unigrams.select(F.col("key").alias("left"), F.col("n").alias("of")))
+    states3, arcs3 = solve(materialize(three.join(arcs2.select(F.col("key").alias("right"), F.col("p").alias("p_below")), "right"), "three"),
+                           arcs2.select(F.col("key").alias("left"), F.col("n").alias("of")))
+    longer = states3.select(F.col("left").alias("key"), F.col("back"))
+    weights = (states2.select(F.col("left").alias("key"), F.col("back").alias("w"))
+               .unionByName(arcs2.join(longer, "key", "left").select("key", (F.col("w") + F.coalesce("back", F.lit(0.0))).alias("w")))
+               .unionByName(arcs3.select("key", "w")))
+    weights = materialize(weights, "weights")
+    return Automaton(vocab, weights, weights.count())
+
+
+@dataclass
+class Weights:
+    """One block of the automaton's weights."""
+    vocab: np.ndarray | None
+    key: np.ndarray          # sorted
+    weight: np.ndarray
+    sieve: Sieve
 
     @staticmethod
-    def build(hashes: np.ndarray, counts: np.ndarray, total: int, types: int,
-              code: np.ndarray, n: np.ndarray) -> "Automaton":
-        """``hashes``: words 1..V-1 by number, ``counts``: of numbers 0..V-1;
-        ``code``, ``n``: kept n-grams (see ``ngram_keys``), sorted by code."""
-        v = len(counts)
-        uni = (counts + 1.0) / (total + types + 1.0)
-        two = code < v * v
-        a2, b2, n2, code2 = code[two] // v, code[two] % v, n[two], code[two]
-        p2 = (n2 - DISCOUNT) / counts[a2]
-        left = 1 - np.bincount(a2, p2, v)
-        back = np.maximum(left, 1e-9) / np.maximum(1 - np.bincount(a2, uni[b2], v), 1e-9)
-        back[np.bincount(a2, minlength=v) == 0] = 1.0
-        code3, n3 = code[~two] - v * v, n[~two]
-        pair, c3 = code3 // v, code3 % v
-        j = np.searchsorted(code2, pair)
-        has = np.unique(j)                      # pairs with arcs, so states
-        state_of_pair = np.zeros(len(code2) + 1, np.int64)
-        state_of_pair[has] = v + np.arange(len(has))
-        p3 = (n3 - DISCOUNT) / n2[j] if len(j) else np.zeros(0)
-        middle = pair % v
-
-        def pair_at(key):
-            pos = np.minimum(np.searchsorted(code2, key), max(0, len(code2) - 1))
-            return np.where(code2[pos] == key, pos, -1) if len(code2) else np.full(len(key), -1)
-
-        short = pair_at(middle * v + c3)
-        p_short = np.where(short >= 0, p2[short] if len(p2) else 0.0, back[middle] * uni[c3])
-        own = state_of_pair[j] - v
-        left3 = 1 - np.bincount(own, p3, len(has))
-        back3 = np.maximum(left3, 1e-9) / np.maximum(1 - np.bincount(own, p_short, len(has)), 1e-9)
-        next2 = np.where(state_of_pair[:-1] > 0, state_of_pair[:-1], b2)
-        next3 = np.where((short >= 0) & (state_of_pair[short] > 0), state_of_pair[short], c3)
-        arc = np.concatenate([a2 * v + b2, state_of_pair[j] * v + c3])
-        order = np.argsort(arc)
-        by = np.argsort(hashes)
-        return Automaton(
-            hashes[by], by + 1, v, arc[order],
-            np.log10(np.concatenate([p2, p3]))[order], np.concatenate([next2, next3])[order],
-            np.concatenate([np.zeros(v, np.int64), b2[has]]), np.log10(np.concatenate([back, back3])))
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers of tokens: 0 for the end, -1 for words outside the vocabulary."""
-        out = np.where(hashes == END, 0, -1)
-        if len(self.vocab):
-            pos = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
-            out = np.where(self.vocab[pos] == hashes, self.number[pos], out)
+    def of(vocab: np.ndarray | None, rows: DataFrame) -> "Weights":
+        table = rows.select("key", "w").toArrow()
+        key = table.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        return Weights(vocab, key[order], table.column("w").to_numpy()[order], Sieve.of_keys(key))
+
+    def read(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """What this block adds to the score of each text: tokens ``bounds[i]:bounds[i + 1]``."""
+        doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        out = np.zeros(len(bounds) - 1)
+        two, counts2, three, counts3 = grams(hashes, self.vocab)
+        for key, counts in ((hashes, hashes != END), (two, counts2), (three, counts3)):
+            at = np.flatnonzero(counts & self.sieve.may_hold(key))
+            pos = np.minimum(np.searchsorted(self.key, key[at]), max(0, len(self.key) - 1))
+            hit = self.key[pos] == key[at] if len(self.key) else np.zeros(0, bool)
+            out += np.bincount(doc[at[hit]], self.weight[pos[hit]], len(out))
         return out
 
-    def read(self, number: np.ndarray, unigram: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Log-probability of each text: tokens ``bounds[i]:bounds[i + 1]`` from left to right."""
-        n = -(-np.diff(bounds) // STRETCH)
-        owner = np.repeat(np.arange(len(n)), n)
-        start = bounds[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * STRETCH
-        begin, stop = bounds[owner], np.minimum(start + STRETCH, bounds[owner + 1])
-        state, total = np.zeros(len(owner), np.int64), np.zeros(len(owner))
-        for t in range(-2, STRETCH):
-            at = start + t
-            live = np.flatnonzero((at >= begin) & (at < stop))
-            word, now = number[at[live]], state[live]
-            logp, follow = np.zeros(len(live)), np.maximum(word, 0)
-            todo = np.arange(len(live))
-            while len(todo):                     # failure arcs until there is an arc, or the root
-                s = now[todo]
-                root = s == 0
-                logp[todo[root]] += unigram[at[live[todo[root]]]]
-                todo, s = todo[~root], s[~root]
-                key = s * self.size + word[todo]
-                pos = np.minimum(np.searchsorted(self.arc, key), max(0, len(self.arc) - 1))
-                hit = (word[todo] >= 0) & (self.arc[pos] == key) if len(self.arc) else np.zeros(len(todo), bool)
-                logp[todo[hit]] += self.arc_logp[pos[hit]]
-                follow[todo[hit]] = self.arc_next[pos[hit]]
-                todo, s = todo[~hit], s[~hit]
-                logp[todo] += self.fail_logw[s]
-                now[todo] = self.fail[s]
-            state[live] = follow
-            if t >= 0:
-                total[live] += logp
-        return np.bincount(owner, total, len(n))
-
-
-def ngram_keys(vocab: np.ndarray, number: np.ndarray, size: int):
-    """Codes of the bigrams and trigrams whose words are all in the vocabulary:
-    a * V + b, and V * V + (a * V + b) * V + c.  The end token (0) only ends an n-gram."""
-    reader = Automaton(vocab, number, size, *([np.zeros(0, np.int64)] * 5))
-
-    def keys(hashes, _bounds):
-        x = reader.numbers(hashes)
-        pair = np.where((x[:-1] > 0) & (x[1:] >= 0), x[:-1] * size + x[1:], -1)
-        triple = np.where((pair[:-1] >= 0) & (pair[1:] >= 0) & (x[1:-1] > 0),
-                          size * size + pair[:-1] * size + x[2:], -1) if len(x) > 2 else np.zeros(0, np.int64)
-        return np.concatenate([pair[pair >= 0], triple[triple >= 0]]).astype(np.int64)
-
-    return keys
-
 
 @dataclass
 class Model:
@@ -226,30 +323,53 @@ class Model:
     types: int
 
 
-def train(texts: DataFrame, head: int = HEAD, lm_words: int = LM_WORDS, ngrams: int = NGRAMS,
+def train(texts: DataFrame, head: int = HEAD, lm_words: int | None = None,
           min_count: int = MIN_COUNT) -> tuple[Model, DataFrame]:
-    """The model and the table of all token counts (key, n)."""
+    """The model and the table of all token counts (key, n).  ``lm_words``: n-grams only of the end
+    token and the ``lm_words`` - 1 most frequent words (None: of all tokens)."""
     unigrams = materialize(count_keys(texts, lambda hashes, _: signed(hashes)), "unigrams")
     sums = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     key, n = most_frequent(unigrams, head)
     hashes = key.view(np.uint64)
     order = np.argsort(hashes)
     hashes, n = hashes[order], n[order]
-    words = np.flatnonzero(hashes != END)
-    top = words[np.lexsort([hashes[words], -n[words]])][:lm_words - 1]
-    ends = n[hashes == END]
-    counts = np.concatenate([[ends[0] if len(ends) else 0], n[top]])
-    by = np.argsort(hashes[top])
-    grams = count_keys(texts, ngram_keys(hashes[top][by], by + 1, len(counts))).where(F.col("n") >= min_count)
-    code, m = most_frequent(materialize(grams, "ngrams"), ngrams)
-    automaton = Automaton.build(hashes[top], counts, int(sums["n"]), int(sums["v"]), code, m)
+    vocab = None
+    if lm_words is not None:
+        words = np.flatnonzero(hashes != END)
+        vocab = np.sort(hashes[words[np.lexsort([hashes[words], -n[words]])][:lm_words - 1]])
+    automaton = build(texts, unigrams, int(sums["n"]), int(sums["v"]), vocab, min_count)
     return Model(automaton, hashes, n, int(sums["n"]), int(sums["v"])), unigrams
 
 
-def score(docs: DataFrame, model: Model, unigrams: DataFrame) -> DataFrame:
+def further_blocks(docs: DataFrame, automaton: Automaton, block: Column, blocks: int) -> DataFrame:
+    """(_t, more): by text hash, what the weight blocks from the second on add to a text's score."""
+
+    def adding(shipped):
+        def run(batches):
+            for batch in batches:
+                for part, texts in text_chunks(batch):
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shipped.value.read(*tokens_of(texts)))],
+                                                     names=["_t", "w"])
+        return run
+
+    parts = []
+    for i in range(1, blocks):
+        shipped = docs.sparkSession.sparkContext.broadcast(Weights.of(automaton.vocab, automaton.weights.where(block == i)))
+        parts.append(materialize(docs.select(F.xxhash64("text").alias("_t"), "text").mapInArrow(adding(shipped), "_t long, w double")
+                                 .groupBy("_t").agg(F.max("w").alias("w")), "block"))
+        shipped.unpersist()
+    return reduce(DataFrame.unionByName, parts).groupBy("_t").agg(F.sum("w").alias("more"))
+
+
+def score(docs: DataFrame, model: Model, unigrams: DataFrame, block_rows: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select("doc_id").schema.add("rid", "long").add("n_tokens", "long").add("n_head", "long") \
+    automaton = model.automaton
+    blocks = max(1, -(-automaton.size // block_rows))
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks))
+    sc = docs.sparkSession.sparkContext
+    shipped = sc.broadcast(replace(model, automaton=None))
+    weights = sc.broadcast(Weights.of(automaton.vocab, automaton.weights.where(block == 0)))
+    schema = docs.select("doc_id").schema.add("_t", "long").add("rid", "long").add("n_tokens", "long").add("n_head", "long") \
         .add("base_head", "double").add("score_head", "double").add("tail", T.ArrayType(T.StructType().add("key", "long").add("n", "long")))
 
     def run(batches):
@@ -265,7 +385,8 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame) -> DataFrame:
                     pos, known = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
                 unigram = np.zeros(len(hashes))
                 unigram[known] = np.log10((m.count[pos[known]] + 1) / (m.total + (m.types + 1)))
-                logp = m.automaton.read(m.automaton.numbers(hashes), unigram, bounds)
+                base = np.bincount(doc, unigram, len(texts))
+                logp = base + weights.value.read(hashes, bounds)
                 rare = np.flatnonzero(~known)
                 rare = rare[np.lexsort([hashes[rare], doc[rare]])]
                 h, d = hashes[rare], doc[rare]
@@ -274,18 +395,22 @@ def score(docs: DataFrame, model: Model, unigrams: DataFrame) -> DataFrame:
                                                   names=["key", "n"])
                 ends = np.searchsorted(d[new], np.arange(len(texts) + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index("doc_id")), pa.array(row + np.arange(len(texts))),
+                    [part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("_t")), pa.array(row + np.arange(len(texts))),
                      pa.array(np.diff(bounds), pa.int64()), pa.array(np.bincount(doc, known, len(texts)).astype(np.int64)),
-                     pa.array(np.bincount(doc, unigram, len(texts))), pa.array(logp),
+                     pa.array(base), pa.array(logp),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)], names=[f.name for f in schema])
                 row += len(texts)
 
-    read = materialize(docs.select("doc_id", "text").mapInArrow(run, schema), "scores")
+    read = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).mapInArrow(run, schema), "scores")
+    weights.unpersist()
     count = F.coalesce("c", F.lit(0))
     tails = (read.select("rid", F.inline("tail")).join(unigrams.select("key", F.col("n").alias("c")), "key", "left")
              .groupBy("rid").agg(F.sum(F.col("n") * F.log10((count + 1) / F.lit(float(model.total + model.types + 1)))).alias("tail_score"),
                                  F.sum(F.when(count > 0, F.col("n")).otherwise(0)).alias("tail_known")))
     rest = F.coalesce("tail_score", F.lit(0.0))
+    if blocks > 1:
+        further = materialize(further_blocks(docs, automaton, block, blocks), "further")
+        read = read.join(further, "_t").withColumn("score_head", F.col("score_head") + F.col("more")).drop("more")
     return (read.drop("tail").join(tails, "rid", "left")
             .select("doc_id", "n_tokens", (F.col("n_head") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
                     (F.col("base_head") + rest).alias("base_score"), (F.col("score_head") + rest).alias("score")))

@@ -175,6 +175,23 @@ def test_automaton_equals_backoff_by_definition(spark):
     assert sum(got[i] for i, _ in rows) > sum(base.values())
 
 
+def test_lm_ngrams_of_rare_words(spark):
+    """N-grams count however many words are more frequent, and in however many blocks their weights are shipped."""
+    rng = random.Random(3)
+    filler = [f"f{i}" for i in range(2500)] * 6
+    rng.shuffle(filler)
+    rows = [(i, " ".join(filler[i::50])) for i in range(50)] + [(100 + i, f"rare words kept {i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model, unigrams = lm.train(df)
+    want = _reference_model([t for _, t in rows], {w for _, t in rows for w in brute.words(t)}, lm.MIN_COUNT)
+    for block_rows in (lm.BLOCK, 2):
+        got = {r["doc_id"]: r for r in lm.score(df, model, unigrams, block_rows=block_rows).collect()}
+        assert len(got) == len(rows)
+        for i, t in rows[::10] + rows[50:]:
+            assert abs(got[i]["score"] - want(t)) < 1e-6
+        assert all(got[100 + i]["score"] > got[100 + i]["base_score"] + 3 for i in range(4))
+
+
 def test_lm_empty(spark, docs, no_docs):
     model, unigrams = lm.train(no_docs)
     rows = lm.score(docs, model, unigrams).collect()
