@@ -4,10 +4,10 @@ Base kinds (leftmost, not overlapping within a kind): ``assign``, a value given
 password-like name; ``access``, a key id with a fixed head; ``hex``, a long hex string.
 
 The method adds ``markov`` spans: strings of ``MARKOV_LENGTH`` or more of the characters
-``[A-Za-z0-9+/_=-]`` outside base spans, whose log-likelihood ratio between two first-order
+``[A-Za-z0-9+/_=-]`` outside base spans (what base spans leave of a longer string counts), whose log-likelihood ratio between two first-order
 character models exceeds ``MARKOV_LEAST`` nats.  One model is trained on random strings (the
 values of the base matches of all documents), the other on ordinary identifiers (words of
-letters and underscores of a bounded sample of ``SAMPLE`` documents, outside base matches).
+letters and underscores of all documents, outside base matches).
 
 Spark has no function for the positions of all matches, so a text is also
 split by the pattern: a match starts after the pieces and matches before it.  Patterns with a
@@ -38,7 +38,6 @@ KINDS = ("assign", "access", "hex", "markov")
 
 MARKOV_LENGTH = 20
 MARKOV_LEAST = 10.0
-SAMPLE = 4000
 LONG_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MARKOV_LENGTH
 IDENTIFIER = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z_]{6,}(?![A-Za-z0-9+/_=.-])"
 _FIRST, _CODES = 42, 81          # codes 43 ('+') to 122 ('z'); 0 stands for the start of a string
@@ -70,9 +69,16 @@ def scan(docs: DataFrame) -> DataFrame:
     df = _matches(df, "access", ACCESS)
     df = _matches(df, "hex", HEX)
     df = _matches(df, "_runs", LONG_RUN)
-    base = "concat(assign, access, hex)"
-    return df.select("doc_id", "assign", "access", "hex",
-                     F.expr(f"filter(_runs, r -> NOT exists({base}, b -> b.start < r.end AND r.start < b.end))").alias("runs"))
+    parts = f"""
+        flatten(transform(_runs, r -> filter(transform(aggregate(
+            array_sort(filter(concat(assign, access, hex), b -> b.start < r.end AND r.start < b.end)),
+            named_struct('at', r.start, 'parts', cast(array() AS array<struct<start:int,end:int>>)),
+            (a, b) -> named_struct('at', greatest(a.at, b.end), 'parts', if(b.start > a.at,
+                concat(a.parts, array(named_struct('start', a.at, 'end', b.start))), a.parts)),
+            a -> concat(a.parts, array(named_struct('start', a.at, 'end', r.end)))),
+          x -> named_struct('start', x.start, 'end', x.end, 'value', substring(r.value, x.start - r.start + 1, x.end - x.start))),
+          x -> x.end - x.start >= {MARKOV_LENGTH})))"""
+    return df.select("doc_id", "assign", "access", "hex", F.expr(parts).alias("runs"))
 
 
 def _pairs(values: DataFrame, weight: Column) -> DataFrame:
@@ -87,8 +93,7 @@ def _pairs(values: DataFrame, weight: Column) -> DataFrame:
 def train(docs: DataFrame, scanned: DataFrame) -> list[float] | None:
     """Log-likelihood ratio by (p * _CODES + c): at most _CODES ** 2 numbers."""
     random = scanned.select(F.inline(F.expr("concat(assign, access, hex)"))).select("value")
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    plain = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    plain = docs.select("text")
     for pattern in (ASSIGN, ACCESS, HEX):
         plain = plain.withColumn("text", F.regexp_replace("text", pattern, " "))
     words = plain.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value"))

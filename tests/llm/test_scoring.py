@@ -235,6 +235,34 @@ def test_base_secrets_equal_brute_force(spark):
     assert not any("internationalization" in x["value"] for r in got.values() for x in r["markov"])
 
 
+def test_secret_beside_a_base_span(spark):
+    """A random key joined to a base match is scored, and base matches themselves are not."""
+    texts = _secret_texts()
+    rng = random.Random(11)
+    key = lambda n, s: "".join(rng.choice(s) for _ in range(n))
+    joined = [(key(28, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), sign) for sign in "/-=_"]
+    first = len(texts)
+    texts += [f"x {'0a1b2c3d' * 3}{sign}{k} y" for k, sign in joined]
+    texts += [f"x {k}{sign}AKIA{key(16, 'ABCD0123')}{sign}{k} y" for k, sign in joined]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (k, _) in enumerate(joined * 2):
+        r, text = got[first + i], texts[first + i]
+        assert sum(k in x["value"] for x in r["markov"]) == text.count(k)
+        for x in r["markov"]:
+            assert text[x["start"]:x["end"]] == x["value"]
+            assert not any(b["start"] < x["end"] and x["start"] < b["end"] for b in r["assign"] + r["access"] + r["hex"])
+
+
+def test_identifiers_of_all_documents_count(spark):
+    n = 4500
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("qwerty abc").alias("text")).unionByName(
+        spark.createDataFrame([(n, "0a1b2c3d" * 3)], "doc_id long, text string"))
+    ratio = secrets.train(df, secrets.scan(df))
+    at = (ord("q") - 42) * 81 + ord("w") - 42          # unseen in the random string
+    assert abs(ratio[at] - (math.log(0.5 / 40) - math.log((n + 0.5) / (n + 40)))) < 1e-9
+
+
 def test_secrets_defined_cases(docs, no_docs):
     rows = secrets.find_secrets(docs).collect()
     assert len(rows) == docs.count()
