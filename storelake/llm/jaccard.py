@@ -91,10 +91,10 @@ def _emit(**columns):
 
 
 def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per document (doc_id, node, n, bins), and behind them (key, seen) rows:
+    """Per document (doc_id, node, n, bins, text_hash), and behind them (key, seen) rows:
     shingles that a task met more than once, with their count."""
     schema = docs.select("doc_id").schema.add("node", "long").add("n", "long").add("bins", "binary") \
-        .add("key", "long").add("seen", "long")
+        .add("key", "long").add("seen", "long").add("text_hash", "long")
 
     def often(held):
         key, n = np.unique(np.concatenate(held), return_counts=True)
@@ -122,18 +122,21 @@ def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                         size += len(tokens)
                 n = part.num_rows
                 yield _emit(doc_id=part.column(0), node=pa.array(nodes, pa.int64()), n=pa.array(ns, pa.int64()),
-                            bins=pa.array(bins, pa.binary()), key=pa.nulls(n, pa.int64()), seen=pa.nulls(n, pa.int64()))
+                            bins=pa.array(bins, pa.binary()), key=pa.nulls(n, pa.int64()), seen=pa.nulls(n, pa.int64()),
+                            text_hash=part.column(2))
             if size >= FLUSH:
                 for m, key, seen in often(held):
                     yield _emit(doc_id=pa.nulls(m, kind), node=pa.nulls(m, pa.int64()), n=pa.nulls(m, pa.int64()),
-                                bins=pa.nulls(m, pa.binary()), key=key, seen=pa.array(seen, pa.int64()))
+                                bins=pa.nulls(m, pa.binary()), key=key, seen=pa.array(seen, pa.int64()),
+                                text_hash=pa.nulls(m, pa.int64()))
                 held, size, met = [], 0, set()
         if held:
             for m, key, seen in often(held):
                 yield _emit(doc_id=pa.nulls(m, kind), node=pa.nulls(m, pa.int64()), n=pa.nulls(m, pa.int64()),
-                            bins=pa.nulls(m, pa.binary()), key=key, seen=pa.array(seen, pa.int64()))
+                            bins=pa.nulls(m, pa.binary()), key=key, seen=pa.array(seen, pa.int64()),
+                            text_hash=pa.nulls(m, pa.int64()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, schema)
 
 
 def index_entries(tokens: np.ndarray, classes: np.ndarray) -> tuple[list, list, list, list]:
@@ -353,8 +356,9 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: in
     return label
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles and component_id (least doc_id reachable by links) of every row."""
+def labelled_rows(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash, n_shingles, node, comp (least node reachable by links) and component_id
+    (least doc_id) of every row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     table = materialize(profiles(docs, shingle), "profiles")
@@ -368,9 +372,15 @@ def jaccard_components(docs: DataFrame, percent: int = 75, shingle: int = SHINGL
     label = link_nodes(docs, nodes, shared, percent, shingle)
     named = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(least, "comp").select("node", "component_id")
-    return (own.select("doc_id", "node", "n").join(of_node, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    of_node = named.join(least, "comp").select("node", "comp", "component_id")
+    return (own.select("doc_id", "text_hash", "node", "n").join(of_node, "node", "left")
+            .select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node", "comp",
+                    F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def jaccard_components(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles and component_id (least doc_id reachable by links) of every row."""
+    return labelled_rows(docs, percent, shingle).select("doc_id", "n_shingles", "component_id")
 
 
 def jaccard_query(spark, sf_dir: str) -> DataFrame:
@@ -380,12 +390,15 @@ def jaccard_query(spark, sf_dir: str) -> DataFrame:
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one with the least doc_id.
 
-    Rows without doc_id stay; of rows that share the least doc_id one stays.
+    Rows without doc_id stay; of a component's rows that share the least doc_id one stays, by
+    the least node and text hash.  Rows of one doc_id in several components are each judged in their own.
     """
     ship_package(spark)
     docs = docs.select(*DOC_COLUMNS)
-    found = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = (labelled_rows(docs).where("doc_id = component_id").groupBy("doc_id", "comp")
+             .agg(F.min(F.struct("node", "text_hash")).alias("first")).select("doc_id", F.col("first.text_hash").alias("_t")))
+    kept = (docs.withColumn("_t", F.xxhash64("text")).join(found, ["doc_id", "_t"], "left_semi")
+            .dropDuplicates(["doc_id", "_t"]).select(*DOC_COLUMNS))
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

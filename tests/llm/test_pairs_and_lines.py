@@ -70,6 +70,20 @@ def test_jaccard_empty(no_docs):
     assert jaccard.jaccard_components(no_docs).collect() == []
 
 
+def test_jaccard_stage_judges_rows_of_one_id_apart(spark):
+    """Texts under one doc_id are kept or dropped by their own components, not by the id."""
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(3, a), (5, a + " more"), (5, b), (5, c), (5, c + " more"), (7, c), (9, d), (9, d), (9, ""), (9, None)]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(parts)
+        got = [(r["doc_id"], r["text"]) for r in jaccard.jaccard_stage(spark, df, "").collect()]
+        assert len(got) == len(set(got)) == 5
+        assert {(3, a), (5, b), (9, d)} <= set(got)
+        assert len({(5, c), (5, c + " more")} & set(got)) == 1 and len({(9, ""), (9, None)} & set(got)) == 1
+
+
 def test_jaccard_stage_keeps_one_of_each_group(spark, docs, pairs):
     got = jaccard.jaccard_stage(spark, docs, "")
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
