@@ -6,9 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -23,11 +20,3 @@ def spark():
 def registry():
     from storelake.plans.registry import load_all
     return load_all()
-
-
-def make_tables(spark, **rows):
-    """Tables from small row lists; tables not given are empty."""
-    from storelake.schema import SCHEMAS
-    from storelake.sources.model import Tables
-    return Tables(**{name: spark.createDataFrame(rows.get(name, []), SCHEMAS[name])
-                     for name in SCHEMAS})

@@ -3,7 +3,7 @@ stream (X1) against the batch job."""
 
 import random
 
-from conftest import SF_MID, SF_SMALL
+from shop_helpers import SF_MID, SF_SMALL
 
 
 def _replay(requests, stock):

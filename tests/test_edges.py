@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import make_tables
+from shop_helpers import make_tables
 
 TS = dt.datetime(2024, 3, 4, 10, 0)
 
@@ -341,7 +341,7 @@ def test_month_partitioned_snapshot_prunes(spark, tmp_path):
     from storelake.operators.orders import orders_by_date_range
     from storelake.plans.registry import context
     from storelake.sources.model import Tables
-    from conftest import SF_SMALL
+    from shop_helpers import SF_SMALL
     t = context(spark, SF_SMALL).t
     path = str(tmp_path / "snap")
     t.write_snapshot(path, orders_by_month=True)

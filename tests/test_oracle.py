@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from shop_helpers import SF_SMALL
 
 
 def _names():

@@ -2,7 +2,7 @@
 
 import glob
 
-from conftest import SF_SMALL
+from shop_helpers import SF_SMALL
 
 
 def test_csv_export_header_and_rows(spark, tmp_path):

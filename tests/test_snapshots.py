@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from shop_helpers import SF_SMALL
 
 
 def test_chain_of_change_jobs_round_trips(spark, tmp_path):
