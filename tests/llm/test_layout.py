@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from conftest import SCHEMA, doc_rows
+from corpus_rows import SCHEMA, doc_rows
 from storelake.llm import neighbours, packing, sharding
 from storelake.llm.common import read_table
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from conftest import SCHEMA, edit, prose
+from corpus_rows import SCHEMA, edit, prose
 from storelake.llm import decontaminate, jaccard, linededup
 from storelake.llm.components import components
 

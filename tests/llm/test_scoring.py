@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from conftest import SCHEMA, prose
+from corpus_rows import SCHEMA, prose
 from storelake.llm import lm, quality, secrets, toxicity
 from storelake.llm.common import fold, read_table
 
