@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storelake.llm import (codebooks, decontaminate, jaccard, linededup, lm, neighbours, packing, quality, secrets,
+from storelake.llm import (codebooks, decontaminate, jaccard, linededup, lm, negatives, neighbours, packing, quality, secrets,
                            sharding, toxicity)
 
 QUERIES = {
@@ -16,11 +16,13 @@ QUERIES = {
     "op8_packing": packing.packing_query,
     "op9_secret_scan": secrets.secrets_query,
     "op10_nearest_neighbours": neighbours.neighbours_query,
+    "op12_hard_negatives": negatives.negatives_query,
     "op13_vector_codes": codebooks.codebooks_query,
 }
 
 SQL = {
     "op3_jaccard_join": jaccard.SQL,
     "op6_benchmark_decontamination": decontaminate.SQL,
+    "op12_hard_negatives": negatives.SQL,
     "op13_vector_codes": codebooks.SQL,
 }
