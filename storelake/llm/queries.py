@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from storelake.llm import (codebooks, decontaminate, jaccard, linededup, lm, negatives, neighbours, packing, quality, secrets,
-                           sharding, toxicity)
+                           sharding, simhash, toxicity)
 
 QUERIES = {
     "op1_toxicity": toxicity.toxicity_query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_packing": packing.packing_query,
     "op9_secret_scan": secrets.secrets_query,
     "op10_nearest_neighbours": neighbours.neighbours_query,
+    "op11_simhash": simhash.simhash_query,
     "op12_hard_negatives": negatives.negatives_query,
     "op13_vector_codes": codebooks.codebooks_query,
 }
