@@ -15,9 +15,8 @@ Per (user, item) the cart quantity is a sequence of events:
 Only events after the last reset of the line matter, and that reset is a plain
 aggregate: the last own set/update/remove, or the user's last update.  Each add
 after it is accepted iff it fits in what earlier *accepted* adds left of
-``stock - reset value``: ``sequence.greedy_admission`` with one line per add,
-for pairs of any size (a bot clicking "add" millions of times is never
-gathered into one list or one task).
+``stock - reset value``: ``fold.units_taken``, for pairs of any size (the adds of a bot
+clicking millions of times are cut into blocks that many tasks summarise).
 
 Events without a parsable item id are dropped, as the shop drops bad cart
 keys.
@@ -29,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelake.functions.money import cents_long, from_cents
+from storelake.operators.fold import units_taken
 from storelake.operators.reports import variant_stock_per_item
-from storelake.operators.sequence import greedy_admission
 from storelake.operators.stock import DISCOUNT_AMOUNT, DISCOUNT_CODE
 from storelake.session import materialize
 from storelake.sources.model import Tables
@@ -63,8 +62,7 @@ def fold_cart(t: Tables, ops: DataFrame) -> DataFrame:
             .where(F.col("reset_id").isNull() | (F.col("event_id") > F.col("reset_id")))
             .select(*KEY, "event_id", (F.col("stock") - F.col("base")).alias("cap"),
                     F.greatest(F.coalesce(F.col("quantity"), F.lit(1)), F.lit(1)).cast("bigint").alias("q")))
-    accepted = greedy_admission(adds, "event_id", KEY, "q", "cap")
-    added = adds.join(accepted, "event_id", "left_semi").groupBy(*KEY).agg(F.sum("q").alias("added"))
+    added = units_taken(adds, KEY, "event_id")
     state = (base.join(added, KEY, "left")
              .select(*KEY, (F.col("base") + F.coalesce("added", F.lit(0))).alias("quantity")))
     return state.where(F.col("quantity") > 0).select(

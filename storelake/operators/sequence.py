@@ -5,22 +5,29 @@ blocks at quantiles of the sequence column (so a block holds a share of the
 rows whatever the id values look like), each block is summed locally (a window
 over one block only), the block totals are prefix-summed (one row per block),
 and the two are added.  A group holding a third of all rows is therefore
-spread over many tasks instead of one.
+spread over many tasks instead of one.  The number of blocks follows the rows of the largest
+group alone.
 
 ``new_ids`` numbers new rows ``base + 1, base + 2, ...`` in sequence order
 with the same blocked scheme -- no single-partition ``row_number()`` over
 the whole batch -- so inserts get deterministic, dense, SQL-equal ids.
+
+``greedy_admission`` decides requests that are served one after another.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storelake.operators.graph import components
+from storelake.session import discard, materialize
+
 ROWS_PER_BLOCK = 1 << 16
-GROUP_BLOCKS, TABLE_BLOCKS = 64, 256   # most blocks inside a group, and of a whole table
+REPLAY_LINES = 1 << 17        # lines that one task replays
 
 
 def _cuts(seq: str, blocks: int) -> Column:
@@ -31,19 +38,31 @@ def with_blocks(df: DataFrame, group: list[str], seq: str,
                 rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Add ``_blk``: the block of each row, ascending in ``seq`` inside its group.
 
-    A group of n rows gets about n / ``rows_per_block`` blocks, up to GROUP_BLOCKS (the
-    whole table, without group: TABLE_BLOCKS); the cuts are approximate quantiles, which only
-    decides how evenly the rows are spread.
+    A group of n rows gets about n / ``rows_per_block`` blocks; the cuts are approximate quantiles, which
+    only decides how evenly the rows are spread.  Rows are counted first (one action); where no group
+    is larger than a block there is nothing to cut.
     """
-    blocks = GROUP_BLOCKS if group else TABLE_BLOCKS
+    if group:
+        most = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    else:
+        most = df.count()
+    blocks = -(-most // rows_per_block)
+    if blocks <= 1:
+        return df.withColumn("_blk", F.lit(0))
     spread = F.struct(_cuts(seq, blocks).alias("cuts"), F.count(F.lit(1)).alias("n"))
     if group:
         keyed = df.join(df.groupBy(*group).agg(spread.alias("_spread")), group)
     else:
         keyed = df.withColumn("_spread", df.agg(spread).scalar())
+    # two steps of about sqrt(blocks) comparisons each: every ``stride``-th cut, then the cuts behind it
+    stride = max(1, round(blocks ** 0.5))
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(stride), F.lit(max(stride, blocks - 1)), F.lit(stride)),
+                                         lambda k: F.get("_spread.cuts", k - 1)), lambda c: c < F.col(seq)))
+    fine = F.size(F.filter(F.slice("_spread.cuts", F.col("_coarse") * stride + 1, stride), lambda c: c < F.col(seq)))
     wanted = F.least(F.lit(blocks), F.ceil(F.col("_spread.n") / F.lit(rows_per_block)))
-    place = F.size(F.filter("_spread.cuts", lambda c: c < F.col(seq)))
-    return keyed.withColumn("_blk", F.floor(place * wanted / F.lit(blocks)).cast("int")).drop("_spread")
+    place = F.col("_coarse") * stride + fine
+    return (keyed.withColumn("_coarse", coarse)
+            .withColumn("_blk", F.floor(place * wanted / F.lit(blocks)).cast("int")).drop("_spread", "_coarse"))
 
 
 def blocked_sum(df: DataFrame, group: list[str], seq: str, value: Column, out: str) -> DataFrame:
@@ -87,45 +106,139 @@ def max_id(df: DataFrame, col: str) -> Column:
     return df.agg(F.coalesce(F.max(col), F.lit(0)).cast("bigint")).scalar()
 
 
+def _contended(lines: DataFrame, req: str, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Lines of groups that may run out, and the requests without any such line (all admitted)."""
+    demand = lines.groupBy(*group).agg(F.sum("_q").alias("_need"), F.min("_room").alias("_least"))
+    tight = materialize(lines.join(demand.where(F.col("_need") > F.col("_least")).select(*group), group, "left_semi"), "contended")
+    free = materialize(lines.select(req).distinct().join(tight.select(req), req, "left_anti"), "admitted")
+    return tight, free
+
+
+def _decide_sure(lines: DataFrame, req: str, group: list[str], rows_per_block: int) -> tuple[DataFrame, DataFrame]:
+    """(requests that fit even if all earlier ones are served, lines of the requests still open).
+
+    A request with a line that does not fit after those admitted here alone is refused; the
+    lines that stay have the room these left before them.
+    """
+    blocked = materialize(with_blocks(lines, group, req, rows_per_block), "blocks")
+    most = blocked_sum(blocked, group, req, F.col("_q"), "_used")
+    sure = materialize(most.groupBy(req).agg(F.min((F.col("_used") <= F.col("_room")).cast("int")).alias("_ok"))
+                       .where("_ok = 1").select(req), "admitted")
+    counted = (blocked.join(sure.withColumn("_in", F.lit(True)), req, "left")
+               .withColumn("_taken", F.when(F.col("_in"), F.col("_q")).otherwise(F.lit(0)).cast("bigint")))
+    rest = (blocked_sum(counted, group, req, F.col("_taken"), "_used").where(F.col("_in").isNull())
+            .select(req, *group, "_q", (F.col("_room") - F.col("_used")).alias("_room")))
+    open_ = (rest.groupBy(req).agg(F.min((F.col("_q") <= F.col("_room")).cast("int")).alias("_ok"))
+             .where("_ok = 1").select(req))
+    left = materialize(rest.join(open_, req, "left_semi"), "undecided")
+    discard(blocked)
+    return sure, left
+
+
+def _replay(req: str, group: list[str]):
+    """Serve the requests of some lines one after another."""
+    def run(lines: pd.DataFrame) -> pd.DataFrame:
+        lines = lines.sort_values(req, kind="stable")
+        place = lines.groupby(group, sort=False, dropna=False).ngroup().tolist()
+        used = [0] * (max(place, default=-1) + 1)
+        asked, room, reqs = lines["_q"].tolist(), lines["_room"].tolist(), lines[req].tolist()
+        served, at = [], 0
+        while at < len(reqs):
+            end = at + 1
+            while end < len(reqs) and reqs[end] == reqs[at]:
+                end += 1
+            if all(asked[k] + used[place[k]] <= room[k] for k in range(at, end)):
+                served.append(reqs[at])
+                for k in range(at, end):
+                    used[place[k]] += asked[k]
+            at = end
+        return pd.DataFrame({req: pd.Series(served, dtype=lines[req].dtype)})
+
+    return run
+
+
+def _served(lines: DataFrame, by: str, req: str, group: list[str]) -> DataFrame:
+    """Requests admitted by replaying each ``by`` group of lines in one task."""
+    kind = lines.schema[req].dataType.simpleString()
+    return materialize(lines.groupBy(by).applyInPandas(_replay(req, group), f"{req} {kind}"), "admitted")
+
+
+def _replay_components(lines: DataFrame, left: int, req: str, group: list[str], replay_lines: int,
+                       rows_per_block: int) -> tuple[DataFrame, DataFrame]:
+    """Decide the components of the request-group graph: (requests admitted, lines still open).
+
+    Requests that share no group, directly or over others, don't touch each other.  A component of
+    up to ``replay_lines`` lines is replayed by one task (small ones share tasks).  Of a larger one
+    the first requests, up to that many lines, are: nothing later can change them.
+    """
+    of_request, of_group = F.xxhash64(F.lit("r"), F.col(req)), F.xxhash64(F.lit("g"), *group)
+    comp = components(lines.select(of_request.alias("a"), of_group.alias("b")))
+    lines = materialize(lines.withColumn("_node", of_request)
+                        .join(comp.select(F.col("node").alias("_node"), F.col("comp").alias("_comp")), "_node").drop("_node"), "undecided")
+    size = lines.groupBy("_comp").agg(F.count(F.lit(1)).alias("_size"))
+    sized = lines.join(size, "_comp")
+    bins = max(1, -(-4 * left // replay_lines))
+    whole = (sized.where(F.col("_size") <= replay_lines)
+             .withColumn("_bin", F.pmod(F.xxhash64("_comp"), F.lit(bins))).drop("_comp", "_size"))
+    large = sized.where(F.col("_size") > replay_lines)
+    per_request = large.groupBy("_comp", req).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_sum(per_request, ["_comp"], req, F.col("_n"), "_upto", rows_per_block)
+    first = materialize(upto.where((F.col("_upto") <= replay_lines) | (F.col("_upto") == F.col("_n"))).select(req), "first")
+    prefix = (large.join(first, req, "left_semi").withColumn("_bin", -1 - F.pmod("_comp", F.lit(1 << 62)))
+              .drop("_comp", "_size"))
+    served = _served(whole.unionByName(prefix), "_bin", req, group)
+    taken = (prefix.join(served, req, "left_semi").groupBy(*group).agg(F.sum("_q").alias("_taken")))
+    rest = materialize(large.join(first, req, "left_anti").join(taken, group, "left")
+                       .select(req, *group, "_q", (F.col("_room") - F.coalesce("_taken", F.lit(0))).alias("_room")), "undecided")
+    discard(lines, first)
+    return served, rest
+
+
 def greedy_admission(lines: DataFrame, req: str, group: list[str], qty: str, cap: str,
-                     rows_per_block: int = ROWS_PER_BLOCK, rounds: list[int] | None = None) -> DataFrame:
+                     rows_per_block: int = ROWS_PER_BLOCK, replay_lines: int = REPLAY_LINES,
+                     rounds: list[int] | None = None) -> DataFrame:
     """Requests admitted when they are served one after another in ``req`` order.
 
     ``lines`` has one row per (request, group) with the quantity it takes
     and the group's capacity; a request is admitted iff each of its lines
     fits in what the earlier *admitted* requests left of the capacity.
 
-    Each round decides requests for good.  A request whose lines fit even if all
-    earlier undecided requests are served is admitted; one with a line that does not fit after
-    the earlier of these admitted ones alone is refused.  The rest goes on with the room that the
-    admitted ones left before it.  The first undecided request is always decided,
-    so every round is smaller than the last.  A round is two blocked running sums
-    and two aggregates, written to the shared checkpoint folder to cut the lineage.
-    ``rounds`` receives the number of undecided lines before each round.
+    * Lines of groups whose whole demand fits never refuse anything: they go first.
+    * What is left is replayed by one task if it has at most ``replay_lines`` lines.
+    * Otherwise two blocked running sums decide the requests that fit even if all
+      earlier ones are served, and those that do not fit after these alone; the rest falls into
+      components of the request-group graph, each replayed by one task
+      (``_replay_components``).  Only components beyond ``replay_lines`` need another
+      round, and each round takes that many lines off them: the depth of a chain of
+      conflicts does not count, a batch of n lines takes at most 1 + n / ``replay_lines`` rounds.
+
+    A task never gets more than some ``replay_lines`` lines; all steps are written to the shared folder.
+    ``rounds`` receives the number of contended lines at the start of each round.
     """
-    from storelake.session import materialize
-
-    asked = lines.select(req, *group, F.coalesce(F.col(qty), F.lit(0)).cast("bigint").alias("_q"),
-                         F.col(cap).cast("bigint").alias("_room"))
-    # blocks are cut once: rounds only take rows away
-    undecided = materialize(with_blocks(asked, group, req, rows_per_block), "undecided")
+    undecided = materialize(lines.select(req, *group, F.coalesce(F.col(qty), F.lit(0)).cast("bigint").alias("_q"),
+                                         F.coalesce(F.col(cap), F.lit(0)).cast("bigint").alias("_room")), "undecided")
     admitted = []
-    while (left := undecided.count()) > 0:
-        if rounds is not None:
+    while True:
+        tight, free = _contended(undecided, req, group)
+        admitted.append(free)
+        discard(undecided)
+        left = tight.count()
+        if rounds is not None and left:
             rounds.append(left)
-        most = blocked_sum(undecided, group, req, F.col("_q"), "_used")
-        sure = materialize(most.groupBy(req).agg(F.min((F.col("_used") <= F.col("_room")).cast("int")).alias("_ok"))
-                           .where("_ok = 1").select(req), "admitted")
+        if left <= replay_lines:
+            if left:
+                admitted.append(_served(tight.withColumn("_bin", F.lit(0)), "_bin", req, group))
+            discard(tight)
+            return reduce(DataFrame.unionByName, admitted)
+        sure, undecided = _decide_sure(tight, req, group, rows_per_block)
         admitted.append(sure)
-        counted = (undecided.join(sure.withColumn("_in", F.lit(True)), req, "left")
-                   .withColumn("_taken", F.when(F.col("_in"), F.col("_q")).otherwise(F.lit(0)).cast("bigint")))
-        rest = (blocked_sum(counted, group, req, F.col("_taken"), "_used")
-                .where(F.col("_in").isNull())
-                .select(req, *group, "_q", (F.col("_room") - F.col("_used")).alias("_room"), "_blk"))
-        open_ = (rest.groupBy(req).agg(F.min((F.col("_q") <= F.col("_room")).cast("int")).alias("_ok"))
-                 .where("_ok = 1").select(req))
-        undecided = materialize(rest.join(open_, req, "left_semi"), "undecided")
-    return reduce(DataFrame.unionByName, admitted) if admitted else undecided.select(req)
+        discard(tight)
+        left = undecided.count()
+        if left > replay_lines:
+            served, rest = _replay_components(undecided, left, req, group, replay_lines, rows_per_block)
+            admitted.append(served)
+            discard(undecided)
+            undecided = rest
 
 
 def new_ids_nested(df: DataFrame, outer: str, inner: str, base: Column, out: str) -> DataFrame:

@@ -92,8 +92,30 @@ def materialize(df, name: str = "stage"):
     (an RDD checkpoint of an unpersisted plan runs it twice: once for the
     count, once for the write), survives lost executors (the files are on the
     shared folder) and gives the planner exact sizes for the next joins.
+    ``discard`` deletes it again.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete tables that ``materialize`` returned and that no later plan reads;
+    other DataFrames are left alone."""
+    for df in tables:
+        path = vars(df).pop("_scratch_path", None)
+        if path is not None:
+            delete_folder(df.sparkSession, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system (whatever Hadoop file system its path names)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext: the folder stays until the shared one goes
+        return
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)

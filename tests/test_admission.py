@@ -3,6 +3,7 @@ stream (X1) against the batch job."""
 
 import random
 
+import pytest
 from shop_helpers import SF_MID, SF_SMALL
 
 
@@ -44,16 +45,57 @@ def test_exact_admission_matches_replay_on_fixture(spark):
     assert exact == want and 0 < len(want) < len({r[0] for r in reqs})
 
 
-def test_rounds_shrink(spark):
-    """Every admission round decides part of the batch for good."""
+def _random_checkouts(seed, requests, items, caps, most=4):
+    rng = random.Random(seed)
+    rows = []
+    for rid in range(requests):
+        for it in rng.sample(range(items), rng.randint(1, min(most, items))):
+            rows.append((rid, it, rng.randint(1, 4), caps(it)))
+    return rows
+
+
+LINES = "request_id long, item_id long, quantity long, cap long"
+
+
+@pytest.mark.parametrize("replay_lines", [1 << 17, 60, 7])
+@pytest.mark.parametrize("items", [6, 150])
+def test_replays_of_any_size_agree(spark, replay_lines, items):
+    """Whole replay, components in shared tasks, and prefixes of components that are too large."""
     from storelake.operators.sequence import greedy_admission
-    from storelake.operators.stock import _lines_with_stock, priced_lines
-    from storelake.sources.requests import order_requests
-    ctx = _ctx(spark, SF_SMALL)
+    rows = _random_checkouts(items, 220, items, lambda i: 3 + i % 9 if items > 50 else 30 + i)
+    rounds = []
+    lines = spark.createDataFrame(rows, LINES)
+    got = {r.request_id for r in greedy_admission(lines, "request_id", ["item_id"], "quantity", "cap", rows_per_block=16,
+                                                  replay_lines=replay_lines, rounds=rounds).collect()}
+    assert got == _replay([(r, i, q) for r, i, q, _ in rows], {i: c for _, i, _, c in rows})
+    assert len(rounds) <= 1 + len(rows) // replay_lines
+
+
+@pytest.mark.parametrize("replay_lines, most_rounds", [(1 << 17, 1), (8000, 3)])
+def test_long_chain_takes_few_rounds(spark, replay_lines, most_rounds):
+    """10,000 checkouts, each sharing an item with the next: every second one is refused."""
+    from storelake.operators.sequence import greedy_admission
+    n = 10_000
+    lines = spark.range(n).selectExpr("id AS request_id", "explode(array(id, id + 1)) AS item_id", "1L AS quantity", "1L AS cap")
     rounds = []
-    lines = _lines_with_stock(ctx.t, priced_lines(ctx.t, order_requests(ctx)))
-    greedy_admission(lines, "request_id", ["item_id"], "quantity", "avail", rounds=rounds)
-    assert len(rounds) > 1 and all(a > b for a, b in zip(rounds, rounds[1:]))
+    got = {r.request_id for r in greedy_admission(lines, "request_id", ["item_id"], "quantity", "cap",
+                                                  replay_lines=replay_lines, rounds=rounds).collect()}
+    assert got == set(range(0, n, 2))
+    assert len(rounds) <= most_rounds
+
+
+def test_block_numbers_rise_and_stay_even(spark):
+    """Blocks follow the rows of the largest group, whatever the ids look like."""
+    from pyspark.sql import functions as F
+
+    from storelake.operators.sequence import with_blocks
+    df = spark.range(20_000).selectExpr("id % 10 DIV 7 AS g", "id * id AS seq")
+    blocks = with_blocks(df, ["g"], "seq", 50)
+    per = blocks.groupBy("g", "_blk").agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi")).collect()
+    assert max(r.n for r in per) < 200 and len(per) > 300
+    for g in (0, 1):
+        own = sorted((r._blk, r.lo, r.hi) for r in per if r.g == g)
+        assert all(a[2] < b[1] for a, b in zip(own, own[1:]))
 
 
 def test_exact_admission_random_hot_item(spark):
@@ -107,7 +149,6 @@ def test_stream_replay_is_idempotent(spark, tmp_path):
 
 
 def test_log_faults_are_not_taken_for_an_empty_log(spark, tmp_path):
-    import pytest
     from storelake.streaming.streams import _last_done
     assert _last_done(spark, str(tmp_path / "none")) is None
     (tmp_path / "_log").mkdir()
@@ -147,3 +188,39 @@ def test_cart_fold_equals_sequential_replay(spark):
     df = spark.createDataFrame(ops, "event_id long, user_id long, item_id long, op string, quantity int")
     got = {(r.user_id, r.item_id): r.quantity for r in fold_cart(ctx.t, df).collect()}
     assert got == {(u, i): n for u, c in carts.items() for i, n in c.items() if n > 0}
+
+
+def _plain_taken(adds, cap):
+    left = cap
+    for q in adds:
+        left -= q if q <= left else 0
+    return cap - left
+
+
+def test_step_function_equals_replay():
+    from storelake.operators.fold import step_function
+    rng = random.Random(2)
+    for _ in range(200):
+        adds = [rng.randint(1, rng.choice([1, 3, 20])) for _ in range(rng.randint(0, 25))]
+        lo = rng.randint(0, 10)
+        hi = lo + rng.randint(0, 120)
+        start, taken = step_function(adds, lo, hi)
+        for r in range(lo, hi + 1):
+            k = max(i for i, s in enumerate(start) if s <= r)
+            assert taken[k] == _plain_taken(adds, r)
+    assert step_function([5, 3, 9, 4, 2], 0, 100, pieces=3) is None
+
+
+@pytest.mark.parametrize("pieces", [1 << 15, 4])
+def test_large_counters_are_folded_in_blocks(spark, pieces):
+    from storelake.operators.fold import units_taken
+    rng = random.Random(pieces)
+    rows = [(1, e, rng.randint(1, 9), 400) for e in range(0, 3000, 3)] + [(2, e, 1, 10**6) for e in range(500)]
+    rows += [(3, e, rng.randint(1, 30), 20_000) for e in range(900)] + [(4, 1, 5, 3), (5, 1, 5, 5), (None, 7, 2, 9), (6, 1, 1, -4)]
+    rows += [(7, e, 2, 0) for e in range(90)]
+    df = spark.createDataFrame(rows, "k long, e long, q long, cap long").repartition(5)
+    got = {r.k: r.added for r in units_taken(df, ["k"], "e", block_adds=40, pieces=pieces).collect()}
+    want = {}
+    for k, e, q, cap in rows:
+        want.setdefault(k, (cap, []))[1].append((e, q))
+    assert got == {k: _plain_taken([q for _, q in sorted(a)], cap) for k, (cap, a) in want.items() if k is not None} | {None: 2}
