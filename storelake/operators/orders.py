@@ -5,9 +5,9 @@ Scale notes
 -----------
 * Customers are attached with ``left_join_dim``: orders of deleted users
   (NULL user_id) skip the shuffle instead of landing on one reducer.
-* Order details join the variant and item dimensions to each other first
-  (small), then the lines to that (one shuffle of the lines), then the
-  orders to the lines on order_id.
+* Order details join the orders to the lines first: snapshots that are bucketed by
+  order_id (``snapshots.Layout``) do that without a shuffle.  The variant and item dimensions are
+  joined to each other (small) before the lines meet them.
 * Ordered listings are global sorts (range-partitioned, distributed);
   top-k lists are ``TakeOrderedAndProject``.
 """
@@ -75,10 +75,10 @@ def order_details(t: Tables, order_ids: DataFrame | None = None) -> DataFrame:
         keys = order_ids.select("order_id")
         orders = orders.join(keys, "order_id", "left_semi")
         lines = lines.join(keys, "order_id", "left_semi")
-    lines = (left_join_dim(lines, _line_dim(t), "itemQuant_id")
-             .drop("itemQuant_id").withColumnRenamed("variant_id", "itemQuant_id"))
-    return (with_customer(t, orders)
-            .join(lines, "order_id", "left")
+    joined = orders.join(lines, "order_id", "left")
+    joined = (left_join_dim(joined, _line_dim(t), "itemQuant_id")
+              .drop("itemQuant_id").withColumnRenamed("variant_id", "itemQuant_id"))
+    return (with_customer(t, joined)
             .select("order_id", "user_id", "order_date", "order_status", "totalPrice", "staff_id",
                     "customer_name", "customer_email", "orderItem_id", "quantity", "price",
                     "itemQuant_id", "color", "stock", "item_description", "item_id", "itemName",

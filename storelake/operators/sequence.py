@@ -27,7 +27,7 @@ from storelake.operators.graph import components
 from storelake.session import discard, materialize
 
 ROWS_PER_BLOCK = 1 << 16
-REPLAY_LINES = 1 << 17        # lines that one task replays
+REPLAY_LINES = 1 << 19        # lines that one task replays (some 150 MB there)
 
 
 def _cuts(seq: str, blocks: int) -> Column:

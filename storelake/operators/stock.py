@@ -73,7 +73,8 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
     equal to DISCOUNT10 after trim/upper takes 10 off the total (no floor),
     once however many coupon rows a request has.
     Returns new ``orders``, ``order_items``, ``items_quant`` and ``rejects``
-    (plus ``new_orders`` / ``new_order_items``, the inserted rows alone).
+    (plus ``new_orders`` / ``new_order_items``, the inserted rows alone, and ``changed_stock``,
+    the variants whose stock moved).
     New ids continue after ``order_id_base`` / ``line_id_base`` when given
     (a stream carries them from batch to batch), else after the tables' max.
     """
@@ -124,6 +125,8 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
                  .withColumn("negative_stock", F.col("stock") < 0)
                  .select("itemQuant_id", "item_id", "color", "stock", "description",
                          "negative_stock"))
+    changed = (t.items_quant.join(sold, "itemQuant_id")
+               .withColumn("stock", (F.col("stock") - F.col("_sold")).cast("int")).select(*t.items_quant.columns))
     rejects = (requests.select("request_id").distinct()
                .join(admitted, "request_id", "left_anti")
                .join(lines.select("request_id").distinct().withColumn("_known", F.lit(True)),
@@ -140,6 +143,7 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
         "order_items": t.order_items.unionByName(lines_out),
         "new_order_items": lines_out,
         "items_quant": stock_out,
+        "changed_stock": changed,
         "rejects": rejects,
     }
 

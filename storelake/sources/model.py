@@ -10,14 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from storelake.schema import SCHEMAS, TABLE_NAMES
 from storelake.sources.driver import read_driver
+from storelake.sources.snapshots import ORDER_MONTH, Layout, Store  # noqa: F401
 
 
-ORDER_MONTH = "order_month"
-
 # SQL view names that differ from the model names.
 SQL_VIEW_NAMES = {"orders": "orders_v"}
 # The shop's own names of tables that differ from the model's.
@@ -68,31 +66,32 @@ class Tables:
             if name in SHOP_NAMES:
                 df.createOrReplaceTempView(SHOP_NAMES[name])
 
-    def write_snapshot(self, path: str, mode: str = "errorifexists",
-                       orders_by_month: bool = False) -> None:
-        """One parquet directory per table; readers switch when all are written.
+    def write_snapshot(self, path: str, orders_by_month: bool = False,
+                       layouts: dict[str, Layout] | None = None) -> None:
+        """Commit all tables as the next version of the store at ``path`` (``snapshots.Store``).
 
-        ``orders_by_month`` partitions the orders by ``order_month``
-        ('YYYY-MM'), so date-bounded reads prune whole folders.
+        A job that dies on the way leaves the version before as it was.
+        ``orders_by_month`` partitions the orders by ``order_month`` ('YYYY-MM'), so date-bounded
+        reads prune whole folders.
         """
-        for name, df in self.as_dict().items():
-            out = df.select(*SCHEMAS[name].fieldNames())
-            if name == "orders" and orders_by_month:
-                out.withColumn(ORDER_MONTH, F.date_format("order_date", "yyyy-MM")).write.mode(
-                    mode).partitionBy(ORDER_MONTH).parquet(f"{path}/{name}")
-            else:
-                out.write.mode(mode).parquet(f"{path}/{name}")
+        layouts = dict(layouts or {})
+        if orders_by_month:
+            layouts["orders"] = Layout(month_of="order_date")
+        tables = self.as_dict()
+        Store(tables["orders"].sparkSession, path, SCHEMAS, layouts).commit(replace=tables)
 
     @staticmethod
-    def read_snapshot(spark: SparkSession, path: str, orders_by_month: bool = False) -> "Tables":
-        """Read a snapshot with the fixed schemas.  With ``orders_by_month``
+    def read_snapshot(spark: SparkSession, path: str, orders_by_month: bool = False,
+                      version: int | None = None) -> "Tables":
+        """The last committed version (or ``version``) with the fixed schemas.  With ``orders_by_month``
         the orders keep their ``order_month`` partition column, which
         date-range operators use for partition pruning."""
-        def reader(n, st):
-            if n == "orders" and orders_by_month:
-                st = T.StructType(st.fields + [T.StructField(ORDER_MONTH, T.StringType())])
-            return lambda: spark.read.schema(st).parquet(f"{path}/{n}")
-        return Tables(**{name: reader(name, st) for name, st in SCHEMAS.items()})
+        store = Store(spark, path, SCHEMAS)
+        found = store.version(version)
+        if found is None:
+            raise FileNotFoundError(f"no snapshot is committed at {path}")
+        return Tables(**{name: (lambda n=name: store.read(n, found.number, months=orders_by_month and n == "orders"))
+                         for name in SCHEMAS})
 
 
 def _conform(df: DataFrame, name: str) -> DataFrame:

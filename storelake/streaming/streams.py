@@ -3,23 +3,26 @@ revenue (X1-X3).  Each reuses the batch operator on every micro-batch or
 expresses the running figure as a streaming aggregate.
 
 * X1 ``run_order_stream``: checkout requests arrive as files; every
-  micro-batch runs W8 admission + W7 placement against the snapshot the
-  previous micro-batch wrote, and writes the changed tables to
-  its own folder ``batch={id}`` with mode overwrite -- a replayed batch id
-  rewrites the same folder, so a restart after a lost executor or driver is
-  idempotent (the checkpoint records which files each batch read).
+  micro-batch runs W8 admission + W7 placement against the state the
+  previous micro-batch committed.
 * X2 ``cart_totals_stream``: running added quantity per (user, item),
   a streaming ``groupBy().agg(sum)`` whose state is one row per pair.
 * X3 ``revenue_stream``: running order count, revenue and open orders per
   day; the state is one row per calendar day.
 
+Results go into a ``snapshots.Store``: a micro-batch is one commit whose note names the stream and the
+batch, so a batch that Spark repeats after a crash is either not committed yet or skipped.  Batches
+write deltas (new rows, changed rows); every ``fan`` deltas are merged, and what no
+version names any more is deleted, so neither files nor reads grow with the number of batches.
+
 Every query runs with ``trigger(availableNow=True)``: it drains what is
 there and stops; run again over the same checkpoint it takes what is new.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,142 +31,130 @@ from storelake.functions.money import cents_long, from_cents
 from storelake.operators.stock import place_orders
 from storelake.schema import SCHEMAS
 from storelake.sources.model import Tables
+from storelake.sources.snapshots import Files, Store
 
 REQUEST_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType()), T.StructField("user_id", T.LongType()),
     T.StructField("item_id", T.LongType()), T.StructField("quantity", T.IntegerType()),
 ])
-LOG_SCHEMA = "batch_id long, max_order_id long, max_line_id long"
-
+REJECT_SCHEMA = T.StructType.fromDDL("request_id long, item_id long, reason string")
+TOTALS_SCHEMA = T.StructType.fromDDL("user_id long, item_id long, added_quantity long")
+REVENUE_SCHEMA = T.StructType.fromDDL("day date, order_count long, total_revenue double, open_orders long")
+FAN = 8                   # deltas of one size that are merged
+KEPT_VERSIONS = 3         # a reader that opened a version of the batch before may finish
 
-def _log(spark: SparkSession, state_dir: str) -> DataFrame | None:
-    """One row per completed X1 batch: its id and the largest ids after it."""
-    try:
-        return spark.read.schema(LOG_SCHEMA).parquet(f"{state_dir}/_log")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":      # no log yet is the only fault to expect
-            raise
-        return None
 
-
-def _last_done(spark: SparkSession, state_dir: str, before: int | None = None):
-    log = _log(spark, state_dir)
-    if log is None:
-        return None
-    if before is not None:
-        log = log.where(F.col("batch_id") < before)
-    return log.orderBy(F.desc("batch_id")).limit(1).first()
+def order_state(spark: SparkSession, state_dir: str) -> Store:
+    """X1's tables: new orders and lines, the whole stock, rejects."""
+    schemas = {n: SCHEMAS[n] for n in ("orders", "order_items", "items_quant")} | {"rejects": REJECT_SCHEMA}
+    return Store(spark, state_dir, schemas, keys={"items_quant": ["itemQuant_id"]})
 
 
 def snapshot_after(base: Tables, spark: SparkSession, state_dir: str) -> Tables:
-    """The model after every completed X1 batch: base orders and lines plus the
-    appended batch deltas, stock from the newest batch."""
-    last = _last_done(spark, state_dir)
+    """The model after every completed X1 batch: base orders and lines plus those
+    the stream added, and its stock."""
+    store = order_state(spark, state_dir)
+    last = store.version()
     if last is None:
         return base
-    done = F.col("batch") <= last["batch_id"]
-    deltas = {n: spark.read.schema(T.StructType(SCHEMAS[n].fields
-                                                + [T.StructField("batch", T.LongType())]))
-              .parquet(f"{state_dir}/{n}").where(done).drop("batch")
-              for n in ("orders", "order_items")}
     return base.with_(
-        orders=base.orders.select(*SCHEMAS["orders"].fieldNames()).unionByName(deltas["orders"]),
-        order_items=base.order_items.unionByName(deltas["order_items"]),
-        items_quant=spark.read.schema(SCHEMAS["items_quant"]).parquet(
-            f"{state_dir}/stock/batch={last['batch_id']}"))
+        orders=base.orders.select(*SCHEMAS["orders"].fieldNames()).unionByName(store.read("orders", last.number)),
+        order_items=base.order_items.unionByName(store.read("order_items", last.number)),
+        items_quant=store.read("items_quant", last.number))
 
 
-def run_order_stream(spark: SparkSession, base: Tables, source_dir: str, state_dir: str,
-                     checkpoint: str, order_date: str | None = None) -> Tables:
-    """Place every checkout request file as it arrives; returns the final snapshot.
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream of this checkpoint: a new checkpoint numbers its batches anew."""
+    return json.loads(Files(spark, checkpoint).read(f"{checkpoint}/metadata"))["id"]
 
-    Per micro-batch only the batch's own rows are written: new orders and
-    lines are appended as folder ``batch=<id>`` of ``orders`` / ``order_items``
-    (the big tables are never rewritten), the catalog-sized stock table is
-    written whole to ``stock/batch=<id>``, and a log row records the batch id
-    and the largest order/line ids, so the next batch neither rescans the
-    orders for ids nor depends on a lost task's memory.
-    """
-    stream = spark.readStream.schema(REQUEST_SCHEMA).parquet(source_dir)
 
+def _drain(stream, store: Store, checkpoint: str, fan: int, step) -> None:
+    """Run a stream over what is there; ``step(batch, note)`` prepares a version and returns it
+    with the note to commit."""
     def process(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        prev = _last_done(session, state_dir, before=batch_id)
-        current = base
-        if prev is None:
-            order_base, line_base = None, None
-            prev_orders, prev_lines = None, None
-        else:
-            current = base.with_(items_quant=session.read.schema(SCHEMAS["items_quant"]).parquet(
-                f"{state_dir}/stock/batch={prev['batch_id']}"))
-            prev_orders, prev_lines = prev["max_order_id"], prev["max_line_id"]
-            order_base, line_base = F.lit(prev_orders), F.lit(prev_lines)
-        out = place_orders(current, batch, order_date=order_date,
-                           order_id_base=order_base, line_id_base=line_base)
-        out["new_orders"].write.mode("overwrite").parquet(f"{state_dir}/orders/batch={batch_id}")
-        out["new_order_items"].write.mode("overwrite").parquet(
-            f"{state_dir}/order_items/batch={batch_id}")
-        out["items_quant"].select(*SCHEMAS["items_quant"].fieldNames()).write.mode(
-            "overwrite").parquet(f"{state_dir}/stock/batch={batch_id}")
-        out["rejects"].write.mode("overwrite").parquet(f"{state_dir}/rejects/batch={batch_id}")
-        written_o = session.read.parquet(f"{state_dir}/orders/batch={batch_id}")
-        written_l = session.read.parquet(f"{state_dir}/order_items/batch={batch_id}")
-        mo = written_o.agg(F.max("order_id")).first()[0]
-        ml = written_l.agg(F.max("orderItem_id")).first()[0]
-        if prev is None:
-            prev_orders = base.orders.agg(F.max("order_id")).first()[0] or 0
-            prev_lines = base.order_items.agg(F.max("orderItem_id")).first()[0] or 0
-        row = (batch_id, mo if mo is not None else prev_orders,
-               ml if ml is not None else prev_lines)
-        # the log row is the commit mark: written after all of the batch's tables
-        session.createDataFrame([row], LOG_SCHEMA).write.mode("append").parquet(
-            f"{state_dir}/_log")
-
-    q = (stream.writeStream.foreachBatch(process)
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+        last = store.version()
+        note = dict(last.note) if last else {}
+        stream_id = _stream_id(batch.sparkSession, checkpoint)
+        done = dict(note.get("done", {}))
+        if done.get(stream_id, -1) >= batch_id:
+            return                             # committed before the crash that made Spark repeat it
+        version, note = step(batch, note)
+        store.publish(version, note | {"done": done | {stream_id: batch_id}})
+        store.merge_deltas(fan)
+        store.vacuum(KEPT_VERSIONS)
+
+    q = stream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_order_stream(spark: SparkSession, base: Tables, source_dir: str, state_dir: str,
+                     checkpoint: str, order_date: str | None = None, fan: int = FAN) -> Tables:
+    """Place every checkout request file as it arrives; returns the final snapshot.
+
+    A micro-batch writes its own rows only: new orders and lines, the variants whose stock
+    moved (the first one: the whole stock) and rejects.  The commit's note carries the
+    largest ids, so the next batch does not look for them.
+    """
+    store = order_state(spark, state_dir)
+
+    def step(batch: DataFrame, note: dict):
+        started = store.version() is not None
+        current = base.with_(items_quant=store.read("items_quant")) if started else base
+        bases = {k: F.lit(note[n]) if started else None for k, n in (("order_id_base", "max_order_id"), ("line_id_base", "max_line_id"))}
+        out = place_orders(current, batch, order_date=order_date, **bases)
+        new = {"orders": out["new_orders"], "order_items": out["new_order_items"], "rejects": out["rejects"]}
+        version = (store.prepare(append=new, upsert={"items_quant": out["changed_stock"]}) if started
+                   else store.prepare(append=new, replace={"items_quant": out["items_quant"]}))
+
+        def largest(table: str, column: str, noted: str) -> int:
+            found = store.read_part(version, table).agg(F.max(column)).first()[0]
+            if found is not None:
+                return found
+            return note[noted] if started else getattr(base, table).agg(F.max(column)).first()[0] or 0
+
+        return version, {"max_order_id": largest("orders", "order_id", "max_order_id"),
+                         "max_line_id": largest("order_items", "orderItem_id", "max_line_id")}
+
+    _drain(spark.readStream.schema(REQUEST_SCHEMA).parquet(source_dir).writeStream, store, checkpoint, fan, step)
     return snapshot_after(base, spark, state_dir)
 
 
+def _totals(spark: SparkSession, out_dir: str) -> Store:
+    return Store(spark, out_dir, {"totals": TOTALS_SCHEMA}, keys={"totals": ["user_id", "item_id"]})
+
+
 def cart_totals_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
-                       out_dir: str, checkpoint: str) -> str:
+                       out_dir: str, checkpoint: str, fan: int = FAN) -> str:
     """Running added quantity per (user_id, item_id) (adds raise q to 1,
     no stock refusal).
 
-    The aggregate runs in ``update`` mode: each micro-batch writes only the
-    pairs whose total changed, to ``{out_dir}/batch=<id>`` (overwrite, so a
-    replayed batch rewrites its own folder).  The state store holds one row
+    The aggregate runs in ``update`` mode: each micro-batch upserts only the
+    pairs whose total changed.  The state store holds one row
     per pair; nothing is rewritten for pairs a batch did not touch.
     ``read_cart_totals`` gives the current total per pair.
     """
+    store = _totals(spark, out_dir)
     events = spark.readStream.schema(schema).parquet(source_dir)
     totals = (events.where(F.col("item_id").isNotNull() & F.col("user_id").isNotNull())
               .groupBy("user_id", "item_id")
               .agg(F.sum(F.greatest(F.coalesce("quantity", F.lit(1)), F.lit(1))).cast("bigint")
                    .alias("added_quantity")))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-
-    q = (totals.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _drain(totals.writeStream.outputMode("update"), store, checkpoint, fan,
+           lambda batch, note: (store.prepare(upsert={"totals": batch}), note))
     return out_dir
 
 
 def read_cart_totals(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Current total per (user, item): the value from the newest batch that
-    changed the pair (a plain aggregate over the changelog)."""
-    log = spark.read.parquet(out_dir)
-    return (log.groupBy("user_id", "item_id")
-            .agg(F.max_by("added_quantity", "batch").alias("added_quantity")))
+    """Current total per (user, item): the newest value in the few merged deltas."""
+    return _totals(spark, out_dir).read("totals")
 
 
 def revenue_stream(spark: SparkSession, source_dir: str, schema: T.StructType, out_dir: str,
                    checkpoint: str) -> str:
     """Per day the order count and revenue of non-cancelled orders and the
-    number of orders still 'Processing' (live A8 / A2)."""
+    number of orders still 'Processing' (live A8 / A2).  Each micro-batch commits the whole result (one
+    row per day)."""
+    store = Store(spark, out_dir, {"revenue": REVENUE_SCHEMA})
     orders = spark.readStream.schema(schema).parquet(source_dir)
     live = F.col("order_status") != "Cancelled"
     per_day = orders.groupBy(F.to_date("order_date").alias("day")).agg(
@@ -174,26 +165,14 @@ def revenue_stream(spark: SparkSession, source_dir: str, schema: T.StructType, o
     per_day = per_day.select("day", "order_count",
                              F.coalesce(from_cents(F.col("_rev")), F.lit(0.0)).alias("total_revenue"),
                              "open_orders")
-    return _drain_complete(per_day, out_dir, checkpoint)
-
-
-def _drain_complete(agg: DataFrame, out_dir: str, checkpoint: str) -> str:
-    """Each micro-batch writes the whole (one row per day) result to its own
-    folder, so a crash in between leaves the previous one whole."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _drain(per_day.writeStream.outputMode("complete"), store, checkpoint, FAN,
+           lambda batch, note: (store.prepare(replace={"revenue": batch}), note))
     return out_dir
 
 
 def read_revenue(spark: SparkSession, out_dir: str) -> DataFrame:
     """The running figures after the newest batch."""
-    found = spark.read.parquet(out_dir)
-    return found.where(F.col("batch") == found.agg(F.max("batch")).scalar()).drop("batch")
+    return Store(spark, out_dir, {"revenue": REVENUE_SCHEMA}).read("revenue")
 
 
 def feed_in_chunks(df: DataFrame, source_dir: str, chunk_col: str, n_chunks: int, drain) -> None:

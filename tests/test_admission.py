@@ -135,26 +135,77 @@ def test_order_stream_equals_batch_with_rejections(spark, tmp_path):
 
 
 def test_stream_replay_is_idempotent(spark, tmp_path):
-    """Running the same stream again over its checkpoint changes nothing."""
+    """Running the stream again over its checkpoint changes nothing, nor does a batch that Spark
+    repeats because it died between the store's commit and its own."""
     from storelake.sources.requests import order_requests
-    from storelake.streaming.streams import REQUEST_SCHEMA, feed_in_chunks, run_order_stream
+    from storelake.streaming.streams import REQUEST_SCHEMA, feed_in_chunks, order_state, run_order_stream
     ctx = _ctx(spark, SF_SMALL)
     req = order_requests(ctx).select(*REQUEST_SCHEMA.fieldNames())
     args = (spark, ctx.t, str(tmp_path / "src"), str(tmp_path / "state"), str(tmp_path / "ckpt"))
-    feed_in_chunks(req, str(tmp_path / "src"), "request_id", 2,
-                   lambda: run_order_stream(*args, order_date="2024-02-01 00:00:00"))
-    first = run_order_stream(*args, order_date="2024-02-01 00:00:00").orders.count()
-    second = run_order_stream(*args, order_date="2024-02-01 00:00:00").orders.count()
-    assert first == second > ctx.t.orders.count()
-
-
-def test_log_faults_are_not_taken_for_an_empty_log(spark, tmp_path):
-    from storelake.streaming.streams import _last_done
-    assert _last_done(spark, str(tmp_path / "none")) is None
-    (tmp_path / "_log").mkdir()
-    (tmp_path / "_log" / "part-0.parquet").write_bytes(b"no parquet at all")
+    feed_in_chunks(req, str(tmp_path / "src"), "request_id", 5,
+                   lambda: run_order_stream(*args, order_date="2024-02-01 00:00:00", fan=2))
+    store = order_state(spark, str(tmp_path / "state"))
+    # five batches of deltas were merged in twos: tiers 2 and 0
+    assert [e["tier"] for e in store.version().tables["orders"]] == [2, 0]
+    assert len(list((tmp_path / "state" / "orders").iterdir())) <= 6
+
+    def everything():
+        final = run_order_stream(*args, order_date="2024-02-01 00:00:00", fan=2)
+        return (sorted(map(str, final.orders.collect())), sorted(map(str, final.items_quant.collect())),
+                sorted(map(str, final.order_items.collect())), sorted(map(str, store.read("rejects").collect())))
+
+    first = everything()
+    assert len(first[0]) > ctx.t.orders.count()
+    number = store.version().number
+    newest = max((tmp_path / "ckpt" / "commits").iterdir(), key=lambda f: int(f.name) if f.name.isdigit() else -1)
+    newest.unlink()
+    (newest.parent / f".{newest.name}.crc").unlink(missing_ok=True)
+    assert everything() == first and store.version().number == number
+
+
+def test_order_stream_equals_one_batch_after_many_merges(spark, tmp_path):
+    from storelake.operators.stock import place_orders
+    from storelake.sources.requests import order_requests
+    from storelake.streaming.streams import REQUEST_SCHEMA, feed_in_chunks, run_order_stream
+    ctx = _ctx(spark, SF_SMALL)
+    req = order_requests(ctx).select(*REQUEST_SCHEMA.fieldNames())
+    want = place_orders(ctx.t, req, order_date="2024-02-01 00:00:00")
+    after = []
+    feed_in_chunks(req, str(tmp_path / "src"), "request_id", 4, lambda: after.append(run_order_stream(
+        spark, ctx.t, str(tmp_path / "src"), str(tmp_path / "state"), str(tmp_path / "ckpt"),
+        order_date="2024-02-01 00:00:00", fan=2)))
+    stock = lambda df: sorted((r.itemQuant_id, r.stock) for r in df.collect())
+    assert stock(after[-1].items_quant) == stock(want["items_quant"])
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(after[-1].order_items) == rows(want["order_items"])
+
+
+def test_unreadable_manifest_is_not_taken_for_an_empty_state(spark, tmp_path):
+    from storelake.streaming.streams import order_state
+    store = order_state(spark, str(tmp_path / "state"))
+    assert store.version() is None
+    (tmp_path / "state" / "_manifest").mkdir(parents=True)
+    (tmp_path / "state" / "_manifest" / "000000000001.json").write_bytes(b"no manifest at all")
     with pytest.raises(Exception):
-        _last_done(spark, str(tmp_path))
+        store.version()
+
+
+def test_cart_totals_read_few_deltas(spark, tmp_path):
+    """X2 after many micro-batches: a bounded number of folders, the totals of one plain aggregate."""
+    from pyspark.sql import functions as F
+
+    from storelake.streaming import streams as X
+    schema = "event_id long, user_id long, item_id long, op string, quantity int"
+    rng = random.Random(4)
+    rows = [(e, rng.randrange(5), rng.choice([1, 2, 3, None]), "add", rng.choice([None, 0, 1, 4])) for e in range(300)]
+    df = spark.createDataFrame(rows, schema)
+    src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
+    X.feed_in_chunks(df, src, "event_id", 9, lambda: X.cart_totals_stream(spark, src, df.schema, out, ckpt, fan=3))
+    assert len(X._totals(spark, out).version().tables["totals"]) == 1        # nine batches, merged in threes
+    assert len(list((tmp_path / "out" / "totals").iterdir())) <= 8            # with those of the kept versions
+    want = (df.where("item_id IS NOT NULL").groupBy("user_id", "item_id")
+            .agg(F.sum(F.greatest(F.coalesce("quantity", F.lit(1)), F.lit(1)))))
+    assert sorted(map(tuple, X.read_cart_totals(spark, out).collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_cart_fold_equals_sequential_replay(spark):
