@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from storelake.functions.parse import form_price, form_stock, image_within_limit
 from storelake.functions.text import variant_description
 from storelake.operators.catalog import first_variant
-from storelake.operators.joins import left_join_dim
+from storelake.operators.emails import refused_changes
+from storelake.operators.joins import left_anti_dim, left_join_dim
 from storelake.operators.quality import broken_rules, normalized_role
 from storelake.operators.sequence import max_id, new_ids
 from storelake.session import materialize
@@ -61,18 +62,12 @@ def patch_users(t: Tables, patches: DataFrame) -> dict[str, DataFrame]:
     """Profile edits, one after another by ``seq``.  NULL fields leave the
     value as it is; role and notes change only when the caller is an admin.
 
-    An edit is refused when its (trimmed) e-mail belongs to another user of the
-    snapshot or was asked for by another user earlier in the batch; an e-mail that a
-    user gives up becomes free with the next batch.
+    An edit is refused whole when its (trimmed) e-mail belongs to another user at that moment: an
+    e-mail that a user has given up earlier in the batch is free (``emails.refused_changes``).
     """
-    p = patches.withColumn("email", F.nullif(F.trim("email"), F.lit("")))
-    owner = t.users.select(F.trim("email").alias("email"), F.col("user_id").alias("_owner"))
-    asked = p.where(F.col("email").isNotNull()).select("seq", "user_id", "email").join(owner, "email", "left")
-    free = asked.where(F.col("_owner").isNull())
-    first = free.groupBy("email").agg(F.min_by("user_id", "seq").alias("_first"))
-    refused = (asked.where(F.col("_owner") != F.col("user_id")).select("seq")
-               .unionByName(free.join(first, "email").where(F.col("_first") != F.col("user_id")).select("seq")))
-    refused = materialize(refused, "refused-edits")
+    p = materialize(patches.withColumn("email", F.nullif(F.trim("email"), F.lit(""))), "edits")
+    owned = t.users.select("user_id", F.trim("email").alias("email"))
+    refused = materialize(refused_changes(owned, p.where(F.col("email").isNotNull())), "refused-edits")
     admin = F.lower(F.col("caller_role")) == "admin"
     folded = p.join(refused, "seq", "left_anti").groupBy("user_id").agg(
         *[_last(c).alias(f"_{c}") for c in ("name", "email", "phone")],
@@ -94,7 +89,7 @@ def delete_users(t: Tables, user_ids: DataFrame) -> dict[str, DataFrame]:
               .select(*t.orders.columns))
 
     def drop(df):
-        return left_join_dim(df, gone, "user_id").where(F.col("_gone").isNull()).drop("_gone")
+        return left_anti_dim(df, ids, "user_id")
 
     return {"users": drop(t.users), "cart": drop(t.cart), "wishlist": drop(t.wishlist),
             "complaint": drop(t.complaint), "user_address": drop(t.user_address),
@@ -173,8 +168,9 @@ def delete_products(t: Tables, item_ids: DataFrame) -> dict[str, DataFrame]:
     variants (order lines, carts, wishlists) or at the item (category bridge)."""
     ids = item_ids.select("item_id").distinct()
     variants = t.items_quant.join(ids, "item_id", "left_semi").select("itemQuant_id")
-    by_variant = lambda df: df.join(variants, "itemQuant_id", "left_anti")
-    by_item = lambda df: df.join(ids, "item_id", "left_anti")
+    # rows without a variant (or item) are kept, and spread: they would all meet in one reducer
+    by_variant = lambda df: left_anti_dim(df, variants, "itemQuant_id")
+    by_item = lambda df: left_anti_dim(df, ids, "item_id")
     return {"items": by_item(t.items), "items_quant": by_item(t.items_quant),
             "sub_category": by_item(t.sub_category), "order_items": by_variant(t.order_items),
             "cart": by_variant(t.cart), "wishlist": by_variant(t.wishlist)}

@@ -26,3 +26,9 @@ def left_join_dim(left: DataFrame, dim: DataFrame, key: str, salts: int = NULL_S
     # 0 for every row, in a form that the optimizer keeps as a join key
     plain = dim.withColumn("_salt", F.pmod(F.col(key), F.lit(1)).cast("int"))
     return keyed.join(plain, [key, "_salt"], "left").select(*left.columns, *[c for c in dim.columns if c != key])
+
+
+def left_anti_dim(left: DataFrame, keys: DataFrame, key: str, salts: int = NULL_SALTS) -> DataFrame:
+    """Rows of ``left`` whose ``key`` is none of ``keys`` (distinct); NULL keys stay and are spread as above."""
+    gone = keys.select(key).withColumn("_gone", F.lit(True))
+    return left_join_dim(left, gone, key, salts).where(F.col("_gone").isNull()).drop("_gone")

@@ -163,34 +163,45 @@ def _served(lines: DataFrame, by: str, req: str, group: list[str]) -> DataFrame:
     return materialize(lines.groupBy(by).applyInPandas(_replay(req, group), f"{req} {kind}"), "admitted")
 
 
+def replay_bins(rows: DataFrame, left: int, seq: str, replay_rows: int = REPLAY_LINES,
+                rows_per_block: int = ROWS_PER_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Cut rows with ``_comp``, the component they belong to, into what tasks can replay now
+    (with ``_bin``, the group that one task takes) and the rest.
+
+    ``rows`` must be written already; ``left`` is their number.  A component of up to ``replay_rows``
+    rows is taken whole, and small ones share a bin.  Of a larger one the first rows
+    in ``seq`` order are taken, up to that many (rows of equal ``seq`` stay together, the first of
+    them always goes): nothing later can change them.
+    """
+    sized = rows.join(rows.groupBy("_comp").agg(F.count(F.lit(1)).alias("_size")), "_comp")
+    bins = max(1, -(-4 * left // replay_rows))
+    whole = (sized.where(F.col("_size") <= replay_rows)
+             .withColumn("_bin", F.pmod(F.xxhash64("_comp"), F.lit(bins))).drop("_size"))
+    large = sized.where(F.col("_size") > replay_rows).drop("_size")
+    per_seq = large.groupBy("_comp", seq).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_sum(per_seq, ["_comp"], seq, F.col("_n"), "_upto", rows_per_block)
+    first = materialize(upto.where((F.col("_upto") <= replay_rows) | (F.col("_upto") == F.col("_n")))
+                        .select("_comp", seq), "first")
+    prefix = large.join(first, ["_comp", seq], "left_semi").withColumn("_bin", -1 - F.pmod("_comp", F.lit(1 << 62)))
+    return whole.unionByName(prefix), large.join(first, ["_comp", seq], "left_anti")
+
+
 def _replay_components(lines: DataFrame, left: int, req: str, group: list[str], replay_lines: int,
                        rows_per_block: int) -> tuple[DataFrame, DataFrame]:
     """Decide the components of the request-group graph: (requests admitted, lines still open).
 
-    Requests that share no group, directly or over others, don't touch each other.  A component of
-    up to ``replay_lines`` lines is replayed by one task (small ones share tasks).  Of a larger one
-    the first requests, up to that many lines, are: nothing later can change them.
+    Requests that share no group, directly or over others, don't touch each other.
     """
     of_request, of_group = F.xxhash64(F.lit("r"), F.col(req)), F.xxhash64(F.lit("g"), *group)
     comp = components(lines.select(of_request.alias("a"), of_group.alias("b")))
     lines = materialize(lines.withColumn("_node", of_request)
                         .join(comp.select(F.col("node").alias("_node"), F.col("comp").alias("_comp")), "_node").drop("_node"), "undecided")
-    size = lines.groupBy("_comp").agg(F.count(F.lit(1)).alias("_size"))
-    sized = lines.join(size, "_comp")
-    bins = max(1, -(-4 * left // replay_lines))
-    whole = (sized.where(F.col("_size") <= replay_lines)
-             .withColumn("_bin", F.pmod(F.xxhash64("_comp"), F.lit(bins))).drop("_comp", "_size"))
-    large = sized.where(F.col("_size") > replay_lines)
-    per_request = large.groupBy("_comp", req).agg(F.count(F.lit(1)).alias("_n"))
-    upto = running_sum(per_request, ["_comp"], req, F.col("_n"), "_upto", rows_per_block)
-    first = materialize(upto.where((F.col("_upto") <= replay_lines) | (F.col("_upto") == F.col("_n"))).select(req), "first")
-    prefix = (large.join(first, req, "left_semi").withColumn("_bin", -1 - F.pmod("_comp", F.lit(1 << 62)))
-              .drop("_comp", "_size"))
-    served = _served(whole.unionByName(prefix), "_bin", req, group)
-    taken = (prefix.join(served, req, "left_semi").groupBy(*group).agg(F.sum("_q").alias("_taken")))
-    rest = materialize(large.join(first, req, "left_anti").join(taken, group, "left")
+    now, later = replay_bins(lines, left, req, replay_lines, rows_per_block)
+    served = _served(now, "_bin", req, group)
+    taken = (now.where("_bin < 0").join(served, req, "left_semi").groupBy(*group).agg(F.sum("_q").alias("_taken")))
+    rest = materialize(later.join(taken, group, "left")
                        .select(req, *group, "_q", (F.col("_room") - F.coalesce("_taken", F.lit(0))).alias("_room")), "undecided")
-    discard(lines, first)
+    discard(lines)
     return served, rest
 
 

@@ -52,11 +52,23 @@ def register_users_rejects(t, ctx):
 
 
 register("refused_patches", """
-    SELECT p.seq FROM user_patches p JOIN users o ON trim(p.email) = trim(o.email) AND o.user_id <> p.user_id
-    UNION ALL
-    SELECT p.seq FROM user_patches p
-    WHERE trim(p.email) <> '' AND trim(p.email) NOT IN (SELECT trim(email) FROM users)
-      AND p.user_id <> (SELECT arg_min(q.user_id, q.seq) FROM user_patches q WHERE trim(q.email) = trim(p.email))""")
+    SELECT seq FROM (
+      WITH RECURSIVE asks AS (
+        SELECT seq, user_id, trim(email) AS email, row_number() OVER (ORDER BY seq) AS n FROM user_patches
+        WHERE trim(email) <> ''),
+      served AS (
+        SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, TRUE AS ok,
+               (SELECT map(list(trim(email)), list(user_id)) FROM users) AS holder,
+               (SELECT map(list(user_id), list(trim(email))) FROM users) AS holds
+        UNION ALL
+        SELECT n, seq, ok,
+               CASE WHEN ok THEN map_concat(holder, CASE WHEN holds[user_id] <> email
+                 THEN map([holds[user_id], email], [NULL, user_id]) ELSE map([email], [user_id]) END) ELSE holder END,
+               CASE WHEN ok THEN map_concat(holds, map([user_id], [email])) ELSE holds END
+        FROM (SELECT a.n, a.seq, a.user_id, a.email, s.holder, s.holds,
+                     COALESCE(s.holder[a.email], a.user_id) = a.user_id AS ok
+              FROM served s JOIN asks a ON a.n = s.n + 1) step)
+      SELECT seq, ok FROM served) replayed WHERE NOT ok""")
 register("patch_walk", """
     SELECT * FROM (
       WITH RECURSIVE edits AS (

@@ -84,19 +84,25 @@ register("new_users", """
 
 
 def user_patches(ctx) -> DataFrame:
-    """Profile edits, two per customer in sequence ``seq``: NULL means 'leave as
+    """Profile edits, three per customer in sequence ``seq``: NULL means 'leave as
     is'; caller role decides whether role/notes may change; some ask for an
-    e-mail that is taken, or that several users ask for."""
+    e-mail that is taken, that several users ask for, or that its holder has given up
+    earlier (user 17n's after the move, and by that user 17n + 1's)."""
     k, j = F.col("c_custkey"), F.col("j")
-    c = ctx.raw["customer"].withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
+    c = ctx.raw["customer"].withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     text = k.cast("string")
-    other = F.concat(F.lit("customer."), F.lpad((k + 1).cast("string"), 9, "0"), F.lit("@example.com"))
+
+    def own(key):
+        return F.concat(F.lit("customer."), F.lpad(key.cast("string"), 9, "0"), F.lit("@example.com"))
+
     return c.select(
-        (k * 2 + j).alias("seq"), k.alias("user_id"),
+        (k * 3 + j).alias("seq"), k.alias("user_id"),
         F.when((k + j) % 3 == 0, None).otherwise(F.concat(F.col("c_name"), F.lit(" Jr"), j.cast("string"))).alias("name"),
-        F.when((j == 0) & (k % 11 == 0), other)
+        F.when((j == 0) & (k % 11 == 0), own(k + 1))
+         .when((j == 0) & (k > 2) & (k % 17).isin(1, 2), own(k - 1))
          .when((j == 1) & (k % 13 == 0), F.concat(F.lit("vip."), (k % 5).cast("string"), F.lit("@example.org")))
-         .when((j == 1) & (k % 17 == 0), F.concat(F.lit(" moved."), text, F.lit("@example.org "))).alias("email"),
+         .when((j == 1) & (k % 17 == 0), F.concat(F.lit(" moved."), text, F.lit("@example.org ")))
+         .when((j == 2) & (k % 26 == 0), F.concat(F.lit("back."), text, F.lit("@example.org"))).alias("email"),
         F.when((k + j) % 4 == 0, None).otherwise(F.concat(F.lit("0300"), F.lpad((k + j).cast("string"), 7, "0"))).alias("phone"),
         F.when((k + j) % 6 == 0, None).otherwise(F.concat(F.lit("called back "), j.cast("string"))).alias("notes"),
         F.when(k % 25 == 0, F.lit("staff")).otherwise(F.lit(None).cast("string")).alias("role"),
@@ -104,19 +110,22 @@ def user_patches(ctx) -> DataFrame:
 
 
 register("user_patches", """
-    SELECT c_custkey * 2 + j AS seq, c_custkey AS user_id,
+    SELECT c_custkey * 3 + j AS seq, c_custkey AS user_id,
            CASE WHEN (c_custkey + j) % 3 = 0 THEN NULL ELSE concat(c_name, ' Jr', CAST(j AS VARCHAR)) END AS name,
            CASE WHEN j = 0 AND c_custkey % 11 = 0
                      THEN concat('customer.', lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0'), '@example.com')
+                WHEN j = 0 AND c_custkey > 2 AND c_custkey % 17 IN (1, 2)
+                     THEN concat('customer.', lpad(CAST(c_custkey - 1 AS VARCHAR), 9, '0'), '@example.com')
                 WHEN j = 1 AND c_custkey % 13 = 0 THEN concat('vip.', CAST(c_custkey % 5 AS VARCHAR), '@example.org')
                 WHEN j = 1 AND c_custkey % 17 = 0 THEN concat(' moved.', CAST(c_custkey AS VARCHAR), '@example.org ')
+                WHEN j = 2 AND c_custkey % 26 = 0 THEN concat('back.', CAST(c_custkey AS VARCHAR), '@example.org')
            END AS email,
            CASE WHEN (c_custkey + j) % 4 = 0 THEN NULL
                 ELSE concat('0300', lpad(CAST(c_custkey + j AS VARCHAR), 7, '0')) END AS phone,
            CASE WHEN (c_custkey + j) % 6 = 0 THEN NULL ELSE concat('called back ', CAST(j AS VARCHAR)) END AS notes,
            CASE WHEN c_custkey % 25 = 0 THEN 'staff' ELSE NULL END AS role,
            CASE WHEN (c_custkey + j) % 2 = 0 THEN 'admin' ELSE 'staff' END AS caller_role
-    FROM customer, (VALUES (0), (1)) AS v(j)""")
+    FROM customer, (VALUES (0), (1), (2)) AS v(j)""")
 
 
 def delete_users(ctx) -> DataFrame:
