@@ -96,49 +96,46 @@ def fk_audit(t: Tables) -> DataFrame:
     """Q4: violations per declared foreign key, NOT NULL column and the unique
     e-mail.
 
-    The references of all foreign keys pointing at the same parent are
-    unioned (tagged by foreign key) and checked with one ``left_anti`` join
-    per parent, then counted per tag: one shuffle of each parent table
-    instead of one per foreign key.  NULL references are allowed (as in SQL)
-    and are filtered out before the shuffle.
+    Every table is read once: its rows become (parent, key, tag) entries, one for its own
+    key where others refer to it, one per reference, one per missing NOT NULL value.  One aggregate
+    by (parent, key) tells whether the parent has the key and how often each foreign key names it: a
+    hot key is one row per task from there on, and no join is needed.  NULL references
+    are allowed (as in SQL).
     """
     tables = t.as_dict()
-    by_parent: dict[tuple[str, str], list[DataFrame]] = {}
-    for child, col, parent, pcol in FOREIGN_KEYS:
-        tag = f"{child}.{col}"
-        # counted per key first: a hot variant is one row per task from here on
-        refs = (tables[child].where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_k"))
-                .agg(F.count(F.lit(1)).alias("_n")).withColumn("_fk", F.lit(tag)))
-        by_parent.setdefault((parent, pcol), []).append(refs)
-    orphans = []
-    for (parent, pcol), refs in by_parent.items():
-        keys = tables[parent].select(F.col(pcol).alias("_k"))
-        orphans.append(reduce(DataFrame.unionByName, refs).join(keys, "_k", "left_anti"))
-    counts = reduce(DataFrame.unionByName, orphans).groupBy("_fk").agg(
-        F.sum("_n").alias("_n"))
-    declared = t.users.sparkSession.createDataFrame(
-        [(f"{c}.{col}", c, col, f"{p}.{pc}") for c, col, p, pc in FOREIGN_KEYS],
-        "_fk string, table_name string, column_name string, reference string")
-    parts = [declared.join(counts, "_fk", "left").select(
-        F.lit("foreign_key").alias("check"), "table_name", "column_name", "reference",
-        F.coalesce("_n", F.lit(0)).cast("bigint").alias("violations"))]
-    # NOT NULL: one pass per table counts the NULLs of all its checked columns
-    by_table: dict[str, list[str]] = {}
-    for table, col in NOT_NULL:
-        by_table.setdefault(table, []).append(col)
-    for table, cols in by_table.items():
-        counts_row = tables[table].agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c)
-                                         for c in cols])
-        per_col = counts_row.unpivot([], cols, "column_name", "violations")
-        parts.append(per_col.select(
-            F.lit("not_null").alias("check"), F.lit(table).alias("table_name"), "column_name",
-            F.lit("").alias("reference"), F.col("violations").cast("bigint").alias("violations")))
+    parents = {(p, c) for _, _, p, c in FOREIGN_KEYS}
+    checks = [("foreign_key", c, col, f"{p}.{pc}") for c, col, p, pc in FOREIGN_KEYS]
+    checks += [("not_null", c, col, "") for c, col in NOT_NULL]
+    own = -1                                            # tag of a parent's own key; others: place in ``checks``
+    entries: dict[str, list] = {}
+
+    def entry(table, parent, key, tag, when):
+        there = F.struct(F.lit(parent).alias("parent"), key.cast("bigint").alias("key"), F.lit(tag).alias("tag"))
+        entries.setdefault(table, []).append(F.when(when, there))
+
+    for table, col in sorted(parents):
+        entry(table, f"{table}.{col}", F.col(col), own, F.col(col).isNotNull())
+    for tag, (check, table, col, reference) in enumerate(checks):
+        if check == "foreign_key":
+            entry(table, reference, F.col(col), tag, F.col(col).isNotNull())
+        else:
+            entry(table, "", F.lit(tag), tag, F.col(col).isNull())
+    stacked = reduce(DataFrame.unionByName, [
+        tables[table].select(F.explode(F.filter(F.array(*found), lambda e: e.isNotNull())).alias("e")).select("e.*")
+        for table, found in entries.items()])
+    per_key = stacked.groupBy("parent", "key").agg(
+        F.max((F.col("tag") == own).cast("int")).alias("there"),
+        *[F.count(F.when(F.col("tag") == tag, 1)).alias(f"n{tag}") for tag in range(len(checks))])
+    totals = per_key.agg(*[F.coalesce(F.sum(F.when(F.col("there") == 0, F.col(f"n{tag}"))), F.lit(0)).alias(f"n{tag}")
+                           for tag in range(len(checks))])
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(check, ("check", "table_name", "column_name", "reference"))],
+                              F.col(f"n{tag}").alias("violations")) for tag, check in enumerate(checks)])
     dup = (t.users.groupBy("email").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
            .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")))
-    parts.append(dup.select(F.lit("unique").alias("check"), F.lit("users").alias("table_name"),
-                            F.lit("email").alias("column_name"), F.lit("").alias("reference"),
-                            F.col("violations").cast("bigint").alias("violations")))
-    return reduce(DataFrame.unionByName, parts)
+    unique = dup.select(F.lit("unique").alias("check"), F.lit("users").alias("table_name"),
+                        F.lit("email").alias("column_name"), F.lit("").alias("reference"),
+                        F.col("violations").cast("bigint").alias("violations"))
+    return totals.select(F.inline(rows)).unionByName(unique)
 
 
 def normalized_role() -> "F.Column":

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from storelake.operators.catalog import first_variant
 from storelake.operators.sequence import max_id, new_ids
+from storelake.session import materialize
 from storelake.sources.model import Tables
 
 
@@ -75,11 +76,14 @@ def toggle_wishlist(t: Tables, events: DataFrame) -> dict[str, DataFrame]:
     pairs = wishlist_pairs(t, events)
     toggles = pairs.groupBy("user_id", "itemQuant_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"))
-    odd = toggles.where(F.col("n") % 2 == 1)
-    current = t.wishlist.select("wishlist_id", "user_id", "itemQuant_id")
-    keep = current.join(odd, ["user_id", "itemQuant_id"], "left_anti")
-    added = odd.join(current, ["user_id", "itemQuant_id"], "left_anti")
-    added = new_ids(added, "last_event", max_id(t.wishlist, "wishlist_id"), "wishlist_id")
+    odd = toggles.where(F.col("n") % 2 == 1).select("user_id", "itemQuant_id", "last_event")
+    # one join of the pair table, written once: rows that stay, and pairs that are new
+    met = materialize(t.wishlist.select("wishlist_id", "user_id", "itemQuant_id")
+                      .join(odd, ["user_id", "itemQuant_id"], "full_outer")
+                      .where("wishlist_id IS NULL OR last_event IS NULL"), "toggled")
+    added = new_ids(met.where("wishlist_id IS NULL").drop("wishlist_id"), "last_event",
+                    max_id(t.wishlist, "wishlist_id"), "wishlist_id")
+    keep = met.where("wishlist_id IS NOT NULL").select("wishlist_id", "user_id", "itemQuant_id")
     return {"wishlist": keep.unionByName(added.select("wishlist_id", "user_id", "itemQuant_id"))}
 
 

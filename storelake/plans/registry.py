@@ -33,6 +33,8 @@ class Registered:
     name: str
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    fn: Callable[[Tables, Ctx], DataFrame] | None = None
+    body: str | None = None           # the SQL without the model views
 
 
 REGISTRY: dict[str, Registered] = {}
@@ -63,7 +65,7 @@ def query(name: str, sql: str | None = None):
         build.__doc__ = fn.__doc__
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Registered(name, build, with_model(sql) if sql else None)
+        REGISTRY[name] = Registered(name, build, with_model(sql) if sql else None, fn, sql)
         return fn
 
     return deco
@@ -73,5 +75,5 @@ def load_all() -> dict[str, Registered]:
     # importing the plan modules fills REGISTRY
     from storelake.plans import (catalog_plans, customer_plans, order_plans,  # noqa: F401
                                  quality_plans, report_plans, change_plans, source_plans,
-                                 stream_plans)
+                                 stored_plans, stream_plans)
     return REGISTRY

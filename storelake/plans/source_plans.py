@@ -78,17 +78,25 @@ def export_sales_csv(t, ctx):
 @query("load_images", """
     SELECT item_id, CAST(octet_length(image) AS INTEGER) AS image_bytes, hex(image) AS image_hex FROM (
       SELECT p_partkey AS item_id,
-             CASE WHEN p_partkey % 3 = 0 THEN from_base64(to_base64(CAST(p_name AS BLOB))) END AS image
+             CASE WHEN p_partkey % 3 = 0 THEN CAST(p_name AS BLOB)
+                  WHEN p_partkey % 6 = 1 THEN CAST(concat(p_name, chr(10)) AS BLOB) END AS image
       FROM part) x""")
 def load_images(t, ctx):
+    """S4 over data: URIs, files below the scratch folder (a file holds its part's name and a line
+    feed; half of the files are named by no row) and paths without a file."""
     p = ctx.raw["part"]
     k = F.col("p_partkey")
+    root = scratch_dir(ctx.spark, "images")
+    p.where(k % 3 == 1).select(F.col("p_name"), k.alias("image_of")).write.partitionBy("image_of").text(root)
+    listed = ctx.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    files = listed.select(F.regexp_extract("path", "image_of=([0-9]+)/", 1).cast("bigint").alias("_k"), "path")
     url = (F.when(k % 3 == 0, F.concat(F.lit("data:image/png;base64,"),
                                        F.base64(F.col("p_name").cast("binary"))))
-            .when(k % 3 == 1, F.concat(F.lit("file:///nonexistent/"), k.cast("string"), F.lit(".png")))
+            .when(k % 6 == 1, F.col("path"))
+            .when(k % 3 == 2, F.concat(F.lit("file:///nonexistent/"), k.cast("string"), F.lit(".png")))
             .otherwise(F.lit("")))
-    refs = p.select(k.alias("item_id"), url.alias("image_url"))
-    imgs = sinks.load_images(ctx.spark, refs)
+    refs = p.join(files, k == F.col("_k"), "left").select(k.alias("item_id"), url.alias("image_url"))
+    imgs = sinks.load_images(ctx.spark, refs, root)
     return imgs.select("item_id", F.length("image").alias("image_bytes"),
                        F.hex("image").alias("image_hex"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from storelake.operators.orders import all_orders
 from storelake.operators.reports import user_order_stats
+from storelake.session import materialize, scratch_dir
 from storelake.sources.model import Tables
 
 # Header of the order export.
@@ -29,6 +30,9 @@ EXPORT_SCHEMA = T.StructType([
 ])
 
 
+FILE_SCHEMA = "path string, content binary"
+
+
 def param_sql(spark: SparkSession, t: Tables, query: str, params: list | None = None) -> DataFrame:
     """Run a SELECT with ``?`` markers bound to ``params`` over the model views."""
     t.register_views()
@@ -55,28 +59,59 @@ def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXPORT_SCHEMA).option("header", True).csv(path)
 
 
+PATHS_PER_READ = 4096          # files that one read names, so that the driver holds no more paths
+
+
+def _plain_path(path):
+    """A file's path without the scheme of the local file system."""
+    return F.regexp_replace(path, "^file:(//)?(?=/)", "")
+
+
+def read_files(spark: SparkSession, wanted: DataFrame, root: str, paths_per_read: int = PATHS_PER_READ) -> DataFrame:
+    """(path, content) of the files under ``root`` whose path is one of ``wanted`` (column path).
+
+    The files are listed without their content first.  If those wanted hold half of all bytes or
+    more, one scan reads the folder; else only the wanted ones are opened, a bounded number of paths
+    at a time, and written to the shared folder.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = listed.select(F.col("path").alias("uri"), _plain_path(F.col("path")).alias("path"), "length")
+    wanted = wanted.select("path").where(F.col("path").isNotNull()).distinct()
+    found = materialize(files.join(wanted, "path", "left_semi").withColumn("lot", F.xxhash64("path")), "wanted-files")
+    count, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    if 2 * size >= files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]:
+        return (listed.select(_plain_path(F.col("path")).alias("path"), "content").join(found.select("path"), "path", "left_semi"))
+    reads = -(-count // paths_per_read)
+    folder = scratch_dir(spark, "files")
+    for k in range(reads):
+        uris = [r.uri for r in found.where(F.pmod("lot", F.lit(reads)) == k).select("uri").collect()]
+        if uris:
+            (spark.read.format("binaryFile").load(uris).select(_plain_path(F.col("path")).alias("path"), "content")
+             .write.mode("append").parquet(folder))
+    if not reads:
+        return spark.createDataFrame([], FILE_SCHEMA)
+    return spark.read.schema(FILE_SCHEMA).parquet(folder)
+
+
 def load_images(spark: SparkSession, refs: DataFrame, file_root: str | None = None) -> DataFrame:
     """(item_id, image) from (item_id, image_url).
 
     ``data:image/...;base64,<data>`` URIs are decoded in the JVM
     (``try_to_binary``: bad data gives NULL); ``file://`` and bare paths are
-    matched against the files under ``file_root``, read with the
-    ``binaryFile`` source and joined back by path; anything else, or a
+    looked up among the files under ``file_root`` (``read_files``: only files that a row
+    names are read) and joined back by path; anything else, or a
     missing file, gives NULL.  Remote URLs are not fetched.
     """
     url = F.trim("image_url")
     is_data = url.startswith("data:image")
     is_http = url.startswith("http://") | url.startswith("https://")
     decoded = F.try_to_binary(F.substring_index(url, ",", -1), F.lit("base64"))
-    path = F.when(url.startswith("file://"), F.expr("substring(trim(image_url), 8)")).otherwise(url)
     typed = refs.select("item_id", "image_url",
                         F.when(is_data & F.col("image_url").contains(","), decoded).alias("_inline"),
-                        F.when(~is_data & ~is_http & (url != ""), path).alias("_path"))
+                        F.when(~is_data & ~is_http & (url != ""), _plain_path(url)).alias("_path"))
     if file_root is not None:
-        files = (spark.read.format("binaryFile").load(file_root)
-                 .select(F.regexp_replace("path", "^file:", "").alias("_path"),
-                         F.col("content").alias("_file")))
-        typed = typed.join(files, "_path", "left")
+        files = read_files(spark, typed.select(F.col("_path").alias("path")), file_root)
+        typed = typed.join(files.select(F.col("path").alias("_path"), F.col("content").alias("_file")), "_path", "left")
     else:
         typed = typed.withColumn("_file", F.lit(None).cast("binary"))
     return typed.select("item_id", F.coalesce("_inline", "_file").alias("image"))

@@ -34,3 +34,26 @@ def test_profiles_and_history(spark, tmp_path):
     assert {u: n for u, n in sizes.items() if n} == {u: n for u, n in want.items() if u in sizes}
     one = prof.where("size(orders) > 1").first().orders
     assert [o.order_date for o in one] == sorted((o.order_date for o in one), reverse=True)
+
+
+def test_only_files_that_a_row_names_are_read(spark, tmp_path):
+    """A file beyond the reader's size limit lies beside the wanted ones: reading it would fail."""
+    from storelake.sources.sinks import read_files
+    (tmp_path / "sub").mkdir()
+    for k in range(7):
+        (tmp_path / "sub" / f"{k}.png").write_bytes(b"image %d" % k)
+    (tmp_path / "large.bin").write_bytes(bytes(10_000))
+    wanted = spark.createDataFrame([(str(tmp_path / "sub" / f"{k}.png"),) for k in (0, 2, 2, 5)] + [("/no/such.png",), (None,)], "path string")
+    old = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        for per_read in (4096, 2):
+            got = {r.path: bytes(r.content) for r in read_files(spark, wanted, str(tmp_path), per_read).collect()}
+            assert got == {str(tmp_path / "sub" / f"{k}.png"): b"image %d" % k for k in (0, 2, 5)}
+        assert read_files(spark, wanted.where("path LIKE '/no%'"), str(tmp_path)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", old)
+    # most bytes are wanted: one scan of the folder
+    (tmp_path / "large.bin").unlink()
+    every = spark.createDataFrame([(str(tmp_path / "sub" / f"{k}.png"),) for k in range(6)], "path string")
+    assert read_files(spark, every, str(tmp_path)).count() == 6
