@@ -55,4 +55,6 @@ def components(links: DataFrame) -> DataFrame:
         links = next_links
     if label is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return label.select("node", "comp")
+    out = label.select("node", "comp")
+    out._scratch_path = vars(label).pop("_scratch_path")      # the caller may discard it
+    return out
