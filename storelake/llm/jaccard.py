@@ -46,10 +46,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelake.llm.common import DOC_COLUMNS, read_table, ship_package
-from storelake.llm.components import components
 from storelake.llm.lm import most_frequent
 from storelake.llm.words import mix64, shingle_hashes, signed, text_chunks, words_of
-from storelake.session import materialize
+from storelake.operators.graph import components
+from storelake.session import discard, materialize
 
 SHINGLE = 5
 FREQUENT = 1 << 19        # bound of the list of frequent shingles
@@ -304,7 +304,8 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: in
     spark = docs.sparkSession
     shared = materialize(shared, "shared")
     reach = shared.groupBy("node").agg((F.count("*") / F.first("n")).alias("reach"))
-    entry = materialize(shared.join(reach, "node"), "entries")
+    entry = written = materialize(shared.join(reach, "node"), "entries")
+    discard(shared)
     chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)      # the same nodes lead everywhere
     tested = links = label = None
     leaders = LEADERS
@@ -318,6 +319,8 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: in
         if tested is not None:               # in smaller entries every pair has been compared
             group = group.where(F.col("size") > leaders // MORE_LEADERS)
         now = materialize(now.join(group.select("key", "size", F.col("best.node").alias("best")), "key"), "rounds")
+        discard(written)                     # each table goes once its successor is written
+        written = now
         largest = now.agg(F.max("size")).first()[0]
         if largest is None:
             break
@@ -339,14 +342,20 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: in
         rough = (met.join(side.toDF("a", "na", "xa"), "a").join(side.toDF("b", "nb", "xb"), "b")
                  .select("a", "b", "xa", "xb", "na", "nb").mapInArrow(_bound_filter(percent), "a long, b long"))
         rough = materialize(rough, "rough")
+        discard(side)
         if not rough.isEmpty():
             wanted = rough.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-            sets = materialize(whole_sets(docs, materialize(wanted.select("doc_id", "node"), "wanted"), shingle), "sets")
+            wanted = materialize(wanted.select("doc_id", "node"), "wanted")
+            sets = materialize(whole_sets(docs, wanted, shingle), "sets")
             sure = (rough.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
                     .select("a", "b", "ta", "tb").mapInArrow(_compare(percent), "a long, b long"))
             sure = materialize(sure, "links")
+            discard(wanted, sets)
             links = sure if links is None else links.unionByName(sure)
+            if label is not None:
+                discard(label)
             label = components(links)
+        discard(rough)
         entry = now.select(*entry.columns)
         if leaders >= largest:
             break
