@@ -1,33 +1,38 @@
-"""Line dedup by winnowing over line hashes.
-
-A line is what stands between line breaks; its hash covers its words (white
-space ignored, case kept); lines without words are passed over.  A run of
-lines of ``RUN_WORDS`` words or more that occurred before -- in a document with a
-smaller doc_id, or further up in the same one -- is a repeat, and its lines go.
-
-1. Grams: from every line, the fewest lines that hold ``GRAM_WORDS`` words.
-2. Winnowing: of the grams inside the fewest lines from line i on that hold
-   ``RUN_WORDS`` words, the one with the least hash is a fingerprint.  Any run of
-   ``RUN_WORDS`` words holds such a window, so two copies of a run share a fingerprint.
-3. Positions of fingerprints that occur more than once are joined to their documents'
-   lines, and each is extended both ways to every window of ``RUN_WORDS`` words
-   around it (shortest forwards from each line, and backwards).
-4. A window whose content occurs earlier is a repeat.  Repeated windows overlap into
-   the longest repeated runs, as each line of a run lies in one of its windows.
-
-Only the first occurrence of each window is joined to its other occurrences, so
-copies are not paired with each other.  Texts are read twice (hash, cut); between, only
-line hashes move.
+"""Line dedup by winnowing.
+
+A passage of ``RUN_WORDS`` words or more (white space ignored, case kept) that occurred before --
+in a document with a smaller doc_id, or further up in the same one -- is a repeat, and its words
+go: whole lines, and parts of lines where a passage begins or ends inside one.  Lines as
+units alone cannot do that (a passage inside longer lines has no line in common), so the hashes
+are of runs of words and cross line breaks.
+
+1. Winnowing: of the grams of ``GRAM_WORDS`` words inside every window of ``RUN_WORDS`` words, the
+   one with the least hash is a fingerprint (ties: each of them).  Which one depends on the window's
+   words alone, so two copies of a passage share a fingerprint at the same place.
+2. Fingerprints that occur more than once (a bit table of them is shipped; a full one lets more
+   through and never drops one) come again with their position and ``RUN_WORDS`` -
+   ``GRAM_WORDS`` words on either side, known by 32 bits each.
+3. Positions of equal fingerprints meet, in document order, and are extended both ways: s
+   words back and the rest forward make up a window, for every s.  A window that an earlier position also has is a
+   repeat, and its words go.  A repeated window is found at each of its fingerprints.
+4. Repeated windows overlap into the longest repeated runs.
+
+Positions are compared with what came before by hash, never pair by pair.  A fingerprint with more
+than ``BUCKET`` positions is not gathered in one task: its windows become rows, whose first
+occurrence is an aggregate.  Texts are read three times (hash, extend, cut).
 
 Defined cases: null and empty texts stay as they are; rows equal in doc_id and
 text are one document and get one result; rows without doc_id come last in order;
-texts of one doc_id are ordered by their hash; of equal lines the first one
-always stays; an empty table gives no rows; extra columns are kept
+texts of one doc_id are ordered by their hash; a line that loses all its words goes with its
+line break, of one that loses some the others stay as they are (white space behind
+a lost word goes with it); an empty table gives no rows; extra columns are kept
 (but for those named like the added ones).
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,215 +40,271 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storelake.llm.common import DOC_COLUMNS, read_table, ship_package, with_fields
-from storelake.llm.words import _BASE, _POWERS, SPACED, mix64, signed, text_chunks, words_of
-from storelake.session import materialize
+from storelake.llm.lm import Sieve
+from storelake.llm.words import _BASE, _POWERS, SPACED, Words, mix64, signed, text_chunks, words_of
+from storelake.session import discard, materialize
 
 RUN_WORDS = 50
-GRAM_WORDS = 25
+GRAM_WORDS = 26           # over half, so that neighbouring fingerprints of a run touch
+BUCKET = 1 << 16          # most positions of a fingerprint that one task compares
+FLUSH = 1 << 20           # fingerprints between two rounds of counting in a task
 BLANK = bytes([32, 9, 10, 11, 12, 13])
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
 def _order():
     """Place of a document: its id; without one it comes last."""
-    return F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("_o")
-
+    return F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
 
-def _text():
-    return F.xxhash64("text").alias("_t")
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
 
 
-def line_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and number of words of every line with words, and where each text's lines begin."""
-    words = words_of(texts, SPACED, lower=False)
-    breaks = np.flatnonzero(words.buffer == 10)
-    line = np.searchsorted(breaks, words.start)
-    first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
-    n = np.diff(np.append(first, len(line)))
-    place = (np.arange(len(line)) - np.repeat(first, n)).astype(np.uint64)
-    parts = mix64(words.hash + place * _BASE)
-    hashed = np.add.reduceat(parts, first) if len(first) else np.zeros(0, np.uint64)
-    return mix64(hashed), n, np.searchsorted(first, words.bounds)
+def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
+    """``best`` (np.minimum or np.maximum) of every ``width`` neighbours."""
+    size = 1
+    while 2 * size <= width:
+        values = best(values[:len(values) - size], values[size:])
+        size *= 2
+    rest = width - size
+    return best(values[:len(values) - rest], values[rest:]) if rest else values
 
 
-class Lines:
-    """Lines of one document: spans of enough words and hashes of spans."""
+def fingerprints(words: Words, run: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (word numbers) and hashes of the grams that winnowing selects in some texts."""
+    n = len(words.hash)
+    if n < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    up, down = _POWERS.upto(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(words.hash * up[:n], out=total[1:])
+    value = mix64((total[gram:] - total[:n + 1 - gram]) * down[:n + 1 - gram]) | np.uint64(1)
+    spread = run - gram + 1
+    least = _sliding(value, spread, np.minimum)          # of each window
+    ends = np.repeat(words.bounds[1:], np.diff(words.bounds))
+    least[np.arange(len(least)) + run > ends[:len(least)]] = 0      # no window crosses texts
+    around = np.zeros(len(least) + 2 * (spread - 1), np.uint64)
+    around[spread - 1:spread - 1 + len(least)] = least
+    at = np.flatnonzero(_sliding(around, spread, np.maximum) == value)
+    return at, value[at]
 
-    def __init__(self, hashes: np.ndarray, words: np.ndarray) -> None:
-        self.count = len(hashes)
-        self.before = np.concatenate([[0], np.cumsum(words)])
-        up, self.down = _POWERS.upto(self.count + 1)
-        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:self.count], dtype=np.uint64)])
 
-    def forward(self, least: int) -> np.ndarray:
-        """Last line of the fewest lines from each line on that hold ``least`` words (count: none)."""
-        return np.searchsorted(self.before, self.before[:-1] + least) - 1
+def _rows(names, columns):
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
-    def backward(self, least: int) -> np.ndarray:
-        """First line of the fewest lines up to each line that hold ``least`` words (-1: none)."""
-        return np.searchsorted(self.before, self.before[1:] - least, "right") - 1
 
-    def hash(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return mix64((self.total[last + 1] - self.total[first]) * self.down[first]
-                     + mix64((last - first + 1).astype(np.uint64)))
+def _count(run_words: int, gram_words: int):
+    def emit(held):
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        for k in range(0, len(key), 1 << 16):
+            yield _rows(["gram", "n"], [signed(key[k:k + (1 << 16)]), n[k:k + (1 << 16)].astype(np.int64)])
 
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, texts in text_chunks(batch):
+                held.append(fingerprints(words_of(texts, SPACED, lower=False), run_words, gram_words)[1])
+                size += len(held[-1])
+                if size >= FLUSH:
+                    yield from emit(held)
+                    held, size = [], 0
+        if size:
+            yield from emit(held)
 
-def fingerprints(lines: Lines, run_words: int, gram_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start lines and hashes of the grams that winnowing selects."""
-    window_end, gram_end = lines.forward(run_words), lines.forward(gram_words)
-    windows = int(np.searchsorted(window_end, lines.count))       # those that fit
-    if not windows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    start = np.flatnonzero(gram_end < lines.count)
-    value = lines.hash(start, gram_end[start]).tolist()
-    # grams inside window i start at i and end no later than the window
-    stop = np.searchsorted(gram_end, window_end[:windows], "right").tolist()
-    chosen, low = set(), []               # low: grams of falling hash, the least first
-    nxt = 0
-    for i in range(windows):
-        while nxt < stop[i]:
-            while low and value[low[-1]] >= value[nxt]:
-                low.pop()
-            low.append(nxt)
-            nxt += 1
-        while low[0] < i:
-            low.pop(0)
-        chosen.add(low[0])
-    at = np.array(sorted(chosen), np.int64)
-    return at, np.array([value[i] for i in at], np.uint64)
-
-
-def windows_around(lines: Lines, at: np.ndarray, run_words: int, gram_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last lines of the windows that hold a gram starting at one of ``at``."""
-    end, begin, gram_end = lines.forward(run_words), lines.backward(run_words), lines.forward(gram_words)
-    spans = set()
-    for p in at.tolist():
-        q = int(gram_end[p])
-        i = p
-        while i >= 0 and end[i] >= q:
-            if end[i] < lines.count:
-                spans.add((i, int(end[i])))
-            i -= 1
-        b = q
-        while b < lines.count and begin[b] <= p:
-            if begin[b] >= 0:
-                spans.add((int(begin[b]), b))
-            b += 1
-    out = np.array(sorted(spans), np.int64).reshape(-1, 2)
-    return out[:, 0], out[:, 1]
+    return run
 
 
-def _rows(names, columns):
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+_PLACE = "gram long, o long, t long, at int, before int, behind int, context binary"
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(_o, _t, hashes, words): document order, text hash, and its lines."""
+def _places(shipped, run_words: int, gram_words: int):
+    """Fingerprints that may occur more than once, with the words around them: before (the nearest
+    first), then behind."""
+    reach = run_words - gram_words
 
     def run(batches):
         for batch in batches:
             for part, texts in text_chunks(batch):
-                hashed, n, bounds = line_hashes(texts)
-                ends = pa.array(bounds, pa.int32())
-                yield _rows(["_o", "_t", "hashes", "words"],
-                            [part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(signed(hashed))),
-                             pa.ListArray.from_arrays(ends, pa.array(n, pa.int32()))])
-
-    return docs.select(_order(), _text(), "text").mapInArrow(run, "_o long, _t long, hashes array<long>, words array<int>")
-
+                words = words_of(texts, SPACED, lower=False)
+                at, value = fingerprints(words, run_words, gram_words)
+                keep = shipped.value.may_hold(value)
+                at, value = at[keep], value[keep]
+                doc = np.searchsorted(words.bounds, at, "right") - 1
+                begin, end = words.bounds[doc], words.bounds[doc + 1]
+                short = (words.hash >> np.uint64(32)).astype("<u4")
+                for k in range(0, len(at), 1 << 13):
+                    own = slice(k, k + (1 << 13))
+                    steps = np.arange(reach)
+                    near = np.concatenate([at[own, None] - 1 - steps, at[own, None] + gram_words + steps], axis=1)
+                    around = short[np.clip(near, 0, len(short) - 1)]
+                    row = pa.array(doc[own])
+                    yield _rows(["gram", "o", "t", "at", "before", "behind", "context"],
+                                [signed(value[own]), part.column(0).take(row), part.column(1).take(row),
+                                 (at[own] - begin[own]).astype(np.int32), np.minimum(reach, at[own] - begin[own]).astype(np.int32),
+                                 np.minimum(reach, end[own] - at[own] - gram_words).astype(np.int32),
+                                 pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * reach), len(around), [None, pa.py_buffer(around.tobytes())])
+                                 .cast(pa.binary())])
+
+    return run
+
+
+def _window_keys(batch, run_words: int, gram_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every position and every s: the hash of the window that begins s words before the
+    fingerprint, and whether the text holds it."""
+    reach = run_words - gram_words
+    get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+    gram, before, behind = get("gram").view(np.uint64), get("before"), get("behind")
+    context = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("context")).to_pylist()), "<u4")
+    context = context.reshape(len(gram), 2 * reach).astype(np.uint64)
+    one, two = np.zeros((len(gram), reach + 1), np.uint64), np.zeros((len(gram), reach + 1), np.uint64)
+    one[:, 0], two[:, 0] = gram, gram + np.uint64(1)
+    for s in range(reach):
+        one[:, s + 1] = mix64(one[:, s] * _BASE + context[:, s])
+        two[:, s + 1] = mix64(two[:, s] * _BASE + context[:, reach + s])
+    s = np.arange(reach + 1)
+    key = mix64(one + mix64(two[:, ::-1]))
+    return key, (before[:, None] >= s) & (behind[:, None] >= reach - s)
+
+
+def _repeats(run_words: int, gram_words: int):
+    """Positions sorted by (gram, o, t, at) to (o, t, first, last): the words of repeated windows."""
+    def compare(batch):
+        col = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+        gram, o, t, at = col("gram"), col("o"), col("t"), col("at")
+        same = (gram[1:] == gram[:-1]) & (o[1:] == o[:-1]) & (t[1:] == t[:-1]) & (at[1:] == at[:-1])
+        batch = batch.filter(pa.array(np.append(True, ~same)))         # rows equal in doc_id and text are one document
+        o, t, at = col("o"), col("t"), col("at")
+        key, held = _window_keys(batch, run_words, gram_words)
+        first = np.full(len(at), run_words, np.int64)                  # least and largest s of a repeated window
+        last = np.full(len(at), -1, np.int64)
+        for s in range(key.shape[1]):
+            rows = np.flatnonzero(held[:, s])
+            _, new = np.unique(key[rows, s], return_index=True)
+            again = np.ones(len(rows), bool)
+            again[new] = False
+            rows = rows[again]
+            first[rows] = np.minimum(first[rows], s)
+            last[rows] = s
+        hit = np.flatnonzero(last >= 0)
+        if len(hit):
+            yield _rows(["o", "t", "first", "last"], [o[hit], t[hit], (at[hit] - last[hit]).astype(np.int32),
+                                                      (at[hit] - first[hit] + run_words).astype(np.int32)])
 
-def _lines_of(batch):
-    for i in range(batch.num_rows):
-        h = batch.column(batch.schema.get_field_index("hashes"))[i].values.to_numpy(zero_copy_only=False)
-        w = batch.column(batch.schema.get_field_index("words"))[i].values.to_numpy(zero_copy_only=False)
-        yield i, Lines(h.astype(np.int64).view(np.uint64), w)
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            gram = held.column(0).to_numpy(zero_copy_only=False)
+            whole = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0     # the last one may go on
+            if whole:
+                yield from compare(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield from compare(held)
 
+    return run
 
-def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """(_o, _t, spans): for documents with repeats, the spans of lines that occurred earlier."""
-    table = materialize(line_table(docs), "lines").where(F.size("hashes") > 0)
 
-    def select(batches):
-        for batch in batches:
-            rows, at, value = [], [], []
-            for i, lines in _lines_of(batch):
-                a, v = fingerprints(lines, run_words, gram_words)
-                rows.append(np.full(len(a), i))
-                at.append(a)
-                value.append(v)
-            if rows:
-                row = pa.array(np.concatenate(rows))
-                yield _rows(["gram", "_o", "_t", "at"], [signed(np.concatenate(value)), batch.column(0).take(row),
-                                                         batch.column(1).take(row), np.concatenate(at)])
-
-    marks = materialize(table.mapInArrow(select, "gram long, _o long, _t long, at long"), "fingerprints")
-    twice = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    places = (marks.join(twice, "gram", "left_semi").groupBy("_o", "_t")
-              .agg(F.collect_set("at").alias("at")))
-
-    def extend(batches):
+def _windows(run_words: int, gram_words: int):
+    def run(batches):
         for batch in batches:
-            rows, first, last, value = [], [], [], []
-            marked = batch.column(batch.schema.get_field_index("at"))
-            for i, lines in _lines_of(batch):
-                a, b = windows_around(lines, np.sort(marked[i].values.to_numpy(zero_copy_only=False)), run_words, gram_words)
-                rows.append(np.full(len(a), i))
-                first.append(a)
-                last.append(b)
-                value.append(lines.hash(a, b))
-            if rows:
-                row = pa.array(np.concatenate(rows))
-                yield _rows(["window", "_o", "_t", "first", "last"],
-                            [signed(np.concatenate(value)), batch.column(0).take(row), batch.column(1).take(row),
-                             np.concatenate(first), np.concatenate(last)])
-
-    windows = materialize(table.join(places, ["_o", "_t"]).select("_o", "_t", "hashes", "words", "at")
-                          .mapInArrow(extend, "window long, _o long, _t long, first long, last long"), "windows")
-    place = F.struct("_o", "_t", "first")
-    origin = (windows.groupBy("window").agg(F.min(place).alias("origin"), F.max(place).alias("final"))
-              .where("origin != final").select("window", "origin"))
-    return (windows.join(origin, "window").where(place != F.col("origin"))
-            .groupBy("_o", "_t").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
-
-
-def cut_lines(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """The text without the spanned lines (numbered among lines with words), and how many went."""
-    gone = {k for a, b in spans for k in range(a, b + 1)}
-    kept, k = [], -1
+            key, held = _window_keys(batch, run_words, gram_words)
+            row, s = np.nonzero(held)
+            at = batch.column(batch.schema.get_field_index("at")).to_numpy(zero_copy_only=False)
+            take = pa.array(row)
+            yield _rows(["window", "o", "t", "first"], [signed(key[row, s]), batch.column(1).take(take), batch.column(2).take(take),
+                                                        (at[row] - s).astype(np.int32)])
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS,
+                   bucket: int = BUCKET) -> DataFrame:
+    """(o, t, spans): for documents with repeats, the spans of words [first, last) that occurred earlier."""
+    if not run_words // 2 < gram_words <= run_words:
+        raise ValueError("a gram has more than half of a run's words")
+    texts = docs.select(_order().alias("o"), F.xxhash64("text").alias("t"), "text")
+    counts = (texts.select("text").mapInArrow(_count(run_words, gram_words), "gram long, n long")
+              .groupBy("gram").agg(F.sum("n").alias("n")))
+    twice = materialize(counts.where("n > 1"), "repeated-grams")
+    sieve = docs.sparkSession.sparkContext.broadcast(Sieve.of_table(twice.select(F.col("gram").alias("key"))))
+    places = texts.mapInArrow(_places(sieve, run_words, gram_words), _PLACE)
+    large = materialize(twice.where(F.col("n") > bucket).select("gram"), "large-grams")
+    spans = []
+    if not large.isEmpty():
+        places = materialize(places, "places")
+        rows = (places.join(large, "gram", "left_semi").select("gram", "o", "t", "at", "before", "behind", "context")
+                .mapInArrow(_windows(run_words, gram_words), "window long, o long, t long, first int"))
+        rows = materialize(rows, "windows")
+        place = F.struct("o", "t", "first")
+        origin = (rows.groupBy("window").agg(F.min(place).alias("origin"), F.max(place).alias("final"))
+                  .where("origin != final").select("window", "origin"))
+        origin = materialize(origin, "origins")          # apart from the join, which Spark can then split
+        spans.append(rows.join(origin, "window").where(place != F.col("origin"))
+                     .select("o", "t", "first", (F.col("first") + run_words).alias("last")))
+        places = places.join(large, "gram", "left_anti").select(*places.columns)
+    spans.append(places.repartition("gram").sortWithinPartitions("gram", "o", "t", "at")
+                 .mapInArrow(_repeats(run_words, gram_words), "o long, t long, first int, last int"))
+    every = spans[0] if len(spans) == 1 else spans[0].unionByName(spans[1])
+    out = materialize(every.groupBy("o", "t").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
+    discard(twice, large)
+    return out
+
+
+def cut_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """The text without the words of the spans, how many lines went whole and how many words went."""
+    edge = np.zeros(max(b for _, b in spans) + 1, np.int64)
+    for a, b in spans:
+        edge[a] += 1
+        edge[b] -= 1
+    gone = np.cumsum(edge) > 0
+    kept, at, lines = [], 0, 0
     for line in text.split(b"\n"):
-        if line.strip(BLANK):
-            k += 1
-            if k in gone:
-                continue
-        kept.append(line)
-    return b"\n".join(kept), len(gone)
-
-
-def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``, ``text`` without repeated runs, and
-    ``lines_removed`` and ``lines_left`` (lines with words)."""
-    docs = docs.drop("lines_removed", "lines_left")
-    spans = repeated_spans(docs.select("doc_id", "text"), run_words, gram_words).withColumnRenamed("spans", "_spans")
-    joined = docs.withColumns({"_o": _order(), "_t": _text()}).join(spans, ["_o", "_t"], "left")
-    joined = joined.select(*docs.columns, "_spans")
-    columns = list(docs.columns)
-    schema = with_fields(docs, ("lines_removed", T.LongType()), ("lines_left", T.LongType()))
+        pieces = _WORD.findall(line)
+        lost = gone[at:at + len(pieces)]
+        at += len(pieces)
+        if not lost.any():
+            kept.append(line)
+        elif len(lost) == len(pieces) and lost.all():
+            lines += 1
+        else:
+            lost = np.append(lost, np.zeros(len(pieces) - len(lost), bool))
+            lead = b"" if lost[0] else line[:len(line) - sum(map(len, pieces))]
+            rest = lead + b"".join(p for p, x in zip(pieces, lost.tolist()) if not x)
+            kept.append(rest.rstrip(BLANK) if lost[-1] else rest)
+    return b"\n".join(kept), lines, int(gone.sum())
+
+
+def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS,
+                bucket: int = BUCKET) -> DataFrame:
+    """All rows and columns of ``docs``, ``text`` without repeated runs, and ``lines_removed`` (lines
+    that went whole), ``lines_left`` (lines with words) and ``words_removed``."""
+    docs = docs.drop("lines_removed", "lines_left", "words_removed")
+    o, t, found = _free(docs, "o"), _free(docs, "t"), _free(docs, "spans")
+    spans = repeated_spans(docs.select("doc_id", "text"), run_words, gram_words, bucket).toDF(o, t, found)
+    joined = docs.withColumns({o: _order(), t: F.xxhash64("text")}).join(spans, [o, t], "left").select(*docs.columns, found)
+    text_at, spans_at = docs.columns.index("text"), len(docs.columns)
+    schema = with_fields(docs, ("lines_removed", T.LongType()), ("lines_left", T.LongType()), ("words_removed", T.LongType()))
 
     def run(batches):
         for batch in batches:
             for part, texts in text_chunks(batch):
-                spans_of = part.column(part.schema.get_field_index("_spans")).to_pylist()
-                out, gone, left = [], [], []
-                for text, s in zip(texts, spans_of):
-                    n = 0
+                out, gone, left, lost = [], [], [], []
+                for text, s in zip(texts, part.column(spans_at).to_pylist()):
+                    lines = words = 0
                     if text is not None and s:
-                        text, n = cut_lines(text, [(x["first"], x["last"]) for x in s])
+                        text, lines, words = cut_words(text, [(x["first"], x["last"]) for x in s])
                     out.append(None if text is None else text.decode("utf-8", "replace"))
-                    gone.append(n)
+                    gone.append(lines)
+                    lost.append(words)
                     left.append(sum(bool(x.strip(BLANK)) for x in (text or b"").split(b"\n")))
-                cols = [pa.array(out, pa.string()) if f == "text" else part.column(part.schema.get_field_index(f))
-                        for f in columns]
-                yield _rows([f.name for f in schema], cols + [pa.array(gone, pa.int64()), pa.array(left, pa.int64())])
+                cols = [pa.array(out, pa.string()) if k == text_at else part.column(k) for k in range(spans_at)]
+                yield _rows([f.name for f in schema], cols + [pa.array(x, pa.int64()) for x in (gone, left, lost)])
 
     return joined.mapInArrow(run, schema)
 
@@ -255,7 +316,7 @@ def linededup_query(spark, sf_dir: str) -> DataFrame:
 def linededup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated runs; a document of which nothing is left goes."""
     ship_package(spark)
-    out = dedup_lines(docs.select(*DOC_COLUMNS)).where("lines_removed = 0 OR lines_left > 0")
-    cut = F.col("lines_removed") > 0
+    cut = F.col("words_removed") > 0
+    out = dedup_lines(docs.select(*DOC_COLUMNS)).where(~cut | (F.col("lines_left") > 0))
     return out.select("doc_id", "text", "lang", "source",
                       F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))

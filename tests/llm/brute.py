@@ -69,21 +69,42 @@ def contamination(docs, items):
 
 
 def line_dedup(docs, least=50):
-    """docs in order, one per (doc_id, text).  Texts without the lines of runs that occurred before."""
-    lines_of = [[(i, tuple(SPACED.findall(x))) for i, x in enumerate((t or "").split("\n")) if SPACED.search(x)]
-                for _, t in docs]
+    """docs in order, one per (doc_id, text).  Texts without the words of runs that occurred before."""
+    words_of = [SPACED.findall(t or "") for _, t in docs]
     seen, gone = {}, [set() for _ in docs]
-    for d, lines in enumerate(lines_of):
-        for a in range(len(lines)):
-            n = 0
-            for b in range(a, len(lines)):
-                n += len(lines[b][1])
-                if n >= least:
-                    key = tuple(w for _, w in lines[a:b + 1])
-                    if seen.setdefault(key, (d, a)) != (d, a):
-                        gone[d].update(i for i, _ in lines[a:b + 1])
-    return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g)
-            for (_, t), g in zip(docs, gone)]
+    for d, w in enumerate(words_of):
+        for i in range(len(w) - least + 1):
+            if seen.setdefault(tuple(w[i:i + least]), (d, i)) != (d, i):
+                gone[d].update(range(i, i + least))
+    out = []
+    for (_, t), lost in zip(docs, gone):
+        if not lost:
+            out.append(t)
+            continue
+        kept, k = [], 0
+        for line in t.split("\n"):
+            tokens = re.split(r"([\x20\x09-\x0D]+)", line)          # words and the white space between them, in turn
+            n, rest = 0, ""
+            for i, x in enumerate(tokens):
+                if i % 2 == 0 and x:
+                    n += 1
+                    if k + n - 1 in lost:
+                        tokens[i] = None
+                elif i % 2 and i and tokens[i - 1] is None:
+                    tokens[i] = None
+            if n and all(x is None for x in tokens[::2] if x != ""):
+                k += n
+                continue
+            if tokens[0] == "" and len(tokens) > 2 and tokens[2] is None:
+                tokens[1] = None
+            last = next((x for x in reversed(range(0, len(tokens), 2)) if tokens[x] != ""), None)
+            rest = "".join(x for x in tokens if x)
+            if last is not None and tokens[last] is None:
+                rest = rest.rstrip(" \t\n\x0b\x0c\r")
+            kept.append(rest)
+            k += n
+        out.append("\n".join(kept))
+    return out
 
 
 def base_scores(docs, held):

@@ -98,28 +98,54 @@ def _distinct(pairs):
     return [r for r in order if not (r[0] is None)] + [r for r in order if r[0] is None]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, bucket", [(1, 1 << 16), (2, 1 << 16), (2, 3)])
+def test_line_dedup_equals_brute_force(spark, seed, bucket):
+    """Runs of lines, passages in the middle of lines, and texts that repeat themselves; small buckets: windows as rows."""
     rng = random.Random(seed)
     lines = [prose(rng, rng.choice([1, 4, 9, 14, 30, 55, 70])).replace("\n", " ") for _ in range(40)]
+    passages = [prose(rng, n) for n in (49, 50, 51, 64, 120)]
     rows = []
     for i in range(60):
         parts = []
         for _ in range(rng.randrange(0, 6)):
             k = rng.randrange(len(lines))
             parts += lines[k:k + rng.randrange(1, 8)] if rng.random() < 0.7 else [prose(rng, rng.randrange(1, 40)), ""]
+        if rng.random() < 0.3:
+            parts.append(f"  {prose(rng, 7)}\t{rng.choice(passages)}  {prose(rng, 9)} ")
         rows.append((i, "\n".join(parts)))
-    rows += [(60, "\n".join(["a b c d e f g"] * 30)), (61, None), (62, ""), (63, rows[5][1]), (64, rows[6][1] + "\n\n")]
-    got = {r["doc_id"]: r["text"] for r in
-           linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    rows += [(60, "\n".join(["a b c d e f g"] * 30)), (61, None), (62, ""), (63, rows[5][1]), (64, rows[6][1] + "\n\n"),
+             (65, "same " * 200), (66, " ".join(["x y"] * 60) + " end"), (67, "same " * 70)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bucket=bucket).collect()}
     want = brute.line_dedup(rows)
     assert [got[i] for i, _ in rows] == want
     assert sum(a != b for a, (_, b) in zip(want, rows)) > 5
 
 
+def test_line_dedup_cuts_passages_inside_lines(spark):
+    rng = random.Random(9)
+    passage = prose(rng, 60).replace("\n", " ")
+    rows = [(k, f"{prose(rng, 30)} {passage} {prose(rng, 30)}") for k in range(5)] + [(9, prose(rng, 300))]
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and got[9].text == rows[5][1]
+    for k in range(1, 5):
+        assert passage not in " ".join(got[k].text.split()) and got[k].words_removed >= 60
+        assert len(got[k].text.split()) == 60 + 60 - got[k].words_removed
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    text = prose(random.Random(2), 120)
+    names = ["doc_id", "text", "o", "_o", "t", "_t", "spans", "_spans", "gram", "lines_left"]
+    df = spark.createDataFrame([(k, text, "a", "b", "c", "d", "e", "f", "g", 1) for k in (1, 2)], names)
+    out = linededup.dedup_lines(df)
+    assert out.columns == names[:-1] + ["lines_removed", "lines_left", "words_removed"]
+    assert sorted((r.doc_id, r.o, r._o, r.t, r._t, r.spans, r._spans, r.words_removed) for r in out.collect()) == [
+        (1, "a", "b", "c", "d", "e", "f", 0), (2, "a", "b", "c", "d", "e", "f", 120)]
+
+
 def test_line_dedup_defined_cases(docs, no_docs, pairs):
     out = linededup.dedup_lines(docs)
-    assert out.columns == docs.columns + ["lines_removed", "lines_left"]
+    assert out.columns == docs.columns + ["lines_removed", "lines_left", "words_removed"]
     rows = out.collect()
     assert len(rows) == len(pairs)
     want = dict(zip(_distinct(pairs), brute.line_dedup(_distinct(pairs))))
