@@ -68,6 +68,18 @@ def label_sample(labels: DataFrame, kind: str, per_class: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, label, text): one text for each sampled id that ``docs`` has, whatever number of rows the id has
+    there (the text of the least hash; a null text only if there is no other).
+
+    ``sample`` comes from ``label_sample``, so the result has at most as many rows.
+    """
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    by_hash = F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("h"), "text")
+    return (rows.groupBy("doc_id", "label").agg(F.min(by_hash).alias("first"))
+            .select("doc_id", "label", F.col("first.text").alias("text")))
+
+
 def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     """Schema of ``df`` with more fields behind."""
     return T.StructType(list(df.schema.fields) + [T.StructField(n, t) for n, t in fields])

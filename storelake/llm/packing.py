@@ -5,8 +5,13 @@ loss-bearing tokens.
 Token ids come from a public tokenizer file (lower-cased word BPE) and an end
 id.  Words between white space are tokenised once per worker and looked up by
 hash afterwards: the tokenizer never joins characters across white space, so
-this gives the ids of the whole text.  A document is cut every
-``Limits.tokens`` ids; full pieces are sequences of their own, the rest is packed.
+this gives the ids of the whole text.
+
+The first ``Limits.prompt`` ids of a document stand for its instruction: they bear no loss, all
+others do.  A document is cut into pieces that keep the limits by themselves: the first has
+up to ``prompt`` + ``loss`` ids (or ``tokens``), the others up to ``loss``.  All three limits bind:
+short documents fill a sequence's segments first, later pieces of long ones its loss-bearing
+tokens, mixtures its tokens.
 
 Pieces are dealt at random (by a hash of the row) into groups of about
 ``GROUP`` pieces, so a group has a bounded size whatever the data look like, and a Spark
@@ -15,9 +20,6 @@ again, the piece that fits and has the largest dot product of its demand
 with what is left of the three limits; when nothing fits, the next one is opened.
 Only the last sequences of a group can be badly filled.
 
-Loss-bearing tokens of a piece are all its ids but the first of a document,
-which nothing predicts.
-
 Defined cases: null and empty texts have the end id only; repeated rows are
 packed each; an empty table gives no rows; other columns are ignored.
 """
@@ -46,8 +48,9 @@ CACHE_WORDS = 1_500_000   # words whose ids a worker keeps
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 4096
-    segments: int = 128
-    loss: int = 4096
+    segments: int = 16        # attention masks and positions of instruction data are kept per segment
+    loss: int = 4064
+    prompt: int = 32          # ids at a document's start that bear no loss
 
 
 def tokenizer_path() -> str:
@@ -134,6 +137,7 @@ def piece_rows(docs: DataFrame, path: str | None = None, limits: Limits = Limits
     schema = docs.select("doc_id").schema.add("start", "long").add("length", "long").add("ids_crc32", "long") \
         .add("doc_tokens", "long").add("loss_tokens", "long").add("lot", "long")
     assert kind is not None
+    head, later = min(limits.tokens, limits.loss + limits.prompt), min(limits.tokens, limits.loss)
 
     def run(batches):
         table, task, seen = WordIds.of(path), TaskContext.get().partitionId(), 0
@@ -142,10 +146,12 @@ def piece_rows(docs: DataFrame, path: str | None = None, limits: Limits = Limits
                 ids, bounds = table.ids_of(texts, end_id)
                 raw = ids.astype("<u4")
                 total = np.diff(bounds)
-                pieces = -(-total // limits.tokens)
+                pieces = 1 + np.maximum(0, -(-(total - head) // later))
                 row = np.repeat(np.arange(len(texts)), pieces)
-                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * limits.tokens
-                length = np.minimum(total[row] - start, limits.tokens)
+                k = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = np.where(k > 0, head + (k - 1) * later, 0)
+                length = np.minimum(total[row] - start, np.where(k > 0, later, head))
+                loss = length - np.clip(limits.prompt - start, 0, length)
                 at = bounds[row] + start
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())]
                 lot = mix64(np.arange(seen, seen + len(row)).astype(np.uint64) + np.uint64(task << 40))
@@ -153,7 +159,7 @@ def piece_rows(docs: DataFrame, path: str | None = None, limits: Limits = Limits
                 ids_of_rows = part.column(part.schema.get_field_index("doc_id")).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [ids_of_rows, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
-                     pa.array(total[row], pa.int64()), pa.array(length - (start == 0), pa.int64()),
+                     pa.array(total[row], pa.int64()), pa.array(loss, pa.int64()),
                      pa.array((lot >> np.uint64(1)).view(np.int64))], names=[f.name for f in schema])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

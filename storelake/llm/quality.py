@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storelake.llm.common import DOC_COLUMNS, fold, label_sample, labels_of, read_table, ship_package, with_fields
+from storelake.llm.common import DOC_COLUMNS, fold, label_sample, labels_of, read_table, sampled_texts, ship_package, with_fields
 from storelake.llm.words import KINDS, shingle_hashes, text_chunks, words_of
 
 BITS = 18
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, kind: str = "quality", bits: int =
     prior = {r["label"]: r["n"] for r in
              labels_of(labels, kind).where(fold("doc_id", 5) != 0).groupBy("label").agg(F.count("*").alias("n")).collect()}
     sample = label_sample(labels, kind, per_class)
-    rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = (sampled_texts(docs, sample)
             .withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

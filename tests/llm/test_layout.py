@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,14 +67,51 @@ def _check_packed(got, texts, limits=packing.Limits()):
     for _, own in got.groupby("sequence_id"):
         own = own.sort_values("offset")
         assert (own.offset + own.length).tolist() == own.offset.tolist()[1:] + [own.length.sum()]
-        assert own.length.sum() <= limits.tokens and len(own) <= limits.segments
+        prompt = np.clip(limits.prompt - own.start, 0, own.length)
+        assert own.length.sum() <= limits.tokens and len(own) <= limits.segments and (own.length - prompt).sum() <= limits.loss
 
 
 def test_packing_keeps_every_id_and_little_padding(spark):
     got = packing.packing_query(spark, SF).toPandas()
     texts = read_table(spark, SF, "documents").toPandas().set_index("doc_id").text.to_dict()
     _check_packed(got, texts)
-    assert 1 - got.length.sum() / (4096 * got.sequence_id.nunique()) < 0.01
+    assert 1 - got.length.sum() / (4096 * got.sequence_id.nunique()) < 0.015
+    # every limit closes sequences
+    limits = packing.Limits()
+    got["loss"] = got.length - np.clip(limits.prompt - got.start, 0, got.length)
+    used = got.groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "size"), loss=("loss", "sum"))
+    full = pd.DataFrame({"tokens": used.tokens == limits.tokens, "segments": used.segments == limits.segments, "loss": used.loss == limits.loss})
+    for name in full:
+        assert (full[name] & (full.sum(axis=1) == 1)).any(), name
+
+
+def _plain_pack(demand, capacity):
+    """The dot-product heuristic piece by piece: (bin, place) of each."""
+    kinds = sorted({tuple(d) for d in demand})
+    weight = [sum(k[j] / capacity[j] for k in kinds) / len(kinds) for j in range(3)]
+    todo = {k: [i for i, d in enumerate(demand) if tuple(d) == k] for k in kinds}
+    out, b = {}, 0
+    while any(todo.values()):
+        room, n = list(capacity), 0
+        while True:
+            fits = [k for k in kinds if todo[k] and all(x <= r for x, r in zip(k, room))]
+            if not fits:
+                break
+            best = max(fits, key=lambda k: sum(k[j] / capacity[j] * weight[j] * room[j] / capacity[j] for j in range(3)))
+            i = todo[best].pop(0)
+            out[i] = (b, n)
+            room, n = [r - x for r, x in zip(room, best)], n + 1
+        b += 1
+    return [out[i] for i in range(len(demand))]
+
+
+def test_pack_vectors_equals_plain_heuristic():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        length = rng.integers(1, 4000, 60)
+        demand = np.stack([length, np.ones(60, int), np.maximum(0, length - rng.integers(0, 64, 60))], axis=1)
+        bins, place = packing.pack_vectors(demand, np.array([4096, 5, 4064]))
+        assert list(zip(bins.tolist(), place.tolist())) == _plain_pack(demand.tolist(), (4096, 5, 4064))
 
 
 def test_ids_of_odd_texts():

@@ -59,6 +59,17 @@ def test_toxicity_held_out(spark):
 
 @pytest.mark.parametrize("run", [
     lambda d, l: quality.score(d, quality.train(d, l)), lambda d, l: toxicity.score(d, toxicity.train(d, l))])
+def test_one_row_of_a_sampled_id_is_read(spark):
+    from storelake.llm.common import label_sample, sampled_texts
+    docs = spark.createDataFrame([(1, f"text {k % 3}") for k in range(50)] + [(2, None), (2, "two"), (3, None), (4, "four")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id long, toxic int")
+    sample = label_sample(labels, "toxic", 100)
+    rows = sampled_texts(docs, sample).collect()
+    assert len(rows) == sample.count() and len({r.doc_id for r in rows}) == len(rows)
+    assert {r.doc_id: r.text for r in rows}.get(2, "two") == "two"
+
+
 def test_classifiers_defined_cases(spark, docs, no_docs, run):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     few = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(40)] + [(3, 0, True), (None, 1, True), (5, None, None)],
