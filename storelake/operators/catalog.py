@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from storelake.functions.text import contains_term
 from storelake.operators.reports import variant_stock_per_item
-from storelake.operators.sequence import new_ids
 from storelake.sources.model import Tables
 
 PAGE_SIZE = 12
+PAGE_RANGE = 1 << 16       # items that are sorted for a page
 FEATURED = 6
 
 
@@ -134,19 +134,36 @@ def shop_page(t: Tables, page: int = 1, category: str | None = None,
     """One page of the shop listing, page clamped to [1, total_pages].
 
     Returns the page's items (without the image bytes) with ``current_page``
-    and ``total_pages``.  The listing is numbered with the blocked running
-    count, so a page of any depth is a range filter and no task holds the rows
-    before it; the number of pages is a scalar subquery.
+    and ``total_pages``.  Items are counted first; the ids around the page are estimated
+    (approximate quantiles), the items below them are counted exactly, and only items between
+    them are sorted: ``PAGE_RANGE`` or so, whatever the depth of the page.
     """
     items = fetch_items(t, category, subcategory, q).select(
         "item_id", "itemName", "basePrice", "short_desc", "full_desc",
         has_image().alias("has_image"))
-    total = F.greatest(F.lit(1), F.ceil(items.agg(F.count(F.lit(1))).scalar() / F.lit(page_size))).cast("bigint")
-    ranked = (new_ids(items, "item_id", F.lit(0), "_pos").withColumn("total_pages", total)
-              .withColumn("current_page", F.greatest(F.lit(1), F.least(F.lit(page), "total_pages")).cast("bigint")))
-    first = (F.col("current_page") - 1) * page_size
-    return (ranked.where((F.col("_pos") > first) & (F.col("_pos") <= first + page_size))
-            .select(*items.columns, "current_page", "total_pages").orderBy("item_id"))
+    n = items.count()
+    total_pages = max(1, -(-n // page_size))
+    current = max(1, min(page, total_pages))
+    first, near = (current - 1) * page_size, items
+    if n > PAGE_RANGE:
+        first, near = _page_range(items, first, page_size, n)
+    return (near.orderBy("item_id").offset(first).limit(page_size)
+            .select("*", F.lit(current).cast("bigint").alias("current_page"),
+                    F.lit(total_pages).cast("bigint").alias("total_pages")).orderBy("item_id"))
+
+
+def _page_range(items: DataFrame, first: int, size: int, n: int) -> tuple[int, DataFrame]:
+    """Items of an id range that holds the places first..first + size - 1 of all ``n``, and how many
+    of the range come before."""
+    width = PAGE_RANGE / 2
+    while True:
+        ends = [max(0.0, (first - width) / n), min(1.0, (first + size + width) / n)]
+        lo, hi = items.agg(F.percentile_approx("item_id", ends, int(min(1 << 30, max(10_000, 4 * n // PAGE_RANGE))))).first()[0]
+        below, inside = items.agg(F.count(F.when(F.col("item_id") < lo, 1)),
+                                  F.count(F.when(F.col("item_id").between(lo, hi), 1))).first()
+        if below <= first and (first + size <= below + inside or below + inside == n):
+            return first - below, items.where(F.col("item_id").between(lo, hi))
+        width *= 2                  # the estimate was too narrow
 
 
 def featured_items(t: Tables, n: int = FEATURED) -> DataFrame:
