@@ -11,7 +11,7 @@ are of runs of words and cross line breaks.
    words alone, so two copies of a passage share a fingerprint at the same place.
 2. Fingerprints that occur more than once (a bit table of them is shipped; a full one lets more
    through and never drops one) come again with their position and ``RUN_WORDS`` -
-   ``GRAM_WORDS`` words on either side, known by 32 bits each.
+   ``GRAM_WORDS`` words on either side, known by 24 bits each.
 3. Positions of equal fingerprints meet, in document order, and are extended both ways: s
    words back and the rest forward make up a window, for every s.  A window that an earlier position also has is a
    repeat, and its words go.  A repeated window is found at each of its fingerprints.
@@ -136,7 +136,7 @@ def _places(shipped, run_words: int, gram_words: int):
                 at, value = at[keep], value[keep]
                 doc = np.searchsorted(words.bounds, at, "right") - 1
                 begin, end = words.bounds[doc], words.bounds[doc + 1]
-                short = (words.hash >> np.uint64(32)).astype("<u4")
+                short = (words.hash >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
                 for k in range(0, len(at), 1 << 13):
                     own = slice(k, k + (1 << 13))
                     steps = np.arange(reach)
@@ -147,7 +147,7 @@ def _places(shipped, run_words: int, gram_words: int):
                                 [signed(value[own]), part.column(0).take(row), part.column(1).take(row),
                                  (at[own] - begin[own]).astype(np.int32), np.minimum(reach, at[own] - begin[own]).astype(np.int32),
                                  np.minimum(reach, end[own] - at[own] - gram_words).astype(np.int32),
-                                 pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * reach), len(around), [None, pa.py_buffer(around.tobytes())])
+                                 pa.FixedSizeBinaryArray.from_buffers(pa.binary(6 * reach), len(around), [None, pa.py_buffer(around.tobytes())])
                                  .cast(pa.binary())])
 
     return run
@@ -159,8 +159,10 @@ def _window_keys(batch, run_words: int, gram_words: int) -> tuple[np.ndarray, np
     reach = run_words - gram_words
     get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
     gram, before, behind = get("gram").view(np.uint64), get("before"), get("behind")
-    context = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("context")).to_pylist()), "<u4")
-    context = context.reshape(len(gram), 2 * reach).astype(np.uint64)
+    raw = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("context")).to_pylist()), np.uint8)
+    wide = np.zeros((len(raw) // 3, 4), np.uint8)
+    wide[:, :3] = raw.reshape(-1, 3)
+    context = wide.view("<u4").reshape(len(gram), 2 * reach).astype(np.uint64)
     one, two = np.zeros((len(gram), reach + 1), np.uint64), np.zeros((len(gram), reach + 1), np.uint64)
     one[:, 0], two[:, 0] = gram, gram + np.uint64(1)
     for s in range(reach):
@@ -235,9 +237,10 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int
     sieve = docs.sparkSession.sparkContext.broadcast(Sieve.of_table(twice.select(F.col("gram").alias("key"))))
     places = texts.mapInArrow(_places(sieve, run_words, gram_words), _PLACE)
     large = materialize(twice.where(F.col("n") > bucket).select("gram"), "large-grams")
-    spans = []
+    spans, written = [], []
     if not large.isEmpty():
         places = materialize(places, "places")
+        written.append(places)
         rows = (places.join(large, "gram", "left_semi").select("gram", "o", "t", "at", "before", "behind", "context")
                 .mapInArrow(_windows(run_words, gram_words), "window long, o long, t long, first int"))
         rows = materialize(rows, "windows")
@@ -245,6 +248,7 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int
         origin = (rows.groupBy("window").agg(F.min(place).alias("origin"), F.max(place).alias("final"))
                   .where("origin != final").select("window", "origin"))
         origin = materialize(origin, "origins")          # apart from the join, which Spark can then split
+        written += [rows, origin]
         spans.append(rows.join(origin, "window").where(place != F.col("origin"))
                      .select("o", "t", "first", (F.col("first") + run_words).alias("last")))
         places = places.join(large, "gram", "left_anti").select(*places.columns)
@@ -252,7 +256,7 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int
                  .mapInArrow(_repeats(run_words, gram_words), "o long, t long, first int, last int"))
     every = spans[0] if len(spans) == 1 else spans[0].unionByName(spans[1])
     out = materialize(every.groupBy("o", "t").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
-    discard(twice, large)
+    discard(twice, large, *written)
     return out
 
 
