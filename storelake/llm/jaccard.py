@@ -5,8 +5,8 @@ sequence as one), each known by 62 bits of its hash.  Equal sets are one node.
 Two nodes link when 100 * intersection >= 75 * union.
 
 * Order: shingles are ordered by class, then hash.  Class 1 are the rare ones;
-  classes 2 and 3 hold shingles seen often (counted over all documents; at most
-  ``FREQUENT`` shingles are listed, so the list may be shipped).  Classes only
+  classes 2 and 3 hold shingles seen often (tasks read all documents and count what they meet more than
+  once; at most ``FREQUENT`` shingles are listed, so the list may be shipped).  Classes only
   decide where a link is found, never whether it is.
 * A node of n shingles can miss at most n // 4 of them in a linked node, so both
   share a shingle among the first n // 4 + 1 of either: the plain prefix.
@@ -220,9 +220,10 @@ def shared_entries(index: DataFrame, partitions: int) -> DataFrame:
     kept = (index.repartition(partitions, "key", "salt")
             .withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)})
             .where("salt > 0 OR lo != hi"))
-    rows = kept.select("key", "node", F.expr("info % 4294967296 div 2").cast("int").alias("n"),
-                       F.expr("info div 4294967296").cast("int").alias("rest"), (F.col("info") % 2 == 1).alias("open"))
-    return rows.dropDuplicates(["key", "node"])
+    # a node has one salt, so repeated rows lie in one partition already
+    return kept.dropDuplicates(["key", "salt", "node"]).select(
+        "key", "node", F.expr("info % 4294967296 div 2").cast("int").alias("n"),
+        F.expr("info div 4294967296").cast("int").alias("rest"), (F.col("info") % 2 == 1).alias("open"))
 
 
 def wanted_bitmap(ids: DataFrame) -> np.ndarray:
