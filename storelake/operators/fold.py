@@ -31,6 +31,8 @@ PIECES = 1 << 15
 def step_function(adds: list[int], lo: int, hi: int, pieces: int = PIECES):
     """(start, taken): with r units left, lo <= r <= hi, the adds take ``taken[k]`` units, where
     k is the last step with start[k] <= r.  None if there are more than ``pieces`` steps."""
+    if sum(adds) <= lo:                     # all fit, whatever was taken before
+        return np.array([lo], np.int64), np.array([sum(adds)], np.int64)
     start, taken = np.array([lo], np.int64), np.zeros(1, np.int64)
     for q in adds:
         fits = taken + q                    # the add is taken for r from here on

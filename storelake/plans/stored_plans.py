@@ -3,6 +3,7 @@ reports kept up to date from changes, the dashboard as one unit."""
 
 from pyspark.sql import functions as F
 
+from storelake.operators import changes as W
 from storelake.operators import orders as O
 from storelake.operators import reports as R
 from storelake.operators import stock as S
@@ -62,6 +63,49 @@ def recent_buyers_stored(t, ctx):
         *t.users.columns, "order_id", "totalPrice")
 
 
+_NEWEST = "(SELECT user_id FROM (SELECT order_id, user_id FROM orders_v ORDER BY order_id DESC LIMIT 5) n)"
+
+
+def _newest(stored):
+    return stored.orders.select("order_id", "user_id").orderBy(F.desc("order_id")).limit(5)
+
+
+@query("recent_histories_stored", f"""
+    SELECT user_id, order_id, order_date, order_status, totalPrice FROM orders_v
+    WHERE user_id IN {_NEWEST} ORDER BY user_id, order_date DESC, order_id DESC""")
+def recent_histories_stored(t, ctx):
+    """P9/P10 for the newest buyers: their ids reach the scan of the orders, whose row groups have a bloom
+    filter on user_id."""
+    stored = _stored(t, ctx, BY_KEY)
+    found = with_keys(stored.orders, _newest(stored), "user_id")
+    return found.select("user_id", "order_id", "order_date", "order_status", "totalPrice").orderBy(
+        "user_id", F.desc("order_date"), F.desc("order_id"))
+
+
+@query("recent_receipts_stored", """
+    SELECT p.* FROM order_pages p JOIN (SELECT order_id FROM orders_v ORDER BY order_id DESC LIMIT 5) n USING (order_id)
+    ORDER BY order_id, orderItem_id""")
+def recent_receipts_stored(t, ctx):
+    """P11 for the newest orders, over orders and lines sorted by order: only their row groups are read."""
+    lines = Layout(sort="order_id", files=8)
+    stored = _stored(t, ctx, BY_KEY | {"order_items": lines})
+    ids = _newest(stored)
+    few = stored.with_(orders=with_keys(stored.orders, ids, "order_id"), order_items=with_keys(stored.order_items, ids, "order_id"))
+    return O.order_details(few)
+
+
+@query("delete_products_null_keys", """
+    SELECT * FROM (
+      SELECT orderItem_id, order_id, CASE WHEN orderItem_id % 3 = 0 THEN NULL ELSE itemQuant_id END AS itemQuant_id, quantity, price
+      FROM order_items) l
+    WHERE itemQuant_id IS NULL OR itemQuant_id NOT IN (
+      SELECT itemQuant_id FROM items_quant WHERE item_id IN (SELECT item_id FROM delete_items))""")
+def delete_products_null_keys(t, ctx):
+    """W4 where a third of the order lines has lost its variant: they stay, and don't meet in one task."""
+    orphaned = t.order_items.withColumn("itemQuant_id", F.when(F.col("orderItem_id") % 3 != 0, F.col("itemQuant_id")))
+    return W.delete_products(t.with_(order_items=orphaned), RQ.delete_items(ctx))["order_items"]
+
+
 _CHANGED_ORDERS = """
     SELECT o.order_id, o.user_id, o.order_date, COALESCE(s.new_status, o.order_status) AS order_status, o.totalPrice
     FROM orders_v o LEFT JOIN (

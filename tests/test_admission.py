@@ -275,3 +275,12 @@ def test_large_counters_are_folded_in_blocks(spark, pieces):
     for k, e, q, cap in rows:
         want.setdefault(k, (cap, []))[1].append((e, q))
     assert got == {k: _plain_taken([q for _, q in sorted(a)], cap) for k, (cap, a) in want.items() if k is not None} | {None: 2}
+
+
+def test_a_million_adds_of_one_pair(spark):
+    """Blocks of one hot counter are folded side by side; the last word has the limit."""
+    from storelake.operators.fold import units_taken
+    n = 1_000_000
+    adds = spark.range(n).selectExpr("1L AS k", "id AS e", "1 + id % 3 AS q", "700000L AS cap")
+    want = _plain_taken([1 + i % 3 for i in range(n)], 700_000)
+    assert [(r.k, r.added) for r in units_taken(adds, ["k"], "e").collect()] == [(1, want)]
