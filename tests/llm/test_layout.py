@@ -226,3 +226,53 @@ def test_entry_registers_the_operators():
     import __spark_entry__ as E
     names = E.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def _plain_tree(rows, shards):
+    """k-d tree over (size, keys) rows in plain Python: leaf of each row."""
+    dims = len(rows[0][1])
+    leaf = sum(s for s, _ in rows) / shards
+    assert all(s > sharding.TOLERANCE * leaf for s, _ in rows)     # so that medians are exact
+    out = [None] * len(rows)
+
+    def split(members, first, leaves):
+        if leaves == 1 or not members:
+            for i in members:
+                out[i] = first
+            return
+        spread = [(max(rows[i][1][d] for i in members) - min(rows[i][1][d] for i in members)) >> 31 for d in range(dims)]
+        d = max(range(dims), key=lambda k: (spread[k], -k))
+        order = sorted(members, key=lambda i: rows[i][1][d])
+        target = sum(rows[i][0] for i in members) * (leaves // 2) / leaves
+        below, n = 0, 0
+        for i in order:
+            if below + rows[i][0] >= target:
+                n += target - below > below + rows[i][0] - target
+                break
+            below, n = below + rows[i][0], n + 1
+        split(order[:n], first, leaves // 2)
+        split(order[n:], first + leaves // 2, leaves - leaves // 2)
+
+    split(list(range(len(rows))), 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards", [3, 8])
+def test_shards_equal_plain_tree(spark, monkeypatch, shards):
+    """Texts of different sizes and sources, a third of them equal; the random bits are read from the written rows."""
+    rng = np.random.default_rng(shards)
+    rows = [(int(rng.integers(0, 10**6)), "x" * int(rng.integers(1, 400)) if i % 3 else "same text " * 12,
+             str(rng.choice(["en", "de"])), str(rng.choice(["a", "b", "c"]))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    meta, kept = sharding.metadata(df).collect(), sharding.metadata(df)
+    monkeypatch.setattr(sharding, "metadata", lambda docs: spark.createDataFrame(meta, kept.schema))
+    keys = []
+    for i in range(len(sharding.DIMENSIONS)):
+        values = [r[f"_d{i}"] for r in meta]
+        lo, span = min(values), max(1, max(values) - min(values))
+        keys.append([int((float(v) - lo) / span * sharding._TOP) * (1 << 31) + r["_tie"] for v, r in zip(values, meta)])
+    want = _plain_tree([(r["size"], [k[j] for k in keys]) for j, r in enumerate(meta)], shards)
+    got = sharding.assign_shards(df, shards).collect()
+    assert sorted((r["doc_id"], r["size"], r["shard"]) for r in got) == sorted(
+        (m["doc_id"], m["size"], s) for m, s in zip(meta, want))
+    assert len(set(want)) == shards

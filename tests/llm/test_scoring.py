@@ -278,3 +278,79 @@ def test_secrets_defined_cases(docs, no_docs):
     rows = secrets.find_secrets(docs).collect()
     assert len(rows) == docs.count()
     assert secrets.find_secrets(no_docs).collect() == []
+
+
+def _plain_markov(texts):
+    """Markov spans of each text by the module's rules, in plain Python."""
+    import re
+    base = [re.compile(p) for p in (secrets.ASSIGN, secrets.ACCESS, secrets.HEX)]
+    least = {0: secrets.ASSIGN_LEAST, 1: 0, 2: 0}
+    spans, random, plain = [], Counter(), Counter()
+    for text in texts:
+        own = []
+        for k, p in enumerate(base):
+            for m in p.finditer(text):
+                value = m[1] if k == 0 else m[0]
+                if len(value) >= least[k]:
+                    own.append((m.start(), m.end()))
+                    random[value] += 1
+        spans.append(sorted(own))
+        for p in base:
+            text = p.sub(" ", text)
+        plain.update(re.findall(secrets.IDENTIFIER, text))
+
+    def model(values):
+        pair, total = Counter(), Counter()
+        for v, n in values.items():
+            for a, b in zip([None] + [ord(c) - secrets._FIRST for c in v], [ord(c) - secrets._FIRST for c in v]):
+                a = 0 if a is None else a
+                if 0 <= a < secrets._CODES and 1 <= b < secrets._CODES:
+                    pair[a, b] += n
+                    total[a] += n
+        return lambda a, b: math.log((pair[a, b] + 0.5) / (total[a] + 0.5 * (secrets._CODES - 1)))
+
+    one, two = model(random), model(plain)
+    out = []
+    for text, own in zip(texts, spans):
+        found = []
+        for m in re.finditer(secrets.LONG_RUN, text):
+            at, parts = m.start(), []
+            for a, b in own:
+                if a < m.end() and b > m.start():
+                    if a > at:
+                        parts.append((at, a))
+                    at = max(at, b)
+            parts.append((at, m.end()))
+            for a, b in parts:
+                if b - a >= secrets.MARKOV_LENGTH:
+                    codes = [ord(c) - secrets._FIRST for c in text[a:b]]
+                    ratio = sum(one(p, c) - two(p, c) for p, c in zip([0] + codes, codes))
+                    assert abs(ratio - secrets.MARKOV_LEAST) > 0.01           # far from the rounding of the shipped table
+                    if ratio > secrets.MARKOV_LEAST:
+                        found.append((a, b))
+        out.append(found)
+    return out
+
+
+def test_markov_spans_equal_plain_version(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    texts = []
+    for k in range(60):
+        parts = [prose(rng, 12), f"password = '{key(rng.randrange(8, 30))}'", "some_long_identifier_name getInternalValueOf"]
+        if k % 20 == 0:
+            parts.append("0123456789abcdef" * 2)
+        if k % 2:
+            parts.append(key(rng.randrange(20, 60)))
+        if k % 5 == 0:
+            parts.append(f"{key(25)}/AKIA{'ABCDEFGH12345678'}-{key(30)}")
+        if k % 7 == 0:
+            parts.append("this_is_an_ordinary_identifier_with_many_words_in_it")
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [(x.start, x.end) for x in r.markov] for r in secrets.find_secrets(df).collect()}
+    want = _plain_markov(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert 10 < sum(map(len, want)) and any(not w for w in want)
