@@ -153,49 +153,78 @@ def _places(shipped, run_words: int, gram_words: int):
     return run
 
 
-def _window_keys(batch, run_words: int, gram_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every position and every s: the hash of the window that begins s words before the
-    fingerprint, and whether the text holds it."""
-    reach = run_words - gram_words
-    get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-    gram, before, behind = get("gram").view(np.uint64), get("before"), get("behind")
+def _context(batch, reach: int) -> np.ndarray:
+    """The words around every position, as numbers: positions x (before, then behind)."""
     raw = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("context")).to_pylist()), np.uint8)
     wide = np.zeros((len(raw) // 3, 4), np.uint8)
     wide[:, :3] = raw.reshape(-1, 3)
-    context = wide.view("<u4").reshape(len(gram), 2 * reach).astype(np.uint64)
+    return wide.view("<u4").reshape(-1, 2 * reach)
+
+
+def _window_keys(gram: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """For every position and every s: the hash of the window that begins s words before the fingerprint."""
+    reach = context.shape[1] // 2
+    context = context.astype(np.uint64)
     one, two = np.zeros((len(gram), reach + 1), np.uint64), np.zeros((len(gram), reach + 1), np.uint64)
     one[:, 0], two[:, 0] = gram, gram + np.uint64(1)
     for s in range(reach):
         one[:, s + 1] = mix64(one[:, s] * _BASE + context[:, s])
         two[:, s + 1] = mix64(two[:, s] * _BASE + context[:, reach + s])
-    s = np.arange(reach + 1)
-    key = mix64(one + mix64(two[:, ::-1]))
-    return key, (before[:, None] >= s) & (behind[:, None] >= reach - s)
+    return mix64(one + mix64(two[:, ::-1]))
+
+
+def _shared(equal: np.ndarray) -> np.ndarray:
+    """How many of the first columns are true, by row."""
+    return np.where(equal.all(axis=1), equal.shape[1], equal.argmin(axis=1))
+
+
+def _columns(batch, *names):
+    return [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
 
 
 def _repeats(run_words: int, gram_words: int):
-    """Positions sorted by (gram, o, t, at) to (o, t, first, last): the words of repeated windows."""
+    """Positions sorted by (gram, o, t, at) to (o, t, first, last): the words of repeated windows.
+
+    A position is compared with its gram's first one.  Where all its windows are there, too, or no
+    other position came between, that tells all; only what is left of grams with
+    three positions or more is looked up by the hashes of all windows.
+    """
+    reach = run_words - gram_words
+
     def compare(batch):
-        col = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-        gram, o, t, at = col("gram"), col("o"), col("t"), col("at")
+        gram, o, t, at = _columns(batch, "gram", "o", "t", "at")
         same = (gram[1:] == gram[:-1]) & (o[1:] == o[:-1]) & (t[1:] == t[:-1]) & (at[1:] == at[:-1])
         batch = batch.filter(pa.array(np.append(True, ~same)))         # rows equal in doc_id and text are one document
-        o, t, at = col("o"), col("t"), col("at")
-        key, held = _window_keys(batch, run_words, gram_words)
-        first = np.full(len(at), run_words, np.int64)                  # least and largest s of a repeated window
-        last = np.full(len(at), -1, np.int64)
-        for s in range(key.shape[1]):
-            rows = np.flatnonzero(held[:, s])
-            _, new = np.unique(key[rows, s], return_index=True)
-            again = np.ones(len(rows), bool)
-            again[new] = False
-            rows = rows[again]
-            first[rows] = np.minimum(first[rows], s)
-            last[rows] = s
-        hit = np.flatnonzero(last >= 0)
+        gram, o, t, at, before, behind = _columns(batch, "gram", "o", "t", "at", "before", "behind")
+        context = _context(batch, reach)
+        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        sizes = np.diff(np.append(starts, len(gram)))
+        run, head = np.repeat(np.arange(len(starts)), sizes), np.repeat(starts, sizes)
+        equal = context == context[head]
+        back = np.minimum(_shared(equal[:, :reach]), np.minimum(before, before[head]))
+        on = np.minimum(_shared(equal[:, reach:]), np.minimum(behind, behind[head]))
+        # windows that begin s words before the fingerprint are repeated for least <= s <= most
+        least, most = reach - on, back.astype(np.int64)
+        least[starts], most[starts] = run_words, -1
+        open_ = (sizes[run] > 2) & ((back < before) | (on < behind))
+        open_[starts] = False
+        rest = np.flatnonzero(np.bincount(run[open_], minlength=len(starts))[run] > 0)
+        if len(rest):
+            key = _window_keys(gram[rest].view(np.uint64), context[rest])
+            low, high = np.full(len(rest), run_words, np.int64), np.full(len(rest), -1, np.int64)
+            for s in range(reach + 1):
+                rows = np.flatnonzero((before[rest] >= s) & (behind[rest] >= reach - s))
+                _, new = np.unique(key[rows, s], return_index=True)
+                again = np.ones(len(rows), bool)
+                again[new] = False
+                rows = rows[again]
+                low[rows] = np.minimum(low[rows], s)
+                high[rows] = s
+            least[rest], most[rest] = low, high
+        hit = np.flatnonzero(least <= most)
         if len(hit):
-            yield _rows(["o", "t", "first", "last"], [o[hit], t[hit], (at[hit] - last[hit]).astype(np.int32),
-                                                      (at[hit] - first[hit] + run_words).astype(np.int32)])
+            yield _rows(["o", "t", "first", "last"], [o[hit], t[hit], (at[hit] - most[hit]).astype(np.int32),
+                                                      (at[hit] - least[hit] + run_words).astype(np.int32)])
 
     def run(batches):
         held = None
@@ -213,11 +242,13 @@ def _repeats(run_words: int, gram_words: int):
 
 
 def _windows(run_words: int, gram_words: int):
+    reach = run_words - gram_words
+
     def run(batches):
         for batch in batches:
-            key, held = _window_keys(batch, run_words, gram_words)
-            row, s = np.nonzero(held)
-            at = batch.column(batch.schema.get_field_index("at")).to_numpy(zero_copy_only=False)
+            gram, at, before, behind = _columns(batch, "gram", "at", "before", "behind")
+            key, s = _window_keys(gram.view(np.uint64), _context(batch, reach)), np.arange(reach + 1)
+            row, s = np.nonzero((before[:, None] >= s) & (behind[:, None] >= reach - s))
             take = pa.array(row)
             yield _rows(["window", "o", "t", "first"], [signed(key[row, s]), batch.column(1).take(take), batch.column(2).take(take),
                                                         (at[row] - s).astype(np.int32)])
@@ -267,21 +298,23 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, in
         edge[a] += 1
         edge[b] -= 1
     gone = np.cumsum(edge) > 0
-    kept, at, lines = [], 0, 0
-    for line in text.split(b"\n"):
-        pieces = _WORD.findall(line)
-        lost = gone[at:at + len(pieces)]
-        at += len(pieces)
-        if not lost.any():
+    lost_upto = np.concatenate([[0], np.cumsum(gone)])
+    every = text.split(b"\n")
+    edges = np.concatenate([[0], np.cumsum([len(x.split()) for x in every])])      # bytes.split() splits at the same bytes
+    lost = np.diff(lost_upto[np.minimum(edges, len(gone))])
+    kept, lines = [], 0
+    for line, at, n, x in zip(every, edges[:-1].tolist(), np.diff(edges).tolist(), lost.tolist()):
+        if not x:
             kept.append(line)
-        elif len(lost) == len(pieces) and lost.all():
+        elif x == n:
             lines += 1
         else:
-            lost = np.append(lost, np.zeros(len(pieces) - len(lost), bool))
-            lead = b"" if lost[0] else line[:len(line) - sum(map(len, pieces))]
-            rest = lead + b"".join(p for p, x in zip(pieces, lost.tolist()) if not x)
-            kept.append(rest.rstrip(BLANK) if lost[-1] else rest)
-    return b"\n".join(kept), lines, int(gone.sum())
+            pieces = _WORD.findall(line)
+            out = gone[at:at + n].tolist() + [False] * max(0, at + n - len(gone))
+            lead = b"" if out[0] else line[:len(line) - sum(map(len, pieces))]
+            rest = lead + b"".join(p for p, y in zip(pieces, out) if not y)
+            kept.append(rest.rstrip(BLANK) if out[-1] else rest)
+    return b"\n".join(kept), lines, int(lost_upto[-1])
 
 
 def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS,
