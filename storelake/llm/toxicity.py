@@ -35,12 +35,12 @@ from storelake.llm.common import fold, label_sample, labels_of, read_table, samp
 from storelake.llm.quality import logistic_fit
 from storelake.llm.words import ALNUM, signed, text_chunks, words_of
 
-PER_CLASS = 2000
+PER_CLASS = 800
 SAMPLE_BYTES = 32 << 20   # of a class's examples
 FLOOR = 0.05
 PRIOR = 5.0
 BLOCK = 64
-STEP = 8                  # blocks read at a time
+STEP = 16                 # blocks read at a time
 PART = 4096               # terms whose document frequencies are added up together
 K = 15
 SOFT = 0.05
