@@ -347,11 +347,11 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: in
         if not rough.isEmpty():
             wanted = rough.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
             wanted = materialize(wanted.select("doc_id", "node"), "wanted")
-            sets = materialize(whole_sets(docs, wanted, shingle), "sets")
+            sets = whole_sets(docs, wanted, shingle)          # read twice, shuffled once
             sure = (rough.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
                     .select("a", "b", "ta", "tb").mapInArrow(_compare(percent), "a long, b long"))
             sure = materialize(sure, "links")
-            discard(wanted, sets)
+            discard(wanted)
             links = sure if links is None else links.unionByName(sure)
             if label is not None:
                 discard(label)
