@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -111,6 +112,19 @@ def discard(*tables) -> None:
             delete_folder(df.sparkSession, path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    It does so when the driver's JVM collects the plans that wrote them, which may be long after a
+    multi-round job is done with them.  For jobs that write large shuffles step by step.
+    """
+    gc.collect()                 # plans that only dead Python objects hold
+    try:
+        spark.sparkContext._jvm.java.lang.System.gc()
+    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext; the server collects on its own
+        pass
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system (whatever Hadoop file system its path names)."""
     try:
