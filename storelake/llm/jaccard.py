@@ -49,7 +49,7 @@ from storelake.llm.common import DOC_COLUMNS, read_table, ship_package
 from storelake.llm.lm import most_frequent
 from storelake.llm.words import mix64, shingle_hashes, signed, text_chunks, words_of
 from storelake.operators.graph import components
-from storelake.session import discard, materialize
+from storelake.session import discard, free_shuffles, materialize
 
 SHINGLE = 5
 FREQUENT = 1 << 19        # bound of the list of frequent shingles
@@ -97,8 +97,12 @@ def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         .add("key", "long").add("seen", "long").add("text_hash", "long")
 
     def often(held):
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        key, n = key[n > 1], n[n > 1]
+        key = np.concatenate(held)
+        held.clear()
+        key.sort()                                   # in place: the largest arrays of a task
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.diff(np.append(first, len(key)))
+        key, n = key[first[n > 1]], n[n > 1]
         for k in range(0, len(key), 1 << 16):
             m = len(key[k:k + (1 << 16)])
             yield m, signed(key[k:k + (1 << 16)]), n[k:k + (1 << 16)]
@@ -304,9 +308,11 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: in
     """(node, comp) for all nodes with links; ``nodes``: (node, doc_id, n, bins)."""
     spark = docs.sparkSession
     shared = materialize(shared, "shared")
+    free_shuffles(spark)                     # the index rows are the largest shuffle
     reach = shared.groupBy("node").agg((F.count("*") / F.first("n")).alias("reach"))
     entry = written = materialize(shared.join(reach, "node"), "entries")
     discard(shared)
+    free_shuffles(spark)
     chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)      # the same nodes lead everywhere
     tested = links = label = None
     leaders = LEADERS
@@ -344,14 +350,16 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: in
                  .select("a", "b", "xa", "xb", "na", "nb").mapInArrow(_bound_filter(percent), "a long, b long"))
         rough = materialize(rough, "rough")
         discard(side)
+        free_shuffles(spark)
         if not rough.isEmpty():
             wanted = rough.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
             wanted = materialize(wanted.select("doc_id", "node"), "wanted")
-            sets = whole_sets(docs, wanted, shingle)          # read twice, shuffled once
+            sets = materialize(whole_sets(docs, wanted, shingle), "sets")
             sure = (rough.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
                     .select("a", "b", "ta", "tb").mapInArrow(_compare(percent), "a long, b long"))
             sure = materialize(sure, "links")
-            discard(wanted)
+            discard(wanted, sets)
+            free_shuffles(spark)
             links = sure if links is None else links.unionByName(sure)
             if label is not None:
                 discard(label)
