@@ -241,7 +241,7 @@ def wanted_bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(node, tokens): the shingles (48 bits each) of the wanted documents (doc_id, node)."""
+    """(node, tokens): the shingles (48 bits each, ``_six``) of the wanted documents (doc_id, node)."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(wanted_bitmap(wanted))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).cast("int").alias("slot")
@@ -267,15 +267,16 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> Da
 
 
 def _six(tokens: np.ndarray) -> bytes:
-    """The upper 48 of the 62 bits, six bytes a token, sorted."""
-    return (tokens >> np.uint64(14)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The upper 48 of the 62 bits, sorted: the steps between them, first all lowest bytes, then all second ones and
+    so on (steps are small, so their highest bytes are zeros that compress away)."""
+    upper = (tokens >> np.uint64(14)).astype("<u8")
+    return np.diff(upper, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
 
 
 def _unsix(raw: bytes) -> np.ndarray:
-    flat = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(flat), 8), np.uint8)
-    out[:, :6] = flat
-    return out.reshape(-1).view("<u8")
+    steps = np.zeros((len(raw) // 6, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 def _bound_filter(percent: int):

@@ -172,3 +172,11 @@ def test_decontamination_empty(docs, no_docs, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(no_docs, none).collect() == []
     assert {r["n_hit"] for r in decontaminate.find_contamination(docs, none).collect()} == {0}
+
+
+def test_sets_are_packed_and_unpacked():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 3000):
+        tokens = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        assert (jaccard._unsix(jaccard._six(tokens)) == tokens >> np.uint64(14)).all()
