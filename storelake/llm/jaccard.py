@@ -178,8 +178,9 @@ def index_entries(tokens: np.ndarray, classes: np.ndarray) -> tuple[list, list,
 
 
 def index_rows(docs: DataFrame, frequent: np.ndarray, seen: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
-    """(key, node, info, salt) of every document's prefix; info is 2 * n, plus 1 for
-    open rows, plus 2**32 times the most that can be shared from there on, and salt is 0 for rare shingles, else one of SALTS numbers by node."""
+    """(place, node, info) of every document's prefix; place is 128 times the key (48 bits of a shingle's hash; those of
+    combinations lie above) plus a salt: 0 for rare shingles, else one of SALTS numbers by node; info is 2 * n, plus 1 for
+    open rows, plus 2**32 times the most that can be shared from there on."""
     shipped = docs.sparkSession.sparkContext.broadcast((frequent, np.where(seen >= SEEN_OFTEN[1], 3, 2)))
 
     def run(batches):
@@ -212,21 +213,21 @@ def index_rows(docs: DataFrame, frequent: np.ndarray, seen: np.ndarray, shingle:
                     info.append((np.asarray(left, np.int64) << 32) + 2 * len(tokens) + np.asarray(o, np.int64))
                     salts.append(np.asarray(f, np.int64) * (1 + node % SALTS))
                 if keys:
-                    yield _emit(key=signed(np.concatenate(keys)), node=np.concatenate(nodes),
-                                info=np.concatenate(info), salt=np.concatenate(salts).astype(np.int32))
+                    place = ((np.concatenate(keys) >> np.uint64(14)) << np.uint64(7)) + np.concatenate(salts).astype(np.uint64)
+                    yield _emit(place=signed(place), node=np.concatenate(nodes), info=np.concatenate(info))
 
-    return docs.select("text").mapInArrow(run, "key long, node long, info long, salt int")
+    return docs.select("text").mapInArrow(run, "place long, node long, info long")
 
 
 def shared_entries(index: DataFrame, partitions: int) -> DataFrame:
     """Index rows whose key more than one node has (frequent keys are kept as they are)."""
-    own = Window.partitionBy("key", "salt")
-    kept = (index.repartition(partitions, "key", "salt")
+    own = Window.partitionBy("place")
+    kept = (index.repartition(partitions, "place")
             .withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)})
-            .where("salt > 0 OR lo != hi"))
+            .where("place % 128 > 0 OR lo != hi"))
     # a node has one salt, so repeated rows lie in one partition already
-    return kept.dropDuplicates(["key", "salt", "node"]).select(
-        "key", "node", F.expr("info % 4294967296 div 2").cast("int").alias("n"),
+    return kept.dropDuplicates(["place", "node"]).select(
+        F.shiftright("place", 7).alias("key"), "node", F.expr("info % 4294967296 div 2").cast("int").alias("n"),
         F.expr("info div 4294967296").cast("int").alias("rest"), (F.col("info") % 2 == 1).alias("open"))
 
 
@@ -387,6 +388,7 @@ def labelled_rows(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) ->
     nodes = materialize(own.where("node IS NOT NULL").groupBy("node")
                         .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins")), "nodes")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    free_shuffles(spark)
     shared = shared_entries(index_rows(docs, key.view(np.uint64), seen, shingle), partitions)
     label = link_nodes(docs, nodes, shared, percent, shingle)
     named = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
