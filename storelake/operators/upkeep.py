@@ -17,8 +17,8 @@ from storelake.functions.money import cents_long, from_cents
 from storelake.operators.reports import not_cancelled
 from storelake.sources.model import Tables
 
-DAILY_SCHEMA = T.StructType.fromDDL("day date, orders long, cents long")
-PER_USER_SCHEMA = T.StructType.fromDDL("user_id long, orders long, processing long, cents long")
+DAILY_SCHEMA = T.StructType().add("day", T.DateType()).add("orders", T.LongType()).add("cents", T.LongType())
+PER_USER_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("user_id", "orders", "processing", "cents")])
 FACTS = ["order_id", "user_id", "order_date", "order_status", "totalPrice"]
 
 

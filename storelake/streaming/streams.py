@@ -37,9 +37,11 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType()), T.StructField("user_id", T.LongType()),
     T.StructField("item_id", T.LongType()), T.StructField("quantity", T.IntegerType()),
 ])
-REJECT_SCHEMA = T.StructType.fromDDL("request_id long, item_id long, reason string")
-TOTALS_SCHEMA = T.StructType.fromDDL("user_id long, item_id long, added_quantity long")
-REVENUE_SCHEMA = T.StructType.fromDDL("day date, order_count long, total_revenue double, open_orders long")
+REJECT_SCHEMA = T.StructType([T.StructField("request_id", T.LongType()), T.StructField("item_id", T.LongType()),
+                              T.StructField("reason", T.StringType())])
+TOTALS_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("user_id", "item_id", "added_quantity")])
+REVENUE_SCHEMA = T.StructType([T.StructField("day", T.DateType()), T.StructField("order_count", T.LongType()),
+                               T.StructField("total_revenue", T.DoubleType()), T.StructField("open_orders", T.LongType())])
 FAN = 8                   # deltas of one size that are merged
 KEPT_VERSIONS = 3         # a reader that opened a version of the batch before may finish
 
