@@ -5,9 +5,10 @@ Scale notes
 -----------
 * Customers are attached with ``left_join_dim``: orders of deleted users
   (NULL user_id) skip the shuffle instead of landing on one reducer.
-* Order details join the orders to the lines first: snapshots that are bucketed by
-  order_id (``snapshots.Layout``) do that without a shuffle.  The variant and item dimensions are
-  joined to each other (small) before the lines meet them.
+* Order details join the variant and item dimensions to each other first
+  (small), then the lines to that (one shuffle of the lines), then the
+  orders to the lines on order_id.  In snapshots bucketed by order_id (``snapshots.Layout``) orders
+  and lines meet first (``colocated``): that takes no shuffle there.
 * Ordered listings are global sorts (range-partitioned, distributed);
   top-k lists are ``TakeOrderedAndProject``.
 """
@@ -62,12 +63,12 @@ def _line_dim(t: Tables) -> DataFrame:
             .join(t.items.select("item_id", "itemName", "basePrice"), "item_id", "left"))
 
 
-def order_details(t: Tables, order_ids: DataFrame | None = None) -> DataFrame:
+def order_details(t: Tables, order_ids: DataFrame | None = None, colocated: bool = False) -> DataFrame:
     """One row per order line with order header, customer, variant and item.
 
     Orders without lines keep one row with NULL line columns; lines whose
     variant is unknown keep NULL variant/item columns.  ``order_ids``
-    restricts the orders (all when None).
+    restricts the orders (all when None).  ``colocated``: orders and lines are bucketed by order_id.
     """
     orders = t.orders.select(*ORDER_COLS)
     lines = t.order_items.select("order_id", "orderItem_id", "quantity", "price", "itemQuant_id")
@@ -75,10 +76,15 @@ def order_details(t: Tables, order_ids: DataFrame | None = None) -> DataFrame:
         keys = order_ids.select("order_id")
         orders = orders.join(keys, "order_id", "left_semi")
         lines = lines.join(keys, "order_id", "left_semi")
-    joined = orders.join(lines, "order_id", "left")
-    joined = (left_join_dim(joined, _line_dim(t), "itemQuant_id")
-              .drop("itemQuant_id").withColumnRenamed("variant_id", "itemQuant_id"))
-    return (with_customer(t, joined)
+    def with_variant(rows):
+        return (left_join_dim(rows, _line_dim(t), "itemQuant_id")
+                .drop("itemQuant_id").withColumnRenamed("variant_id", "itemQuant_id"))
+
+    if colocated:
+        joined = with_customer(t, with_variant(orders.join(lines, "order_id", "left")))
+    else:
+        joined = with_customer(t, orders).join(with_variant(lines), "order_id", "left")
+    return (joined
             .select("order_id", "user_id", "order_date", "order_status", "totalPrice", "staff_id",
                     "customer_name", "customer_email", "orderItem_id", "quantity", "price",
                     "itemQuant_id", "color", "stock", "item_description", "item_id", "itemName",

@@ -36,7 +36,7 @@ def _stored(t, ctx, layouts) -> Tables:
 @query("order_details_stored", _sql("order_details"))
 def order_details_stored(t, ctx):
     """J3 over a snapshot bucketed by order: orders meet their lines without a shuffle."""
-    return O.order_details(_stored(t, ctx, BY_ORDER))
+    return O.order_details(_stored(t, ctx, BY_ORDER), colocated=True)
 
 
 @query("orders_with_items_stored", _sql("orders_with_items"))
