@@ -24,10 +24,18 @@ def _contents_sql(name: str) -> str:
             f"CAST({' + '.join(texts)} AS BIGINT) AS n_chars FROM {_SQL_NAMES.get(name, name)}")
 
 
+def _long_sum(column: str):
+    """SUM of a bigint column whose total may leave the bigint range: the exact total wraps around like
+    64-bit addition, so within the range it is the plain sum and beyond it still a checksum."""
+    half, whole = (F.lit(str(1 << bits)).cast("decimal(20,0)") for bits in (63, 64))
+    total = F.coalesce(F.sum(F.col(column).cast("decimal(20,0)")), F.lit(0))
+    return (F.pmod(total + half, whole) - half).cast("bigint")
+
+
 @query("scan_tables", " UNION ALL ".join(map(_contents_sql, SCHEMAS)))
 def scan_tables(t, ctx):
     """Write the model as a snapshot, read every table back with its fixed
-    schema and summarise what is there."""
+    schema and summarise what is there.  Line ids of large orders add up beyond a bigint (``_long_sum``)."""
     path = scratch_dir(ctx.spark, "snapshot")
     t.write_snapshot(path)
     parts = []
@@ -35,7 +43,7 @@ def scan_tables(t, ctx):
         cells = reduce(lambda a, b: a + b, [F.count(f.name) for f in SCHEMAS[n]])
         texts = [F.coalesce(F.sum(F.length(f.name)), F.lit(0)) for f in SCHEMAS[n] if f.dataType == T.StringType()]
         parts.append(df.agg(F.count(F.lit(1)).alias("n_rows"), cells.alias("n_values"),
-                            F.coalesce(F.sum(PRIMARY_KEYS[n]), F.lit(0)).alias("key_sum"),
+                            _long_sum(PRIMARY_KEYS[n]).alias("key_sum"),
                             reduce(lambda a, b: a + b, texts, F.lit(0)).cast("bigint").alias("n_chars"))
                      .select(F.lit(n).alias("table_name"), "n_rows", "n_values", "key_sum", "n_chars"))
     return reduce(DataFrame.unionByName, parts)

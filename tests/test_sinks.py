@@ -57,3 +57,16 @@ def test_only_files_that_a_row_names_are_read(spark, tmp_path):
     (tmp_path / "large.bin").unlink()
     every = spark.createDataFrame([(str(tmp_path / "sub" / f"{k}.png"),) for k in range(6)], "path string")
     assert read_files(spark, every, str(tmp_path)).count() == 6
+
+
+def test_snapshot_key_sum_beyond_a_bigint(spark):
+    """The ids of large orders' lines add up beyond 64 bits: an exact SUM fails there, the summary must not."""
+    from types import SimpleNamespace
+
+    from shop_helpers import make_tables
+    from storelake.plans.registry import load_all
+    ids = [(1 << 62) + 1, (1 << 62) + 2, 1 << 62, 5]
+    t = make_tables(spark, order_items=[(k, 1, 40, 1, 2.0) for k in ids])
+    got = {r.table_name: r for r in load_all()["scan_tables"].fn(t, SimpleNamespace(spark=spark)).collect()}
+    assert got["order_items"].n_rows == 4 and got["order_items"].key_sum == (sum(ids) + (1 << 63)) % (1 << 64) - (1 << 63)
+    assert got["users"].key_sum == 0
