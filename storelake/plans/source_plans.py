@@ -95,9 +95,9 @@ def load_images(t, ctx):
     p = ctx.raw["part"]
     k = F.col("p_partkey")
     root = scratch_dir(ctx.spark, "images")
-    p.where(k % 3 == 1).select(F.col("p_name"), k.alias("image_of")).write.partitionBy("image_of").text(root)
+    sinks.write_files(p.where(k % 3 == 1).select(F.col("p_name").alias("line"), k.alias("image_of")), root)
     listed = ctx.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    files = listed.select(F.regexp_extract("path", "image_of=([0-9]+)/", 1).cast("bigint").alias("_k"), "path")
+    files = listed.select(F.regexp_extract("path", "image_of=([0-9]+)[./]", 1).cast("bigint").alias("_k"), "path")
     url = (F.when(k % 3 == 0, F.concat(F.lit("data:image/png;base64,"),
                                        F.base64(F.col("p_name").cast("binary"))))
             .when(k % 6 == 1, F.col("path"))

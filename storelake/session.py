@@ -7,6 +7,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -103,6 +104,32 @@ def materialize(df, name: str = "stage"):
     return out
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf):
+    """Run the actions inside with these SQL settings (``__`` for a dot), then restore the old ones."""
+    names = {k.replace("__", "."): str(v) for k, v in conf.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """``path`` as tasks can open it themselves, None if it is not on a (shared, mounted) local file system."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
+        return None
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(sc._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        return None
+    return target.toUri().getPath()
+
+
 def discard(*tables) -> None:
     """Delete tables that ``materialize`` returned and that no later plan reads;
     other DataFrames are left alone."""

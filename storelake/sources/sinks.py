@@ -12,13 +12,17 @@ path the caller passes) and never a machine-local temporary folder.
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storelake.operators.orders import all_orders
 from storelake.operators.reports import user_order_stats
-from storelake.session import materialize, scratch_dir
+from storelake.session import local_folder, materialize, scratch_dir, settings
 from storelake.sources.model import Tables
 
 # Header of the order export.
@@ -59,8 +63,63 @@ def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXPORT_SCHEMA).option("header", True).csv(path)
 
 
+FILES_PER_FOLDER = 2048
+
+
+def _writer(root: str):
+    def run(batches):
+        """One file per key of rows sorted by (lot, key); a repeated task writes the same files again."""
+        name, lines, made = None, [], 0
+
+        def close():
+            if name is not None:
+                folder, file = os.path.split(name)
+                os.makedirs(folder, exist_ok=True)
+                draft = os.path.join(folder, f".{file}-{uuid.uuid4().hex}")
+                with open(draft, "wb") as out:
+                    out.write(b"".join(lines))
+                os.replace(draft, name)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = f"{root}/lot={row['lot']}/image_of={row['image_of']}.txt"
+                if at != name:
+                    close()
+                    name, lines, made = at, [], made + 1
+                lines.append((row["line"] or "").encode() + b"\n")
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64())], names=["files"])
+
+    return run
+
+
+def write_files(rows: DataFrame, root: str, files_per_folder: int = FILES_PER_FOLDER) -> None:
+    """One file per ``image_of`` under ``root`` with its ``line`` (repeated keys: a line each); a file's path
+    holds ``image_of=<key>``.
+
+    Files are spread over the tasks and over folders of some ``files_per_folder``.  On a mounted file system the tasks
+    create the files themselves: Spark's writer takes a folder per key there, and some 25 ms for each.
+    """
+    spark = rows.sparkSession
+    count = rows.count()
+    folders = max(1, -(-count // files_per_folder))
+    tasks = max(folders, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = (rows.select(F.pmod("image_of", F.lit(folders)).alias("lot"), "image_of", "line")
+              .repartition(tasks, "image_of").sortWithinPartitions("lot", "image_of"))
+    folder = local_folder(spark, root)
+    if folder is None:
+        (spread.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+         .partitionBy("lot", "image_of").text(root))
+        return
+    os.makedirs(folder, exist_ok=True)
+    spread.mapInArrow(_writer(folder), "files long").agg(F.sum("files")).collect()
+
+
 PATHS_PER_READ = 4096          # files that one read names, so that the driver holds no more paths
 
+OPEN_COST = 4 << 20            # bytes that could be read while a file is opened (Spark's own default)
+LISTING_TASKS = 64             # tasks that look up the named paths of one read
+
 
 def _plain_path(path):
     """A file's path without the scheme of the local file system."""
@@ -70,24 +129,26 @@ def _plain_path(path):
 def read_files(spark: SparkSession, wanted: DataFrame, root: str, paths_per_read: int = PATHS_PER_READ) -> DataFrame:
     """(path, content) of the files under ``root`` whose path is one of ``wanted`` (column path).
 
-    The files are listed without their content first.  If those wanted hold half of all bytes or
-    more, one scan reads the folder; else only the wanted ones are opened, a bounded number of paths
-    at a time, and written to the shared folder.
+    The files are listed without their content first.  If those wanted hold half of all bytes, or two fifths
+    where opening a file counts like ``OPEN_COST`` bytes (a named file is looked up once more), one scan reads the
+    folder; else only the wanted ones are opened, a bounded number of paths at a time, and written to the shared folder.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     files = listed.select(F.col("path").alias("uri"), _plain_path(F.col("path")).alias("path"), "length")
     wanted = wanted.select("path").where(F.col("path").isNotNull()).distinct()
     found = materialize(files.join(wanted, "path", "left_semi").withColumn("lot", F.xxhash64("path")), "wanted-files")
-    count, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    if 2 * size >= files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]:
+    held = (F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)))
+    (count, size), (every, whole) = found.agg(*held).first(), files.agg(*held).first()
+    if 2 * size >= whole or 5 * (size + count * OPEN_COST) >= 2 * (whole + every * OPEN_COST):
         return (listed.select(_plain_path(F.col("path")).alias("path"), "content").join(found.select("path"), "path", "left_semi"))
     reads = -(-count // paths_per_read)
     folder = scratch_dir(spark, "files")
-    for k in range(reads):
-        uris = [r.uri for r in found.where(F.pmod("lot", F.lit(reads)) == k).select("uri").collect()]
-        if uris:
-            (spark.read.format("binaryFile").load(uris).select(_plain_path(F.col("path")).alias("path"), "content")
-             .write.mode("append").parquet(folder))
+    with settings(spark, spark__sql__sources__parallelPartitionDiscovery__parallelism=LISTING_TASKS):
+        for k in range(reads):
+            uris = [r.uri for r in found.where(F.pmod("lot", F.lit(reads)) == k).select("uri").collect()]
+            if uris:
+                (spark.read.format("binaryFile").load(uris).select(_plain_path(F.col("path")).alias("path"), "content")
+                 .write.mode("append").parquet(folder))
     if not reads:
         return spark.createDataFrame([], FILE_SCHEMA)
     return spark.read.schema(FILE_SCHEMA).parquet(folder)

@@ -70,3 +70,17 @@ def test_snapshot_key_sum_beyond_a_bigint(spark):
     got = {r.table_name: r for r in load_all()["scan_tables"].fn(t, SimpleNamespace(spark=spark)).collect()}
     assert got["order_items"].n_rows == 4 and got["order_items"].key_sum == (sum(ids) + (1 << 63)) % (1 << 64) - (1 << 63)
     assert got["users"].key_sum == 0
+
+
+def test_image_files_are_spread_over_folders_and_tasks(spark, tmp_path):
+    """One folder per image took 25 ms each; now folders hold many files, each named by its key."""
+    from storelake.sources.sinks import write_files
+    rows = spark.createDataFrame([(k, f"part {k}") for k in range(1, 400)] + [(7, "part 7"), (8, None)], "image_of long, line string")
+    root = tmp_path / "images"
+    write_files(rows, str(root), files_per_folder=100)
+    found = {f.name: f.read_bytes() for f in root.glob("lot=*/*")}
+    want = {f"image_of={k}.txt": b"part %d\n" % k for k in range(1, 400)} | {"image_of=7.txt": b"part 7\npart 7\n"}
+    eight = found.pop("image_of=8.txt")
+    want.pop("image_of=8.txt")
+    assert found == want and sorted(eight.split(b"\n")) == [b"", b"", b"part 8"]
+    assert len(list(root.iterdir())) == 5
