@@ -34,6 +34,13 @@ def _cuts(seq: str, blocks: int) -> Column:
     return F.percentile_approx(seq, [k / blocks for k in range(1, blocks)], 4 * blocks)
 
 
+def largest_group(df: DataFrame, group: list[str]) -> int:
+    """The rows of the largest group (one action)."""
+    if not group:
+        return df.count()
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def with_blocks(df: DataFrame, group: list[str], seq: str,
                 rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Add ``_blk``: the block of each row, ascending in ``seq`` inside its group.
@@ -42,11 +49,7 @@ def with_blocks(df: DataFrame, group: list[str], seq: str,
     only decides how evenly the rows are spread.  Rows are counted first (one action); where no group
     is larger than a block there is nothing to cut.
     """
-    if group:
-        most = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    else:
-        most = df.count()
-    blocks = -(-most // rows_per_block)
+    blocks = -(-largest_group(df, group) // rows_per_block)
     if blocks <= 1:
         return df.withColumn("_blk", F.lit(0))
     spread = F.struct(_cuts(seq, blocks).alias("cuts"), F.count(F.lit(1)).alias("n"))
@@ -120,18 +123,27 @@ def _decide_sure(lines: DataFrame, req: str, group: list[str], rows_per_block: i
     A request with a line that does not fit after those admitted here alone is refused; the
     lines that stay have the room these left before them.
     """
-    blocked = materialize(with_blocks(lines, group, req, rows_per_block), "blocks")
-    most = blocked_sum(blocked, group, req, F.col("_q"), "_used")
+    whole = largest_group(lines, group) <= rows_per_block      # nothing to cut: a plain window each
+    blocked = lines if whole else materialize(with_blocks(lines, group, req, rows_per_block), "blocks")
+
+    def summed(df: DataFrame, value: Column) -> DataFrame:
+        if not whole:
+            return blocked_sum(df, group, req, value, "_used")
+        upto = Window.partitionBy(*group).orderBy(req).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn("_used", F.sum(value).over(upto))
+
+    most = summed(blocked, F.col("_q"))
     sure = materialize(most.groupBy(req).agg(F.min((F.col("_used") <= F.col("_room")).cast("int")).alias("_ok"))
                        .where("_ok = 1").select(req), "admitted")
     counted = (blocked.join(sure.withColumn("_in", F.lit(True)), req, "left")
                .withColumn("_taken", F.when(F.col("_in"), F.col("_q")).otherwise(F.lit(0)).cast("bigint")))
-    rest = (blocked_sum(counted, group, req, F.col("_taken"), "_used").where(F.col("_in").isNull())
+    rest = (summed(counted, F.col("_taken")).where(F.col("_in").isNull())
             .select(req, *group, "_q", (F.col("_room") - F.col("_used")).alias("_room")))
     open_ = (rest.groupBy(req).agg(F.min((F.col("_q") <= F.col("_room")).cast("int")).alias("_ok"))
              .where("_ok = 1").select(req))
     left = materialize(rest.join(open_, req, "left_semi"), "undecided")
-    discard(blocked)
+    if not whole:
+        discard(blocked)
     return sure, left
 
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from storelake.plans.model_sql import with_model
+from storelake.session import ADVISORY_SIZE, SHUFFLE_TASKS, size_shuffles
 from storelake.sources.driver import read_driver
 from storelake.sources.model import Tables, model_from_driver
 
@@ -26,6 +27,7 @@ class Ctx:
     sf_dir: str
     raw: dict
     t: Tables
+    rows: int | None = None           # of the largest table, counted on first use
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,8 @@ REGISTRY: dict[str, Registered] = {}
 # Model plans per (session, folder).  DataFrames are immutable plans, so the
 # views are analysed once per session instead of once per query; the
 # parquet file listing is taken when a table is first used.
+# The session's own shuffle settings, and those we set in their place.
+_USUAL: "weakref.WeakKeyDictionary[SparkSession, tuple[dict, dict]]" = weakref.WeakKeyDictionary()
 _CONTEXTS: "weakref.WeakKeyDictionary[SparkSession, dict[str, Ctx]]" = weakref.WeakKeyDictionary()
 
 
@@ -53,12 +57,26 @@ def context(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Ctx:
     return per_session[sf_dir]
 
 
+def _size_shuffles(ctx: Ctx) -> None:
+    """Shuffle tasks for the rows of this folder.  The order lines are the largest table of the model, and the
+    requests derived from it have as many rows."""
+    spark = ctx.spark
+    now = {k: spark.conf.get(k) for k in (SHUFFLE_TASKS, ADVISORY_SIZE)}
+    usual, ours = _USUAL.get(spark, (now, now))
+    usual = {k: usual[k] if now[k] == ours[k] else now[k] for k in now}      # the caller may have set them since
+    if ctx.rows is None:
+        ctx.rows = max(ctx.raw[name].count() for name in ("lineitem", "events"))
+    size_shuffles(spark, ctx.rows, usual)
+    _USUAL[spark] = (usual, {k: spark.conf.get(k) for k in now})
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(t: Tables, ctx: Ctx) -> DataFrame`` under ``name``."""
 
     def deco(fn: Callable[[Tables, Ctx], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
             ctx = context(spark, sf_dir)
+            _size_shuffles(ctx)
             return fn(ctx.t, ctx)
 
         build.__name__ = f"q_{name}"

@@ -118,6 +118,26 @@ def settings(spark: SparkSession, **conf):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+ROWS_PER_TASK = 1 << 20        # rows that a task of a large shuffle gets: 100 to 350 MB of sorts and joins
+TASK_READ = "16m"              # shuffled (compressed) bytes that AQE gives one task
+
+
+def size_shuffles(spark: SparkSession, rows: int, usual: dict[str, str | None]) -> None:
+    """Let the number of shuffle tasks follow the rows of a job's largest table, so that the memory of a task does
+    not.  ``usual`` holds the session's own settings; a job of few rows runs with them."""
+    chosen = dict(usual)
+    if rows > ROWS_PER_TASK:
+        chosen = {SHUFFLE_TASKS: str(max(int(usual[SHUFFLE_TASKS]), -(-rows // ROWS_PER_TASK))), ADVISORY_SIZE: TASK_READ}
+    for k, v in chosen.items():
+        if v is None:
+            spark.conf.unset(k)
+        elif spark.conf.get(k) != v:
+            spark.conf.set(k, v)
+
+
+SHUFFLE_TASKS, ADVISORY_SIZE = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
 def local_folder(spark: SparkSession, path: str) -> str | None:
     """``path`` as tasks can open it themselves, None if it is not on a (shared, mounted) local file system."""
     try:

@@ -283,3 +283,34 @@ def test_a_million_adds_of_one_pair(spark):
     adds = spark.range(n).selectExpr("1L AS k", "id AS e", "1 + id % 3 AS q", "700000L AS cap")
     want = _plain_taken([1 + i % 3 for i in range(n)], 700_000)
     assert [(r.k, r.added) for r in units_taken(adds, ["k"], "e").collect()] == [(1, want)]
+
+
+def test_shuffle_tasks_follow_the_rows_of_the_lines(spark, monkeypatch):
+    """A task's share of a large checkout must not grow with the input; small folders keep the session's settings."""
+    from storelake import session
+    from storelake.plans.registry import load_all
+    usual = {k: spark.conf.get(k) for k in (session.SHUFFLE_TASKS, session.ADVISORY_SIZE)}
+    build = load_all()["check_stock"].build
+    want = sorted(map(tuple, build(spark, SF_SMALL).collect()))
+    assert {k: spark.conf.get(k) for k in usual} == usual
+    try:
+        monkeypatch.setattr(session, "ROWS_PER_TASK", 250)
+        large = build(spark, SF_SMALL)
+        lines = _ctx(spark, SF_SMALL).raw["lineitem"].count()
+        assert int(spark.conf.get(session.SHUFFLE_TASKS)) == -(-lines // 250) > int(usual[session.SHUFFLE_TASKS])
+        assert sorted(map(tuple, large.collect())) == want
+    finally:
+        monkeypatch.undo()
+        build(spark, SF_SMALL)
+    assert {k: spark.conf.get(k) for k in usual} == usual
+
+
+def test_whole_groups_are_decided_like_cut_ones(spark):
+    """Groups that fit one block are summed by a plain window, larger ones in blocks: the same requests."""
+    from storelake.operators.sequence import greedy_admission
+    rng = random.Random(11)
+    rows = [(rid, it, rng.randint(1, 5), 30 + it) for rid in range(400) for it in rng.sample(range(12), 2)]
+    lines = spark.createDataFrame(rows, "request_id long, item_id long, quantity long, cap long")
+    got = [{r.request_id for r in greedy_admission(lines, "request_id", ["item_id"], "quantity", "cap", rows_per_block=n,
+                                                   replay_lines=20).collect()} for n in (8, 1 << 16)]
+    assert got[0] == got[1] == _replay([(r, i, q) for r, i, q, _ in rows], {i: 30 + i for i in range(12)})
