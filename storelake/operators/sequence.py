@@ -121,10 +121,12 @@ def _decide_sure(lines: DataFrame, req: str, group: list[str], rows_per_block: i
     """(requests that fit even if all earlier ones are served, lines of the requests still open).
 
     A request with a line that does not fit after those admitted here alone is refused; the
-    lines that stay have the room these left before them.
+    lines that stay have the room these left before them.  The lines are shuffled four times (by group,
+    by request, and both again) and only what stays is written.
     """
     whole = largest_group(lines, group) <= rows_per_block      # nothing to cut: a plain window each
     blocked = lines if whole else materialize(with_blocks(lines, group, req, rows_per_block), "blocks")
+    by_request = Window.partitionBy(req)
 
     def summed(df: DataFrame, value: Column) -> DataFrame:
         if not whole:
@@ -133,17 +135,20 @@ def _decide_sure(lines: DataFrame, req: str, group: list[str], rows_per_block: i
         return df.withColumn("_used", F.sum(value).over(upto))
 
     most = summed(blocked, F.col("_q"))
-    sure = materialize(most.groupBy(req).agg(F.min((F.col("_used") <= F.col("_room")).cast("int")).alias("_ok"))
-                       .where("_ok = 1").select(req), "admitted")
-    counted = (blocked.join(sure.withColumn("_in", F.lit(True)), req, "left")
-               .withColumn("_taken", F.when(F.col("_in"), F.col("_q")).otherwise(F.lit(0)).cast("bigint")))
-    rest = (summed(counted, F.col("_taken")).where(F.col("_in").isNull())
-            .select(req, *group, "_q", (F.col("_room") - F.col("_used")).alias("_room")))
-    open_ = (rest.groupBy(req).agg(F.min((F.col("_q") <= F.col("_room")).cast("int")).alias("_ok"))
-             .where("_ok = 1").select(req))
-    left = materialize(rest.join(open_, req, "left_semi"), "undecided")
+    marked = most.withColumn("_in", F.min(F.col("_used") <= F.col("_room")).over(by_request)).drop("_used")
     if not whole:
+        marked = materialize(marked, "blocks")
         discard(blocked)
+    counted = summed(marked, F.when(F.col("_in"), F.col("_q")).otherwise(F.lit(0)).cast("bigint"))
+    room = F.col("_room") - F.col("_used")
+    kept = (counted.withColumn("_ok", F.min(F.col("_in") | (F.col("_q") <= room)).over(by_request)).where("_ok")
+            .select(req, *group, "_q", room.alias("_room"), "_in"))
+    kept = materialize(kept, "undecided")
+    if not whole:
+        discard(marked)
+    sure = materialize(kept.where("_in").select(req).distinct(), "admitted")
+    left = kept.where("NOT _in").drop("_in")
+    left._scratch_path = vars(kept).pop("_scratch_path")       # discarded with the lines that stay
     return sure, left
 
 
@@ -226,49 +231,56 @@ def greedy_admission(lines: DataFrame, req: str, group: list[str], qty: str, cap
     and the group's capacity; a request is admitted iff each of its lines
     fits in what the earlier *admitted* requests left of the capacity.
 
-    * Lines of groups whose whole demand fits never refuse anything: they go first.
+    * A request with a line beyond the whole capacity is refused at once, so that it
+      does not count as demand.  Lines of groups whose whole demand fits never refuse anything: they go next.
     * What is left is replayed by one task if it has at most ``replay_lines`` lines.
-    * Otherwise two blocked running sums decide the requests that fit even if all
-      earlier ones are served, and those that do not fit after these alone; the rest falls into
+    * Otherwise two running sums decide the requests that fit even if all
+      earlier ones are served, and those that do not fit after these alone.  Where that leaves less
+      than half of the lines it is done again, so all these rounds cost no more than twice the first one.
+    * Where it leaves more, the rest falls into
       components of the request-group graph, each replayed by one task
       (``_replay_components``).  Only components beyond ``replay_lines`` need another
       round, and each round takes that many lines off them: the depth of a chain of
       conflicts does not count, a batch of n lines takes at most 1 + n / ``replay_lines`` rounds.
 
-    A task never gets more than some ``replay_lines`` lines; all steps are written to the shared folder.
+    Null requests are never served.  A task never gets more than some ``replay_lines`` lines; all steps are written to the shared folder.
     ``rounds`` receives the number of contended lines at the start of each round.
     """
-    undecided = materialize(lines.select(req, *group, F.coalesce(F.col(qty), F.lit(0)).cast("bigint").alias("_q"),
-                                         F.coalesce(F.col(cap), F.lit(0)).cast("bigint").alias("_room")), "undecided")
-    admitted = []
-    while True:
-        tight, free = _contended(undecided, req, group)
-        admitted.append(free)
-        discard(undecided)
-        left = tight.count()
-        if rounds is not None and left:
+    asked = lines.select(req, *group, F.coalesce(F.col(qty), F.lit(0)).cast("bigint").alias("_q"),
+                         F.coalesce(F.col(cap), F.lit(0)).cast("bigint").alias("_room")).where(F.col(req).isNotNull())
+    # lines without a group take nothing
+    fits = reduce(Column.__or__, [F.col(c).isNull() for c in group], F.col("_q") <= F.col("_room"))
+    undecided = materialize(asked.withColumn("_ok", F.min(fits).over(Window.partitionBy(req))).where("_ok").drop("_ok"), "undecided")
+    tight, free = _contended(undecided, req, group)
+    discard(undecided)
+    admitted = [free]
+    left = tight.count()
+    while left:
+        if rounds is not None:
             rounds.append(left)
         if left <= replay_lines:
-            if left:
-                admitted.append(_served(tight.withColumn("_bin", F.lit(0)), "_bin", req, group))
-            discard(tight)
-            return reduce(DataFrame.unionByName, admitted)
+            admitted.append(_served(tight.withColumn("_bin", F.lit(0)), "_bin", req, group))
+            break
         sure, undecided = _decide_sure(tight, req, group, rows_per_block)
         admitted.append(sure)
         discard(tight)
-        left = undecided.count()
-        if left > replay_lines:
+        before, left = left, undecided.count()
+        if left > replay_lines and 2 * left > before:
             served, rest = _replay_components(undecided, left, req, group, replay_lines, rows_per_block)
             admitted.append(served)
             discard(undecided)
-            undecided = rest
+            undecided, left = rest, rest.count()
+        tight = undecided
+    discard(tight)
+    return reduce(DataFrame.unionByName, admitted)
 
 
 def new_ids_nested(df: DataFrame, outer: str, inner: str, base: Column, out: str) -> DataFrame:
     """Like ``new_ids`` but in (outer, inner) order, e.g. lines of new orders:
     id = base + (rows of all earlier outer keys) + rank of ``inner`` inside
     its outer key (an order, small by nature)."""
-    counts = df.groupBy(outer).agg(F.count(F.lit(1)).alias("_n"))
+    # the running sum reads the counts several times
+    counts = materialize(df.groupBy(outer).agg(F.count(F.lit(1)).alias("_n")), "counts")
     before = (running_sum(counts, [], outer, F.col("_n"), "_upto")
               .select(outer, (F.col("_upto") - F.col("_n")).alias("_before")))
     inside = Window.partitionBy(outer).orderBy(inner)

@@ -21,7 +21,7 @@ from storelake.functions.money import line_revenue_sum
 from storelake.operators.catalog import first_variant
 from storelake.operators.reports import variant_stock_per_item
 from storelake.operators.sequence import greedy_admission, max_id, new_ids, new_ids_nested
-from storelake.session import materialize
+from storelake.session import discard, materialize
 from storelake.sources.model import Tables
 
 DISCOUNT_CODE = "DISCOUNT10"
@@ -82,7 +82,8 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
     # once to the shared checkpoint folder instead of re-deriving it per use
     lines = materialize(priced_lines(t, requests), "checkout-lines")
     admitted = admit_orders(t, lines)
-    ok_lines = lines.join(admitted, "request_id", "left_semi")
+    # few of the lines where stock is short, and every output is made from them
+    ok_lines = materialize(lines.join(admitted, "request_id", "left_semi"), "admitted-lines")
 
     per_order = ok_lines.groupBy("request_id", "user_id").agg(
         line_revenue_sum(F.col("unit_price"), F.col("quantity")).alias("subtotal"))
@@ -101,8 +102,10 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
         line_id_base = max_id(t.order_items, "orderItem_id")
     # the numbered orders feed the order rows, the lines and the stock: write
     # them once (batch-sized) so the id ranking is not re-run per output
+    per_order = materialize(per_order, "admitted-orders")
     new_orders = materialize(new_ids(per_order, "request_id", order_id_base, "order_id"),
                              "new-orders")
+    discard(per_order)
     orders_out = new_orders.select(
         "order_id", "user_id", when.alias("order_date"), F.lit("Processing").alias("order_status"),
         (F.col("subtotal") - F.coalesce("discount", F.lit(0.0))).alias("totalPrice"),
@@ -127,10 +130,11 @@ def place_orders(t: Tables, requests: DataFrame, discounts: DataFrame | None = N
                          "negative_stock"))
     changed = (t.items_quant.join(sold, "itemQuant_id")
                .withColumn("stock", (F.col("stock") - F.col("_sold")).cast("int")).select(*t.items_quant.columns))
-    rejects = (requests.select("request_id").distinct()
-               .join(admitted, "request_id", "left_anti")
-               .join(lines.select("request_id").distinct().withColumn("_known", F.lit(True)),
-                     "request_id", "left")
+    # one shuffle of the ids: a null id is neither admitted nor known
+    seen = (requests.select("request_id", F.lit(False).alias("_known"), F.lit(False).alias("_in"))
+            .unionByName(lines.select("request_id", F.col("request_id").isNotNull().alias("_known"), F.lit(False).alias("_in")))
+            .unionByName(admitted.select("request_id", F.lit(True).alias("_known"), F.lit(True).alias("_in"))))
+    rejects = (seen.groupBy("request_id").agg(F.max("_known").alias("_known"), F.max("_in").alias("_in")).where("NOT _in")
                .select("request_id", F.lit(None).cast("bigint").alias("item_id"),
                        F.when(F.col("_known"), "out_of_stock").otherwise("no_valid_line").alias("reason")))
     # An admitted line whose item has no variant cannot be stored

@@ -314,3 +314,25 @@ def test_whole_groups_are_decided_like_cut_ones(spark):
     got = [{r.request_id for r in greedy_admission(lines, "request_id", ["item_id"], "quantity", "cap", rows_per_block=n,
                                                    replay_lines=20).collect()} for n in (8, 1 << 16)]
     assert got[0] == got[1] == _replay([(r, i, q) for r, i, q, _ in rows], {i: 30 + i for i in range(12)})
+
+
+def test_rounds_that_shrink_need_no_components(spark, monkeypatch):
+    """Shops whose stock runs out: running sums alone decide until one task can replay the rest."""
+    from storelake.operators import sequence
+    monkeypatch.setattr(sequence, "_replay_components", lambda *a: pytest.fail("components were searched"))
+    rng = random.Random(5)
+    rows = [(rid, it, rng.randint(1, 3), it % 4 * 4) for rid in range(1200) for it in rng.sample(range(300), rng.randint(1, 4))]
+    rounds = []
+    got = {r.request_id for r in sequence.greedy_admission(spark.createDataFrame(rows, LINES), "request_id", ["item_id"], "quantity",
+                                                           "cap", replay_lines=150, rounds=rounds).collect()}
+    assert got == _replay([(r, i, q) for r, i, q, _ in rows], {i: c for _, i, _, c in rows})
+    assert len(rounds) > 1 and all(2 * b <= a for a, b in zip(rounds, rounds[1:]))
+
+
+def test_lines_without_request_or_item_take_nothing(spark):
+    from storelake.operators.sequence import greedy_admission
+    rows = [(None, 1, 2, 2), (1, 1, 2, 2), (2, 1, 1, 2), (3, None, 9, 0), (4, 2, 3, 2), (4, 3, 1, 5), (5, 3, 5, 5)]
+    for replay_lines in (1, 1 << 17):
+        got = greedy_admission(spark.createDataFrame(rows, LINES), "request_id", ["item_id"], "quantity", "cap",
+                               replay_lines=replay_lines).collect()
+        assert {r.request_id for r in got if r.request_id is not None} == {1, 3, 5}
