@@ -11,7 +11,7 @@ from storelake.operators import upkeep as U
 from storelake.operators.lookups import with_keys
 from storelake.plans.change_plans import NOW
 from storelake.plans.registry import REGISTRY, query
-from storelake.session import scratch_dir
+from storelake.session import materialize, scratch_dir
 from storelake.sources import requests as RQ
 from storelake.sources.model import Tables
 from storelake.sources.snapshots import Layout, Store
@@ -121,7 +121,8 @@ def _kept_up(t, ctx):
     store.commit(replace={"daily": U.daily_sums(first), "per_user": U.user_sums(first)})
     changed = S.apply_order_status(t, RQ.status_changes(ctx))["orders"]
     placed = S.place_orders(t, RQ.order_requests(ctx), order_date=NOW)["new_orders"]
-    for change in (U.order_changes(t.orders, changed), U.inserted(placed)):
+    # each change is summed twice, and each sum is read twice: write it once
+    for change in (materialize(U.order_changes(t.orders, changed), "changes"), U.inserted(placed)):
         store.commit(upsert={"daily": U.merged(store.read("daily"), U.daily_sums(change), "day"),
                              "per_user": U.merged(store.read("per_user"), U.user_sums(change), "user_id")})
     return store

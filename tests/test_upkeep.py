@@ -54,3 +54,16 @@ def test_dashboard_shows_the_registered_lists(spark, registry):
         want = registry[name].build(spark, SF_SMALL)
         shared = [c for c in want.columns if c in sections[section].columns]
         assert shared and sorted(map(str, sections[section].select(*shared).collect())) == sorted(map(str, want.select(*shared).collect())), section
+
+
+def test_changes_are_written_once_for_all_sums(spark, monkeypatch):
+    """The sums read the changed orders from a written table; the joins that find them run once."""
+    from shop_helpers import SF_SMALL
+
+    from storelake.plans import stored_plans
+    from storelake.plans.registry import load_all
+    seen, daily_sums = [], stored_plans.U.daily_sums
+    monkeypatch.setattr(stored_plans.U, "daily_sums", lambda change: seen.append(change) or daily_sums(change))
+    load_all()["revenue_weekly_kept_up"].build(spark, SF_SMALL)
+    plans = [c._jdf.queryExecution().optimizedPlan().toString() for c in seen]
+    assert len(plans) == 3 and not any("Join" in p or "Aggregate" in p for p in plans)
