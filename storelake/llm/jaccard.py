@@ -38,6 +38,7 @@ separate; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -59,6 +60,7 @@ FLUSH = 1 << 22           # shingles between two rounds of counting in a task
 BINS = 256
 FILTER_BITS = 23          # bits of the bitmap that says whose sets are wanted
 SALTS = 64
+INDEX_PASSES = 2          # passes over the texts that index a share of the keys each: the index rows are the largest shuffle
 LEADERS = 4               # leaders of an entry in the first round, besides the best one
 MORE_LEADERS = 8          # times as many in the next
 
@@ -177,12 +179,11 @@ def index_entries(tokens: np.ndarray, classes: np.ndarray) -> tuple[list, list,
     return keys, frequent, is_open, rest
 
 
-def index_rows(docs: DataFrame, frequent: np.ndarray, seen: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
-    """(place, node, info) of every document's prefix; place is 128 times the key (48 bits of a shingle's hash; those of
+def index_rows(docs: DataFrame, shipped, at: int = 0, passes: int = 1, shingle: int = SHINGLE) -> DataFrame:
+    """(place, node, info) of every document's prefix, for the keys of pass ``at`` of ``passes``; ``shipped`` is a broadcast
+    of the frequent shingles, sorted, and their classes; place is 128 times the key (48 bits of a shingle's hash; those of
     combinations lie above) plus a salt: 0 for rare shingles, else one of SALTS numbers by node; info is 2 * n, plus 1 for
     open rows, plus 2**32 times the most that can be shared from there on."""
-    shipped = docs.sparkSession.sparkContext.broadcast((frequent, np.where(seen >= SEEN_OFTEN[1], 3, 2)))
-
     def run(batches):
         listed, its_class = shipped.value
         for batch in batches:
@@ -213,8 +214,10 @@ def index_rows(docs: DataFrame, frequent: np.ndarray, seen: np.ndarray, shingle:
                     info.append((np.asarray(left, np.int64) << 32) + 2 * len(tokens) + np.asarray(o, np.int64))
                     salts.append(np.asarray(f, np.int64) * (1 + node % SALTS))
                 if keys:
-                    place = ((np.concatenate(keys) >> np.uint64(14)) << np.uint64(7)) + np.concatenate(salts).astype(np.uint64)
-                    yield _emit(place=signed(place), node=np.concatenate(nodes), info=np.concatenate(info))
+                    key = np.concatenate(keys) >> np.uint64(14)
+                    own = np.flatnonzero(key % np.uint64(passes) == np.uint64(at))
+                    place = (key << np.uint64(7)) + np.concatenate(salts).astype(np.uint64)
+                    yield _emit(place=signed(place[own]), node=np.concatenate(nodes)[own], info=np.concatenate(info)[own])
 
     return docs.select("text").mapInArrow(run, "place long, node long, info long")
 
@@ -305,15 +308,27 @@ def _compare(percent: int):
     return run
 
 
-def link_nodes(docs: DataFrame, nodes: DataFrame, shared: DataFrame, percent: int = 75,
+def written_entries(docs: DataFrame, frequent: np.ndarray, seen: np.ndarray, shingle: int = SHINGLE,
+                    passes: int = INDEX_PASSES) -> list[DataFrame]:
+    """``shared_entries`` of all index rows, written pass by pass: the index rows of one are gone before the next."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shipped = spark.sparkContext.broadcast((frequent, np.where(seen >= SEEN_OFTEN[1], 3, 2)))
+    parts = []
+    for at in range(passes):
+        parts.append(materialize(shared_entries(index_rows(docs, shipped, at, passes, shingle), partitions), "shared"))
+        free_shuffles(spark)
+    return parts
+
+
+def link_nodes(docs: DataFrame, nodes: DataFrame, parts: list[DataFrame], percent: int = 75,
                shingle: int = SHINGLE) -> DataFrame:
-    """(node, comp) for all nodes with links; ``nodes``: (node, doc_id, n, bins)."""
+    """(node, comp) for all nodes with links; ``nodes``: (node, doc_id, n, bins); ``parts``: the written entries."""
     spark = docs.sparkSession
-    shared = materialize(shared, "shared")
-    free_shuffles(spark)                     # the index rows are the largest shuffle
+    shared = reduce(DataFrame.unionByName, parts)
     reach = shared.groupBy("node").agg((F.count("*") / F.first("n")).alias("reach"))
     entry = written = materialize(shared.join(reach, "node"), "entries")
-    discard(shared)
+    discard(*parts)
     free_shuffles(spark)
     chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)      # the same nodes lead everywhere
     tested = links = label = None
@@ -387,10 +402,9 @@ def labelled_rows(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) ->
     own = table.where("key IS NULL")
     nodes = materialize(own.where("node IS NOT NULL").groupBy("node")
                         .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins")), "nodes")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     free_shuffles(spark)
-    shared = shared_entries(index_rows(docs, key.view(np.uint64), seen, shingle), partitions)
-    label = link_nodes(docs, nodes, shared, percent, shingle)
+    parts = written_entries(docs, key.view(np.uint64), seen, shingle)
+    label = link_nodes(docs, nodes, parts, percent, shingle)
     named = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(least, "comp").select("node", "comp", "component_id")

@@ -180,3 +180,19 @@ def test_sets_are_packed_and_unpacked():
     for n in (0, 1, 5, 3000):
         tokens = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
         assert (jaccard._unsix(jaccard._six(tokens)) == tokens >> np.uint64(14)).all()
+
+
+def test_index_passes_find_the_same_entries(spark):
+    """The rows indexed pass by pass are those of one pass, each pass with a share of them."""
+    import numpy as np
+
+    from storelake.llm import jaccard as J
+    texts = [" ".join(f"w{(i * 7 + j) % 90}" for j in range(40 + i % 5)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def found(passes):
+        return [sorted(map(tuple, p.collect())) for p in J.written_entries(docs, *none, passes=passes)]
+
+    whole, halves = found(1)[0], found(J.INDEX_PASSES)
+    assert J.INDEX_PASSES > 1 and whole == sorted(sum(halves, [])) and all(0.3 < len(h) / len(whole) < 0.7 for h in halves)
