@@ -96,7 +96,7 @@ def load_images(t, ctx):
     k = F.col("p_partkey")
     root = scratch_dir(ctx.spark, "images")
     sinks.write_files(p.where(k % 3 == 1).select(F.col("p_name").alias("line"), k.alias("image_of")), root)
-    listed = ctx.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    listed = sinks.list_files(ctx.spark, root)
     files = listed.select(F.regexp_extract("path", "image_of=([0-9]+)[./]", 1).cast("bigint").alias("_k"), "path")
     url = (F.when(k % 3 == 0, F.concat(F.lit("data:image/png;base64,"),
                                        F.base64(F.col("p_name").cast("binary"))))

@@ -145,9 +145,10 @@ def local_folder(spark: SparkSession, path: str) -> str | None:
     except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
         return None
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(sc._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+    system = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() != "file":
         return None
-    return target.toUri().getPath()
+    return system.makeQualified(target).toUri().getPath()
 
 
 def discard(*tables) -> None:

@@ -84,3 +84,63 @@ def test_image_files_are_spread_over_folders_and_tasks(spark, tmp_path):
     want.pop("image_of=8.txt")
     assert found == want and sorted(eight.split(b"\n")) == [b"", b"", b"part 8"]
     assert len(list(root.iterdir())) == 5
+
+
+def _odd_folder(root):
+    """Names that Spark's listing holds and names that it leaves out."""
+    for folder in ("_h/x", ".k", "_a=1", "_metadata_x", "sp ace%20é", "c._COPYING_", "deep/er"):
+        (root / folder).mkdir(parents=True)
+    for name in ("a.png", "_x.png", "_x=1.png", ".d.png", "e._COPYING_", "_h/x/i.png", ".k/i.png", "_a=1/i.png", "_metadata", "_metadata_x/i.png",
+                 "sp ace%20é/i j%41.png", "c._COPYING_/i.png", "_common_metadata.png", "deep/er/i.png"):
+        (root / name).write_bytes(name.encode())
+    (root / "empty.png").write_bytes(b"")
+    (root / "link.png").symlink_to(root / "a.png")
+    (root / "broken.png").symlink_to(root / "none")
+    (root / "linked").symlink_to(root / "_h" / "x")
+
+
+def test_tasks_list_and_read_what_sparks_listing_holds(spark, tmp_path):
+    from storelake.sources.sinks import _scan_files, list_files, read_files
+    root = tmp_path / "root"
+    _odd_folder(root)
+    (tmp_path / "outside.png").write_bytes(b"outside")
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root)).collect()
+    assert sorted(r.path for r in list_files(spark, f"file:{root}/").collect()) == sorted(r.path for r in want) and len(want) == 8
+    want = {r.path.removeprefix("file:"): bytes(r.content) for r in want}
+    every = [f"{top}/{name}" for top, folders, names in root.walk() for name in folders + names]
+    other = [f"{root}//a.png", f"{root}/../root/a.png", f"{root}/./a.png", f"{root}/a.png/", f"{root}/a.png/b", f"{root}/{'n' * 300}", str(root),
+             f"{root}/nul\0", str(tmp_path / "outside.png"), f"{root}x/a.png", f"{root}/linked/i.png", "a.png", "", None]
+    wanted = spark.createDataFrame([(p,) for p in every + other] * 2, "path string")
+    for folder, per_read in ((str(root), 4096), (f"file://{root}", 2), (f"{root}/", 1)):
+        rows = read_files(spark, wanted, folder, per_read).collect()
+        assert {r.path: bytes(r.content) for r in rows} == want and len(rows) == len(want)
+    some = spark.createDataFrame([(f"{root}/deep/er/i.png",)], "path string")
+    for paths in (wanted, some):                  # the way of other file systems: one scan, named reads
+        rows = _scan_files(spark, paths.where("path IS NOT NULL").distinct(), str(root), 1).collect()
+        assert {r.path: bytes(r.content) for r in rows} == ({f"{root}/deep/er/i.png": b"deep/er/i.png"} if paths is some else want)
+
+
+def test_no_file_listing_is_kept_on_the_driver(spark, tmp_path):
+    """Spark's scan of a folder keeps each file on the driver and deals some 30 to a task, four times over; tasks now open the wanted ones."""
+    from storelake.sources.sinks import list_files, load_images, write_files
+    root = str(tmp_path / "images")
+    write_files(spark.range(700).selectExpr("id AS image_of", "concat('part ', id) AS line"), root, files_per_folder=50)
+    files = list_files(spark, root)
+    refs = files.selectExpr("cast(regexp_extract(path, 'image_of=([0-9]+)', 1) AS long) AS item_id", "path AS image_url")
+    refs = refs.unionByName(spark.createDataFrame([(-1, None), (-1, None), (-2, ""), (-3, "data:image/png;base64,aGk=")], refs.schema))
+    images = load_images(spark, refs, root)
+    assert "binaryFile" not in images._jdf.queryExecution().toString()
+    assert files.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = sorted((r.item_id, r.image if r.image is None else bytes(r.image)) for r in images.collect() if r.item_id > -2)
+    assert got[:2] == [(-1, None), (-1, None)] and got[2:] == [(k, b"part %d\n" % k) for k in range(700)]
+    assert sorted((r.item_id, r.image and bytes(r.image)) for r in images.where("item_id < -1").collect()) == [(-3, b"hi"), (-2, None)]
+
+
+def test_files_written_again_take_the_place_of_the_old_ones(spark, tmp_path):
+    from storelake.sources.sinks import write_files
+    root = tmp_path / "images"
+    for low, text in ((0, "old"), (0, "old"), (50, "new")):
+        write_files(spark.range(low, low + 100).selectExpr("id AS image_of", f"'{text}' AS line"), str(root), files_per_folder=30)
+    found = {f.name: f.read_bytes() for f in root.glob("lot=*/*")}
+    assert found == {f"image_of={k}.txt": b"old\n" if k < 50 else b"new\n" for k in range(150)}
+    assert [f.name for f in root.iterdir() if not f.name.startswith("lot=")] == []
