@@ -121,7 +121,7 @@ def test_tasks_list_and_read_what_sparks_listing_holds(spark, tmp_path):
 
 
 def test_no_file_listing_is_kept_on_the_driver(spark, tmp_path):
-    """Spark's scan of a folder keeps each file on the driver and deals some 30 to a task, four times over; tasks now open the wanted ones."""
+    """Spark's scan of a folder keeps each file on the driver and deals some 30 to a task, five times over; tasks now open the wanted ones."""
     from storelake.sources.sinks import list_files, load_images, write_files
     root = str(tmp_path / "images")
     write_files(spark.range(700).selectExpr("id AS image_of", "concat('part ', id) AS line"), root, files_per_folder=50)
